@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import mixing, secrets, simhash
+from . import decontam, mixing, secrets, simhash, substring
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -23,6 +23,14 @@ def op4_simhash_classes(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", simhash.hex16(F.col("fp")).alias("fingerprint"), "component_id")
 
 
+def op5_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op7_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return substring.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
+
+
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_all(table(spark, sf_dir, "documents")))
 
@@ -61,5 +69,29 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN agg USING (doc_id)
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_poisson_mixing, op4_simhash_classes, op10_secret_ledger)}
-ORACLES: dict[str, str] = {"op3_poisson_mixing": _MIX_SQL, "op10_secret_ledger": _SECRET_SQL}
+_CONTAIN_SQL = r"""
+WITH item AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), x -> x <> '') AS w FROM benchmark),
+ish AS (SELECT DISTINCT item_id, least(len(w), 5) AS n, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS s
+        FROM item, LATERAL (SELECT unnest(generate_series(1, len(w) - least(len(w), 5) + 1)) AS p) WHERE len(w) > 0),
+size AS (SELECT item_id, count(*) AS n_item FROM ish GROUP BY item_id),
+doc AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), x -> x <> '') AS w FROM documents),
+dsh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + n - 1], ' ') AS s, n
+        FROM doc, (SELECT DISTINCT n FROM ish) AS l, LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS p)),
+shared AS (SELECT doc_id, item_id, count(*) AS shared FROM dsh JOIN ish USING (s, n) GROUP BY doc_id, item_id)
+SELECT doc_id, item_id, shared::INT AS shared, n_item::INT AS item_shingles, shared / n_item AS containment
+FROM shared JOIN size USING (item_id) WHERE shared >= ceil(0.8 * n_item)
+"""
+
+_WINDOW_SQL = r"""
+WITH doc AS (SELECT doc_id, regexp_extract_all(coalesce(text, ''), '[^\x20\x09-\x0D]+') AS w FROM documents),
+win AS (SELECT doc_id, p, md5(array_to_string(w[p:p + 49], ' ')) AS s FROM doc, LATERAL (SELECT unnest(generate_series(1, len(w) - 49)) AS p)),
+firsts AS (SELECT s, min(doc_id) AS first FROM win GROUP BY s),
+gone AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(generate_series(p, p + 49)) AS q FROM win JOIN firsts USING (s) WHERE doc_id > first)),
+per AS (SELECT doc_id, list(q) AS qs FROM gone GROUP BY doc_id),
+kept AS (SELECT doc_id, w, coalesce(qs, []) AS qs FROM doc LEFT JOIN per USING (doc_id))
+SELECT doc_id, len(w)::BIGINT AS n_words, len(qs)::BIGINT AS n_removed,
+       sha256(array_to_string(CASE WHEN len(qs) = 0 THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(qs, i)) END, ' ')) AS kept_sha256 FROM kept
+"""
+
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_poisson_mixing, op4_simhash_classes, op5_benchmark_containment, op7_repeated_windows, op10_secret_ledger)}
+ORACLES: dict[str, str] = {"op3_poisson_mixing": _MIX_SQL, "op5_benchmark_containment": _CONTAIN_SQL, "op7_repeated_windows": _WINDOW_SQL, "op10_secret_ledger": _SECRET_SQL}

@@ -16,6 +16,9 @@ _BASE = {0: 0x9E3779B97F4A7C15, 1: 0xD1342543DE82EF95, 2: 0xA0761D6478BD642F}
 _TABLE = np.random.default_rng(20240229).integers(0, 1 << 63, 256, dtype=np.uint64) * _U(2) + _U(1)
 _SEPARATOR = np.zeros(256, bool)
 _SEPARATOR[[0x20, *range(0x09, 0x0E)]] = True
+#: White space and ASCII punctuation.
+PUNCTUATION = _SEPARATOR.copy()
+PUNCTUATION[[*range(0x21, 0x30), *range(0x3A, 0x41), *range(0x5B, 0x61), *range(0x7B, 0x7F)]] = True
 _powers: dict[int, tuple[np.ndarray, np.ndarray]] = {}
 
 
@@ -52,34 +55,46 @@ def between(sums: np.ndarray, starts: np.ndarray, ends: np.ndarray, base: int =
     return mix((sums[ends] - sums[starts]) * down[starts] + (ends - starts).astype(_U))
 
 
-def spans(data: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+def spans(data: np.ndarray, separators: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray]:
     """Starts and ends of the words in an array of bytes."""
     inside = np.zeros(len(data) + 2, np.int8)
-    inside[1:-1] = ~_SEPARATOR[data]
+    inside[1:-1] = ~separators[data]
     step = np.diff(inside)
     return np.flatnonzero(step == 1), np.flatnonzero(step == -1)
 
 
-def pieces(text: bytes) -> Iterator[bytes]:
-    """The text in pieces of about PIECE bytes that end where a word does."""
+def pieces(text: bytes, separators: np.ndarray = _SEPARATOR) -> Iterator[tuple[int, bytes]]:
+    """(offset, piece) of about PIECE bytes that end where a word does."""
     at = 0
     while len(text) - at > PIECE:
         cut = at + PIECE
-        while cut < len(text) and not _SEPARATOR[text[cut]]:
+        while cut < len(text) and not separators[text[cut]]:
             cut += 1
-        yield text[at:cut]
+        yield at, text[at:cut]
         at = cut
-    yield text[at:]
+    yield at, text[at:]
 
 
-def word_hashes(text: bytes) -> np.ndarray:
-    """The hash of each word of one text, in order."""
+def located(text: bytes, separators: np.ndarray = _SEPARATOR) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """The hash, start and end of each word of one text, in order."""
     out = []
-    for piece in pieces(text):
+    for at, piece in pieces(text, separators):
         data = np.frombuffer(piece, np.uint8)
-        s, e = spans(data)
-        out.append(between(prefix(_TABLE[data]), s, e))
-    return out[0] if len(out) == 1 else np.concatenate(out)
+        s, e = spans(data, separators)
+        out.append((between(prefix(_TABLE[data]), s, e), s + at, e + at))
+    return out[0] if len(out) == 1 else tuple(map(np.concatenate, zip(*out)))
+
+
+def located_all(texts: list[bytes], separators: np.ndarray = _SEPARATOR) -> tuple[bytes, np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The texts one after the other, their words' hashes, starts and ends, and where each text's words begin (one more at the end)."""
+    data = b" ".join(texts)
+    h, s, e = located(data, separators)
+    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
+    return data, h, s, e, np.searchsorted(s, begins)
+
+
+def word_hashes(text: bytes) -> np.ndarray:
+    return located(text)[0]
 
 
 def grouped(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
@@ -98,14 +113,9 @@ def grouped(texts: Iterable[bytes | None]) -> Iterator[tuple[int, list[bytes]]]:
 
 
 def hashed(texts: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
-    """Word hashes of a run of texts one after the other, and where each text's words begin (one more at the end)."""
-    if len(texts) == 1:
-        h = word_hashes(texts[0])
-        return h, np.array([0, len(h)])
-    data = np.frombuffer(b" ".join(texts), np.uint8)
-    s, e = spans(data)
-    begins = np.cumsum([0] + [len(t) + 1 for t in texts])
-    return between(prefix(_TABLE[data]), s, e), np.searchsorted(s, begins)
+    """Word hashes of texts one after the other, and where each text's words begin (one more at the end)."""
+    _, h, _, _, offsets = located_all(texts)
+    return h, offsets
 
 
 def windows(hashes: np.ndarray, n: int, base: int = 0) -> np.ndarray:
