@@ -70,11 +70,11 @@ FROM documents d LEFT JOIN agg USING (doc_id)
 """
 
 _CONTAIN_SQL = r"""
-WITH item AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), x -> x <> '') AS w FROM benchmark),
+WITH item AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), lambda x: x <> '') AS w FROM benchmark),
 ish AS (SELECT DISTINCT item_id, least(len(w), 5) AS n, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS s
         FROM item, LATERAL (SELECT unnest(generate_series(1, len(w) - least(len(w), 5) + 1)) AS p) WHERE len(w) > 0),
 size AS (SELECT item_id, count(*) AS n_item FROM ish GROUP BY item_id),
-doc AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), x -> x <> '') AS w FROM documents),
+doc AS (SELECT doc_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), lambda x: x <> '') AS w FROM documents),
 dsh AS (SELECT DISTINCT doc_id, array_to_string(w[p:p + n - 1], ' ') AS s, n
         FROM doc, (SELECT DISTINCT n FROM ish) AS l, LATERAL (SELECT unnest(generate_series(1, len(w) - n + 1)) AS p)),
 shared AS (SELECT doc_id, item_id, count(*) AS shared FROM dsh JOIN ish USING (s, n) GROUP BY doc_id, item_id)
@@ -90,7 +90,7 @@ gone AS (SELECT DISTINCT doc_id, q FROM (SELECT doc_id, unnest(generate_series(p
 per AS (SELECT doc_id, list(q) AS qs FROM gone GROUP BY doc_id),
 kept AS (SELECT doc_id, w, coalesce(qs, []) AS qs FROM doc LEFT JOIN per USING (doc_id))
 SELECT doc_id, len(w)::BIGINT AS n_words, len(qs)::BIGINT AS n_removed,
-       sha256(array_to_string(CASE WHEN len(qs) = 0 THEN w ELSE list_filter(w, (x, i) -> NOT list_contains(qs, i)) END, ' ')) AS kept_sha256 FROM kept
+       sha256(array_to_string(CASE WHEN len(qs) = 0 THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(qs, i)) END, ' ')) AS kept_sha256 FROM kept
 """
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_poisson_mixing, op4_simhash_classes, op5_benchmark_containment, op7_repeated_windows, op10_secret_ledger)}
