@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import decontam, mixing, secrets, simhash, substring
+from . import cotrain, decontam, mixing, secrets, simhash, substring, toxicity
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return cotrain.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op3_poisson_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
     return mixing.mix(table(spark, sf_dir, "documents"))
 
@@ -31,6 +35,10 @@ def op7_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
 
+def op8_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return toxicity.severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_all(table(spark, sf_dir, "documents")))
 
@@ -93,5 +101,5 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(qs)::BIGINT AS n_removed,
        sha256(array_to_string(CASE WHEN len(qs) = 0 THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(qs, i)) END, ' ')) AS kept_sha256 FROM kept
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op3_poisson_mixing, op4_simhash_classes, op5_benchmark_containment, op7_repeated_windows, op10_secret_ledger)}
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_cotrained_quality, op3_poisson_mixing, op4_simhash_classes, op5_benchmark_containment, op7_repeated_windows, op8_toxic_severity, op10_secret_ledger)}
 ORACLES: dict[str, str] = {"op3_poisson_mixing": _MIX_SQL, "op5_benchmark_containment": _CONTAIN_SQL, "op7_repeated_windows": _WINDOW_SQL, "op10_secret_ledger": _SECRET_SQL}
