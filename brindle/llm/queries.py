@@ -7,13 +7,17 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import cotrain, decontam, mixing, secrets, simhash, substring, toxicity
+from . import ann, cotrain, decontam, html, mixing, secrets, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+def op1_rotated_bit_neighbours(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return ann.search(table(spark, sf_dir, "embeddings"))
+
+
 def op2_cotrained_quality(spark: SparkSession, sf_dir: str) -> DataFrame:
     return cotrain.qualities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
@@ -31,6 +35,10 @@ def op5_benchmark_containment(spark: SparkSession, sf_dir: str) -> DataFrame:
     return decontam.contaminations(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
 
 
+def op6_line_block_text(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return html.extract(table(spark, sf_dir, "pages"))
+
+
 def op7_repeated_windows(spark: SparkSession, sf_dir: str) -> DataFrame:
     return substring.deduplicated(table(spark, sf_dir, "documents")).select("doc_id", "n_words", "n_removed", "kept_sha256")
 
@@ -39,6 +47,10 @@ def op8_toxic_severity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity.severities(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op9_warc_derivatives(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return warc.derivatives(warc.responses(table(spark, sf_dir, "pages")))
+
+
 def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_all(table(spark, sf_dir, "documents")))
 
@@ -77,6 +89,14 @@ SELECT d.doc_id, coalesce(n_assign, 0) AS n_assign, coalesce(n_access, 0) AS n_a
 FROM documents d LEFT JOIN agg USING (doc_id)
 """
 
+_NEIGHBOUR_SQL = """
+WITH v AS (SELECT vec_id, embedding::DOUBLE[] AS e FROM embeddings WHERE vec_id IS NOT NULL AND embedding IS NOT NULL
+           AND len(list_filter(embedding, lambda x: x IS NULL OR NOT isfinite(x))) = 0 AND len(list_filter(embedding, lambda x: x <> 0)) > 0),
+d AS (SELECT q.vec_id AS query_id, c.vec_id, list_distance(q.e, c.e) AS score FROM v q JOIN v c ON q.vec_id % 100 = 0 AND q.vec_id <> c.vec_id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query_id ORDER BY score, vec_id)::INT AS rank FROM d)
+SELECT query_id, rank, vec_id, score FROM r WHERE rank <= 10
+"""
+
 _CONTAIN_SQL = r"""
 WITH item AS (SELECT item_id, list_filter(string_split_regex(lower(coalesce(text, '')), '[\x20\x09-\x0D!-/:-@\[-`{-~]+'), lambda x: x <> '') AS w FROM benchmark),
 ish AS (SELECT DISTINCT item_id, least(len(w), 5) AS n, array_to_string(w[p:p + least(len(w), 5) - 1], ' ') AS s
@@ -101,5 +121,6 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(qs)::BIGINT AS n_removed,
        sha256(array_to_string(CASE WHEN len(qs) = 0 THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(qs, i)) END, ' ')) AS kept_sha256 FROM kept
 """
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in (op2_cotrained_quality, op3_poisson_mixing, op4_simhash_classes, op5_benchmark_containment, op7_repeated_windows, op8_toxic_severity, op10_secret_ledger)}
-ORACLES: dict[str, str] = {"op3_poisson_mixing": _MIX_SQL, "op5_benchmark_containment": _CONTAIN_SQL, "op7_repeated_windows": _WINDOW_SQL, "op10_secret_ledger": _SECRET_SQL}
+_OPERATORS = (op1_rotated_bit_neighbours, op2_cotrained_quality, op3_poisson_mixing, op4_simhash_classes, op5_benchmark_containment, op6_line_block_text, op7_repeated_windows, op8_toxic_severity, op9_warc_derivatives, op10_secret_ledger)
+QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
+ORACLES: dict[str, str] = {"op1_rotated_bit_neighbours": _NEIGHBOUR_SQL, "op3_poisson_mixing": _MIX_SQL, "op5_benchmark_containment": _CONTAIN_SQL, "op7_repeated_windows": _WINDOW_SQL, "op10_secret_ledger": _SECRET_SQL}
