@@ -1,5 +1,9 @@
 """Registered queries of the panel engine with their SQL."""
 
-QUERIES: dict = {}
-ORACLES: dict = {}
-FLAGSHIP = ""
+from __future__ import annotations
+
+from . import panel_queries  # noqa: F401
+from .registry import ORACLES, QUERIES
+
+FLAGSHIP = "flagship_weekly_risk"
+__all__ = ["FLAGSHIP", "ORACLES", "QUERIES"]
