@@ -5,12 +5,15 @@ Missing values are null or absent rows and are never filled. A return is against
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import to_missing
 
-OF_SERIES = Window.partitionBy("series_id").orderBy("date")
+
+def of_series() -> WindowSpec:
+    """Rows of a series in order of date."""
+    return Window.partitionBy("series_id").orderBy("date")
 
 
 def cleaned(raw: DataFrame) -> DataFrame:
@@ -56,23 +59,23 @@ def clipped(df: DataFrame, first: str, last: str) -> DataFrame:
 def returns_from_prior_observation(levels: DataFrame) -> DataFrame:
     """level / own previous observed level - 1 where a level is printed; null for a series' first."""
     seen = levels.where("level is not null")
-    return seen.select("series_id", "date", (F.try_divide("level", F.lag("level").over(OF_SERIES)) - 1).alias("ret"))
+    return seen.select("series_id", "date", (F.try_divide("level", F.lag("level").over(of_series())) - 1).alias("ret"))
 
 
 def spanned_days(levels: DataFrame) -> DataFrame:
     """Calendar days since the series' own previous observation."""
-    return levels.where("level is not null").select("series_id", "date", F.datediff("date", F.lag("date").over(OF_SERIES)).alias("days"))
+    return levels.where("level is not null").select("series_id", "date", F.datediff("date", F.lag("date").over(of_series())).alias("days"))
 
 
 def overlapping_returns(returns: DataFrame, k: int = 2) -> DataFrame:
     """The compounded return of each k consecutive rows; null unless all k are there."""
-    w = OF_SERIES.rowsBetween(1 - k, 0)
+    w = of_series().rowsBetween(1 - k, 0)
     return returns.select("series_id", "date", F.when(F.count("ret").over(w) == k, F.product(1 + F.col("ret")).over(w) - 1).alias("ret"))
 
 
 def true_daily_starts(levels: DataFrame, gaps: int = 20, most: int = 5) -> DataFrame:
     """Per series the first date whose next ``gaps`` gaps between observations are at most ``most`` days; absent if there is none."""
-    w = OF_SERIES.rowsBetween(1, gaps)
+    w = of_series().rowsBetween(1, gaps)
     gap = spanned_days(levels).withColumn("wide", (F.col("days") > most).cast("int"))
     ok = gap.select("series_id", "date", F.sum("wide").over(w).alias("wide"), F.count("days").over(w).alias("n"))
     return ok.where((F.col("n") == gaps) & (F.col("wide") == 0)).groupBy("series_id").agg(F.min("date").alias("start"))
@@ -90,8 +93,8 @@ def to_fridays(levels: DataFrame, cut: str | None = None) -> DataFrame:
 
 def stale_dropped(weekly: DataFrame, run: int = 6, step: int = 7) -> DataFrame:
     """Rows without the repeats of runs of ``run`` or more equal values exactly ``step`` days apart; a run's first row stays."""
-    same = F.coalesce((F.col("level") == F.lag("level").over(OF_SERIES)) & (F.datediff("date", F.lag("date").over(OF_SERIES)) == step), F.lit(False))
-    marked = weekly.withColumn("same", same).withColumn("island", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(OF_SERIES))
+    same = F.coalesce((F.col("level") == F.lag("level").over(of_series())) & (F.datediff("date", F.lag("date").over(of_series())) == step), F.lit(False))
+    marked = weekly.withColumn("same", same).withColumn("island", F.sum(F.when(F.col("same"), 0).otherwise(1)).over(of_series()))
     sized = marked.withColumn("n", F.count("*").over(Window.partitionBy("series_id", "island")))
     return sized.where(~(F.col("same") & (F.col("n") >= run))).select("series_id", "date", "level")
 

@@ -1,0 +1,148 @@
+"""Statistics of results: calibration, breadth, multiple testing, block resampling. Long tables in, long tables out."""
+
+from __future__ import annotations
+
+import math
+
+import numpy as np
+from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import functions as F
+
+
+def annual_bias(z: DataFrame, least: int = 40) -> DataFrame:
+    """Per calendar year with ``least`` values the sample deviation of z."""
+    return z.groupBy("series_id", F.year("date").alias("year")).agg(F.stddev_samp("z").alias("bias"), F.count("z").alias("n")).where(F.col("n") >= least)
+
+
+def worst_year(bias: DataFrame) -> DataFrame:
+    """The first year of the largest bias."""
+    return bias.groupBy("series_id").agg(F.min_by("year", F.struct((-F.col("bias")).alias("b"), "year")).alias("year"), F.max("bias").alias("bias"))
+
+
+def calibrated_z(active: DataFrame, te: DataFrame, per_year: int = 52, floor: float = 1e-12) -> DataFrame:
+    """z = return over the ex-ante risk of the row before (lagged in the risk series' own order), risk above a floor."""
+    lagged = te.withColumn("before", F.lag("te").over(Window.partitionBy("series_id").orderBy("date")))
+    j = active.join(lagged.select("series_id", "date", "before"), ["series_id", "date"]).where(F.col("before") > floor)
+    return j.select("series_id", "date", (F.col("active") / (F.col("before") / F.sqrt(F.lit(per_year)))).alias("z"))
+
+
+def slope_through_origin(x: Column, y: Column) -> Column:
+    return F.try_divide(F.sum(x * y), F.sum(x * x))
+
+
+def ols(x: str, y: str) -> list[Column]:
+    """slope, standard error, t and n of a regression line, from regression aggregates."""
+    n, sxx = F.regr_count(y, x), F.regr_sxx(y, x)
+    slope = F.regr_slope(y, x)
+    rss = F.regr_syy(y, x) - slope * F.regr_sxy(y, x)
+    se = F.sqrt(F.greatest(rss, F.lit(0.0)) / (n - 2) / sxx)
+    ok = (n > 2) & (sxx > 0)
+    return [F.when(ok, slope).alias("slope"), F.when(ok, se).alias("se"), F.when(ok & (se > 0), slope / se).alias("t"), n.alias("n")]
+
+
+def holm(p: DataFrame, family: str | None = None) -> DataFrame:
+    """Adds ``holm``: running maximum of (m - i + 1) p over ascending p, capped at one."""
+    by = [family] if family else []
+    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("p", "test")
+    m = F.count("*").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
+    step = p.withColumn("_x", (m - F.row_number().over(w) + 1) * F.col("p"))
+    return step.withColumn("holm", F.least(F.max("_x").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))).drop("_x")
+
+
+def step_up(p: DataFrame, name: str, dependent: bool = False, family: str | None = None) -> DataFrame:
+    """Adds Benjamini-Hochberg (or, ``dependent``, Benjamini-Yekutieli) adjusted p: reverse running minimum of c m p / i."""
+    by = [family] if family else []
+    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
+    w = part.orderBy("p", "test")
+    m = F.count("*").over(part)
+    c = F.aggregate(F.sequence(F.lit(1).cast("bigint"), m), F.lit(0.0), lambda a, i: a + 1 / i) if dependent else F.lit(1.0)
+    step = p.withColumn("_i", F.row_number().over(w)).withColumn("_m", m)
+    step = step.withColumn("_c", c if not dependent else F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("_m")), F.lit(0.0), lambda a, i: a + 1 / i))
+    step = step.withColumn("_x", F.col("_c") * F.col("_m") * F.col("p") / F.col("_i"))
+    return step.withColumn(name, F.least(F.min("_x").over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))).drop("_i", "_m", "_c", "_x")
+
+
+def marginal_p(t: DataFrame, null: DataFrame) -> DataFrame:
+    """(1 + draws at or above t) / (1 + draws), per test; t: (test, t), null: (draw, test, t0)."""
+    j = null.join(t, "test").groupBy("test").agg(F.count_if(F.col("t0") >= F.col("t")).alias("hits"), F.count("*").alias("k"))
+    return j.select("test", ((1 + F.col("hits")) / (1 + F.col("k"))).alias("p"))
+
+
+def standardised_columns(t: DataFrame, null: DataFrame) -> tuple[DataFrame, DataFrame]:
+    """Both tables on the scale of the pooled k + 1 values of each test."""
+    pool = null.select("test", F.col("t0").alias("x")).unionByName(t.select("test", F.col("t").alias("x"))).groupBy("test").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).where("s > 0")
+    return t.join(pool, "test").select("test", ((F.col("t") - F.col("m")) / F.col("s")).alias("t")), null.join(pool, "test").select("draw", "test", ((F.col("t0") - F.col("m")) / F.col("s")).alias("t0"))
+
+
+def romano_wolf(t: DataFrame, null: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Stepdown by the maximum over tests still active: (test, p, rejected).
+
+    Each round is one aggregation over the draws; rounds end with the first that rejects nothing. Only rejected test ids,
+    a few per round, and per-round counts pass through the driver.
+    """
+    spark = t.sparkSession
+    active, floor, parts = t, 0.0, []
+    while True:
+        top = null.join(active.select("test"), "test", "left_semi").groupBy("draw").agg(F.max("t0").alias("top"))
+        k = top.count()
+        # Tests per round are few next to draws; ranks come from one sort of draws and tests together.
+        both = top.select(F.col("top").alias("x"), F.lit(1).alias("is_draw"), F.lit(None).cast(t.schema["test"].dataType).alias("test")).unionByName(active.select(F.col("t").alias("x"), F.lit(0).alias("is_draw"), "test"))
+        at_or_above = F.sum("is_draw").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("x")))
+        p = both.withColumn("p", F.greatest((1 + at_or_above) / F.lit(1.0 + k), F.lit(floor))).where("is_draw = 0").select("test", "p")
+        p = p.checkpoint() if spark.sparkContext.getCheckpointDir() else p.cache()
+        hit = p.where(F.col("p") <= alpha)
+        if hit.isEmpty():
+            parts.append(p.withColumn("rejected", F.lit(False)))
+            break
+        parts.append(hit.withColumn("rejected", F.lit(True)))
+        floor = hit.agg(F.max("p")).first()[0]
+        active = active.join(hit, "test", "left_anti")
+        if active.isEmpty():
+            break
+    out = parts[0]
+    for x in parts[1:]:
+        out = out.unionByName(x)
+    return out
+
+
+def block_order(n: int, block: int, seed: int) -> list[int]:
+    """Row order after a permutation of contiguous blocks; the short last block is a block of its own."""
+    blocks = [list(range(i, min(i + block, n))) for i in range(0, n, block)]
+    return [r for i in np.random.default_rng(seed).permutation(len(blocks)) for r in blocks[i]]
+
+
+def block_permuted(rows: DataFrame, block: int, seed: int) -> DataFrame:
+    """(series_id, date, value) with values moved in whole blocks of dates, one permutation for all series; dates stay."""
+    dates = [r[0] for r in rows.select("date").distinct().orderBy("date").collect()]  # one value a date of the calendar
+    order = block_order(len(dates), block, seed)
+    moved = rows.sparkSession.createDataFrame([(dates[src], dates[dst]) for dst, src in enumerate(order)], "date date, to date")
+    return rows.join(F.broadcast(moved), "date").select("series_id", F.col("to").alias("date"), *[c for c in rows.columns if c not in ("series_id", "date")])
+
+
+def bootstrap_starts(spark: SparkSession, weeks: int, block: int, draws: int, seed: int) -> DataFrame:
+    """(draw, slot, week): for each draw the source week of each slot; starts are uniform in [0, weeks - block], cut at ``weeks``."""
+    rng = np.random.default_rng(seed)
+    per = math.ceil(weeks / block)
+    starts = rng.integers(0, weeks - block + 1, size=(draws, per))
+    rows = [(int(d), int(j), int(s)) for d in range(draws) for j, s in enumerate(starts[d])]
+    table = spark.createDataFrame(rows, "draw int, j int, start int")
+    out = table.select("draw", (F.col("j") * block).alias("first"), "start", F.posexplode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o", "k"))
+    return out.select("draw", (F.col("first") + F.col("o")).alias("slot"), (F.col("start") + F.col("o")).alias("week")).where(F.col("slot") < weeks)
+
+
+def block_bootstrap(values: DataFrame, starts: DataFrame) -> DataFrame:
+    """(draw, name, mean) of centred values (name, week, x) over each draw's weeks, the same weeks for all names."""
+    mean = values.groupBy("name").agg(F.avg("x").alias("m"))
+    centred = values.join(mean, "name").select("name", "week", (F.col("x") - F.col("m")).alias("x"))
+    return starts.join(centred, "week").groupBy("draw", "name").agg(F.avg("x").alias("mean"))
+
+
+def required(table: DataFrame, target: float) -> DataFrame:
+    """Per horizon the smallest ic at which ``mean`` crosses a target, by linear interpolation, and how it was found."""
+    w = Window.partitionBy("horizon").orderBy("ic")
+    step = table.withColumn("next", F.lead("mean").over(w)).withColumn("next_ic", F.lead("ic").over(w))
+    at = F.when((F.col("mean") < target) & (F.col("next") >= target), F.col("ic") + (target - F.col("mean")) / (F.col("next") - F.col("mean")) * (F.col("next_ic") - F.col("ic")))
+    out = step.withColumn("at", at).groupBy("horizon").agg(F.max("mean").alias("hi"), F.min("mean").alias("lo"), F.min("ic").alias("first"), F.max("ic").alias("last"), F.min_by("at", F.when(F.col("at").isNotNull(), F.col("ic"))).alias("at"))
+    how = F.when(F.col("hi") < target, "above").when(F.col("lo") >= target, "below").when(F.col("at").isNotNull(), "inside").otherwise("not monotone")
+    value = F.when(F.col("hi") < target, F.col("last")).when(F.col("lo") >= target, F.col("first")).otherwise(F.col("at"))
+    return out.select("horizon", value.alias("ic"), how.alias("how"))

@@ -9,12 +9,12 @@ from pyspark.sql import Column, DataFrame, Window, WindowSpec
 from pyspark.sql import functions as F
 
 from ..functions.scalars import clip
+from .panel import of_series
 
-OF_SERIES = Window.partitionBy("series_id").orderBy("date")
 
-
-def trailing(n: int, by: WindowSpec = OF_SERIES) -> WindowSpec:
-    return by.rowsBetween(1 - n, 0)
+def trailing(n: int) -> WindowSpec:
+    """The last n rows of a series, the current one included."""
+    return of_series().rowsBetween(1 - n, 0)
 
 
 def full(value: Column, x: Column, n: int, w: WindowSpec) -> Column:
@@ -34,7 +34,7 @@ def tracking_error(active: DataFrame, n: int = 156, per_year: int = 52) -> DataF
 
 def drawdown(active: DataFrame) -> DataFrame:
     """Cumulative product and its fall from its running maximum; the maximum starts with the first product."""
-    up_to = OF_SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    up_to = of_series().rowsBetween(Window.unboundedPreceding, 0)
     grown = active.select("series_id", "date", F.product(1 + F.col("active")).over(up_to).alias("wealth"))
     return grown.select("series_id", "date", "wealth", (F.col("wealth") / F.max("wealth").over(up_to) - 1).alias("drawdown"))
 
@@ -47,7 +47,7 @@ def information_ratio(x: Column, per_year: int = 52) -> Column:
 
 def standardised(scores: DataFrame, burn_in: int = 52, cap: float = 3.0) -> DataFrame:
     """Expanding z-score including the current row, clipped; exactly 0 during burn-in, without spread, or without a score."""
-    w = OF_SERIES.rowsBetween(Window.unboundedPreceding, 0)
+    w = of_series().rowsBetween(Window.unboundedPreceding, 0)
     s = F.col("score")
     sd = F.stddev_samp(s).over(w)
     ok = (F.count(s).over(w) >= burn_in) & (sd > 0) & s.isNotNull()
@@ -70,13 +70,13 @@ def rolling_sigma(df: DataFrame, n: int, population: bool) -> DataFrame:
 
 def forward_active(df: DataFrame, k: int) -> DataFrame:
     """Compounded return of the next k rows less the benchmark's; null unless both windows are full. df: ret, bench."""
-    w = OF_SERIES.rowsBetween(1, k)
+    w = of_series().rowsBetween(1, k)
     grown = lambda c: full(F.expm1(F.sum(F.log1p(c)).over(w)), F.col(c), k, w)
     return df.select("series_id", "date", (grown("ret") - grown("bench")).alias("fwd"))
 
 
 def forward_sum(df: DataFrame, k: int) -> DataFrame:
-    w = OF_SERIES.rowsBetween(1, k)
+    w = of_series().rowsBetween(1, k)
     return df.select("series_id", "date", full(F.sum("ret").over(w), F.col("ret"), k, w).alias("fwd"))
 
 
@@ -87,7 +87,7 @@ def rolling_sum(df: DataFrame, value: str, n: int) -> DataFrame:
 
 def prefilled_sum(df: DataFrame, value: str, n: int, fill: float) -> DataFrame:
     """Sum of the last n - 1 rows, each missing one counted as ``fill``."""
-    w = OF_SERIES.rowsBetween(2 - n, 0)
+    w = of_series().rowsBetween(2 - n, 0)
     return df.select("series_id", "date", (F.coalesce(F.sum(value).over(w), F.lit(0.0)) + (n - 1 - F.count(value).over(w)) * fill).alias("total"))
 
 

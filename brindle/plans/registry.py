@@ -14,10 +14,12 @@ QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
 #: Decimals to which registered queries and their SQL round doubles, so that the order of a sum does not show.
 DECIMALS = 6
+#: Added before rounding, on both sides: two engines may round an exact half apart.
+NUDGE = 2.7e-8
 
 
 def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(f"`{c}`"), DECIMALS).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+    return df.select(*[F.round(F.col(f"`{c}`") + NUDGE, DECIMALS).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:

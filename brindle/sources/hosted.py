@@ -80,7 +80,7 @@ def _rounding(sql: str) -> str:
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[j], 0)
             j += 1
-        out += sql[at:i] + "round(CAST(" + _rounding(sql[i + 7 : j - 1]) + " AS DOUBLE), 6)"
+        out += sql[at:i] + "round(CAST(" + _rounding(sql[i + 7 : j - 1]) + " AS DOUBLE) + 2.7e-8, 6)"
         at = j
     return out + sql[at:]
 
