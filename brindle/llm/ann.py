@@ -6,9 +6,9 @@ direction with its code. A query's inner product with a vector is estimated from
 estimate's error is bounded by EPSILON * sqrt((1 - c**2) / c**2 / (D - 1)), c the second scalar, except with a probability
 that falls off like exp(-EPSILON**2 / 2).
 
-Search. Rows are dealt to blocks of bounded size, queries too, and each pair of blocks meets in one task. There the k-th
-smallest upper bound of a query's squared distances is a threshold; vectors whose lower bound does not exceed it are reranked
-by exact distance in double precision. The k best of each block are merged. No bucket is capped or skipped.
+Search. Rows are dealt to blocks of bounded size, queries too, and each pair of blocks meets in one task. There a
+query's most promising rows by estimate are measured; vectors whose lower bound does not exceed the k-th of these distances
+are reranked by exact distance in double precision. The k best of each block are merged. No bucket is capped or skipped.
 """
 
 from __future__ import annotations
@@ -25,7 +25,9 @@ from .shared import Stash, hash_sample
 
 K = 10
 #: Standard errors in an estimate's bound.
-EPSILON = 4.0
+EPSILON = 3.0
+#: Rows measured first to get a limit, or twice k if that is more.
+FIRST = 32
 #: Rows and queries of a block.
 BLOCK_ROWS = 8192
 BLOCK_QUERIES = 1024
@@ -88,10 +90,10 @@ def encode(x: np.ndarray, centers: np.ndarray, turn: np.ndarray) -> Codes:
 
 
 def bounds(codes: Codes, queries: np.ndarray, centers: np.ndarray, turn: np.ndarray, epsilon: float) -> tuple[np.ndarray, np.ndarray]:
-    """Lower and upper bounds of the squared distances, queries by rows."""
+    """Estimates and lower bounds of the squared distances, queries by rows."""
     dim = queries.shape[1]
     signs = (np.unpackbits(codes.bits, axis=1, count=dim).astype(np.float32) * 2 - 1) / np.float32(math.sqrt(dim))
-    lower, upper = np.empty((len(queries), len(codes.own))), np.empty((len(queries), len(codes.own)))
+    middle, lower = np.empty((len(queries), len(codes.own))), np.empty((len(queries), len(codes.own)))
     spread = epsilon * np.sqrt(np.maximum(1 - codes.inner**2, 0) / codes.inner**2 / max(dim - 1, 1))
     for c in np.unique(codes.own):
         at = np.flatnonzero(codes.own == c)
@@ -102,9 +104,15 @@ def bounds(codes: Codes, queries: np.ndarray, centers: np.ndarray, turn: np.ndar
         base = qn[:, None] ** 2 + codes.norm[at] ** 2
         both = 2 * qn[:, None] * codes.norm[at]
         slack = 1e-6 * (base + both) + 1e-12  # single precision in the estimate
+        middle[:, at] = base - both * estimate
         lower[:, at] = base - both * np.minimum(estimate + spread[at], 1) - slack
-        upper[:, at] = base - both * np.maximum(estimate - spread[at], -1) + slack
-    return lower, upper
+    return middle, lower
+
+
+def squared(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Squared distances of paired rows, in some order of summation."""
+    left = a - b
+    return np.einsum("ij,ij->i", left, left)
 
 
 def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
@@ -116,22 +124,35 @@ def exact(a: np.ndarray, b: np.ndarray) -> np.ndarray:
 
 
 def best(ids: np.ndarray, x: np.ndarray, codes: Codes, query_ids: np.ndarray, queries: np.ndarray, centers: np.ndarray, turn: np.ndarray, k: int, epsilon: float) -> pd.DataFrame:
-    """The k nearest rows of a block for each query of a block: (query_id, vec_id, score)."""
+    """The k nearest rows of a block for each query of a block: (query_id, vec_id, score).
+
+    The rows with the smallest estimates are measured first; their k-th distance is the limit that the others' lower bounds
+    are held against.
+    """
     out = []
-    step = max(1, (1 << 21) // max(len(ids), 1))
+    step = max(1, (1 << 20) // max(len(ids), 1))
+    first = max(FIRST, 2 * k)
     for i in range(0, len(queries), step):
         qi, q = query_ids[i : i + step], queries[i : i + step]
-        lower, upper = bounds(codes, q, centers, turn, epsilon)
+        middle, lower = bounds(codes, q, centers, turn, epsilon)
         self = qi[:, None] == ids[None, :]
-        lower[self] = upper[self] = np.inf
-        limit = np.partition(upper, k - 1, axis=1)[:, k - 1] if len(ids) > k else np.full(len(q), np.inf)
+        middle[self] = lower[self] = np.inf
+        limit = np.full(len(q), np.inf)
+        if len(ids) > first:
+            front = np.argpartition(middle, first - 1, axis=1)[:, :first]
+            d = squared(np.repeat(q, first, axis=0), x[front.ravel()]).reshape(len(q), first)
+            d[np.take_along_axis(self, front, axis=1)] = np.inf
+            limit = np.partition(d, k - 1, axis=1)[:, k - 1] * (1 + 1e-9)
         a, b = np.nonzero((lower <= limit[:, None]) & ~self)
-        for j in range(0, len(a), 1 << 18):
-            s = slice(j, j + (1 << 18))
-            out.append(pd.DataFrame({"query_id": qi[a[s]], "vec_id": ids[b[s]], "score": exact(q[a[s]], x[b[s]])}))
+        for j in range(0, len(a), 1 << 16):
+            s = slice(j, j + (1 << 16))
+            near = squared(q[a[s]], x[b[s]]) <= limit[a[s]]
+            pa, pb = a[s][near], b[s][near]
+            out.append(pd.DataFrame({"query_id": qi[pa], "vec_id": ids[pb], "score": exact(q[pa], x[pb])}))
     if not out:
         return pd.DataFrame({"query_id": query_ids[:0], "vec_id": ids[:0], "score": np.zeros(0)})
-    found = pd.concat(out).sort_values(["query_id", "score", "vec_id"], kind="stable")
+    found = pd.concat(out)
+    found = found.iloc[np.lexsort((found["vec_id"], found["score"], found["query_id"]))]
     return found.groupby("query_id", sort=False).head(k)
 
 
