@@ -110,14 +110,16 @@ def repeated_windows(docs: DataFrame, stash: Stash, n: int = WINDOW) -> tuple[Da
     reps = rows.groupBy("k1", "k2").agg(F.min("doc_id").alias("rep")).where("rep is not null")
     kind = docs.schema["doc_id"].dataType.simpleString()
     named_rows = stash.keep(rows.where("doc_id is not null").select("doc_id", "k1", "text").mapInArrow(_named_windows(n), f"anchor long, k1 long, doc_id {kind}"), "named")
-    again = named_rows.groupBy("anchor").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min("doc_id").alias("first")).where("lo <> hi")
-    held = named_rows.join(again.select("anchor", "first"), "anchor")
+    again = named_rows.groupBy("anchor").agg(F.min("k1").alias("lo"), F.max("k1").alias("hi"), F.min("doc_id").alias("first")).where("lo <> hi").select("anchor", "first")
+    again = stash.keep(again, "again")  # as a table of its own, so that both sides of the join are exchanges and a hot anchor is split
+    held = named_rows.join(again, "anchor")
     of_text = held.groupBy("k1", "doc_id").agg(F.collect_set("anchor").alias("anchors"), F.collect_set(F.when(F.col("first") == F.col("doc_id"), F.col("anchor"))).alias("firsts"))
     cand = stash.keep(of_text.join(reps, (of_text["doc_id"] == reps["rep"]) & (of_text["k1"] == reps["k1"])).select(of_text["doc_id"], of_text["k1"], "anchors", "firsts"), "candidates")
     stash.drop("named")
     with_text = rows.select("doc_id", "k1", "text").join(cand, ["doc_id", "k1"]).select("doc_id", "k1", "text", "anchors", "firsts")
     full = stash.keep(with_text.mapInArrow(_full_windows(n), f"h1 long, h2 int, doc_id {kind}, k1 long, pos int, probe boolean"), "windows")
     least_of = full.groupBy("h1", "h2").agg(F.min("doc_id").alias("first"), F.max("doc_id").alias("last")).where("first < last").select("h1", "h2", "first")
+    least_of = stash.keep(least_of, "least")  # likewise
     later = full.where("probe").join(least_of, ["h1", "h2"]).where("doc_id > first").select("doc_id", "k1", "pos")
     return reps, later
 
