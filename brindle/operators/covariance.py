@@ -76,7 +76,7 @@ def shrunk(weekly: DataFrame, target: str, window: int = 156, present: float = 0
         wide = rows.pivot(index="date", columns="series_id", values="ret").sort_index().iloc[-window:]
         wide = wide.loc[:, wide.notna().mean() >= present].fillna(0.0)
         if wide.shape[1] == 0 or len(wide) < 2:
-            return pd.DataFrame({"universe": [], "a": [], "b": [], "cov": [], "shrinkage": []})
+            return pd.DataFrame({"universe": [key[0]], "a": [None], "b": [None], "cov": [float("nan")], "shrinkage": [float("nan")]}).iloc[:0]
         c, k = shrink(wide.to_numpy(), target)
         ids = np.array([str(x) for x in wide.columns], object)
         return pd.DataFrame({"universe": key[0], "a": np.repeat(ids, len(ids)), "b": np.tile(ids, len(ids)), "cov": c.ravel(), "shrinkage": k})

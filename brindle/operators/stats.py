@@ -8,6 +8,8 @@ import numpy as np
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
+
 
 def annual_bias(z: DataFrame, least: int = 40) -> DataFrame:
     """Per calendar year with ``least`` values the sample deviation of z."""
@@ -80,7 +82,6 @@ def romano_wolf(t: DataFrame, null: DataFrame, alpha: float = 0.05) -> DataFrame
     Each round is one aggregation over the draws; rounds end with the first that rejects nothing. Only rejected test ids,
     a few per round, and per-round counts pass through the driver.
     """
-    spark = t.sparkSession
     active, floor, parts = t, 0.0, []
     while True:
         top = null.join(active.select("test"), "test", "left_semi").groupBy("draw").agg(F.max("t0").alias("top"))
@@ -89,14 +90,14 @@ def romano_wolf(t: DataFrame, null: DataFrame, alpha: float = 0.05) -> DataFrame
         both = top.select(F.col("top").alias("x"), F.lit(1).alias("is_draw"), F.lit(None).cast(t.schema["test"].dataType).alias("test")).unionByName(active.select(F.col("t").alias("x"), F.lit(0).alias("is_draw"), "test"))
         at_or_above = F.sum("is_draw").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("x")))
         p = both.withColumn("p", F.greatest((1 + at_or_above) / F.lit(1.0 + k), F.lit(floor))).where("is_draw = 0").select("test", "p")
-        p = p.checkpoint() if spark.sparkContext.getCheckpointDir() else p.cache()
+        p = cut(p)
         hit = p.where(F.col("p") <= alpha)
         if hit.isEmpty():
             parts.append(p.withColumn("rejected", F.lit(False)))
             break
         parts.append(hit.withColumn("rejected", F.lit(True)))
         floor = hit.agg(F.max("p")).first()[0]
-        active = active.join(hit, "test", "left_anti")
+        active = cut(active.join(hit, "test", "left_anti"))
         if active.isEmpty():
             break
     out = parts[0]

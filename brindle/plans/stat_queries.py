@@ -343,19 +343,19 @@ def factor_covariance(spark, sf):
 @query("k13_ledoit_wolf")
 def ledoit_wolf(spark, sf):
     m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"))
-    return covariance.shrunk(h.weekly(spark, sf).join(m, "series_id"), "constant_correlation")
+    return covariance.shrunk(h.weekly(spark, sf).join(m, "series_id"), "constant_correlation", present=0.5)
 
 
 @query("k14_ledoit_wolf_identity")
 def identity(spark, sf):
     m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"))
-    return covariance.shrunk(h.weekly(spark, sf).join(m, "series_id"), "identity")
+    return covariance.shrunk(h.weekly(spark, sf).join(m, "series_id"), "identity", present=0.5)
 
 
 @query("k18_effective_bets")
 def bets(spark, sf):
     m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"))
-    return covariance.effective_bets(covariance.shrunk(h.weekly(spark, sf).join(m, "series_id"), "constant_correlation"))
+    return covariance.effective_bets(covariance.shrunk(h.weekly(spark, sf).join(m, "series_id"), "constant_correlation", present=0.5))
 
 
 @query("k1_walk_forward")
