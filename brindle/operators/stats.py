@@ -2,9 +2,11 @@
 
 from __future__ import annotations
 
+import itertools
 import math
 
 import numpy as np
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
@@ -43,7 +45,7 @@ def ols(x: str, y: str) -> list[Column]:
 
 
 def holm(p: DataFrame, family: str | None = None) -> DataFrame:
-    """Adds ``holm``: running maximum of (m - i + 1) p over ascending p, capped at one."""
+    """Adds ``holm``: running maximum of (m - i + 1) p over ascending p, capped at one. A family is a list of hypotheses: it fits a task."""
     by = [family] if family else []
     w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("p", "test")
     m = F.count("*").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
@@ -106,6 +108,42 @@ def romano_wolf(t: DataFrame, null: DataFrame, alpha: float = 0.05) -> DataFrame
     return out
 
 
+def gfwer_rejections(t: np.ndarray, null: np.ndarray, g: int, alpha: float) -> np.ndarray:
+    """Stepdown that controls the chance of ``g`` or more false rejections; g = 1 is the plain one.
+
+    Later rounds allow for g - 1 of the rejected being false: each choice of them joins the active tests, the worst one counts.
+    """
+    k, m = null.shape
+    rejected = np.zeros(m, bool)
+    while True:
+        active = np.flatnonzero(~rejected)
+        if not len(active):
+            return rejected
+        done = np.flatnonzero(rejected)
+        ways = itertools.combinations(done, g - 1) if len(done) >= g else [tuple(done)]
+        p = np.zeros(len(active))
+        for way in ways:
+            pool = np.concatenate([active, np.array(way, int)])
+            top = np.full(k, -np.inf) if len(pool) < g else np.partition(null[:, pool], len(pool) - g, axis=1)[:, len(pool) - g]
+            p = np.maximum(p, (1 + (top[:, None] >= t[active][None, :]).sum(axis=0)) / (k + 1))
+        fresh = active[p <= alpha]
+        if not len(fresh):
+            return rejected
+        rejected[fresh] = True
+
+
+def gfwer(t: DataFrame, null: DataFrame, g: int = 2, alpha: float = 0.05) -> DataFrame:
+    """(family, test, rejected). t: family, test, t; null: family, draw, test, t0. A family of tests is one group: a list of hypotheses."""
+    drawn = null.groupBy("family", "test").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "t0"))), lambda x: x["t0"]).alias("t0"))
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        hit = gfwer_rejections(rows["t"].to_numpy(float), np.stack(rows["t0"].to_numpy()).T, g, alpha)
+        return pd.DataFrame({"family": key[0], "test": rows["test"], "rejected": hit})
+
+    kind = dict(t.dtypes)
+    return t.join(drawn, ["family", "test"]).groupBy("family").applyInPandas(run, f"family {kind['family']}, test {kind['test']}, rejected boolean")
+
+
 def block_order(n: int, block: int, seed: int) -> list[int]:
     """Row order after a permutation of contiguous blocks; the short last block is a block of its own."""
     blocks = [list(range(i, min(i + block, n))) for i in range(0, n, block)]

@@ -303,6 +303,13 @@ def romano_wolf(spark, sf):
     return stats.romano_wolf(*stats.standardised_columns(*draws(spark, sf)))
 
 
+@query("k47_generalised_stepdown")
+def generalised(spark, sf):
+    t, n = stats.standardised_columns(*draws(spark, sf))
+    family = (F.col("test") % 4).alias("family")
+    return stats.gfwer(t.select(family, "test", "t"), n.select(family, "draw", "test", "t0"))
+
+
 @query("k40_block_permuted")
 def permuted(spark, sf):
     return stats.block_permuted(h.weekly(spark, sf), 13, 7)

@@ -41,6 +41,19 @@ def test_stepdown_against_brute_force(spark):
     assert {k: (pytest.approx(v[0]), v[1]) for k, v in want.items()} == got
 
 
+def test_generalised_stepdown(spark):
+    rng = np.random.default_rng(5)
+    null = rng.standard_normal((300, 6))
+    t = np.array([4.0, 3.1, 2.4, 1.0, 0.2, -1.0])
+    one, two = stats.gfwer_rejections(t, null, 1, 0.05), stats.gfwer_rejections(t, null, 2, 0.05)
+    td = spark.createDataFrame([("f", i, float(x)) for i, x in enumerate(t)], "family string, test int, t double")
+    nd = spark.createDataFrame([("f", d, i, float(null[d, i])) for d in range(300) for i in range(6)], "family string, draw int, test int, t0 double")
+    plain = {r.test: r.rejected for r in stats.romano_wolf(td.drop("family"), nd.drop("family")).collect()}
+    assert {i: bool(x) for i, x in enumerate(one)} == {**dict.fromkeys(range(6), False), **plain}
+    assert (two | ~one).all() and two.sum() >= one.sum()
+    assert {r.test: r.rejected for r in stats.gfwer(td, nd, 2).collect()} == {i: bool(x) for i, x in enumerate(two)}
+
+
 def test_blocks_keep_inner_order():
     order = stats.block_order(10, 4, 1)
     assert sorted(order) == list(range(10))
