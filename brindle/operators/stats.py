@@ -133,11 +133,15 @@ def gfwer_rejections(t: np.ndarray, null: np.ndarray, g: int, alpha: float) -> n
 
 
 def gfwer(t: DataFrame, null: DataFrame, g: int = 2, alpha: float = 0.05) -> DataFrame:
-    """(family, test, rejected). t: family, test, t; null: family, draw, test, t0. A family of tests is one group: a list of hypotheses."""
-    drawn = null.groupBy("family", "test").agg(F.transform(F.array_sort(F.collect_list(F.struct("draw", "t0"))), lambda x: x["t0"]).alias("t0"))
+    """(family, test, rejected). t: family, test, t; null: family, draw, test, t0. A family of tests is one group: a list of hypotheses.
+    A test that a draw lacks is exceeded by none in it.
+    """
+    sets = F.array_sort(F.collect_list(F.struct("draw", "t0")))
+    drawn = null.groupBy("family", "test").agg(sets.alias("s")).select("family", "test", F.col("s.draw").alias("draws"), F.col("s.t0").alias("t0"))
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        hit = gfwer_rejections(rows["t"].to_numpy(float), np.stack(rows["t0"].to_numpy()).T, g, alpha)
+        wide = pd.DataFrame({i: pd.Series(x, index=d) for i, (d, x) in enumerate(zip(rows["draws"], rows["t0"]))}).fillna(-np.inf)
+        hit = gfwer_rejections(rows["t"].to_numpy(float), wide.to_numpy(), g, alpha)
         return pd.DataFrame({"family": key[0], "test": rows["test"], "rejected": hit})
 
     kind = dict(t.dtypes)
