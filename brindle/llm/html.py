@@ -38,41 +38,46 @@ _BOILER = re.compile(
     re.I,
 )
 _TOP = re.compile(r"(?:^|[\s_-])(?:site-?header|page-?header|header|masthead)(?=$|[\s_-])", re.I)
-_ARTICLE = re.compile(r"(?:^|[\s_-])(?:article-?(?:body|content|text)?|post-?(?:body|content|text)|entry-?content|story-?body|main-?content)(?=$|[\s_-])", re.I)
+_ARTICLE = re.compile(r"(?:^|\s)(?:article-?(?:body|content|text)?|post-?(?:body|content|text)?|entry-?(?:body|content)?|story-?(?:body)?|main-?(?:content)?|content)(?=$|\s)", re.I)
+_CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
 @dataclass
 class Line:
-    """A block's text, its characters outside links, and whether it is boilerplate or in a marked article."""
+    """A block's text, its characters outside links, whether it is boilerplate, and how surely it is in a marked article.
+
+    3: in an article element, 2: in the main element, 1: in an element named like an article, 0: in none.
+    """
 
     text: str
     weight: int
     boiler: bool
-    article: bool
+    article: int
 
 
 def _attributes(text: str) -> dict[str, str]:
     return {m[1].lower(): unescape(m[2] or m[3] or m[4] or "") for m in _ATTRIBUTE.finditer(text)}
 
 
-def _kind(name: str, attributes: str, inside: bool) -> tuple[bool, bool]:
-    """Whether an element is boilerplate, and whether it marks the article. A header in an article holds its headline."""
+def _kind(name: str, attributes: str, inside: int) -> tuple[bool, int]:
+    """Whether an element is boilerplate, and how surely it marks the article. A header in an article holds its headline."""
     if name in _NEVER or (name == "header" and not inside):
-        return True, False
+        return True, 0
+    level = {"article": 3, "main": 2}.get(name, 0)
     if not attributes.strip():
-        return False, name in ("article", "main")
+        return False, level
     a = _attributes(attributes)
-    names = f"{a.get('class', '')} {a.get('id', '')}"
-    marks = name in ("article", "main") or a.get("role", "").lower() in ("main", "article") or a.get("itemprop", "").lower() == "articlebody"
+    names = _CAMEL.sub("-", f"{a.get('class', '')} {a.get('id', '')}")
+    level = max(level, {"article": 3, "main": 2}.get(a.get("role", "").lower(), 0), 3 * (a.get("itemprop", "").lower() == "articlebody"), int(bool(_ARTICLE.search(names))))
     hidden = "hidden" in a or a.get("aria-hidden", "").lower() == "true" or re.search(r"display\s*:\s*none|visibility\s*:\s*hidden", a.get("style", ""), re.I)
     boiler = bool(hidden or a.get("role", "").lower() in _ROLES or (name not in ("html", "body", "main") and (_BOILER.search(names) or not inside and _TOP.search(names))))
-    return boiler, not boiler and (marks or bool(_ARTICLE.search(names)))
+    return boiler, 0 if boiler else level
 
 
 def lines(html: str | None) -> list[Line]:
     """The lines of a page, in order, without empty ones."""
     out: list[Line] = []
-    stack: list[tuple[str, bool, bool]] = []  # name, boilerplate, article: each with what it stands in
+    stack: list[tuple[str, bool, int]] = []  # name, boilerplate, article: each with what it stands in
     parts: list[str] = []
     plain = 0
     links = 0
@@ -84,7 +89,7 @@ def lines(html: str | None) -> list[Line]:
         text = " ".join("".join(parts).split())
         parts.clear()
         if text:
-            out.append(Line(text, plain, bool(stack and stack[-1][1]), bool(stack and stack[-1][2])))
+            out.append(Line(text, plain, *(stack[-1][1:] if stack else (False, 0))))
         plain = 0
 
     def leave(depth: int) -> None:
@@ -128,9 +133,9 @@ def lines(html: str | None) -> list[Line]:
                     break
                 if stack[i][0] in _SAME[name]:
                     leave(i)
-        boiler, article = stack[-1][1:] if stack else (False, False)
+        boiler, article = stack[-1][1:] if stack else (False, 0)
         own_boiler, own_article = _kind(name, m[3] or "", article)
-        stack.append((name, boiler or own_boiler, article or own_article))
+        stack.append((name, boiler or own_boiler, max(article, own_article)))
         links += name == "a"
     close()
     return out
@@ -138,8 +143,8 @@ def lines(html: str | None) -> list[Line]:
 
 def kept(found: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[Line]:
     """The lines between surges and dives."""
-    marked = any(x.article and not x.boiler for x in found)
-    weights = [0 if x.boiler or (marked and not x.article) else (len(x.text) if marked else x.weight) for x in found]
+    marked = max((x.article for x in found if not x.boiler), default=0)
+    weights = [0 if x.boiler or x.article < marked else (len(x.text) if marked else x.weight) for x in found]
     sums = [sum(weights[i : i + window]) for i in range(len(weights))]
     least = 1 if marked else min(surge, max(sums, default=0))
     out: list[Line] = []

@@ -26,6 +26,8 @@ SOUP = """<div class=menu><a href=/>Home</a> | <a href=/n>News</a></div><div id=
         (PAGE, "Head\xadline First été bolder text next Unclosed one two Fin."),
         (SOUP, "A headline here The first paragraph of this article is long enough to surge, with many words. Short. And another long paragraph that keeps the sums above zero until the end of it."),
         ("<article>x</article>", "x"),
+        ('<div class="content"><p>tease</p><main><h1>M</h1><article>deep</article></main></div>', "deep"),
+        ('<p>We use cookies here and there and everywhere, for all of it, yes.</p><div id="mainContent"><h1>Y</h1><p>z</p><div class="userComments">no</div></div>', "Y z"),
         ("<main><p>Tiny.</main>", "Tiny."),
         ("<p>just &lt;one&gt; &#x41;&amp;amp; para", "just <one> A&amp; para"),
         ("plain text without markup", "plain text without markup"),
@@ -49,7 +51,7 @@ def test_extraction_of_rows(spark):
 
 
 def test_surges_and_dives_without_a_marked_article():
-    lines = [html.Line("menu", 0, False, False)] * 4 + [html.Line("x" * 80, 80, False, False), html.Line("ad", 2, True, False), html.Line("short", 5, False, False)] + [html.Line("l", 0, False, False)] * 5
+    lines = [html.Line("menu", 0, False, 0)] * 4 + [html.Line("x" * 80, 80, False, 0), html.Line("ad", 2, True, 0), html.Line("short", 5, False, 0)] + [html.Line("l", 0, False, 0)] * 5
     assert [x.text for x in html.kept(lines)] == ["x" * 80, "short"]
 
 
