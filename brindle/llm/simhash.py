@@ -9,6 +9,9 @@ pair within reach together. In a cell the range condition on the vectors comes f
 A cell of more than ``CELL`` fingerprints is not paired up: its fingerprints are linked through the points one bit away.
 Two fingerprints at distance 2 or less share such a point, and a point has at most 65 fingerprints around it, so this is
 exact and grows in proportion to the cell.
+
+Two bits reach copies that are all but exact. ``classes(..., similar=0.8)``, which the pipeline's stage uses, also links texts
+whose shingle sets are that similar, found through fingerprints of samples (``alike``) and verified exactly.
 """
 
 from __future__ import annotations
@@ -23,6 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 from pyspark.sql.types import LongType
 
+from . import alike
 from .graph import components
 from .shared import Stash, packed
 
@@ -96,18 +100,23 @@ def links(fps: DataFrame, reach: int = REACH, groups: int = GROUPS, cell: int =
     return of_two.unionByName(paired).unionByName(through).distinct()
 
 
-def classes(docs: DataFrame, shingle: int = 3, key: Column | None = None) -> DataFrame:
+def classes(docs: DataFrame, shingle: int = 3, similar: float | None = None) -> DataFrame:
     """(doc_id, text_key, fp, component_id, keeper): a row for each row of ``docs`` (doc_id, text; others are ignored).
 
     ``component_id`` is the smallest doc_id reachable over links of two bits or fewer, null if the class has none;
     ``keeper`` is the (doc_id, text_key) that stands for the class: smallest doc_id, nulls last, then smallest text hash.
+    With ``similar``, texts whose shingle sets have that Jaccard similarity or more are linked too.
     Null and wordless texts share fingerprint zero and so link. Repeated rows are classed alike. An empty table gives none.
     """
     stash = Stash(docs.sparkSession, "simhash")
-    rows = stash.keep(docs.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprint(F.col("text"), shingle).alias("fp")), "rows")
+    sketch = [] if similar is None else [alike.sketches(F.col("text"), shingle, similar).alias("sketch")]
+    rows = stash.keep(docs.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprint(F.col("text"), shingle).alias("fp"), *sketch), "rows")
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key")))
     each = rows.groupBy("fp").agg(first.alias("first"))
-    edges = stash.keep(links(stash.keep(each.select("fp", embed(F.col("fp")).alias("e")), "fps")), "links")
+    edges = links(stash.keep(each.select("fp", embed(F.col("fp")).alias("e")), "fps"))
+    if similar is not None:
+        edges = edges.unionByName(alike.links(docs, rows, stash, shingle, similar))
+    edges = stash.keep(edges, "links")
     rooted = components(edges, stash)
     grouped = each.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
     least = grouped.groupBy("root").agg(F.min("first").alias("keeper"))
@@ -115,12 +124,12 @@ def classes(docs: DataFrame, shingle: int = 3, key: Column | None = None) -> Dat
     return rows.join(of_fp, "fp", "left").select("doc_id", "text_key", "fp", F.col("keeper.doc_id").alias("component_id"), F.struct("keeper.doc_id", "keeper.text_key").alias("keeper"))
 
 
-def drop_near_duplicates(docs: DataFrame, shingle: int = 5) -> DataFrame:
+def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similar: float = alike.SIMILAR) -> DataFrame:
     """The documents that stand for their class, one row each, with all their columns.
 
-    ``shingle`` is five words by default. Rows that repeat both doc_id and text count as copies of one another.
+    ``shingle`` is five words and ``similar`` 0.8 by default. Rows that repeat both doc_id and text count as copies of one another.
     """
-    made = classes(docs, shingle)
+    made = classes(docs, shingle, similar)
     keep = made.where(F.col("doc_id").eqNullSafe(F.col("keeper.doc_id")) & (F.col("text_key") == F.col("keeper.text_key"))).select(F.col("doc_id").alias("_id"), F.col("text_key").alias("_key")).distinct()
     rows = packed(docs, F.col("doc_id"), F.xxhash64("text").alias("text_key"))
     kept = rows.join(keep, rows["doc_id"].eqNullSafe(keep["_id"]) & (rows["text_key"] == keep["_key"]), "left_semi")

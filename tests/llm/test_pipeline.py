@@ -33,7 +33,7 @@ def test_stages_one_after_the_other(spark, folder):
             model = toxicity.fit(docs, spark.read.parquet(f"{folder}/labels.parquet"))
             assert toxicity.scored(kept, model, F.col("doc_id")).where("toxic").count() == 0
         if i == 1:
-            made = simhash.classes(kept, 5)
+            made = simhash.classes(kept, 5, 0.8)
             assert made.select("component_id").distinct().count() == kept.count()
         if i == 2:
             assert decontam.contaminations(kept, spark.read.parquet(f"{folder}/benchmark.parquet")).count() == 0

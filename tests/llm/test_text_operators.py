@@ -10,7 +10,7 @@ import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from brindle.llm import cotrain, decontam, graph, linear, mixing, secrets, simhash, substring, toxicity, words
+from brindle.llm import alike, cotrain, decontam, graph, linear, mixing, secrets, simhash, substring, toxicity, words
 from brindle.llm.shared import Stash, join_small
 
 DOCS = "doc_id long, text string, lang string, source string, n_chars long"
@@ -120,11 +120,69 @@ def test_near_duplicates_drop_all_but_one(spark):
     df = clashing(spark.createDataFrame(rows, DOCS))
     kept = simhash.drop_near_duplicates(df)
     assert kept.columns == df.columns
-    made = simhash.classes(df, 5)
+    made = simhash.classes(df, 5, 0.8)
     assert kept.count() == made.select("component_id").distinct().count()
     assert set(r.doc_id for r in kept.collect()) == set(r.component_id for r in made.collect())
 
 
+def jaccard(a, b):
+    return len(a & b) / max(1, len(a | b))
+
+
+def test_similar_texts_are_linked_as_brute_force_links_them(spark):
+    rng = random.Random(8)
+    v = vocabulary(8, 3000)
+    rows, base = [], [rng.choice(v) for _ in range(120)]
+    for _ in range(90):  # a crowd of near copies, most of them alike
+        w = list(base)
+        for _ in range(rng.randint(0, 3)):
+            w[rng.randrange(len(w))] = rng.choice(v)
+        rows.append(" ".join(w))
+    for i in range(120):  # pairs at all similarities and lengths
+        w = [rng.choice(v) for _ in range(rng.choice([3, 6, 9, 15, 28, 33, 60, 200, 900]))]
+        rows.append(" ".join(w))
+        for _ in range(rng.randint(1, 1 + len(w) // 30)):
+            w[rng.randrange(len(w))] = rng.choice(v)
+        rows.append(" ".join(w).upper() if i % 9 == 0 else "  ".join(w))
+    rows += [None, "", " \t", rows[0], rows[95]]
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((r or "").encode().lower().split() for r in rows)]
+    fps = [simhash.text_fingerprint((r or "").encode(), 5) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 or bin(fps[i] ^ fps[j]).count("1") <= 2:
+                a, b = sorted((find(i), find(j)))
+                root[b] = a
+    df = spark.createDataFrame([(i, r) for i, r in enumerate(rows)], "doc_id long, text string")
+    got = {r.doc_id: r.component_id for r in simhash.classes(df, 5, 0.8).collect()}
+    assert got == {i: find(i) for i in range(len(rows))}
+    assert simhash.drop_near_duplicates(df).count() == len({find(i) for i in range(len(rows))})
+
+
+def test_a_crowded_cell_of_unlike_texts_is_worked_off(spark):
+    rng = random.Random(9)
+    rows = []
+    for g in range(12):
+        base = [f"g{g}w{i}" for i in range(40)]
+        for k in range(3):
+            w = list(base)
+            w[k] = f"x{g}{k}"
+            rows.append((len(rows), " ".join(w)))
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    one = F.lit(1).cast("long")
+    sketch = F.struct(F.lit(36).alias("n"), F.array(*[one] * 12).alias("cells")).alias("sketch")  # all texts in one cell
+    made = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("doc_id").alias("fp"), sketch)
+    edges = alike.links(docs, made, Stash(spark, "t"), 5, cell=6)
+    roots = {x.node: x.root for x in graph.components(edges, Stash(spark, "t")).collect()}
+    assert roots == {i: i - i % 3 for i in range(len(rows))}
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (600, 601)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges, Stash(spark, "t")).collect()}
