@@ -15,9 +15,8 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
-import pandas as pd
 import pyarrow as pa
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
@@ -31,6 +30,8 @@ SHORT_TABLES, SHORT_SAMPLE = 12, 2
 SHORT = 24
 CELL = 24
 CENTERS = 4
+#: Pairs of texts that a task holds at a time.
+BATCH = 500
 _RNG = np.random.default_rng(20240301)
 _TURN, _SPIN = (_RNG.integers(0, 1 << 63, (2, TABLES + SHORT_TABLES), dtype=np.uint64) * np.uint64(2) + np.uint64(1))
 
@@ -60,18 +61,6 @@ def sketch(shingles: np.ndarray, similar: float = SIMILAR) -> np.ndarray:
     return np.concatenate([short, sampled(shingles, range(SHORT_TABLES, SHORT_TABLES + TABLES), SAMPLE)]) if len(shingles) >= SHORT else short
 
 
-def sketches(text: Column, n: int, similar: float = SIMILAR) -> Column:
-    """(n: number of shingles, cells: fingerprints) of a text column."""
-
-    @F.pandas_udf("n int, cells array<long>")
-    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
-        for texts in batches:
-            sets = [shingle_set(t, n) for t in texts]
-            yield pd.DataFrame({"n": np.array([len(s) for s in sets], np.int32), "cells": pd.Series([sketch(s, similar).view(np.int64) for s in sets], dtype=object)})
-
-    return of(text.cast("binary"))
-
-
 def similarity(a: np.ndarray, b: np.ndarray) -> float:
     both = len(np.intersect1d(a, b, assume_unique=True))
     return both / max(1, len(a) + len(b) - both)
@@ -121,7 +110,7 @@ def links(docs: DataFrame, rows: DataFrame, stash: Stash, n: int, similar: float
         pick = lambda c, p, q: F.when(low, F.col(f"{c}_{p}")).otherwise(F.col(f"{c}_{q}"))
         asked = stash.keep(both.select(pick("k", "a", "b").alias("a"), pick("k", "b", "a").alias("b"), pick("fp", "a", "b").alias("fp_a"), pick("fp", "b", "a").alias("fp_b")).distinct(), f"asked{turn}")
         with_texts = asked.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
-        true = stash.keep(with_texts.select("a", "b", "fp_a", "fp_b", "text_a", "text_b").mapInArrow(_verify(n, similar), "a long, b long, fp_a long, fp_b long"), f"true{turn}")
+        true = stash.keep(with_texts.select("a", "b", "fp_a", "fp_b", "text_a", "text_b").mapInArrow(_verify(n, similar), "a long, b long, fp_a long, fp_b long"), f"true{turn}", BATCH)
         edges = true.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
         found = edges if found is None else found.unionByName(edges)
         if sizes.where(F.col("size") > cell).isEmpty():

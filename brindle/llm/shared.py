@@ -13,6 +13,7 @@ BROADCAST_ROWS = 20_000
 
 
 _CLEANUP = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+_BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
@@ -34,14 +35,19 @@ class Stash:
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/brindle-{name}-{uuid.uuid4().hex}"
 
-    def keep(self, df: DataFrame, name: str) -> DataFrame:
+    def keep(self, df: DataFrame, name: str, batch: int | None = None) -> DataFrame:
+        """``batch``: the rows that Python functions get at a time, where their number is to be smaller than the session's."""
         path = f"{self.base}/{name}"
-        before = self.spark.conf.get(_CLEANUP, None)
-        self.spark.conf.set(_CLEANUP, "true")  # the shuffles behind a written table are not needed again
+        own = {_CLEANUP: "true"}  # the shuffles behind a written table are not needed again
+        own |= {_BATCH: str(batch)} if batch else {}
+        before = {k: self.spark.conf.get(k, None) for k in own}
         try:
+            for k, v in own.items():
+                self.spark.conf.set(k, v)
             df.write.option("compression", "zstd").parquet(path)
         finally:
-            self.spark.conf.unset(_CLEANUP) if before is None else self.spark.conf.set(_CLEANUP, before)
+            for k, v in before.items():
+                self.spark.conf.unset(k) if v is None else self.spark.conf.set(k, v)
         return self.spark.read.schema(df.schema).parquet(path)
 
     def drop(self, name: str) -> None:

@@ -33,6 +33,8 @@ from .shared import Stash, packed
 REACH = 2
 GROUPS = 5
 CELL = 24
+#: Texts that a task holds at a time where it also samples their shingles.
+BATCH = 1000
 SEED = 42
 _CHUNK = 1 << 16
 _LOW = 0x5555555555555555
@@ -67,6 +69,23 @@ def fingerprint(text: Column, shingle: int = 3) -> Column:
     return of(text.cast("binary"))
 
 
+def marks(text: Column, shingle: int, similar: float) -> Column:
+    """(fp, n: number of distinct shingles, cells: fingerprints of samples of them) of a text column."""
+
+    @F.pandas_udf("fp long, n int, cells array<long>")
+    def of(batches: Iterator[pd.Series]) -> Iterator[pd.DataFrame]:
+        for texts in batches:
+            fp, n, cells = [], [], []
+            for t in texts:
+                own = alike.shingle_set(t, shingle)
+                fp.append(text_fingerprint(t, shingle))
+                n.append(len(own))
+                cells.append(alike.sketch(own, similar).view(np.int64))
+            yield pd.DataFrame({"fp": np.array(fp, np.uint64).view(np.int64), "n": np.array(n, np.int32), "cells": pd.Series(cells, dtype=object)})
+
+    return of(text.cast("binary"))
+
+
 def embed(fp: Column) -> Column:
     """The vector of two-bit segments' counts, in unary."""
     low, high = fp.bitwiseAND(F.lit(_LOW)), F.shiftrightunsigned(fp, 1).bitwiseAND(F.lit(_LOW))
@@ -109,8 +128,12 @@ def classes(docs: DataFrame, shingle: int = 3, similar: float | None = None) ->
     Null and wordless texts share fingerprint zero and so link. Repeated rows are classed alike. An empty table gives none.
     """
     stash = Stash(docs.sparkSession, "simhash")
-    sketch = [] if similar is None else [alike.sketches(F.col("text"), shingle, similar).alias("sketch")]
-    rows = stash.keep(docs.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprint(F.col("text"), shingle).alias("fp"), *sketch), "rows")
+    if similar is None:
+        made = docs.select("doc_id", F.xxhash64("text").alias("text_key"), fingerprint(F.col("text"), shingle).alias("fp"))
+    else:
+        made = docs.select("doc_id", F.xxhash64("text").alias("text_key"), marks(F.col("text"), shingle, similar).alias("m"))
+        made = made.select("doc_id", "text_key", "m.fp", F.struct("m.n", "m.cells").alias("sketch"))
+    rows = stash.keep(made, "rows", None if similar is None else BATCH)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key")))
     each = rows.groupBy("fp").agg(first.alias("first"))
     edges = links(stash.keep(each.select("fp", embed(F.col("fp")).alias("e")), "fps"))
