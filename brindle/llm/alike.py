@@ -6,8 +6,9 @@ similarity J have the same sample with a probability of about J ** size, indepen
 fingerprint: cells are the points of these fingerprints. Short texts, whose samples would be all they have, take smaller ones.
 
 Pairs of a cell are verified by the exact similarity of the whole shingle sets. A cell of more than ``CELL`` texts is not
-paired up: its texts are held against a few centers; those that no center verifies stay for another round, with centers of
-their own, until every cell is empty or small. So no text leaves a cell unless it is linked in it or has met all of its rest.
+paired up: its texts are held against a few centers, picked by hash; those that no center verifies stay for another round,
+with twice as many centers, until every cell is empty or small. So no text leaves a cell unless it is linked in it or has met
+all of its rest, and a cell of unlike texts takes rounds by the logarithm of their number.
 """
 
 from __future__ import annotations
@@ -29,6 +30,7 @@ SHORT_TABLES, SHORT_SAMPLE = 12, 2
 #: Texts of this many shingles or more take the large samples; those of up to SHORT / SIMILAR take the small ones.
 SHORT = 24
 CELL = 24
+#: Expected number of centers of a cell in the first round.
 CENTERS = 4
 #: Pairs of texts that a task holds at a time.
 BATCH = 500
@@ -97,13 +99,14 @@ def links(docs: DataFrame, rows: DataFrame, stash: Stash, n: int, similar: float
     texts = stash.keep(whole.join(want, ["k", "w"]).groupBy("k", "w").agg(F.first("text").alias("text")).select("k", "text"), "texts")
     found, turn = None, 0
     while True:
-        centers = [F.min(F.struct(F.xxhash64(F.lit(i), "k").alias("o"), "k", "fp", "n")).alias(f"c{i}") for i in range(CENTERS)]
-        sizes = stash.keep(live.groupBy("t", "s").agg(F.count("*").alias("size"), *centers), f"sizes{turn}")
+        sizes = stash.keep(live.groupBy("t", "s").agg(F.count("*").alias("size"), F.min("k").alias("least")), f"sizes{turn}")
         some = live.join(sizes.where(F.col("size") <= cell).select("t", "s"), ["t", "s"])
         x, y = (some.select("t", "s", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "fp", "n")]) for side in "ab")
         pairs = x.join(y, ["t", "s"]).where("k_a < k_b")
-        center = F.explode(F.array_distinct(F.array(*[F.struct(f"c{i}.k", f"c{i}.fp", f"c{i}.n") for i in range(CENTERS)])))
-        crowded = live.join(sizes.where(F.col("size") > cell), ["t", "s"]).select("t", "s", "k", "fp", "w", "n", center.alias("c"))
+        sized = live.join(sizes.where(F.col("size") > cell), ["t", "s"])
+        head = (F.col("k") == F.col("least")) | (F.pmod(F.xxhash64(F.lit(turn), "k"), F.col("size")) < CENTERS << turn)
+        heads = stash.keep(sized.where(head).select("t", "s", F.struct("k", "fp", "n").alias("c")), f"heads{turn}")
+        crowded = live.join(heads, ["t", "s"])
         stars = crowded.select(*[F.col(c).alias(f"{c}_a") for c in ("k", "fp", "n")], *[F.col(f"c.{c}").alias(f"{c}_b") for c in ("k", "fp", "n")])
         both = pairs.drop("t", "s").unionByName(stars).where((F.col("fp_a") != F.col("fp_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar))
         low = F.col("k_a") <= F.col("k_b")
