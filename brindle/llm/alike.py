@@ -6,9 +6,13 @@ similarity J have the same sample with a probability of about J ** size, indepen
 fingerprint: cells are the points of these fingerprints. Short texts, whose samples would be all they have, take smaller ones.
 
 Pairs of a cell are verified by the exact similarity of the whole shingle sets. A cell of more than ``CELL`` texts is not
-paired up: its texts are held against a few centers, picked by hash; those that no center verifies stay for another round,
-with twice as many centers, until every cell is empty or small. So no text leaves a cell unless it is linked in it or has met
-all of its rest, and a cell of unlike texts takes rounds by the logarithm of their number.
+paired up at once: its texts are held against a few centers, picked by hash; those that no center verifies stay for another
+round, with twice as many centers, until every cell is empty or small. These rounds link what is alike in few questions, but a
+text that has left never meets those that stay. So then components are formed of all links so far, and in each crowded cell
+every pair of texts of different components is compared, first by parity sketches: bit i of a text's sketch is the parity of
+its shingles in bucket i, so two sketches differ in no more bits than the sets differ in shingles, and a pair whose sketches
+differ in more bits than the similarity allows is ruled out exactly. The rest is verified. So each pair of a cell is linked
+through others, ruled out or verified. Comparing sketches grows with the square of a cell that stays in many components.
 """
 
 from __future__ import annotations
@@ -21,6 +25,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .graph import components
 from .shared import Stash
 
 SIMILAR = 0.8
@@ -32,6 +37,10 @@ SHORT = 24
 CELL = 24
 #: Expected number of centers of a cell in the first round.
 CENTERS = 4
+#: Words of 64 bits of a parity sketch.
+PARITY = 8
+#: Texts of a crowded cell that a task compares with the whole cell.
+BLOCK = 1024
 #: Pairs of texts that a task holds at a time.
 BATCH = 500
 _RNG = np.random.default_rng(20240301)
@@ -68,6 +77,27 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
     return both / max(1, len(a) + len(b) - both)
 
 
+def parity(shingles: np.ndarray) -> np.ndarray:
+    """The parity sketch: bit i is set if an odd number of shingles falls to bucket i."""
+    of = np.bincount(((shingles * _TURN[0]) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
+    return np.packbits((of & 1).astype(bool), bitorder="little").view(np.int64)
+
+
+def _parities(n: int):
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            bits = np.stack([parity(shingle_set(t.as_py(), n)) for t in batch.column("text")]) if len(batch) else np.zeros((0, PARITY), np.int64)
+            yield pa.RecordBatch.from_arrays([batch.column("k"), *[pa.array(bits[:, i]) for i in range(PARITY)]], ["k", *[f"p{i}" for i in range(PARITY)]])
+
+    return run
+
+
+def _may_be(similar: float):
+    """The exact conditions on sizes and sketches that every pair of columns (.._a, .._b) at ``similar`` meets."""
+    bits = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY)), F.lit(0))
+    return (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar - 1e-6) & (bits <= (F.col("n_a") + F.col("n_b")) * (1 - similar) / (1 + similar) + 1e-6)
+
+
 def _verify(n: int, similar: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         last: tuple = (None, None)
@@ -97,30 +127,56 @@ def links(docs: DataFrame, rows: DataFrame, stash: Stash, n: int, similar: float
     want = live.select("k", "w").distinct()
     whole = docs.select(F.xxhash64("text").alias("k"), one.alias("w"), F.col("text").cast("binary").alias("text"))
     texts = stash.keep(whole.join(want, ["k", "w"]).groupBy("k", "w").agg(F.first("text").alias("text")).select("k", "text"), "texts")
-    found, turn = None, 0
+    low = F.col("k_a") <= F.col("k_b")
+    pick = lambda c, p, q: F.when(low, F.col(f"{c}_{p}")).otherwise(F.col(f"{c}_{q}"))
+    side = lambda rows, name, *more: rows.select("t", "s", *more, *[F.col(c).alias(f"{c}_{name}") for c in rows.columns if c not in ("t", "s", "w", *more)])
+
+    def verified(pairs: DataFrame, name: str) -> DataFrame:
+        ordered = pairs.where("fp_a <> fp_b").select(pick("k", "a", "b").alias("a"), pick("k", "b", "a").alias("b"), pick("fp", "a", "b").alias("fp_a"), pick("fp", "b", "a").alias("fp_b"))
+        asked = stash.keep(ordered.distinct(), f"asked_{name}")
+        with_texts = asked.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
+        true = stash.keep(with_texts.select("a", "b", "fp_a", "fp_b", "text_a", "text_b").mapInArrow(_verify(n, similar), "a long, b long, fp_a long, fp_b long"), f"true_{name}", BATCH)
+        stash.drop(f"asked_{name}")
+        return true
+
+    sizes = stash.keep(live.groupBy("t", "s").agg(F.count("*").alias("size"), F.min("k").alias("least")), "sizes0")
+    some = live.join(sizes.where(F.col("size") <= cell).select("t", "s"), ["t", "s"])
+    pairs = side(some, "a").join(side(some, "b"), ["t", "s"]).where("k_a < k_b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar - 1e-6)
+    found = verified(pairs, "few").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
+    of_many = stash.keep(live.join(sizes.where(F.col("size") > cell).select("t", "s"), ["t", "s"]), "of_many")
+    if of_many.isEmpty():
+        return found
+    marks = texts.join(of_many.select("k").distinct(), "k").mapInArrow(_parities(n), "k long, " + ", ".join(f"p{i} long" for i in range(PARITY)))
+    marks = stash.keep(marks, "parities", BATCH)
+    many = stash.keep(of_many.join(marks, "k"), "crowds0")
+    stash.drop("of_many")
+    stash.drop("cells0")
+    live, turn = many, 0
     while True:
-        sizes = stash.keep(live.groupBy("t", "s").agg(F.count("*").alias("size"), F.min("k").alias("least")), f"sizes{turn}")
+        sizes = stash.keep(live.groupBy("t", "s").agg(F.count("*").alias("size"), F.min("k").alias("least")), f"sizes_{turn}")
         some = live.join(sizes.where(F.col("size") <= cell).select("t", "s"), ["t", "s"])
-        x, y = (some.select("t", "s", *[F.col(c).alias(f"{c}_{side}") for c in ("k", "fp", "n")]) for side in "ab")
-        pairs = x.join(y, ["t", "s"]).where("k_a < k_b")
+        pairs = side(some, "a").join(side(some, "b"), ["t", "s"]).where(F.col("k_a") < F.col("k_b")).where(_may_be(similar)).drop("t", "s")
         sized = live.join(sizes.where(F.col("size") > cell), ["t", "s"])
-        head = (F.col("k") == F.col("least")) | (F.pmod(F.xxhash64(F.lit(turn), "k"), F.col("size")) < CENTERS << turn)
-        heads = stash.keep(sized.where(head).select("t", "s", F.struct("k", "fp", "n").alias("c")), f"heads{turn}")
-        crowded = live.join(heads, ["t", "s"])
-        stars = crowded.select(*[F.col(c).alias(f"{c}_a") for c in ("k", "fp", "n")], *[F.col(f"c.{c}").alias(f"{c}_b") for c in ("k", "fp", "n")])
-        both = pairs.drop("t", "s").unionByName(stars).where((F.col("fp_a") != F.col("fp_b")) & (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar))
-        low = F.col("k_a") <= F.col("k_b")
-        pick = lambda c, p, q: F.when(low, F.col(f"{c}_{p}")).otherwise(F.col(f"{c}_{q}"))
-        asked = stash.keep(both.select(pick("k", "a", "b").alias("a"), pick("k", "b", "a").alias("b"), pick("fp", "a", "b").alias("fp_a"), pick("fp", "b", "a").alias("fp_b")).distinct(), f"asked{turn}")
-        with_texts = asked.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
-        true = stash.keep(with_texts.select("a", "b", "fp_a", "fp_b", "text_a", "text_b").mapInArrow(_verify(n, similar), "a long, b long, fp_a long, fp_b long"), f"true{turn}", BATCH)
-        edges = true.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
-        found = edges if found is None else found.unionByName(edges)
+        head = (F.col("k") == F.col("least")) | (F.pmod(F.xxhash64(F.lit(turn), "t", "s", "k"), F.col("size")) < CENTERS << turn)
+        heads = stash.keep(side(sized.where(head).drop("size", "least"), "b"), f"heads{turn}")
+        crowded = side(live, "a", "w").join(heads, ["t", "s"])
+        true = verified(pairs.unionByName(crowded.where(_may_be(similar)).drop("t", "s", "w")), f"round{turn}")
+        found = found.unionByName(true.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
         if sizes.where(F.col("size") > cell).isEmpty():
-            return found
-        met = crowded.withColumn("a", F.least("k", "c.k")).withColumn("b", F.greatest("k", "c.k")).join(true.select("a", "b", F.lit(True).alias("yes")), ["a", "b"], "left")
-        done = F.max(F.coalesce("yes", F.lit(False)) | (F.col("fp") == F.col("c.fp")) | (F.col("k") == F.col("c.k")))
+            break
+        met = crowded.withColumn("a", F.least("k_a", "k_b")).withColumn("b", F.greatest("k_a", "k_b")).join(true.select("a", "b", F.lit(True).alias("yes")), ["a", "b"], "left")
+        done = F.max(F.coalesce("yes", F.lit(False)) | (F.col("fp_a") == F.col("fp_b")) | (F.col("k_a") == F.col("k_b")))
+        stays = met.groupBy("t", "s", F.col("k_a").alias("k")).agg(done.alias("done")).where("not done").drop("done")
         turn += 1
-        live = stash.keep(met.groupBy("t", "s", "k", "fp", "w", "n").agg(done.alias("done")).where("not done").drop("done"), f"cells{turn}")
-        stash.drop(f"cells{turn - 1}")
-        stash.drop(f"asked{turn - 1}")
+        live = stash.keep(many.join(stays, ["t", "s", "k"]).select(*many.columns), f"crowds{turn}")
+        if turn > 1:
+            stash.drop(f"crowds{turn - 1}")
+    rooted = components(found, Stash(stash.spark, "alike"))
+    placed = stash.keep(many.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
+    split = placed.groupBy("t", "s").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    blocks = stash.keep(split.select("t", "s", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "split")
+    cut = placed.join(blocks, ["t", "s"])
+    left = side(cut.withColumn("block", F.pmod(F.xxhash64(F.lit(-1), "k"), F.col("blocks")).cast("int")).drop("blocks"), "a", "block")
+    right = side(cut.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"), "b", "block")
+    rest = left.join(right, ["t", "s", "block"]).where((F.col("k_a") < F.col("k_b")) & (F.col("root_a") != F.col("root_b"))).where(_may_be(similar))
+    return found.unionByName(verified(rest, "rest").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))

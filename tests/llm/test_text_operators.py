@@ -183,6 +183,35 @@ def test_a_crowded_cell_of_unlike_texts_is_worked_off(spark):
     assert roots == {i: i - i % 3 for i in range(len(rows))}
 
 
+def test_texts_that_left_a_crowded_cell_still_meet_those_that_stay(spark):
+    rng = random.Random(0)
+    base = [f"w{i}" for i in range(120)]
+    rows = []
+    for i in range(150):  # two edits of one original, which is not there: most pairs are just below 0.8, those with close edits above
+        w = list(base)
+        for j in rng.sample(range(len(w)), 2):
+            w[j] = f"x{i}y{j}"
+        rows.append((i, " ".join(w)))
+    sets = [{tuple(x[i : i + 5]) for i in range(len(x) - 4)} for x in (r[1].split() for r in rows)]
+    near = [(a, b) for a in range(len(rows)) for b in range(a) if jaccard(sets[a], sets[b]) >= 0.8]
+    docs = spark.createDataFrame(rows, "doc_id long, text string")
+    sketch = F.struct(F.lit(116).alias("n"), F.array(F.lit(1).cast("long")).alias("cells")).alias("sketch")  # all in one cell
+    made = docs.select("doc_id", F.xxhash64("text").alias("text_key"), F.col("doc_id").alias("fp"), sketch)
+    edges = alike.links(docs, made, Stash(spark, "t"), 5, cell=6)
+    roots = {x.node: x.root for x in graph.components(edges, Stash(spark, "t")).collect()}
+    want = {x.node: x.root for x in graph.components(spark.createDataFrame(near, "a long, b long"), Stash(spark, "t")).collect()}
+    assert len(near) > 100 and len(set(want.values())) > 3 and roots == want
+
+
+def test_parity_sketches_differ_in_no_more_bits_than_the_sets_in_shingles():
+    rng = np.random.default_rng(3)
+    for n in (20, 100, 3000):
+        a = np.unique(rng.integers(0, 1 << 63, n, dtype=np.uint64))
+        b = np.unique(np.concatenate([a[n // 7 :], rng.integers(0, 1 << 63, n // 9, dtype=np.uint64)]))
+        apart = alike.parity(a) ^ alike.parity(b)
+        assert 0 < sum(bin(int(x) & (1 << 64) - 1).count("1") for x in apart) <= len(np.setxor1d(a, b))
+
+
 def test_components_of_a_long_path(spark):
     edges = spark.createDataFrame([(i, i + 1) for i in range(200)] + [(500, 500), (600, 601)], "a long, b long")
     got = {r.node: r.root for r in graph.components(edges, Stash(spark, "t")).collect()}
