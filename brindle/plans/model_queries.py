@@ -14,12 +14,11 @@ FACTORS = ["market", "tilt"]
 
 
 def panel(spark, sf):
-    """Weekly returns of the series of three markets with two factors: the cross-section's mean and a region's lead over it."""
+    """Weekly returns of every series with two factors: the cross-section's mean and a region's lead over it."""
     w = h.weekly(spark, sf)
     m = h.meta(spark, sf)
     f = w.join(m, "series_id").groupBy("date").agg(F.avg("ret").alias("market"), (F.avg(F.when(F.col("region") == "ASIA", F.col("ret"))) - F.avg("ret")).alias("tilt")).where("tilt is not null")
-    some = w.join(m.where("market in ('M1', 'M2')").select("series_id"), "series_id", "left_semi")
-    return some.join(f, "date").select(F.col("series_id").alias("instrument"), "date", "ret", *FACTORS)
+    return w.join(f, "date").select(F.col("series_id").alias("instrument"), "date", "ret", *FACTORS)
 
 
 def _method(name: str, method: str):
@@ -39,7 +38,8 @@ _method("k36_reverting_filter", "reverting")
 
 @query("k33_peer_prior")
 def peer_prior(spark, sf):
-    peers = h.meta(spark, sf).select(F.col("series_id").alias("instrument"), F.col("market").alias("class"))
+    own = F.when(F.col("market") == "", F.col("series_id")).otherwise(F.col("market"))  # no market, no peers
+    peers = h.meta(spark, sf).select(F.col("series_id").alias("instrument"), own.alias("class"))
     return loadings.with_peer_prior(ols(spark, sf), peers)
 
 

@@ -240,3 +240,15 @@ def test_entry_and_registry(spark):
     assert __spark_entry__.entry(spark).count() > 0
     q, o = __spark_entry__.queries(), __spark_entry__.oracle_sql()
     assert set(o) <= set(q) and len(q) > 150
+
+
+def test_the_panel_holds_every_series(spark, monkeypatch):
+    from brindle.plans import model_queries
+
+    days = [D(2020, 1, 3), D(2020, 1, 10)]
+    w = spark.createDataFrame([(f"S{i}", d, 0.01 * i) for i in range(8) for d in days], "series_id string, date date, ret double")
+    m = spark.createDataFrame([(f"S{i}", "ASIA" if i % 2 else "EUROPE", f"M{i}" if i else "") for i in range(8)], "series_id string, region string, market string")
+    monkeypatch.setattr(model_queries.h, "weekly", lambda *_: w)
+    monkeypatch.setattr(model_queries.h, "meta", lambda *_: m)
+    got = model_queries.panel(spark, "").groupBy("instrument").count().collect()
+    assert {(r["instrument"], r["count"]) for r in got} == {(f"S{i}", 2) for i in range(8)}
