@@ -6,7 +6,7 @@ Input rows are (instrument, date, ret, one column a factor); output rows (instru
 
 from __future__ import annotations
 
-from collections.abc import Callable
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pandas as pd
@@ -18,6 +18,9 @@ WINDOW, LEAST, HUBER, MAD = 156, 104, 1.345, 1.4826
 DISCOUNTS = (0.97, 0.98, 0.985, 0.99, 0.995, 0.999)
 HALF_LIVES = (13, 26, 52, 104)
 NOISE = (0.25, 1.0, 4.0)
+RESTARTS, ROUNDS = 10, 100
+#: Weeks whose regimes are fitted as one batch.
+WEEKS = 16
 
 Path = tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]
 
@@ -120,80 +123,159 @@ def reverting_filter(y: np.ndarray, f: np.ndarray) -> Path:
     return max((_filter(y, f, model(h, q)) for h in HALF_LIVES for q in NOISE), key=lambda r: r[0])[1]
 
 
-def regimes(x: np.ndarray, restarts: int = 10, rounds: int = 200, seed: int = 0) -> tuple[np.ndarray, np.ndarray]:
-    """Two Gaussian states with diagonal variances by expectation-maximisation: (smoothed probabilities, transitions)."""
-    rng = np.random.default_rng(seed)
-    n = len(x)
-    best: tuple = (-np.inf, None, None)
-    for _ in range(restarts):
-        mu = x[rng.choice(n, 2, replace=False)]
-        v = np.tile(x.var(axis=0) + 1e-12, (2, 1)) * rng.uniform(0.5, 2, (2, 1))
-        a, start, last = np.array([[0.95, 0.05], [0.05, 0.95]]), np.array([0.5, 0.5]), -np.inf
-        for _ in range(rounds):
-            logp = -0.5 * (((x[:, None] - mu) ** 2 / v) + np.log(2 * np.pi * v)).sum(axis=2)
-            top = logp.max(axis=1, keepdims=True)
-            p = np.exp(logp - top)
-            fwd, scale = np.empty((n, 2)), np.empty(n)
-            for t in range(n):
-                u = (start if t == 0 else fwd[t - 1] @ a) * p[t]
-                scale[t] = max(u.sum(), 1e-300)
-                fwd[t] = u / scale[t]
-            back = np.ones((n, 2))
-            for t in range(n - 2, -1, -1):
-                back[t] = a @ (p[t + 1] * back[t + 1]) / scale[t + 1]
-            g = fwd * back
-            g /= g.sum(axis=1, keepdims=True)
-            xi = a * (fwd[:-1].T @ (p[1:] * back[1:] / scale[1:, None]))
-            a = xi / xi.sum(axis=1, keepdims=True)
-            start = g[0]
-            w = g.sum(axis=0)[:, None] + 1e-12
-            mu = g.T @ x / w
-            v = np.stack([(g[:, [j]] * (x - mu[j]) ** 2).sum(axis=0) / w[j] for j in range(2)]) + 1e-10
-            like = float(np.log(scale).sum() + top.sum())
-            if like - last < 1e-8 * abs(like):
-                break
-            last = like
-        if like > best[0]:
-            order = np.argsort(v.sum(axis=1))  # the calm state first
-            best = (like, g[:, order], a[np.ix_(order, order)])
-    return best[1], best[2]
-
-
-def regime_conditional(y: np.ndarray, f: np.ndarray) -> Path:
+def _smoothed(dens: np.ndarray, start: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tuple[np.ndarray, ...]:
+    """Scaled forward and backward passes of many chains: dens (t, chain, 2), mask (t, chain) says which weeks a chain has."""
+    n, m, _ = dens.shape
+    fwd, back, scale = np.empty((n, m, 2)), np.ones((n, m, 2)), np.ones((n, m))
+    for t in range(n):
+        u = (start if t == 0 else (fwd[t - 1][:, :, None] * move).sum(axis=1)) * dens[t]
+        scale[t] = np.maximum(u[:, 0] + u[:, 1], 1e-300)
+        fwd[t] = u / scale[t][:, None]
+    for t in range(n - 2, -1, -1):
+        u = (move * (dens[t + 1] * back[t + 1])[:, None, :]).sum(axis=2) / scale[t + 1][:, None]
+        back[t] = np.where(mask[t + 1][:, None], u, 1.0)
+    g = fwd * back
+    g /= g.sum(axis=2, keepdims=True)
+    nxt = dens[1:] * back[1:] / scale[1:, :, None] * mask[1:, :, None]
+    return g * mask[:, :, None], fwd, move * np.einsum("tmi,tmj->mij", fwd[:-1], nxt), np.where(mask, np.log(scale), 0).sum(axis=0)
+
+
+def regime_fits(x: np.ndarray, counts: list[int], restarts: int = RESTARTS, rounds: int = ROUNDS, seed: int = 20261001) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+    """Two Gaussian states with full covariances on the first ``c`` rows, for each ``c`` of counts, by expectation-maximisation.
+
+    For each: (smoothed probabilities, transitions, probabilities of the next row), the calm state first, of the best of some
+    starts. A start splits the rows at a random quantile of their noisy distance from the mean. All fits run as one batch.
+    """
+    n, d = max(counts), x.shape[1]
+    x = x[:n]
+    square = (x[:, :, None] * x[:, None, :]).reshape(n, d * d)
+    resp, ridge = np.zeros((n, len(counts), restarts, 2)), np.empty((len(counts), d, d))
+    for i, c in enumerate(counts):
+        rng = np.random.default_rng(seed)
+        sd = x[:c].std(axis=0, ddof=1)
+        sd[sd == 0] = 1.0
+        far = (((x[:c] - x[:c].mean(axis=0)) / sd) ** 2).sum(axis=1)
+        cut = rng.uniform(0.5, 0.95, restarts)
+        noisy = far[:, None] + rng.normal(0, 0.5 * far.std(), (c, restarts))
+        wild = np.where(noisy > [np.quantile(noisy[:, r], cut[r]) for r in range(restarts)], 0.95, 0.05)
+        resp[:c, i], ridge[i] = np.stack([1 - wild, wild], axis=2), 1e-6 * np.diag(sd**2)
+    m = len(counts) * restarts
+    resp, ridge, mask = resp.reshape(n, m, 2), np.repeat(ridge, restarts, axis=0), np.arange(n)[:, None] < np.repeat(counts, restarts)
+
+    def moments(g: np.ndarray, own: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        flat = g.reshape(n, -1).T
+        w = np.maximum(flat.sum(axis=1), 1e-12)[:, None]
+        mu = flat @ x / w
+        cov = (flat @ square / w).reshape(-1, d, d) - mu[:, :, None] * mu[:, None, :] + np.repeat(own, 2, axis=0)
+        return mu, cov
+
+    def expect(mu: np.ndarray, cov: np.ndarray, start: np.ndarray, move: np.ndarray, mask: np.ndarray) -> tuple:
+        inv = np.linalg.inv(cov)
+        lean = np.einsum("cde,ce->cd", inv, mu)
+        quad = square @ inv.reshape(-1, d * d).T - 2 * x @ lean.T + (lean * mu).sum(axis=1)
+        logp = (-0.5 * (quad + np.linalg.slogdet(cov)[1] + d * np.log(2 * np.pi))).reshape(n, -1, 2)
+        top = logp.max(axis=2, keepdims=True)
+        g, fwd, xi, like = _smoothed(np.where(mask[:, :, None], np.exp(logp - top), 1.0), start, move, mask)
+        return g, fwd, xi, like + np.where(mask, top[:, :, 0], 0).sum(axis=0)
+
+    mu, cov = moments(resp, ridge)
+    start, move, last = resp[0].copy(), np.full((m, 2, 2), 0.5), np.full(m, -np.inf)
+    live = np.arange(m)  # chains of the fits that go on: a fit ends when all its starts have settled
+    pair = lambda at: (2 * at[:, None] + np.arange(2)).ravel()
+    for _ in range(rounds):
+        g, _, xi, like = expect(mu[pair(live)], cov[pair(live)], start[live], move[live], mask[:, live])
+        move[live] = xi / np.maximum(xi.sum(axis=2, keepdims=True), 1e-300)
+        mu[pair(live)], cov[pair(live)] = moments(g, ridge[live])
+        start[live] = g[0]
+        calm = np.abs(like - last[live]) < 1e-6 * mask[:, live].sum(axis=0)
+        last[live] = like
+        live = live[np.repeat(~calm.reshape(-1, restarts).all(axis=1), restarts)]
+        if not len(live):
+            break
+    g, fwd, _, like = expect(mu, cov, start, move, mask)
+    out = []
+    for i, c in enumerate(counts):
+        j = i * restarts + int(like[i * restarts : (i + 1) * restarts].argmax())
+        order = np.argsort(np.trace(cov[2 * j : 2 * j + 2], axis1=1, axis2=2))  # the calm state first
+        own = move[j][np.ix_(order, order)]
+        out.append((g[:c, j][:, order], own, fwd[c - 1, j][order] @ own))
+    return out
+
+
+def regimes(x: np.ndarray, restarts: int = RESTARTS, rounds: int = ROUNDS, seed: int = 20261001) -> tuple[np.ndarray, np.ndarray]:
+    """Two Gaussian states of all rows: (smoothed probabilities, transitions)."""
+    return regime_fits(x, [len(x)], restarts, rounds, seed)[0][:2]
+
+
+def _regime_weeks(x: np.ndarray, at: list[int]) -> list[tuple[int, np.ndarray, float]]:
+    """(week, calm probabilities of the weeks up to it, the next week's) of each week in ``at`` that has enough history."""
+    at = [t for t in at if t + 1 >= LEAST]
+    return [(t, g[:, 0], float(ahead[0])) for i in range(0, len(at), WEEKS) for t, (g, _, ahead) in zip(at[i : i + WEEKS], regime_fits(x, [t + 1 for t in at[i : i + WEEKS]]))]
+
+
+def regime_conditional(y: np.ndarray, f: np.ndarray, place: np.ndarray | None = None, path: dict[int, tuple[np.ndarray, float]] | None = None) -> Path:
     """Weighted least squares in each of two regimes of the factors, mixed by the next week's regime probabilities.
 
-    Regimes are refitted each year on the weeks so far.
+    Regimes are refitted each week on the factors so far. They are the same for all instruments: ``path`` has them by week of
+    the factors' calendar, and ``place`` a row's last week in it; without these they are fitted here.
     """
     n, k = f.shape
     beta, se, var, count = np.full((n, k), np.nan), np.full((n, k), np.nan), np.full(n, np.nan), np.zeros(n, int)
-    ok = np.isfinite(y) & np.isfinite(f).all(axis=1)
+    known = np.isfinite(f).all(axis=1)
+    ok = np.isfinite(y) & known
+    if place is None or path is None:
+        place = np.cumsum(known) - 1
+        path = {t: (calm, ahead) for t, calm, ahead in _regime_weeks(f[known], list(range(int(known.sum()))))}
     for t in range(n):
         at = np.flatnonzero(ok[: t + 1])
         count[t] = len(at)
         if len(at) < LEAST:
             continue
-        if np.isnan(beta[t - 1]).all() or t % 52 == 0 or not t:
-            prob, move = regimes(f[at], restarts=3, rounds=60, seed=t)
-            x = np.column_stack([np.ones(len(at)), f[at]])
-            fits = [_weighted(x, y[at], prob[:, j] + 1e-6) for j in range(2)]
-            left = sum(prob[:, j] * (y[at] - x @ fits[j][0]) ** 2 for j in range(2))
-            v = float(left.sum() / max(len(at) - 2 * x.shape[1], 1))
-            ahead = prob[-1] @ move
+        calm, next_calm = path[int(place[t])]
+        prob, ahead = np.column_stack([calm[place[at]], 1 - calm[place[at]]]), (next_calm, 1 - next_calm)
+        x = np.column_stack([np.ones(len(at)), f[at]])
+        fits = [_weighted(x, y[at], prob[:, j] + 1e-6) for j in range(2)]
+        left = sum(prob[:, j] * (y[at] - x @ fits[j][0]) ** 2 for j in range(2))
+        v = float(left.sum() / max(len(at) - 2 * x.shape[1], 1))
         beta[t] = sum(ahead[j] * fits[j][0][1:] for j in range(2))
         se[t] = np.sqrt(sum(ahead[j] * np.maximum(np.diag(fits[j][1])[1:] * v, 0) for j in range(2)))
         var[t] = v
     return beta, se, var, count
 
 
-ESTIMATORS: dict[str, Callable[[np.ndarray, np.ndarray], Path]] = {"ols": rolling_ols, "huber": huber, "discount": discount_filter, "reverting": reverting_filter, "regime": regime_conditional}
+def regime_path(panel: DataFrame, factors: list[str]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, float]]]:
+    """The factors' calendar and its regimes week by week, fitted once for all instruments, a few weeks a task.
+
+    Both are bounded by the calendar: a number for each pair of weeks.
+    """
+    known = panel.select("date", *factors).where(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in factors))
+    weeks = known.groupBy("date").agg(*[F.first(c).alias(c) for c in factors]).orderBy("date").toPandas()
+    x = weeks[factors].to_numpy(float)
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids in batches:
+            yield pd.DataFrame(_regime_weeks(x, ids["id"].tolist()), columns=["t", "calm", "ahead"])
+
+    tasks = max(1, -(-len(x) // WEEKS))
+    rows = panel.sparkSession.range(0, len(x), 1, tasks).mapInPandas(run, "t long, calm array<double>, ahead double").collect()
+    return pd.to_datetime(weeks["date"]).to_numpy(), {r["t"]: (np.array(r["calm"]), r["ahead"]) for r in rows}
+
+
+ESTIMATORS: dict[str, Callable[..., Path]] = {"ols": rolling_ols, "huber": huber, "discount": discount_filter, "reverting": reverting_filter, "regime": regime_conditional}
 
 
 def estimated(panel: DataFrame, factors: list[str], method: str) -> DataFrame:
     """Loadings of every instrument by one of ESTIMATORS; weeks before there is enough history give no row."""
 
+    shared = panel.sparkSession.sparkContext.broadcast(regime_path(panel, factors)) if method == "regime" else None
+
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         rows = rows.sort_values("date")
-        beta, se, var, count = ESTIMATORS[method](rows["ret"].to_numpy(float), rows[factors].to_numpy(float))
+        more = ()
+        if shared is not None:
+            calendar, path = shared.value
+            more = (np.searchsorted(calendar, pd.to_datetime(rows["date"]).to_numpy(), "right") - 1, path)
+        beta, se, var, count = ESTIMATORS[method](rows["ret"].to_numpy(float), rows[factors].to_numpy(float), *more)
         out = pd.DataFrame({"instrument": key[0], "date": np.repeat(rows["date"].to_numpy(), len(factors)), "factor": np.tile(np.array(factors, object), len(rows)), "loading": beta.ravel(), "se": se.ravel(), "resid_var": np.repeat(var, len(factors)), "n": np.repeat(count, len(factors)).astype(np.int32)})
         return out[np.isfinite(out["loading"])]
 

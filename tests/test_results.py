@@ -252,3 +252,30 @@ def test_the_panel_holds_every_series(spark, monkeypatch):
     monkeypatch.setattr(model_queries.h, "meta", lambda *_: m)
     got = model_queries.panel(spark, "").groupBy("instrument").count().collect()
     assert {(r["instrument"], r["count"]) for r in got} == {(f"S{i}", 2) for i in range(8)}
+
+
+def test_regimes_are_refitted_each_week_and_once_for_all_instruments(spark):
+    f, y, _ = world(125)
+    f[60:80] *= 4
+    b = loadings.regime_conditional(y, f)[0]
+    for t in (110, 111, 124):  # the last row of a shorter history is fitted anew
+        assert np.allclose(b[t], loadings.regime_conditional(y[: t + 1], f[: t + 1])[0][-1])
+        p, move = loadings.regimes(f[: t + 1])
+        x = np.column_stack([np.ones(t + 1), f[: t + 1]])
+        own = [np.linalg.lstsq(x * np.sqrt(p[:, [j]] + 1e-6), y[: t + 1] * np.sqrt(p[:, j] + 1e-6), rcond=None)[0][1:] for j in range(2)]
+        assert np.allclose(b[t], (p[-1] @ move) @ np.array(own), atol=1e-6)
+    days = [D(2020, 1, 3) + dt.timedelta(7 * i) for i in range(125)]
+    rows = [(name, days[i], float(y[i]), float(f[i, 0]), float(f[i, 1])) for name, first in (("A", 0), ("B", 10)) for i in range(first, 125)]
+    panel = spark.createDataFrame(rows, "instrument string, date date, ret double, p double, q double")
+    got = loadings.estimated(panel, ["p", "q"], "regime").where("factor = 'p'").toPandas()
+    assert np.allclose(got[got["instrument"] == "A"].sort_values("date")["loading"], b[loadings.LEAST - 1 :, 0])
+    assert (got["instrument"] == "B").sum() == 125 - 10 - loadings.LEAST + 1
+
+
+def test_regimes_have_full_covariances():
+    rng = np.random.default_rng(5)
+    z = rng.standard_normal((400, 2))
+    calm = np.arange(400) % 200 < 120
+    x = np.where(calm[:, None], np.column_stack([z[:, 0], 0.95 * z[:, 0] + 0.3 * z[:, 1]]), np.column_stack([z[:, 0], -0.95 * z[:, 0] + 0.3 * z[:, 1]]))  # alike but for the correlation
+    p, _ = loadings.regimes(x)
+    assert max((p.argmax(axis=1) == calm).mean(), (p.argmax(axis=1) != calm).mean()) > 0.9
