@@ -5,14 +5,18 @@ each text also gets fingerprints of samples: for each of some seeded orders, its
 similarity J have the same sample with a probability of about J ** size, independently for each order, and with it the same
 fingerprint: cells are the points of these fingerprints. Short texts, whose samples would be all they have, take smaller ones.
 
-Pairs of a cell are verified by the exact similarity of the whole shingle sets. A cell of more than ``CELL`` texts is not
-paired up at once: its texts are held against a few centers, picked by hash; those that no center verifies stay for another
-round, with twice as many centers, until every cell is empty or small. These rounds link what is alike in few questions, but a
-text that has left never meets those that stay. So then components are formed of all links so far, and in each crowded cell
-every pair of texts of different components is compared, first by parity sketches: bit i of a text's sketch is the parity of
-its shingles in bucket i, so two sketches differ in no more bits than the sets differ in shingles, and a pair whose sketches
-differ in more bits than the similarity allows is ruled out exactly. The rest is verified. So each pair of a cell is linked
-through others, ruled out or verified. Comparing sketches grows with the square of a cell that stays in many components.
+All pairs of a cell that are not linked through others yet are compared, by the exact similarity of the whole shingle sets:
+
+1. Each text of a cell meets the cell's center, the text with the smallest hash of its identity. The order of identities is
+   the same in all cells, so that centers recur and a text has few different ones. The orders are taken in ``BATCHES``, with
+   components in between: what is connected already is not asked again.
+2. A cell whose other texts are still in different components then goes, with its texts, to tasks that compare all that is
+   not connected: first by parity sketches (bit i is the parity of the shingles in bucket i, so that sketches differ in no
+   more bits than the sets in shingles, and a pair whose sketches differ in more than the similarity allows is out), then by
+   the sets. A task holds two blocks of a cell, of bounded size; a large cell is more pairs of blocks.
+
+So each pair of a cell is connected, ruled out or verified, whatever the cell's size; links found are a spanning forest, not
+all pairs. Only cells that stay in many components cost more than their size, in sketches compared.
 """
 
 from __future__ import annotations
@@ -20,6 +24,7 @@ from __future__ import annotations
 from collections.abc import Iterator
 
 import numpy as np
+import pandas as pd
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -34,13 +39,13 @@ TABLES, SAMPLE = 32, 7
 SHORT_TABLES, SHORT_SAMPLE = 12, 2
 #: Texts of this many shingles or more take the large samples; those of up to SHORT / SIMILAR take the small ones.
 SHORT = 24
-CELL = 24
-#: Expected number of centers of a cell in the first round.
-CENTERS = 4
+#: Every how many-th order is in the first batch; the others are in the second.
+FIRST = 4
+BATCHES = 2
 #: Words of 64 bits of a parity sketch.
 PARITY = 8
-#: Texts of a crowded cell that a task compares with the whole cell.
-BLOCK = 1024
+#: Shingles of a block of a cell, unless one text alone has more.
+BLOCK = 1 << 19
 #: Pairs of texts that a task holds at a time.
 BATCH = 500
 _RNG = np.random.default_rng(20240301)
@@ -80,22 +85,22 @@ def similarity(a: np.ndarray, b: np.ndarray) -> float:
 def parity(shingles: np.ndarray) -> np.ndarray:
     """The parity sketch: bit i is set if an odd number of shingles falls to bucket i."""
     of = np.bincount(((shingles * _TURN[0]) >> np.uint64(40)).astype(np.int64) % (64 * PARITY), minlength=64 * PARITY)
-    return np.packbits((of & 1).astype(bool), bitorder="little").view(np.int64)
+    return np.packbits((of & 1).astype(bool), bitorder="little").view(np.uint64)
 
 
-def _parities(n: int):
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
-            bits = np.stack([parity(shingle_set(t.as_py(), n)) for t in batch.column("text")]) if len(batch) else np.zeros((0, PARITY), np.int64)
-            yield pa.RecordBatch.from_arrays([batch.column("k"), *[pa.array(bits[:, i]) for i in range(PARITY)]], ["k", *[f"p{i}" for i in range(PARITY)]])
-
-    return run
-
-
-def _may_be(similar: float):
-    """The exact conditions on sizes and sketches that every pair of columns (.._a, .._b) at ``similar`` meets."""
-    bits = sum((F.bit_count(F.col(f"p{i}_a").bitwiseXOR(F.col(f"p{i}_b"))) for i in range(PARITY)), F.lit(0))
-    return (F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar - 1e-6) & (bits <= (F.col("n_a") + F.col("n_b")) * (1 - similar) / (1 + similar) + 1e-6)
+def forest(sets: list[np.ndarray], roots: np.ndarray, left: np.ndarray, right: np.ndarray, similar: float = SIMILAR) -> list[tuple[int, int]]:
+    """Pairs of similar sets, one of ``left`` and one of ``right`` (booleans), that connect all such sets of different ``roots``."""
+    size, marks, root = np.array([len(s) for s in sets]), np.stack([parity(s) for s in sets]), np.unique(roots, return_inverse=True)[1]
+    out = []
+    for i in np.flatnonzero(left):
+        bits = np.bitwise_count(marks ^ marks[i]).sum(axis=1, dtype=np.int64)
+        may = right & (root != root[i]) & (np.minimum(size, size[i]) >= np.maximum(size, size[i]) * similar - 1e-6)
+        may &= bits <= (size + size[i]) * (1 - similar) / (1 + similar) + 1e-6
+        for j in np.flatnonzero(may):
+            if root[j] != root[i] and similarity(sets[i], sets[j]) >= similar:
+                root[root == root[j]] = root[i]
+                out.append((int(i), int(j)))
+    return out
 
 
 def _verify(n: int, similar: float):
@@ -103,80 +108,71 @@ def _verify(n: int, similar: float):
         last: tuple = (None, None)
         for batch in batches:
             keep = []
-            for i, (k, a, b) in enumerate(zip(batch.column("a"), batch.column("text_a"), batch.column("text_b"))):
-                if last[0] != k.as_py():  # runs of pairs share a side
+            for i, (k, a, b) in enumerate(zip(batch.column("c"), batch.column("text_c"), batch.column("text_k"))):
+                if last[0] != k.as_py():  # runs of pairs share a center
                     last = (k.as_py(), shingle_set(a.as_py(), n))
                 if similarity(last[1], shingle_set(b.as_py(), n)) >= similar:
                     keep.append(i)
-            yield batch.select(["a", "b", "fp_a", "fp_b"]).take(pa.array(keep, pa.int64()))
+            yield batch.select(["a", "b"]).take(pa.array(keep, pa.int64()))
+
+    return run
+
+
+def _compare(n: int, similar: float):
+    def run(rows: pd.DataFrame) -> pd.DataFrame:
+        fp, i, j = rows["fp"].to_numpy(), rows["i"].iloc[0], rows["j"].iloc[0]
+        own = rows["block"].to_numpy()
+        got = forest([shingle_set(t, n) for t in rows["text"]], rows["root"].to_numpy(), own == i, own == j, similar)
+        return pd.DataFrame({"a": [fp[x] for x, _ in got], "b": [fp[y] for _, y in got]}, dtype="int64")
 
     return run
 
 
-def links(docs: DataFrame, rows: DataFrame, stash: Stash, n: int, similar: float = SIMILAR, cell: int = CELL) -> DataFrame:
+def links(docs: DataFrame, rows: DataFrame, near: DataFrame, stash: Stash, n: int, similar: float = SIMILAR, block: int = BLOCK) -> DataFrame:
     """Edges (a, b) between fingerprints of texts of ``docs`` (doc_id, text) whose shingle sets have a similarity of ``similar`` or more.
 
-    ``rows`` has doc_id, text_key, fp and sketch of each. Each different text takes part once; texts without words do not.
+    ``rows`` has doc_id, text_key, fp and sketch of each, ``near`` the edges known before. The result and ``near`` together
+    connect all such texts that share a cell. Each different text takes part once; texts without words do not.
     """
     one = F.xxhash64("doc_id")
     each = rows.where("sketch.n > 0").groupBy(F.col("text_key").alias("k"), "fp").agg(F.min(one).alias("w"), F.first("sketch").alias("sketch"))
-    table = F.col("pos") + F.when(F.size("sketch.cells") == TABLES, SHORT_TABLES).otherwise(0)
-    cells = each.select("k", "fp", "w", F.col("sketch.n").alias("n"), "sketch", F.posexplode("sketch.cells").alias("pos", "s")).select("k", "fp", "w", "n", table.alias("t"), "s")
+    cells = each.select("k", "fp", "w", F.col("sketch.n").alias("n"), F.size("sketch.cells").alias("cells"), F.posexplode("sketch.cells").alias("pos", "s"))
+    cells = cells.select("k", "fp", "w", "n", F.when(F.col("cells") == TABLES, F.col("pos") + SHORT_TABLES).otherwise(F.col("pos")).alias("t"), "s")
     shared = stash.keep(cells.groupBy("t", "s").agg(F.min("fp").alias("lo"), F.max("fp").alias("hi")).where("lo <> hi").select("t", "s"), "shared")
-    live = stash.keep(cells.join(shared, ["t", "s"]), "cells0")
-    want = live.select("k", "w").distinct()
+    live = stash.keep(cells.join(shared, ["t", "s"]), "cells")
+    want = live.groupBy("k", "w").agg(F.lit(1).alias("one")).select("k", "w")
     whole = docs.select(F.xxhash64("text").alias("k"), one.alias("w"), F.col("text").cast("binary").alias("text"))
-    texts = stash.keep(whole.join(want, ["k", "w"]).groupBy("k", "w").agg(F.first("text").alias("text")).select("k", "text"), "texts")
-    low = F.col("k_a") <= F.col("k_b")
-    pick = lambda c, p, q: F.when(low, F.col(f"{c}_{p}")).otherwise(F.col(f"{c}_{q}"))
-    side = lambda rows, name, *more: rows.select("t", "s", *more, *[F.col(c).alias(f"{c}_{name}") for c in rows.columns if c not in ("t", "s", "w", *more)])
-
-    def verified(pairs: DataFrame, name: str) -> DataFrame:
-        ordered = pairs.where("fp_a <> fp_b").select(pick("k", "a", "b").alias("a"), pick("k", "b", "a").alias("b"), pick("fp", "a", "b").alias("fp_a"), pick("fp", "b", "a").alias("fp_b"))
-        asked = stash.keep(ordered.distinct(), f"asked_{name}")
-        with_texts = asked.join(texts.select(F.col("k").alias("b"), F.col("text").alias("text_b")), "b").join(texts.select(F.col("k").alias("a"), F.col("text").alias("text_a")), "a")
-        true = stash.keep(with_texts.select("a", "b", "fp_a", "fp_b", "text_a", "text_b").mapInArrow(_verify(n, similar), "a long, b long, fp_a long, fp_b long"), f"true_{name}", BATCH)
-        stash.drop(f"asked_{name}")
-        return true
-
-    sizes = stash.keep(live.groupBy("t", "s").agg(F.count("*").alias("size"), F.min("k").alias("least")), "sizes0")
-    some = live.join(sizes.where(F.col("size") <= cell).select("t", "s"), ["t", "s"])
-    pairs = side(some, "a").join(side(some, "b"), ["t", "s"]).where("k_a < k_b").where(F.least("n_a", "n_b") >= F.greatest("n_a", "n_b") * similar - 1e-6)
-    found = verified(pairs, "few").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b"))
-    of_many = stash.keep(live.join(sizes.where(F.col("size") > cell).select("t", "s"), ["t", "s"]), "of_many")
-    if of_many.isEmpty():
-        return found
-    marks = texts.join(of_many.select("k").distinct(), "k").mapInArrow(_parities(n), "k long, " + ", ".join(f"p{i} long" for i in range(PARITY)))
-    marks = stash.keep(marks, "parities", BATCH)
-    many = stash.keep(of_many.join(marks, "k"), "crowds0")
-    stash.drop("of_many")
-    stash.drop("cells0")
-    live, turn = many, 0
-    while True:
-        sizes = stash.keep(live.groupBy("t", "s").agg(F.count("*").alias("size"), F.min("k").alias("least")), f"sizes_{turn}")
-        some = live.join(sizes.where(F.col("size") <= cell).select("t", "s"), ["t", "s"])
-        pairs = side(some, "a").join(side(some, "b"), ["t", "s"]).where(F.col("k_a") < F.col("k_b")).where(_may_be(similar)).drop("t", "s")
-        sized = live.join(sizes.where(F.col("size") > cell), ["t", "s"])
-        head = (F.col("k") == F.col("least")) | (F.pmod(F.xxhash64(F.lit(turn), "t", "s", "k"), F.col("size")) < CENTERS << turn)
-        heads = stash.keep(side(sized.where(head).drop("size", "least"), "b"), f"heads{turn}")
-        crowded = side(live, "a", "w").join(heads, ["t", "s"])
-        true = verified(pairs.unionByName(crowded.where(_may_be(similar)).drop("t", "s", "w")), f"round{turn}")
-        found = found.unionByName(true.select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
-        if sizes.where(F.col("size") > cell).isEmpty():
-            break
-        met = crowded.withColumn("a", F.least("k_a", "k_b")).withColumn("b", F.greatest("k_a", "k_b")).join(true.select("a", "b", F.lit(True).alias("yes")), ["a", "b"], "left")
-        done = F.max(F.coalesce("yes", F.lit(False)) | (F.col("fp_a") == F.col("fp_b")) | (F.col("k_a") == F.col("k_b")))
-        stays = met.groupBy("t", "s", F.col("k_a").alias("k")).agg(done.alias("done")).where("not done").drop("done")
-        turn += 1
-        live = stash.keep(many.join(stays, ["t", "s", "k"]).select(*many.columns), f"crowds{turn}")
-        if turn > 1:
-            stash.drop(f"crowds{turn - 1}")
-    rooted = components(found, Stash(stash.spark, "alike"))
-    placed = stash.keep(many.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp")), "placed")
-    split = placed.groupBy("t", "s").agg(F.count("*").alias("size"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
-    blocks = stash.keep(split.select("t", "s", F.ceil(F.col("size") / BLOCK).cast("int").alias("blocks")), "split")
-    cut = placed.join(blocks, ["t", "s"])
-    left = side(cut.withColumn("block", F.pmod(F.xxhash64(F.lit(-1), "k"), F.col("blocks")).cast("int")).drop("blocks"), "a", "block")
-    right = side(cut.withColumn("block", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1))).drop("blocks"), "b", "block")
-    rest = left.join(right, ["t", "s", "block"]).where((F.col("k_a") < F.col("k_b")) & (F.col("root_a") != F.col("root_b"))).where(_may_be(similar))
-    return found.unionByName(verified(rest, "rest").select(F.col("fp_a").alias("a"), F.col("fp_b").alias("b")))
+    texts = stash.keep(whole.join(want, ["k", "w"]).groupBy("k").agg(F.first("text").alias("text")), "texts")
+    center = F.struct(F.xxhash64(F.lit(1), "k").alias("h"), "k", "fp", "root")
+    edges = near.select("a", "b")
+
+    def rooted(edges: DataFrame, turn: int) -> tuple[DataFrame, DataFrame]:
+        """The edges as stars, and live cells with their components (at first, each fingerprint is one)."""
+        if turn == 0:
+            return edges, live.withColumn("root", F.col("fp"))
+        stars = stash.keep(components(edges, Stash(stash.spark, "alike")), f"roots{turn}")
+        return stars.select(F.col("node").alias("a"), F.col("root").alias("b")), live.join(stars.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
+
+    for turn in range(BATCHES):
+        edges, placed = rooted(edges, turn)
+        mine = placed.where((F.pmod(F.col("t"), F.lit(FIRST)) == 0) if turn == 0 else (F.pmod(F.col("t"), F.lit(FIRST)) > 0)).drop("w", "n")
+        mine = stash.keep(mine, f"placed{turn}")
+        met = mine.groupBy("t", "s").agg(F.min(center).alias("c"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+        met = stash.keep(met.select("t", "s", F.col("c.k").alias("c"), F.col("c.fp").alias("fp_c"), F.col("c.root").alias("root_c")), f"centers{turn}")
+        pairs = mine.join(met, ["t", "s"]).where("root <> root_c").groupBy("c", "k").agg(F.first("fp_c").alias("a"), F.first("fp").alias("b"))
+        asked = stash.keep(pairs, f"asked{turn}")
+        told = asked.join(texts.withColumnRenamed("text", "text_k"), "k").join(texts.select(F.col("k").alias("c"), F.col("text").alias("text_c")), "c")
+        true = stash.keep(told.select("c", "a", "b", "text_c", "text_k").mapInArrow(_verify(n, similar), "a long, b long"), f"true{turn}", BATCH)
+        edges = edges.unionByName(true)
+
+    edges, placed = rooted(edges, BATCHES)
+    placed = stash.keep(placed.drop("w"), "placed")
+    heads = placed.groupBy("t", "s").agg(F.min(F.struct(F.xxhash64(F.lit(1), "k").alias("h"), "k")).alias("c"))
+    others = placed.join(stash.keep(heads.select("t", "s", F.col("c.k").alias("c")), "heads"), ["t", "s"]).where("k <> c").drop("c")
+    open_cells = others.groupBy("t", "s").agg(F.sum(F.col("n") + 64).alias("weight"), F.min("root").alias("lo"), F.max("root").alias("hi")).where("lo <> hi")
+    parts = stash.keep(open_cells.select("t", "s", F.ceil(F.col("weight") / block).cast("int").alias("parts")), "open")
+    cut = others.join(parts, ["t", "s"]).withColumn("block", F.pmod(F.xxhash64(F.lit(2), "k"), F.col("parts")).cast("int"))
+    dealt = cut.withColumn("other", F.explode(F.sequence(F.lit(0), F.col("parts") - 1))).withColumn("i", F.least("block", "other")).withColumn("j", F.greatest("block", "other"))
+    dealt = stash.keep(dealt.select("t", "s", "i", "j", "block", "k", "fp", "root"), "dealt")
+    held = dealt.join(texts, "k").groupBy("t", "s", "i", "j").applyInPandas(_compare(n, similar), "a long, b long")
+    return edges.unionByName(stash.keep(held, "rest"))

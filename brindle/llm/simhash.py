@@ -135,16 +135,17 @@ def classes(docs: DataFrame, shingle: int = 3, similar: float | None = None) ->
         made = made.select("doc_id", "text_key", "m.fp", F.struct("m.n", "m.cells").alias("sketch"))
     rows = stash.keep(made, "rows", None if similar is None else BATCH)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key")))
-    each = rows.groupBy("fp").agg(first.alias("first"))
-    edges = links(stash.keep(each.select("fp", embed(F.col("fp")).alias("e")), "fps"))
+    each = stash.keep(rows.groupBy("fp").agg(first.alias("first")), "fps")
+    edges = links(each.select("fp", embed(F.col("fp")).alias("e")))
     if similar is not None:
-        edges = edges.unionByName(alike.links(docs, rows, stash, shingle, similar))
+        edges = alike.links(docs, rows, stash.keep(edges, "near"), stash, shingle, similar)
     edges = stash.keep(edges, "links")
-    rooted = components(edges, stash)
-    grouped = each.join(rooted.withColumnRenamed("node", "fp"), "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    least = grouped.groupBy("root").agg(F.min("first").alias("keeper"))
-    of_fp = stash.keep(grouped.select("fp", "root").join(least, "root").select("fp", "keeper"), "classes")
-    return rows.join(of_fp, "fp", "left").select("doc_id", "text_key", "fp", F.col("keeper.doc_id").alias("component_id"), F.struct("keeper.doc_id", "keeper.text_key").alias("keeper"))
+    rooted = stash.keep(components(edges, stash), "rooted")
+    grouped = stash.keep(each.join(rooted.withColumnRenamed("node", "fp"), "fp"), "grouped")
+    least = stash.keep(grouped.groupBy("root").agg(F.min("first").alias("keeper")), "keepers")
+    of_fp = stash.keep(grouped.join(least, "root").select("fp", "keeper"), "classes")  # both sides are tables: a hot root's join can be split
+    placed = rows.join(each, "fp").join(of_fp, "fp", "left").withColumn("keeper", F.coalesce("keeper", "first"))
+    return placed.select("doc_id", "text_key", "fp", F.col("keeper.doc_id").alias("component_id"), F.struct("keeper.doc_id", "keeper.text_key").alias("keeper"))
 
 
 def drop_near_duplicates(docs: DataFrame, shingle: int = 5, similar: float = alike.SIMILAR) -> DataFrame:
