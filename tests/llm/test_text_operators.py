@@ -300,10 +300,37 @@ def test_containment_in_several_blocks(spark, monkeypatch):
     docs = spark.createDataFrame(corpus(6), DOCS)
     bench = docs.where("doc_id is not null and length(text) > 100").select(F.col("doc_id").alias("item_id"), "text").dropDuplicates(["item_id"])
     one = sorted(map(tuple, decontam.contaminations(docs, bench).collect()), key=str)
-    monkeypatch.setattr(decontam, "BLOCK_CHARS", 5000)
+    monkeypatch.setattr(decontam, "BLOCK_HASHES", 100)
     assert sorted(map(tuple, decontam.contaminations(docs, bench).collect()), key=str) == one
 
 
+def test_sketches_choose_few_candidates_and_miss_none():
+    rng = random.Random(4)
+    v = vocabulary(4, 3000)
+    items = [[rng.choice(v) for _ in range(n)] for n in (9, 12, 30, 70, 70, 150, 400) for _ in range(6)]
+    texts, held = [], []
+    for i, item in enumerate(items):
+        for cut in (0.0, 0.15, 0.4, 0.7, 0.9):  # an item without its tail, in the middle of other words
+            part = item[: max(5, round(len(item) * (1 - cut)))]
+            texts.append(" ".join([rng.choice(v) for _ in range(300)] + part + [rng.choice(v) for _ in range(300)]).encode())
+            held.append((i, (len(part) - 4) / (len(item) - 4)))
+    rows = [(len(h), n, h[: decontam.sketch_size(len(h))]) for h, n in (decontam.hashes(" ".join(x).encode(), 5) for x in items)]
+    got = set(zip(*(x.tolist() for x in decontam.probe(texts, decontam.block(rows)))))
+    want = {(d, i) for d, (i, share) in enumerate(held) if share >= 0.8}
+    assert want <= got and len(got - want) < len(texts) / 4
+    assert all(0 < len(s) <= n and len(s) < n / 2 for n, _, s in rows if n > 100)
+
+
+def test_long_texts_and_repeated_items(spark):
+    item = " ".join(f"i{k}" for k in range(40))
+    long = " ".join(f"w{k}" for k in range(250_000))
+    docs = spark.createDataFrame([(1, f"{long} {item} {long}"), (2, f"{long} {long}"), (1, f"{long} {item} {long}")], "doc_id long, text string")
+    bench = spark.createDataFrame([(7, item), (7, item), (8, "only in no text at all here")], "item_id long, text string")
+    assert len(long) > words.PIECE
+    assert [tuple(r) for r in decontam.contaminations(docs, bench).collect()] == [(1, 7, 36, 36, 1.0)] * 2
+    assert [r.doc_id for r in decontam.drop_contaminated(docs, bench).collect()] == [2]
+
+
 def secret_texts():
     a, hx = "A" * 20, "0123456789abcdef" * 3
     return [None, "", f"password = '{a}' and PassWord:short token=abc{hx}", f"\x01é𝒳 api_key\": \"{a}=\x02 \x03AKIA{a} {hx} {hx[:31]}", "secret=token: abcdefghij", "token: -----BEGIN RSA PRIVATE KEY----- x", f"AKIA{'Z' * 11} AKIA{'Z' * 12} \nsecret : {hx[:8]}"]
