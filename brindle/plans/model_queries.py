@@ -40,7 +40,7 @@ _method("k36_reverting_filter", "reverting")
 def peer_prior(spark, sf):
     own = F.when(F.col("market") == "", F.col("series_id")).otherwise(F.col("market"))  # no market, no peers
     peers = h.meta(spark, sf).select(F.col("series_id").alias("instrument"), own.alias("class"))
-    return loadings.with_peer_prior(ols(spark, sf), peers)
+    return loadings.with_peer_prior(loadings.estimated(panel(spark, sf), FACTORS, "ols", covariance=True), peers)
 
 
 @query("k38_predicted_losses")

@@ -1,6 +1,7 @@
 """Books, tests, stores, estimators and solvers: hand-worked values, planted truth and brute force."""
 
 import datetime as dt
+import math
 import itertools
 
 import numpy as np
@@ -161,17 +162,74 @@ def world(t=320, k=2, seed=1):
 def test_estimators_recover_planted_loadings(method):
     f, y, beta = world()
     y[::40] = np.nan
-    b, se, var, n = loadings.ESTIMATORS[method](y, f)
-    assert np.isnan(b[: loadings.LEAST - 1]).all() and np.abs(b[-1] - beta).max() < 0.08 and (se[-1] > 0).all()
+    b, cov, var, n = loadings.ESTIMATORS[method](y, f)
+    assert np.isnan(b[: loadings.LEAST - 1]).all() and np.abs(b[-1] - beta).max() < 0.08 and (np.diag(cov[-1]) > 0).all() and var[-1] > 0
 
 
-def test_estimators_do_not_look_ahead():
+@pytest.mark.parametrize("method", sorted(loadings.ESTIMATORS))
+def test_estimators_do_not_look_ahead(method):
     f, y, _ = world()
-    for method in ("ols", "huber", "discount", "regime"):
-        whole, part = loadings.ESTIMATORS[method](y, f)[0], loadings.ESTIMATORS[method](y[:200], f[:200])[0]
-        if method == "discount":  # its grid is chosen on the sample it is given
-            continue
-        assert np.allclose(whole[:200], part, equal_nan=True)
+    y[70:90] = np.nan
+    y[200:], f[200:] = 3 * y[200:], -2 * f[200:]  # later weeks of another kind
+    whole, part = loadings.ESTIMATORS[method](y, f), loadings.ESTIMATORS[method](y[:200], f[:200])
+    for a, b in zip(whole[:3], part[:3]):
+        assert np.isfinite(b).any() and np.allclose(a[:200], b, rtol=1e-9, atol=1e-12, equal_nan=True)
+
+
+def test_filters_against_plain_recursions():
+    """The state of a discounted random walk in actual units: precisions add up; the reverting filter's forecast comes from its own state."""
+    f, y, _ = world(170)
+    n, k = f.shape
+    runs = []
+    for d in loadings.DISCOUNTS:
+        m, p, s, nu, total, path = np.zeros(k + 1), np.eye(k + 1) / (loadings.PRIOR_COV * loadings.PRIOR_VAR), loadings.PRIOR_VAR, 1.0, 0.0, []
+        for t in range(n):
+            z = np.concatenate([[1.0], f[t]])
+            p = p * d
+            wide = s + z @ np.linalg.solve(p, z)
+            e = y[t] - z @ m
+            total += math.lgamma((nu + 1) / 2) - math.lgamma(nu / 2) - 0.5 * math.log(nu * math.pi * wide) - (nu + 1) / 2 * math.log1p(e * e / (nu * wide))
+            p = p + np.outer(z, z) / s
+            m = m + np.linalg.solve(p, z) * e / s
+            s, nu = s * (nu + e * e / wide) / (nu + 1), nu + 1
+            path.append((total, m.copy(), s))
+        runs.append(path)
+    b, _, var, _ = loadings.discount_filter(y, f)
+    for t in range(loadings.LEAST - 1, n):
+        best = max(range(len(runs)), key=lambda i: runs[i][t][0])
+        assert np.allclose(b[t], runs[best][t][1][1:], atol=1e-6) and np.isclose(var[t], runs[best][t][2])
+    b = loadings.reverting_filter(y, f)[0]
+    first = loadings.rolling_ols(y, f)[0][loadings.LEAST - 1]
+    assert np.allclose(b[loadings.LEAST - 1], first)  # it starts at that window's mean, with no deviation
+
+
+def test_windows_at_once_equal_windows_one_by_one():
+    f, y, _ = world(230)
+    y[[5, 60, 61, 130]] = np.nan
+    b, cov, var, n = loadings.rolling_ols(y, f)
+    for t in (110, 155, 156, 229):
+        at = [i for i in range(max(0, t - loadings.WINDOW + 1), t + 1) if np.isfinite(y[i])]
+        x = np.column_stack([np.ones(len(at)), f[at]])
+        own, rest, *_ = np.linalg.lstsq(x, y[at], rcond=None)
+        s2 = rest[0] / (len(at) - 3)
+        assert n[t] == len(at) and np.allclose(b[t], own[1:]) and np.isclose(var[t], s2) and np.allclose(cov[t], s2 * np.linalg.inv(x.T @ x)[1:, 1:])
+
+
+def test_peer_prior_uses_the_whole_covariance(spark):
+    rng = np.random.default_rng(6)
+    own = {i: (rng.normal(size=2), (lambda a: a @ a.T + 0.1 * np.eye(2))(rng.normal(size=(2, 2)))) for i in "abcdef"}
+    rows = [(i, D(2020, 1, 3), x, float(b[j]), float(np.sqrt(c[j, j])), 0.1, 110, [float(v) for v in c[j]], j) for i, (b, c) in own.items() for j, x in enumerate("pq")]
+    df = spark.createDataFrame(rows, "instrument string, date date, factor string, loading double, se double, resid_var double, n int, cov array<double>, place int")
+    peers = spark.createDataFrame([(i, "x" if i < "e" else "y") for i in own], "instrument string, class string")
+    got = {(r.instrument, r.factor): (r.loading, r.se) for r in loadings.with_peer_prior(df, peers).collect()}
+    for i, (b, c) in own.items():
+        if i < "e":
+            others = np.array([own[j][0] for j in "abcd" if j != i])
+            p, q = np.linalg.inv(c), np.diag(1 / others.var(axis=0, ddof=1))
+            post = np.linalg.inv(p + q)
+            b, c = post @ (p @ b + q @ others.mean(axis=0)), post
+        for j, x in enumerate("pq"):
+            assert np.allclose(got[i, x], (b[j], np.sqrt(c[j, j])))
 
 
 def test_huber_shrugs_off_outliers():
@@ -255,21 +313,21 @@ def test_the_panel_holds_every_series(spark, monkeypatch):
 
 
 def test_regimes_are_refitted_each_week_and_once_for_all_instruments(spark):
-    f, y, _ = world(125)
+    f, y, _ = world(170)
     f[60:80] *= 4
     b = loadings.regime_conditional(y, f)[0]
-    for t in (110, 111, 124):  # the last row of a shorter history is fitted anew
+    for t in (155, 156, 169):  # the last row of a shorter history is fitted anew
         assert np.allclose(b[t], loadings.regime_conditional(y[: t + 1], f[: t + 1])[0][-1])
         p, move = loadings.regimes(f[: t + 1])
         x = np.column_stack([np.ones(t + 1), f[: t + 1]])
-        own = [np.linalg.lstsq(x * np.sqrt(p[:, [j]] + 1e-6), y[: t + 1] * np.sqrt(p[:, j] + 1e-6), rcond=None)[0][1:] for j in range(2)]
+        own = [np.linalg.lstsq(x * np.sqrt(p[:, [j]]), y[: t + 1] * np.sqrt(p[:, j]), rcond=None)[0][1:] for j in range(2)]
         assert np.allclose(b[t], (p[-1] @ move) @ np.array(own), atol=1e-6)
-    days = [D(2020, 1, 3) + dt.timedelta(7 * i) for i in range(125)]
-    rows = [(name, days[i], float(y[i]), float(f[i, 0]), float(f[i, 1])) for name, first in (("A", 0), ("B", 10)) for i in range(first, 125)]
+    days = [D(2020, 1, 3) + dt.timedelta(7 * i) for i in range(170)]
+    rows = [(name, days[i], float(y[i]), float(f[i, 0]), float(f[i, 1])) for name, first in (("A", 0), ("B", 10)) for i in range(first, 170)]
     panel = spark.createDataFrame(rows, "instrument string, date date, ret double, p double, q double")
     got = loadings.estimated(panel, ["p", "q"], "regime").where("factor = 'p'").toPandas()
-    assert np.allclose(got[got["instrument"] == "A"].sort_values("date")["loading"], b[loadings.LEAST - 1 :, 0])
-    assert (got["instrument"] == "B").sum() == 125 - 10 - loadings.LEAST + 1
+    assert np.allclose(got[got["instrument"] == "A"].sort_values("date")["loading"], b[loadings.WINDOW - 1 :, 0])
+    assert (got["instrument"] == "B").sum() == 170 - loadings.WINDOW + 1
 
 
 def test_regimes_have_full_covariances():
