@@ -1,10 +1,13 @@
 """Main text of web pages by line-block distribution.
 
-A page becomes lines: one for each block of its markup, with the text's length outside links as the line's weight. Menus,
-headers, footers, asides, notices, adverts, forms, comments and the like are known by element, role or name and weigh nothing.
-Over the weights of a sliding window of lines, a surge is where the sum rises above a threshold and stays above zero, a dive
-where it falls to zero; the lines between, less those that weigh nothing by their kind, are the main text. Where a page marks
-its article, lines outside it weigh nothing and any text is a surge, so short articles and short paragraphs stay whole.
+A page becomes lines, one for each block of its markup. Menus, headers, footers, asides, notices, adverts, forms, comments and
+the like are known by element, role or name; they are no lines of the distribution. The others weigh by their text outside
+links, and markup is a weight: within the page's surest mark of an article a line weighs ``INSIDE`` more, outside it, on a
+marked page, a tenth. Over the weights of a sliding window of lines, a surge is where the sum rises to a threshold and stays
+above zero, a dive where it falls to zero; the lines between are the main text, with the short and link-only ones among them.
+A window does not reach across the edge of the marked article, so that what stands beside it has to surge by itself.
+
+On pages with a marked article the distribution so decides which text beside it belongs to the page's text; on others, all.
 """
 
 from __future__ import annotations
@@ -19,8 +22,10 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 WINDOW = 3
-#: Characters in a window that make a surge where no article is marked.
+#: The weight in a window that makes a surge, unless no window of the page has as much.
 SURGE = 60
+#: What a line of the marked article weighs besides its text, and the share that a line outside weighs on a marked page.
+INSIDE, OUTSIDE = 60, 0.1
 
 _TOKEN = re.compile(r"<!--.*?(?:-->|$)|<!\[CDATA\[.*?(?:\]\]>|$)|<[!?][^>]*>?|<(/?)([A-Za-z][^\s/>]*)((?:[^>\"']|\"[^\"]*(?:\"|$)|'[^']*(?:'|$))*)(?:>|$)|<|[^<]+", re.S)
 _ATTRIBUTE = re.compile(r"([^\s=/\"'>]+)(?:\s*=\s*(?:\"([^\"]*)\"?|'([^']*)'?|([^\s\"'>]+)))?", re.S)
@@ -39,6 +44,7 @@ _BOILER = re.compile(
 )
 _TOP = re.compile(r"(?:^|[\s_-])(?:site-?header|page-?header|header|masthead)(?=$|[\s_-])", re.I)
 _ARTICLE = re.compile(r"(?:^|\s)(?:article-?(?:body|content|text)?|post-?(?:body|content|text)?|entry-?(?:body|content)?|story-?(?:body)?|main-?(?:content)?|content)(?=$|\s)", re.I)
+_EMPTY = re.compile(r"(?:^|[\s\"'])/\s*$")  # a slash that is not part of an unquoted value
 _CAMEL = re.compile(r"(?<=[a-z])(?=[A-Z])")
 
 
@@ -121,7 +127,7 @@ def lines(html: str | None) -> list[Line]:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = end.end() if end else len(html)
             continue
-        if name in _VOID or m[3].rstrip().endswith("/") and name not in _BLOCK:
+        if name in _VOID or _EMPTY.search(m[3]) and name not in _BLOCK:
             continue
         if name in _CLOSES_P:
             i = next((i for i in range(len(stack) - 1, -1, -1) if stack[i][0] in _BLOCK), None)
@@ -141,22 +147,35 @@ def lines(html: str | None) -> list[Line]:
     return out
 
 
+def weights(found: list[Line]) -> list[float]:
+    """What lines that are no boilerplate weigh: text outside links, more inside the surest mark, less outside it."""
+    surest = max((x.article for x in found), default=0)
+    return [x.weight if not surest else x.weight + INSIDE if x.article == surest else x.weight * OUTSIDE for x in found]
+
+
 def kept(found: list[Line], window: int = WINDOW, surge: int = SURGE) -> list[Line]:
     """The lines between surges and dives."""
-    marked = max((x.article for x in found if not x.boiler), default=0)
-    weights = [0 if x.boiler or x.article < marked else (len(x.text) if marked else x.weight) for x in found]
-    sums = [sum(weights[i : i + window]) for i in range(len(weights))]
-    least = 1 if marked else min(surge, max(sums, default=0))
+    found = [x for x in found if not x.boiler]
+    heavy = weights(found)
+    surest = max((x.article for x in found), default=0)
+    edge = [x.article == surest for x in found]
+    sums = []
+    for i in range(len(found)):
+        reach = next((j for j in range(i, min(i + window, len(found))) if edge[j] != edge[i]), min(i + window, len(found)))
+        sums.append(sum(heavy[i:reach]))
+    least = min(surge, max(sums, default=0))
     out: list[Line] = []
     i = 0
     while i < len(sums):
-        if sums[i] < least or not weights[i]:
+        if sums[i] < least or not heavy[i]:
             i += 1
             continue
-        while i < len(sums) and sums[i] > 0:
-            if weights[i]:
-                out.append(found[i])
-            i += 1
+        j = i
+        while j < len(sums) and sums[j] > 0 and edge[j] == edge[i]:
+            j += 1
+        last = max(k for k in range(i, j) if heavy[k])  # the dive: no text in the windows from here
+        out += found[i : last + 1]
+        i = j
     return out
 
 

@@ -55,6 +55,22 @@ def test_surges_and_dives_without_a_marked_article():
     assert [x.text for x in html.kept(lines)] == ["x" * 80, "short"]
 
 
+LONG = "This paragraph stands outside of the marked article and goes on for so long that it must belong to the text. " * 7
+
+
+@pytest.mark.parametrize(
+    ("page", "text"),
+    [  # marks alone would keep the article element only, or everything
+        (f"<div>Home page</div><article><p>A marked teaser.</p></article><div><p>{LONG}</p><p>Short end.</p></div><div>Imprint</div>", f"A marked teaser. {LONG}Short end. Imprint"),
+        ("<article><p>A marked text.</p></article><p>One short line beside it.</p>", "A marked text."),
+        ("<article><h2><a href=/x>A headline that is a link</a></h2><p>Text.</p><div class=ad>Buy</div><form>f</form><aside>s</aside><nav>n</nav><p>Fin.</p></article>", "A headline that is a link Text. Fin."),
+        (f"<p><a href=/>Home</a></p><p><a href=/n>News</a></p><p>{LONG}</p><p><a href=/m>A linked line</a></p><p>End.</p>" + "<p><a href=/o>Other</a></p>" * 4, f"{LONG}A linked line End."),
+    ],
+)
+def test_the_distribution_decides_the_span(page, text):
+    assert html.main_text(page) == text
+
+
 def digest(b):
     return "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
 
