@@ -28,21 +28,23 @@ K = 10
 EPSILON = 3.0
 #: Rows measured first to get a limit, or twice k if that is more.
 FIRST = 32
-#: Rows and queries of a block.
-BLOCK_ROWS = 8192
-BLOCK_QUERIES = 1024
+#: Rows and queries of a block. Each row is sent once for each block of queries, each query once for each block of rows: with
+#: equal blocks the two are balanced, and N rows with N / 100 queries send 2 * N * N / 100 / 16384 vectors.
+BLOCK_ROWS = 16384
+BLOCK_QUERIES = 16384
 #: The most vectors that the centroids are fitted on, and how many centroids.
 SAMPLE_ROWS = 4096
 CENTROIDS = 16
 
 
 def usable(vectors: DataFrame, id_col: str, vector_col: str) -> tuple[DataFrame, int]:
-    """Rows (id, v: array of doubles) that take part, and their dimension.
+    """Rows (id, v: array of floats as they are, or of doubles) that take part, and their dimension.
 
     Null ids and vectors, vectors that are zero or hold null or non-finite numbers, and vectors of another length than the
     most frequent one (the larger, if tied) are left out.
     """
-    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast("array<double>").alias("v"))
+    kind = vectors.schema[vector_col].dataType.simpleString()
+    rows = vectors.select(F.col(id_col).alias("id"), F.col(vector_col).cast(kind if kind == "array<float>" else "array<double>").alias("v"))
     fine = F.forall("v", lambda x: x.isNotNull() & ~F.isnan(x) & (F.abs(x) != float("inf"))) & F.exists("v", lambda x: x != 0)
     rows = rows.where(F.col("id").isNotNull() & F.col("v").isNotNull() & fine)
     size = rows.groupBy(F.size("v").alias("n")).count().orderBy(F.desc("count"), F.desc("n")).limit(1).first()
@@ -174,12 +176,12 @@ def build(rows: DataFrame, dim: int, stash: Stash, seed: int = 3) -> tuple[DataF
     def run(batches):
         turn = rotation(dim, seed)
         for p in batches:
-            codes = encode(np.stack(p["v"].to_numpy()), centers, turn)
+            codes = encode(np.stack(p["v"].to_numpy()).astype(float), centers, turn)
             yield p.assign(bits=[b.tobytes() for b in codes.bits], own=codes.own, norm=codes.norm, inner=codes.inner)
 
     kind = rows.schema["id"].dataType.simpleString()
     dealt = rows.withColumn("block", F.pmod(F.xxhash64("id"), F.lit(blocks)).cast("int"))
-    made = dealt.mapInPandas(run, f"id {kind}, v array<double>, block int, bits binary, own int, norm double, inner double")
+    made = dealt.mapInPandas(run, f"id {kind}, v {rows.schema['v'].dataType.simpleString()}, block int, bits binary, own int, norm double, inner double")
     return stash.keep(made, "index"), centers, blocks
 
 
@@ -204,8 +206,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
         if not len(queries) or not len(own):
             return pd.DataFrame({"query_id": [], "vec_id": [], "score": []}).astype({"query_id": "int64", "vec_id": "int64"})
         turn = rotation(dim, seed)
-        qi, q = _distinct(queries["id"].to_numpy(), np.stack(queries["v"].to_numpy()))
-        x = np.stack(own["v"].to_numpy())
+        qi, q = _distinct(queries["id"].to_numpy(), np.stack(queries["v"].to_numpy()).astype(float))
+        x = np.stack(own["v"].to_numpy()).astype(float)
         bits = np.frombuffer(b"".join(own["bits"]), np.uint8).reshape(len(own), -1)
         ids, x, bits, c, norm, inner = _distinct(own["id"].to_numpy(), x, bits, own["own"].to_numpy(), own["norm"].to_numpy(), own["inner"].to_numpy())
         return best(ids, x, Codes(bits, c, norm, inner), qi, q, centers, turn, k, epsilon)

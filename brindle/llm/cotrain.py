@@ -1,44 +1,76 @@
 """Quality by co-training: a text classifier and a page-metadata classifier teach each other, then score all documents together.
 
-Each view has a logistic model. Over some rounds each labels the unlabelled pool, and its most confident calls, by class in
-the labels' proportion, join the other view's training rows. Then both views are calibrated on labelled rows that took no part
-in training, and one logistic combination of the two calibrated log-odds scores every document.
+Each view has two parts. One is a logistic model of the labelled sample. The other are corpus statistics: how often each of the
+view's features stands in the documents that the *other* view calls good or bad with confidence. Each round scores every
+document on the executors with both views as they are, and there counts the features of the confident calls, by class; only
+sums by hashed feature come back, whose number is bounded by the hash. So a round's pseudo-labels are of the whole corpus, and
+the next round's calls rest on them.
 
-Fitting uses at most ``SAMPLE_ROWS`` labelled rows and a pool of at most ``POOL_ROWS`` others, as co-training asks; scoring
-reads every text whole.
+After each round a view is calibrated: a logistic regression of labels on its two parts, over labelled rows that took no part
+in fitting. Last, other such rows weigh the two calibrated views in one combination, and it scores every document.
+
+Fitting uses at most ``SAMPLE_ROWS`` labelled rows. Statistics and scores read every text whole.
 """
 
 from __future__ import annotations
 
-from dataclasses import dataclass
+from collections.abc import Iterator
+from dataclasses import dataclass, field
 
 import numpy as np
+import pandas as pd
+import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from . import linear
-from .shared import hash_sample
+from . import linear, words
 
 TEXT = linear.View(first=(1, 2, 3), last=(1, 2, 3), lower=False, punctuation=False, runs=True)
-#: The most labelled rows that a model is fitted on, and the most rows of the unlabelled pool.
+#: The most labelled rows that a model is fitted on.
 SAMPLE_ROWS = 5000
-POOL_ROWS = 2000
-ROUNDS = 3
-CONFIDENT = 0.97
+ROUNDS = 2
+#: A view's call is passed on at this probability or more, of either class.
+CONFIDENT = 0.95
+#: Features in fewer confident calls say nothing; those whose shares differ by fewer standard errors neither.
+LEAST, TELLING = 20, 4.0
 L1 = 7e-4
+_SIZE = 1 << linear.BITS
+_NONE = np.zeros(_SIZE, np.float32)
+
+
+@dataclass
+class Part:
+    """A view: weights of the labelled model, log-odds of the corpus statistics, and the calibration (intercept and one factor each)."""
+
+    weights: np.ndarray = field(default_factory=lambda: _NONE)
+    counted: np.ndarray = field(default_factory=lambda: _NONE)
+    mix: np.ndarray = field(default_factory=lambda: np.zeros(3))
+
+    def columns(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        """The two parts' scores of ``n`` rows of (row, feature) pairs; the statistics' one is a mean over telling features."""
+        known = np.bincount(row, weights=self.weights[feature], minlength=n)
+        odds = self.counted[feature]
+        told = np.bincount(row, weights=odds, minlength=n) / (np.bincount(row, weights=odds != 0, minlength=n) + 4)
+        return np.column_stack([known, told])
+
+    def odds(self, row: np.ndarray, feature: np.ndarray, n: int) -> np.ndarray:
+        """Calibrated log-odds."""
+        return _line(self.columns(row, feature, n), self.mix)
 
 
 @dataclass
 class Model:
-    """A weight table and intercept for each view, and the combination (intercept, text, metadata) of their log-odds."""
+    """Both views, and the combination (intercept, text, metadata) of their calibrated log-odds."""
 
-    text: np.ndarray
-    text_at: float
-    meta: np.ndarray
-    meta_at: float
+    text: Part
+    meta: Part
     mix: np.ndarray
 
 
+def _line(x: np.ndarray, b: np.ndarray) -> np.ndarray:
+    return b[0] + np.clip(x, -20, 20) @ b[1:]
+
+
 def metadata(docs_columns: list[str]) -> Column:
     """The metadata view as hashed features: language, source, their pair, and the length by powers of two; null is a value."""
     of = lambda c: F.coalesce(F.col(c).cast("string"), F.lit("")) if c in docs_columns else F.lit("")
@@ -47,85 +79,120 @@ def metadata(docs_columns: list[str]) -> Column:
     return F.array_sort(F.array_distinct(F.array(*[F.shiftrightunsigned(F.xxhash64(p), 64 - linear.BITS).cast("int") for p in parts])))
 
 
-def _rows(df: DataFrame) -> tuple[np.ndarray, list[np.ndarray], list[np.ndarray]]:
-    got = df.select("y", linear.features_of(F.col("text"), TEXT).alias("t"), metadata(df.columns).alias("m"), "doc_id").orderBy("doc_id", "t").toArrow()
-    lists = lambda c: [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int32) for x in got.column(c)]
-    return got.column("y").to_numpy().astype(np.int64), lists("t"), lists("m")
+def _pairs(lists: list[np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    return np.repeat(np.arange(len(lists)), [len(x) for x in lists]), np.concatenate([np.zeros(0, np.int64), *lists]).astype(np.int64)
 
 
-def _train(rows: list[np.ndarray], y: np.ndarray, least: int) -> tuple[np.ndarray, float]:
+def _train(rows: list[np.ndarray], y: np.ndarray, least: int) -> np.ndarray:
     x = linear.Rows(rows, linear.telling(rows, y, least, 2.5))
-    w, cut = linear.ordinal_fit(x, y, 2, L1, rounds=80)
-    table = np.zeros(1 << linear.BITS, np.float32)
-    table[x.features] = w
-    return table, -float(cut[0])
+    table = np.zeros(_SIZE, np.float32)
+    table[x.features] = linear.ordinal_fit(x, y, 2, L1, rounds=80)[0]
+    return table
 
 
-def _odds(rows: list[np.ndarray], table: np.ndarray, at: float) -> np.ndarray:
-    return np.array([table[r].sum() + at for r in rows])
-
-
-def _combine(x: np.ndarray, y: np.ndarray) -> np.ndarray:
-    """Logistic regression of y on a few columns with a small ridge, by Newton steps: calibrates each view and weighs it."""
+def _logistic(x: np.ndarray, y: np.ndarray) -> np.ndarray:
+    """Logistic regression of y on a few columns with a small ridge, by Newton steps."""
     x = np.column_stack([np.ones(len(x)), np.clip(x, -20, 20)])
     b = np.zeros(x.shape[1])
     for _ in range(30):
         p = linear.sigmoid(x @ b)
-        grad = x.T @ (y - p) - 1e-2 * b
-        b += np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-2 * np.eye(len(b)), grad)
+        grad = x.T @ (y - p) - 1e-1 * b
+        b += np.linalg.solve((x.T * (p * (1 - p))) @ x + 1e-1 * np.eye(len(b)), grad)
     return b
 
 
-def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, pool: int = POOL_ROWS, rounds: int = ROUNDS, seed: int = 5) -> Model:
-    """Co-train on bounded samples. Without rows of both classes every document gets the labels' mean (a half without labels)."""
+def _batches(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[int, tuple, tuple]]:
+    """(rows, text pairs, metadata pairs) for runs of rows of bounded size, of batches (text, m)."""
+    for batch in batches:
+        meta = [np.asarray(m, np.int64) for m in batch.column("m").to_pylist()]
+        for first, run in words.grouped(TEXT.bytes_of(t) for t in batch.column("text").to_pylist()):
+            yield len(run), linear.present(run, TEXT), _pairs(meta[first : first + len(run)])
+
+
+def statistics(docs: DataFrame, model: Model) -> tuple[np.ndarray, np.ndarray]:
+    """Log-odds by feature, of text and of metadata, from the other view's confident calls on all of ``docs`` (text, m)."""
+    held = docs.sparkSession.sparkContext.broadcast(model)
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        m, seen, calls = held.value, np.zeros((2, 2, _SIZE), np.int32), np.zeros((2, 2), np.int64)
+        for n, text, meta in _batches(batches):
+            p = [linear.sigmoid(m.text.odds(*text, n)), linear.sigmoid(m.meta.odds(*meta, n))]
+            for pupil, (row, feature), teacher in ((0, text, p[1]), (1, meta, p[0])):
+                for good, sure in ((0, 1 - teacher), (1, teacher)):
+                    ok = sure >= CONFIDENT
+                    calls[pupil, good] += ok.sum()
+                    np.add.at(seen[pupil, good], feature[ok[row]], 1)
+        for pupil in range(2):
+            at = np.flatnonzero(seen[pupil].any(axis=0))
+            yield pa.RecordBatch.from_arrays([pa.array(np.full(len(at) + 1, pupil, np.int32)), pa.array(np.append(at, -1).astype(np.int32)), *[pa.array(np.append(seen[pupil, g, at], calls[pupil, g]).astype(np.int64)) for g in (0, 1)]], ["view", "feature", "bad", "good"])
+
+    # Sums by hashed feature: at most 2 ** BITS rows a view, whatever the corpus.
+    total = docs.mapInArrow(run, "view int, feature int, bad long, good long").groupBy("view", "feature").agg(F.sum("bad").alias("bad"), F.sum("good").alias("good"))
+    got = total.where(F.col("bad") + F.col("good") >= F.when(F.col("feature") < 0, 0).otherwise(LEAST)).toArrow()
+    view, feature, bad, good = (got.column(c).to_numpy() for c in ("view", "feature", "bad", "good"))
+    out = []
+    for v in (0, 1):
+        calls = [int(x[(view == v) & (feature < 0)].sum()) for x in (bad, good)]
+        table = np.zeros(_SIZE, np.float32)
+        if min(calls) >= LEAST:
+            at = (view == v) & (feature >= 0)
+            shares = [(x[at] + 0.5) / (n + 1) for x, n in zip((bad, good), calls)]
+            error = np.sqrt(sum(s * (1 - s) / n for s, n in zip(shares, calls)))
+            odds = np.log(shares[1]) - np.log(shares[0])
+            table[feature[at]] = np.where(np.abs(shares[1] - shares[0]) >= TELLING * error, odds, 0)
+        out.append(table)
+    held.destroy()
+    return out[0], out[1]
+
+
+def fit(docs: DataFrame, labels: DataFrame, label: str = "quality", rows: int = SAMPLE_ROWS, rounds: int = ROUNDS, seed: int = 5) -> Model:
+    """Co-train on a bounded labelled sample and the statistics of all documents.
+
+    Null labels do not count; a document labelled more than once has its most frequent label, the smaller if tied. Without
+    rows of both classes every document gets the labels' one class (a half without labels).
+    """
     known = labels.where(F.col(label).isNotNull()).select("doc_id", F.col(label).cast("int").alias("y"))
     extra = [c for c in ("lang", "source") if c in docs.columns]
-    y, text, meta = _rows(linear.labelled_sample(docs, known, rows, seed, "y", *extra))
-    empty = np.zeros(1 << linear.BITS, np.float32)
+    sample = linear.labelled_sample(docs, known, rows, seed, "y", *extra)
+    got = sample.select("y", linear.features_of(F.col("text"), TEXT).alias("t"), metadata(sample.columns).alias("m"), "doc_id").orderBy("doc_id", "t").toArrow()
+    y = got.column("y").to_numpy().astype(np.int64)
     if not len(y) or y.min() == y.max():
         at = 0.0 if not len(y) else (5.0 if y[0] else -5.0)
-        return Model(empty, 0.0, empty, 0.0, np.array([at, 0.0, 0.0]))
-    others = hash_sample(docs.where("doc_id is not null").select("doc_id", "text", *extra), "doc_id", pool, seed + 1)
-    other = others.join(F.broadcast(hash_sample(known.dropDuplicates(["doc_id"]), "doc_id", rows, seed).select("doc_id")), "doc_id", "left_anti")
-    _, pool_text, pool_meta = _rows(other.withColumn("y", F.lit(0)))
-    held = np.arange(len(y)) % 4 == 0
-    views = {"text": (text, pool_text), "meta": (meta, pool_meta)}
-    rows_of = {v: [r for r, h in zip(own, held) if not h] for v, (own, _) in views.items()}
-    grade_of = {v: y[~held] for v in views}
-    free = {v: np.ones(len(pool_text), bool) for v in views}
-    share = y[~held].mean()
-    per_round = max(1, len(pool_text) // (4 * max(rounds, 1)))
+        return Model(Part(), Part(), np.array([at, 0.0, 0.0]))
+    lists = {v: [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int32) for x in got.column(c)] for v, c in (("text", "t"), ("meta", "m"))}
+    # 14 of 20 rows fit the views, three calibrate each view, three weigh the views.
+    part = np.digitize(np.arange(len(y)) % 20, (14, 17))
+    take = lambda v, k: [r for r, ok in zip(lists[v], k) if ok]
+    model = Model(*[Part(weights=_train(take(v, part == 0), y[part == 0], 3)) for v in ("text", "meta")], np.array([0.0, 1.0, 1.0]))
+    views = {"text": model.text, "meta": model.meta}
+    all_docs = docs.select("text", metadata(docs.columns).alias("m"))
     for turn in range(rounds + 1):
-        model = {v: _train(rows_of[v], grade_of[v], 3) for v in views}
-        if turn == rounds or not len(pool_text):
-            break
-        for teacher, pupil in (("text", "meta"), ("meta", "text")):
-            p = linear.sigmoid(_odds(views[teacher][1], *model[teacher]))
-            for value, sure, n in ((1, p, share), (0, 1 - p, 1 - share)):
-                ok = np.flatnonzero(free[pupil] & (sure >= CONFIDENT))
-                best = ok[np.argsort(-sure[ok], kind="stable")][: max(1, int(per_round * n))]
-                free[pupil][best] = False
-                rows_of[pupil] += [views[pupil][1][i] for i in best]
-                grade_of[pupil] = np.concatenate([grade_of[pupil], np.full(len(best), value)])
-    mix = _combine(np.column_stack([_odds([r for r, h in zip(views[v][0], held) if h], *model[v]) for v in views]), y[held])
-    return Model(*model["text"], *model["meta"], mix)
+        for v, own in views.items():
+            own.mix = _logistic(own.columns(*_pairs(take(v, part == 1)), int((part == 1).sum())), y[part == 1])
+        if turn < rounds:
+            model.text.counted, model.meta.counted = statistics(all_docs, model)
+    both = np.column_stack([own.odds(*_pairs(take(v, part == 2)), int((part == 2).sum())) for v, own in views.items()])
+    model.mix = _logistic(both, y[part == 2])
+    return model
 
 
 def qualities(docs: DataFrame, labels: DataFrame, label: str = "quality") -> DataFrame:
     """(doc_id, p_text, p_meta, quality, keep) for each row of ``docs`` (doc_id, text; lang and source where there).
 
     ``p_text`` and ``p_meta`` are the views' own calibrated probabilities, ``quality`` their combination, ``keep`` whether it
-    is a half or more. Null and empty texts have no text feature and are scored by what is left. An empty table gives none.
+    is a half or more. Null and empty texts have no text feature and are scored by what is left; repeated rows are scored
+    alike; texts of any length are read whole; other columns are ignored. An empty table gives none.
     """
-    m = fit(docs, labels, label)
-    sc = docs.sparkSession.sparkContext
-    table = sc.broadcast(m.text)
-    known = np.flatnonzero(m.meta)
-    weight = F.create_map(*[x for f in known for x in (F.lit(int(f)), F.lit(float(m.meta[f])))]) if len(known) else F.create_map(F.lit(-1), F.lit(0.0))
-    meta = F.aggregate(metadata(docs.columns), F.lit(float(m.meta_at)), lambda acc, f: acc + F.coalesce(F.try_element_at(weight, f), F.lit(0.0)))
-    odds = docs.select("doc_id", (linear.score(F.col("text"), TEXT, table) + F.lit(float(m.text_at))).alias("t"), meta.alias("m"))
-    clip = lambda c: F.least(F.greatest(F.col(c), F.lit(-20.0)), F.lit(20.0))
-    p = lambda x: 1 / (1 + F.exp(-x))
-    b0, bt, bm = (F.lit(float(b)) for b in m.mix)
-    all_of = b0 + bt * clip("t") + bm * clip("m")
-    return odds.select("doc_id", p(clip("t")).alias("p_text"), p(clip("m")).alias("p_meta"), p(all_of).alias("quality"), (all_of >= 0).alias("keep"))
+    held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label))
+
+    @F.pandas_udf("p_text double, p_meta double, odds double")
+    def judged(batches: Iterator[tuple[pd.Series, pd.Series]]) -> Iterator[pd.DataFrame]:
+        m = held.value
+        for texts, metas in batches:
+            rows = pa.RecordBatch.from_arrays([pa.array(texts, pa.string()), pa.array(list(metas), pa.list_(pa.int32()))], ["text", "m"])
+            both = [np.column_stack([m.text.odds(*text, n), m.meta.odds(*meta, n)]) for n, text, meta in _batches([rows])] or [np.zeros((0, 2))]
+            x = np.concatenate(both)
+            yield pd.DataFrame({"p_text": linear.sigmoid(x[:, 0]), "p_meta": linear.sigmoid(x[:, 1]), "odds": _line(x, m.mix)})
+
+    scored = docs.select("doc_id", judged(F.col("text"), metadata(docs.columns)).alias("j"))
+    return scored.select("doc_id", "j.p_text", "j.p_meta", (1 / (1 + F.exp(-F.col("j.odds")))).alias("quality"), (F.col("j.odds") >= 0).alias("keep"))

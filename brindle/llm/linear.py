@@ -209,10 +209,12 @@ def ordinal_fit(x: Rows, grade: np.ndarray, grades: int, l1: float, weight: np.n
     return w, inc(t)
 
 
-def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, seed: int, *extra: str) -> DataFrame:
-    """At most ``rows`` labelled documents: the labels with the smallest hashed doc_id, joined to their documents.
+def labelled_sample(docs: DataFrame, labels: DataFrame, rows: int, seed: int, label: str, *extra: str) -> DataFrame:
+    """At most ``rows`` labelled documents (doc_id, text, label, extra columns): the labels with the smallest hashed doc_id, joined to their documents.
 
-    The labels kept are few by the bound, so they are broadcast and no text is moved.
+    A document labelled more than once has its most frequent label, the smallest if tied. The labels kept are few by the bound,
+    so they are broadcast and no text is moved.
     """
-    chosen = hash_sample(labels.where("doc_id is not null").dropDuplicates(["doc_id"]), "doc_id", rows, seed)
-    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", *extra)
+    one = labels.where("doc_id is not null").groupBy("doc_id").agg(F.mode(label, True).alias(label))
+    chosen = hash_sample(one, "doc_id", rows, seed)
+    return docs.join(F.broadcast(chosen), "doc_id").select("doc_id", "text", label, *extra)

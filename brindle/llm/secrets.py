@@ -4,6 +4,9 @@ Each version of a document is a blob named by the SHA-256 of its text. A ledger
 rule version and what was found. A run scans only the (blob, rule version) pairs that the ledger lacks, each once however
 many paths hold the blob, and joins the findings back to all paths.
 
+A ledger is a table in a shared folder that runs append to. An append is one write of whole files, so a run that ends early
+leaves at most rows that the next one finds scanned.
+
 Positions come from marking: a match is wrapped in two control characters, the text is split at the first of them, and the
 lengths of the parts add up to offsets in code points. Marks that a text holds itself are first replaced by another control
 character, one for one, which no rule matches.
@@ -11,9 +14,11 @@ character, one for one, which no rule matches.
 
 from __future__ import annotations
 
+import functools
+from collections.abc import Callable
 from dataclasses import dataclass
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from .shared import Stash, packed
@@ -32,28 +37,36 @@ class Rule:
     head: str
     body: str
     least: int
+    #: Lower-case literals of which a text with a match has one; without them the pattern is not tried. None: always tried.
+    literals: tuple[str, ...] = ()
 
 
 # The kinds of the scan's contract, in their order.
 BASE_RULES = (
-    Rule("assign", r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)""", r"[A-Za-z0-9+/_.=-]+", 8),
-    Rule("access", r"", r"AKIA[A-Z0-9]+", 16),
+    Rule("assign", r"""(?i:(?:password|passwd|secret|token|api_?key)["']?\x20*[:=]\x20*["']?)""", r"[A-Za-z0-9+/_.=-]+", 8, ("password", "passwd", "secret", "token", "apikey", "api_key")),
+    Rule("access", r"", r"AKIA[A-Z0-9]+", 16, ("akia",)),
     Rule("hex", r"", r"[0-9a-f]{32,}", 32),
 )
 #: Kinds beyond the contract's: private key blocks and bearer tokens with a known prefix.
 MORE_RULES = (
-    Rule("pem", r"", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1),
-    Rule("prefixed", r"", r"(?:ghp|gho|xoxb|xoxp|sk_live)[_-][A-Za-z0-9_-]{16,}", 20),
+    Rule("pem", r"", r"-----BEGIN [A-Z ]*PRIVATE KEY-----", 1, ("private key-----",)),
+    Rule("prefixed", r"", r"(?:ghp|gho|xoxb|xoxp|sk_live)[_-][A-Za-z0-9_-]{16,}", 20, ("ghp", "gho", "xoxb", "xoxp", "sk_live")),
 )
 RULES = BASE_RULES + MORE_RULES
 RULE_VERSION = "2"
+#: Matches that one fold goes over; spans of a text are folds of folds, so their cost does not grow with the square of the matches.
+FOLD = 256
 _SPAN = "struct<start:bigint,ord:int,kind:string,end:bigint>"
 
 
+def let(value: Column, then: Callable[[Column], Column]) -> Column:
+    """``then(value)`` with ``value`` evaluated once, however often it is used."""
+    return F.transform(F.array(value), then)[0]
+
+
 def find(text: Column, rule: Rule, order: int) -> Column:
     """The array of spans (start, ord, kind, end) of one rule in a text without the marks."""
-    marked = F.regexp_replace(text, f"({rule.head})({rule.body})", f"{_OPEN}$1{_MID}$2{_SHUT}")
-    parts = F.split(marked, _OPEN)
+    none = F.array().cast(f"array<{_SPAN}>")
 
     def step(acc: Column, part: Column) -> Column:
         """``part`` is head, mid mark, body, shut mark, what follows."""
@@ -62,15 +75,33 @@ def find(text: Column, rule: Rule, order: int) -> Column:
         ok = (rest - head) >= rule.least
         return F.struct((acc["at"] + F.length(part) - 2).cast("bigint").alias("at"), F.when(ok, F.concat(acc["found"], F.array(hit))).otherwise(acc["found"]).alias("found"))
 
-    start = F.struct(F.length(parts[0]).cast("bigint").alias("at"), F.array().cast(f"array<{_SPAN}>").alias("found"))
-    walked = F.aggregate(F.slice(parts, 2, F.greatest(F.size(parts) - 1, F.lit(1))), start, step)["found"]
-    return F.when(F.instr(marked, _OPEN) > 0, walked).otherwise(F.array().cast(f"array<{_SPAN}>"))
+    def fold(parts: Column, at: Column) -> Column:
+        return F.aggregate(parts, F.struct(at.cast("bigint").alias("at"), none.alias("found")), step)["found"]
+
+    def walked(parts: Column) -> Column:
+        """``parts``: what stands before the first match, then a part a match. Runs of FOLD parts start where those before them end."""
+        sizes = F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda x: F.length(x) - 2)
+        runs = F.sequence(F.lit(0), F.floor((F.size(parts) - 2) / FOLD).cast("int"))
+        lengths = lambda sizes: F.transform(runs, lambda i: F.aggregate(F.slice(sizes, i * FOLD + 1, F.lit(FOLD)), F.lit(0).cast("bigint"), lambda a, x: a + x))
+        starts = lambda sums: F.aggregate(sums, F.array(F.length(parts[0]).cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        begun = let(let(sizes, lengths), starts)
+        return let(begun, lambda at: F.flatten(F.transform(runs, lambda i: fold(F.slice(parts, i * FOLD + 2, F.lit(FOLD)), at[i]))))
+
+    marked = F.regexp_replace(text, f"({rule.head})({rule.body})", f"{_OPEN}$1{_MID}$2{_SHUT}")
+    return let(F.split(marked, _OPEN), lambda parts: F.when(F.size(parts) > 1, walked(parts)).otherwise(none))
 
 
 def spans(text: Column, rules: tuple[Rule, ...] = RULES) -> Column:
     """All spans of a text by start, then rule order. Null counts as empty. Base rules are found alone, then the others added."""
+    none = F.array().cast(f"array<{_SPAN}>")
+
+    def tried(clean: Column, low: Column, rule: Rule, order: int) -> Column:
+        may = functools.reduce(lambda a, b: a | b, (F.contains(low, F.lit(x)) for x in rule.literals)) if rule.literals else None
+        return find(clean, rule, order) if may is None else F.when(may, find(clean, rule, order)).otherwise(none)
+
     clean = F.translate(F.coalesce(text, F.lit("")), _OPEN + _MID + _SHUT, _BLANK * 3)
-    return F.array_sort(F.concat(*[find(clean, r, i) for i, r in enumerate(rules)]))
+    both = lambda c: let(F.lower(c), lambda low: F.array_sort(F.concat(*[tried(c, low, r, i) for i, r in enumerate(rules)])))
+    return let(clean, both)
 
 
 def blob_id(text: Column) -> Column:
@@ -80,16 +111,43 @@ def blob_id(text: Column) -> Column:
 def scan(docs: DataFrame, ledger: DataFrame | None = None, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> DataFrame:
     """New ledger rows (blob, rule_version, spans): one for each blob of ``docs`` (text) not yet in ``ledger`` under ``version``.
 
-    Append them to the ledger. An empty table gives none; null texts are the empty blob.
+    Append them to the ledger. An empty table gives none; null texts are the empty blob. Texts of scanned blobs are not moved.
     """
     blobs = docs.select(blob_id(F.col("text")).alias("blob"), F.coalesce("text", F.lit("")).alias("text"))
     if ledger is not None:
         seen = ledger.where(F.col("rule_version") == version).select("blob").distinct()
-        blobs = blobs.join(seen, "blob", "left_anti")
+        unseen = blobs.select("blob").distinct().join(seen, "blob", "left_anti")
+        blobs = blobs.join(unseen, "blob", "left_semi")
     once = blobs.groupBy("blob").agg(F.first("text").alias("text"))
     return once.select("blob", F.lit(version).alias("rule_version"), spans(F.col("text"), rules).alias("spans"))
 
 
+@dataclass(frozen=True)
+class Ledger:
+    """What has been scanned, under ``path`` in a shared folder: rows (blob, rule_version, spans), one for each pair."""
+
+    spark: SparkSession
+    path: str
+
+    def rows(self) -> DataFrame:
+        """All rows; none where nothing has been scanned yet."""
+        jvm = self.spark.sparkContext._jvm
+        path = jvm.org.apache.hadoop.fs.Path(f"{self.path}/_SUCCESS")
+        there = path.getFileSystem(self.spark.sparkContext._jsc.hadoopConfiguration()).exists(path)
+        kind = f"blob string, rule_version string, spans array<{_SPAN}>"
+        return self.spark.read.schema(kind).parquet(self.path) if there else self.spark.createDataFrame([], kind)
+
+    def extend(self, docs: DataFrame, rules: tuple[Rule, ...] = RULES, version: str = RULE_VERSION) -> None:
+        """Scan the blobs of ``docs`` that the ledger lacks under ``version``, and append them."""
+        known = self.rows()
+        scan(docs, None if known.isEmpty() else known, rules, version).write.mode("append").parquet(self.path)
+
+
+def fresh_ledger(spark: SparkSession) -> Ledger:
+    """A ledger of this run alone, in the folder that the session names for such tables."""
+    return Ledger(spark, f"{Stash(spark, 'secrets').base}/ledger")
+
+
 def findings(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION) -> DataFrame:
     """``docs`` (doc_id, text) as (doc_id, blob, spans): each path with what its blob holds; no finding is an empty array."""
     paths = docs.select("doc_id", blob_id(F.col("text")).alias("blob"))
@@ -98,10 +156,11 @@ def findings(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION) ->
     return joined.select("doc_id", "blob", F.coalesce("spans", F.array().cast(f"array<{_SPAN}>")).alias("spans"))
 
 
-def scan_all(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
-    """Scan what is new, write it to the shared folder, and give every path its findings."""
-    fresh = Stash(docs.sparkSession, "secrets").keep(scan(docs, ledger), "ledger")
-    return findings(docs, fresh if ledger is None else ledger.unionByName(fresh))
+def scan_all(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
+    """Scan what the ledger lacks (all, in a ledger of its own, if none is given), append it, and give every path its findings."""
+    ledger = ledger or fresh_ledger(docs.sparkSession)
+    ledger.extend(docs)
+    return findings(docs, ledger.rows())
 
 
 def written(found: Column) -> Column:
@@ -130,13 +189,14 @@ def redacted(text: Column, found: Column) -> Column:
     return F.when(F.size(found) > 0, F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.lit(2**31 - 1)))).otherwise(text)
 
 
-def redact_documents(docs: DataFrame, ledger: DataFrame | None = None) -> DataFrame:
+def redact_documents(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
     """``docs`` with secrets redacted in ``text`` and ``n_chars`` set anew where that changed; all rows and columns stay.
 
     A document holds its findings through its blob. Null texts stay null.
     """
-    fresh = Stash(docs.sparkSession, "secrets").keep(scan(docs, ledger), "ledger")
-    known = fresh if ledger is None else ledger.unionByName(fresh)
+    ledger = ledger or fresh_ledger(docs.sparkSession)
+    ledger.extend(docs)
+    known = ledger.rows()
     held = known.where((F.col("rule_version") == RULE_VERSION) & (F.size("spans") > 0)).select(F.col("blob").alias("_blob"), F.col("spans").alias("_spans")).dropDuplicates(["_blob"])
     rows = packed(docs, blob_id(F.col("text")).alias("_of"))
     joined = rows.join(held, F.col("_of") == F.col("_blob"), "left")

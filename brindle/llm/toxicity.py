@@ -34,7 +34,8 @@ class Model:
 def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", rows: int = SAMPLE_ROWS, seed: int = 11, l1: float = L1) -> Model:
     """A model of ``labels.grade`` (0, 1, ... ; null rows stay out) on at most ``rows`` labelled documents of ``docs``.
 
-    A fifth of the sample is held out to set ``flag``. With no labelled row, or one grade only, all texts get grade 0's score.
+    A fifth of the sample is held out to set ``flag``. A document labelled more than once has its most frequent grade, the
+    smallest if tied. With no labelled row, or grade 0 only, no text is toxic; with no grade 0, all are.
     """
     known = labels.where(F.col(grade).isNotNull()).select("doc_id", F.col(grade).cast("int").alias("_grade"))
     sample = linear.labelled_sample(docs, known, rows, seed, "_grade")
@@ -42,7 +43,8 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", rows: int = SA
     y = got.column("_grade").to_numpy().astype(np.int64)
     feats = [np.asarray(x.values.to_numpy(zero_copy_only=False), np.int32) for x in got.column("f")]
     if not len(y) or y.max() == y.min():
-        return Model(np.zeros(1 << linear.BITS, np.float32), np.array([5.0]), 0.0)
+        above_zero = len(y) > 0 and y[0] > 0
+        return Model(np.zeros(1 << linear.BITS, np.float32), np.array([-5.0 if above_zero else 5.0]), -5.0 if above_zero else 5.0)
     kept = np.arange(len(y)) % 5 != 0 if len(y) >= 50 else np.ones(len(y), bool)
     train = [f for f, k in zip(feats, kept) if k]
     x = linear.Rows(train, linear.telling(train, y[kept]))
@@ -70,7 +72,10 @@ def scored(docs: DataFrame, model: Model, *columns: Column) -> DataFrame:
 
 
 def severities(docs: DataFrame, labels: DataFrame, grade: str = "toxic") -> DataFrame:
-    """(doc_id, score, severity, p_toxic, toxic) for each row of ``docs`` (doc_id, text). Null and empty texts score zero."""
+    """(doc_id, score, severity, p_toxic, toxic) for each row of ``docs`` (doc_id, text).
+
+    Null and empty texts score zero; repeated rows score alike; texts of any length are read whole. An empty table gives none.
+    """
     return scored(docs, fit(docs, labels, grade), F.col("doc_id"))
 
 

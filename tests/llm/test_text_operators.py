@@ -365,6 +365,31 @@ def test_ledger_scans_only_what_is_new(spark):
     assert paths.count() == docs.count() and paths.where("size(spans) > 0").count() == 2 * sum(bool(base_spans(t or "")) or "PRIVATE" in (t or "") for t in secret_texts())
 
 
+def test_a_ledger_persists_and_grows(spark, tmp_path, monkeypatch):
+    docs = spark.createDataFrame([(i, t) for i, t in enumerate(secret_texts())], "doc_id long, text string")
+    ledger = secrets.Ledger(spark, f"{tmp_path}/ledger")
+    assert ledger.rows().count() == 0
+    once = secrets.scan_all(docs, ledger).collect()
+    held = ledger.rows().count()
+    scanned = []
+    real = secrets.scan
+    monkeypatch.setattr(secrets, "scan", lambda *a: scanned.append(real(*a)) or scanned[-1])
+    again = secrets.Ledger(spark, f"{tmp_path}/ledger")  # another run: nothing is unseen
+    assert sorted(secrets.scan_all(clashing(docs), again).collect()) == sorted(once) and scanned[-1].count() == 0 and again.rows().count() == held
+    more = docs.unionByName(spark.createDataFrame([(99, "token: abcdefghij new")], docs.schema))
+    secrets.scan_all(more, again)
+    assert again.rows().count() == held + 1
+    again.extend(docs, version="next")
+    assert again.rows().where("rule_version = 'next'").count() == held
+
+
+def test_thousands_of_matches_in_one_text(spark):
+    text = "é " + " ".join(f"token{'=' if i % 3 else ': '}{'k' * (6 + i % 5)}{i}" for i in range(5000))
+    got = secrets.digest(secrets.scan_all(spark.createDataFrame([(1, text)], "doc_id long, text string"))).first()
+    want = ",".join(f"{k}:{a}:{b}" for a, _, k, b in base_spans(text))
+    assert got.n_assign > 3000 and got.base_sha256 == hashlib.sha256(want.encode()).hexdigest()
+
+
 def test_redaction_keeps_rows_and_columns(spark):
     df = clashing(spark.createDataFrame([(i, t, "en", "s", -1) for i, t in enumerate(secret_texts())], DOCS))
     out = secrets.redact_documents(df)
@@ -445,6 +470,18 @@ def test_toxicity_without_labels_or_rows(spark):
     assert toxicity.drop_toxic(docs.where("false"), none).count() == 0
 
 
+def test_labels_of_one_grade_and_conflicting_labels(spark):
+    docs = spark.createDataFrame([(i, f"words of text {i} {'vile' if i % 2 else ''}", None, None, None) for i in range(40)] * 2, DOCS)
+    only = spark.createDataFrame([(i, 1, 1) for i in range(40)], "doc_id long, quality int, toxic int")
+    assert {r.toxic for r in toxicity.severities(docs, only).collect()} == {True}
+    assert {r.keep for r in cotrain.qualities(docs, only).collect()} == {True}
+    mixed = [(i, 1 - i % 2, i % 2) for i in range(40)] * 2 + [(i, i % 2, 1 - i % 2) for i in range(40)]  # a minority says otherwise
+    got = linear.labelled_sample(docs.dropDuplicates(["doc_id"]), spark.createDataFrame(mixed, "doc_id long, quality int, toxic int").select("doc_id", "toxic"), 100, 1, "toxic").collect()
+    assert len(got) == 40 and all(r.toxic == r.doc_id % 2 for r in got)
+    tied = spark.createDataFrame([(1, 0), (1, 1)], "doc_id long, toxic int")
+    assert [r.toxic for r in linear.labelled_sample(docs.dropDuplicates(["doc_id"]), tied, 100, 1, "toxic").collect()] == [0]
+
+
 def test_cotraining_on_held_out_texts(spark):
     rng = random.Random(4)
     v = vocabulary(4)
@@ -463,6 +500,22 @@ def test_cotraining_on_held_out_texts(spark):
     assert np.mean([r.keep == ("!!" not in docs[r.doc_id][1]) for r in held]) > 0.95
     none = spark.createDataFrame([], "doc_id long, quality int, toxic int")
     assert cotrain.qualities(df, none).count() == 502 and cotrain.qualities(df.where("false"), none).count() == 0
+    both = [r for r in out if r.p_meta > 0.8 or r.p_meta < 0.2]
+    assert len(both) > 100 and np.mean([(r.p_meta > 0.5) == ("!!" not in docs[r.doc_id][1]) for r in both if r.doc_id is not None and r.doc_id < 500]) > 0.85  # a calibrated view
+
+
+def test_statistics_come_from_the_other_views_confident_calls(spark):
+    rng = random.Random(12)
+    rows = [(f"{'fine' if i % 2 else 'foul'} {rng.choice('abcdef')} w{i}", "en", "good" if i % 2 else "bad") for i in range(400)]
+    docs = spark.createDataFrame(rows, "text string, lang string, source string")
+    m = docs.select("text", cotrain.metadata(docs.columns).alias("m"))
+    sure = m.where("text like 'fine%'").first().m
+    meta = cotrain.Part(mix=np.array([-6.0, 1.0, 0.0]), weights=np.zeros(1 << linear.BITS, np.float32))
+    meta.weights[[f for f in sure if f not in m.where("text like 'foul%'").first().m]] = 6.0  # the source decides
+    text, back = cotrain.statistics(m, cotrain.Model(cotrain.Part(), meta, np.array([0.0, 1.0, 1.0])))
+    told = {w: text[linear.present([w.encode()], linear.View())[1]] for w in ("fine", "foul", "a", "w7")}
+    assert told["fine"] > 3 and told["foul"] < -3 and told["a"] == 0 and told["w7"] == 0
+    assert not back.any()  # the text view is sure of nothing
 
 
 def test_word_hashes_do_not_depend_on_place_or_piece(monkeypatch):
