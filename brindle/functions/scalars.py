@@ -114,3 +114,14 @@ def group_key(first: Column, second: Column) -> Column:
 
 def view_scale(ic: float, sigma: Column, z: Column, h: Column) -> Column:
     return ic * sigma * z / F.sqrt(h)
+
+
+def unit(*parts: Column | str | int) -> Column:
+    """A number in [0, 1) from the md5 of the parts joined by a bar, 52 bits of it: the same in any engine."""
+    text = F.concat_ws("|", *[p if isinstance(p, Column) else F.lit(str(p)) for p in parts])
+    return F.conv(F.substring(F.md5(text), 1, 13), 16, 10).cast("bigint") / F.lit(float(2**52))
+
+
+def normal(*parts: Column | str | int) -> Column:
+    """A standard normal number from the same parts."""
+    return F.sqrt(-2 * F.log(1 - unit(*parts, 1))) * F.cos(F.lit(2 * 3.141592653589793) * unit(*parts, 2))

@@ -57,7 +57,8 @@ def shrink(x: np.ndarray, target: str) -> tuple[np.ndarray, float]:
         rho = 0.0
     else:
         outer = np.outer(sd, sd)
-        r = ((s / np.where(outer > 0, outer, 1)).sum() - n) / (n * (n - 1))
+        corr = np.where(outer > 0, s / np.where(outer > 0, outer, 1), 0)  # a flat series correlates with nothing
+        r = (corr.sum() - np.trace(corr)) / (n * (n - 1))
         f = r * outer
         np.fill_diagonal(f, var)
         theta = ((x**3).T @ x) / t - var[:, None] * s
@@ -76,21 +77,220 @@ def shrunk(weekly: DataFrame, target: str, window: int = 156, present: float = 0
         wide = rows.pivot(index="date", columns="series_id", values="ret").sort_index().iloc[-window:]
         wide = wide.loc[:, wide.notna().mean() >= present].fillna(0.0)
         if wide.shape[1] == 0 or len(wide) < 2:
-            return pd.DataFrame({"universe": [key[0]], "a": [None], "b": [None], "cov": [float("nan")], "shrinkage": [float("nan")]}).iloc[:0]
+            return _long(key, [], np.zeros((0, 0)), 0.0)[["universe", "a", "b", "cov", "shrinkage"]]
         c, k = shrink(wide.to_numpy(), target)
-        ids = np.array([str(x) for x in wide.columns], object)
-        return pd.DataFrame({"universe": key[0], "a": np.repeat(ids, len(ids)), "b": np.tile(ids, len(ids)), "cov": c.ravel(), "shrinkage": k})
+        return _long(key, wide.columns, c, k)[["universe", "a", "b", "cov", "shrinkage"]]
 
     return weekly.groupBy("universe").applyInPandas(run, "universe string, a string, b string, cov double, shrinkage double")
 
 
+def _long(key: tuple, ids, c: np.ndarray, k: float) -> pd.DataFrame:
+    ids = np.array([str(x) for x in ids], object)
+    return pd.DataFrame({"universe": key[0], "a": np.repeat(ids, len(ids)), "b": np.tile(ids, len(ids)), "cov": c.ravel(), "shrinkage": k})
+
+
+def ewma(n: int, half_life: float) -> np.ndarray:
+    """Weights of n observations, the newest last, that halve every ``half_life`` and sum to one."""
+    w = 0.5 ** (np.arange(n)[::-1] / half_life)
+    return w / w.sum()
+
+
+def _spread(x: np.ndarray, w: np.ndarray) -> np.ndarray:
+    """Weighted variances of columns."""
+    return w @ (x - w @ x) ** 2
+
+
+def rescaled(c: np.ndarray, x: np.ndarray, half_life: float) -> np.ndarray:
+    """The covariance with its correlations kept and each volatility exchanged for the weighted one of ``x``; flat series become zero."""
+    slow = np.sqrt(np.maximum(np.diag(c), 0))
+    scale = np.where(slow > 0, np.sqrt(_spread(x, ewma(len(x), half_life))) / np.where(slow > 0, slow, 1), 0)
+    return c * np.outer(scale, scale)
+
+
+def rescale_volatility(cov: DataFrame, weekly: DataFrame, half_life: float) -> DataFrame:
+    """(universe, a, b, cov) with correlations kept and volatilities from weights that halve every ``half_life`` weeks.
+
+    weekly: universe, series_id, date, ret; weeks are those of the universe, gaps count as zero. Flat series become zero.
+    """
+    days = weekly.select("universe", "date").distinct().withColumn("k", F.row_number().over(Window.partitionBy("universe").orderBy(F.desc("date"))) - 1)
+    w = F.pow(F.lit(0.5), F.col("k") / half_life)
+    weighed = days.withColumn("w", w / F.sum(w).over(Window.partitionBy("universe"))).drop("k")
+    x = F.coalesce("ret", F.lit(0.0))
+    fast = weekly.join(weighed, ["universe", "date"]).groupBy("universe", "series_id").agg((F.sum(F.col("w") * x * x) - F.pow(F.sum(F.col("w") * x), 2)).alias("fast"))
+    slow = cov.where("a = b").select("universe", F.col("a").alias("series_id"), F.col("cov").alias("slow"))
+    scale = fast.join(slow, ["universe", "series_id"]).select("universe", "series_id", F.when(F.col("slow") > 0, F.sqrt(F.greatest("fast", F.lit(0.0)) / F.col("slow"))).otherwise(0.0).alias("s"))
+    of = lambda side: scale.select("universe", F.col("series_id").alias(side), F.col("s").alias(f"s{side}"))
+    return cov.join(of("a"), ["universe", "a"]).join(of("b"), ["universe", "b"]).select("universe", "a", "b", (F.col("cov") * F.col("sa") * F.col("sb")).alias("cov"))
+
+
+def turbulence(c: np.ndarray, x: np.ndarray, half_life: float) -> float:
+    """The root of mean weighted variance over mean variance: one number for the whole panel."""
+    slow = np.maximum(np.diag(c), 0).mean()
+    return float(np.sqrt(_spread(x, ewma(len(x), half_life)).mean() / slow)) if slow > 0 else 1.0
+
+
+def with_legs(c: np.ndarray, x: np.ndarray, legs: np.ndarray, half_life: float | None = None) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
+    """The covariance with benchmark legs (columns of ``legs``) added after the holdings, through books of the holdings that track them.
+
+    A leg's covariances are those of its tracking book, its variance the book's plus that of what the book misses. Returns the
+    matrix, the books (a row a leg), the missed variances and the R squared.
+    """
+    from .optimise import nnls
+
+    w = np.full(len(x), 1 / len(x)) if half_life is None else ewma(len(x), half_life)
+    books, missed, fit = [], [], []
+    for y in legs.T:
+        heavy = 1e3 * max(float(np.abs(y).mean()), 1e-8) * np.sqrt(len(x))  # asks for a sum of one
+        book = nnls(np.vstack([x, np.full((1, x.shape[1]), heavy)]), np.append(y, heavy))
+        left, total = float(_spread(y - x @ book, w)), float(_spread(y, w))
+        books.append(book)
+        missed.append(left)
+        fit.append(1 - left / total if total > 0 else np.nan)
+    b = np.array(books).reshape(legs.shape[1], x.shape[1])
+    cross = b @ c
+    return np.block([[c, cross.T], [cross, cross @ b.T + np.diag(missed)]]), b, np.array(missed), np.array(fit)
+
+
+def windows_ending(weekly: DataFrame, as_of: DataFrame, window: int) -> DataFrame:
+    """Rows of ``weekly`` (universe, date, ...) once for each of ``as_of`` (universe, as_of) whose last ``window`` periods hold them.
+
+    Dates meet as-of dates by equality on a table of (as_of, date), which is bounded by the calendar. Universes with fewer
+    periods at a date have none there.
+    """
+    days = weekly.select("universe", "date").distinct().withColumn("k", F.row_number().over(Window.partitionBy("universe").orderBy("date")))
+    reach = as_of.select("universe", "as_of").distinct().join(days, "universe").where("date <= as_of").groupBy("universe", "as_of").agg(F.max("k").alias("end")).where(F.col("end") >= window)
+    spans = reach.select("universe", "as_of", F.explode(F.sequence(F.col("end") - window + 1, F.col("end"))).alias("k")).join(days, ["universe", "k"])
+    return weekly.join(spans.select("universe", "as_of", "date"), ["universe", "date"])
+
+
+def trailing(weekly: DataFrame, as_of: DataFrame, legs: list[str], window: int = 156, present: float = 0.9, half_life: float | None = None, overlay: str = "per_series") -> DataFrame:
+    """(universe, as_of, a, b, cov, shrinkage, leg_r2): the covariance that could have been estimated at each as-of date.
+
+    weekly: universe, series_id, date, ret. Series live at the window's start with ``present`` of its periods take part, gaps
+    as zero; shrunk to a constant correlation; with ``half_life``, volatilities follow the weighted ones (``per_series``) or
+    one multiplier (``scalar``); ``legs`` come in through tracking books, after that. ``leg_r2`` is null but on a leg's own
+    diagonal. A universe and date without a whole window, or whose legs lack one, has no rows. One universe's window is a group.
+    """
+    if overlay not in ("per_series", "scalar"):
+        raise ValueError(f"unknown overlay {overlay!r}")
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot(index="date", columns="series_id", values="ret").sort_index()
+        ok = wide.columns[wide.iloc[0].notna() & (wide.notna().mean() >= present)]
+        hold, own = [c for c in ok if c not in legs], [c for c in legs if c in ok]
+        out = pd.DataFrame(columns=["universe", "as_of", "a", "b", "cov", "shrinkage", "leg_r2"])
+        if len(wide) < window or not hold or len(own) < len(legs):
+            return out
+        x = wide[hold].fillna(0.0).to_numpy()
+        c, k = shrink(x, "constant_correlation")
+        if half_life is not None:
+            c = rescaled(c, x, half_life) if overlay == "per_series" else c * turbulence(c, x, half_life) ** 2
+        r2 = np.full(len(hold) + len(own), np.nan)
+        if own:
+            c, _, _, r2[len(hold) :] = with_legs(c, x, wide[own].fillna(0.0).to_numpy(), half_life)
+        out = _long(key, [*hold, *own], c, k)
+        return out.assign(as_of=key[1], leg_r2=np.where(out["a"] == out["b"], np.repeat(r2, len(r2)), np.nan))[["universe", "as_of", "a", "b", "cov", "shrinkage", "leg_r2"]]
+
+    held = windows_ending(weekly, as_of, window)
+    made = held.groupBy("universe", "as_of").applyInPandas(run, "universe string, as_of date, a string, b string, cov double, shrinkage double, leg_r2 double")
+    return made.withColumn("leg_r2", F.when(~F.isnan("leg_r2"), F.col("leg_r2")))
+
+
+def bets(m: np.ndarray) -> float:
+    """The exponential of the entropy of a matrix's eigenvalue shares; nan if they sum to nothing."""
+    v = np.maximum(np.linalg.eigvalsh(m), 0)
+    p = v[v > 0] / v.sum() if v.sum() > 0 else v[:0]
+    return float(np.exp(-(p * np.log(p)).sum())) if len(p) else float("nan")
+
+
+def correlation(c: np.ndarray) -> np.ndarray:
+    """The correlations of a covariance; flat series correlate with nothing."""
+    sd = np.sqrt(np.maximum(np.diag(c), 0))
+    outer = np.outer(sd, sd)
+    r = np.where(outer > 0, c / np.where(outer > 0, outer, 1), 0)
+    np.fill_diagonal(r, 1.0)
+    return r
+
+
 def effective_bets(cov: DataFrame) -> DataFrame:
-    """Per universe the exponential of the entropy of the covariance's eigenvalue shares."""
+    """Per universe the exponential of the entropy of its correlations' eigenvalue shares."""
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         m = rows.pivot(index="a", columns="b", values="cov").to_numpy()
-        v = np.maximum(np.linalg.eigvalsh(m), 0)
-        p = v[v > 0] / v.sum()
-        return pd.DataFrame({"universe": [key[0]], "bets": [float(np.exp(-(p * np.log(p)).sum()))], "n": [len(m)]})
+        return pd.DataFrame({"universe": [key[0]], "bets": [bets(correlation(m))], "n": [len(m)]})
 
     return cov.groupBy("universe").applyInPandas(run, "universe string, bets double, n int")
+
+
+def breadth(weekly: DataFrame, bench: DataFrame, horizons: list[int], least: int = 104, per_year: float = 52.0, target: float = 0.5) -> DataFrame:
+    """(universe, horizon, n_series, bets_total, bets_active, decisions, breadth, implied_ic) over the whole window.
+
+    weekly: universe, series_id, date, ret; bench: date, bench. Series with ``least`` observations take part, dates on which
+    all of them have one. Active returns are those over the benchmark. ``implied_ic`` is the correlation that ``target``
+    (return over risk) asks for: target over the root of breadth, breadth being active bets times ``per_year`` / horizon.
+    """
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        wide = rows.pivot(index="date", columns="series_id", values="ret")
+        total = wide.loc[:, wide.notna().sum() >= least].dropna()
+        if total.shape[1] < 2 or len(total) < 2:
+            return pd.DataFrame({"universe": [], "n_series": [], "bets_total": [], "bets_active": []}).astype({"universe": object, "n_series": "int32"})
+        active = total.sub(rows.groupby("date")["bench"].first().reindex(total.index), axis=0).dropna()
+        return pd.DataFrame({"universe": [key[0]], "n_series": np.array([total.shape[1]], np.int32), "bets_total": [bets(np.corrcoef(total.to_numpy().T))], "bets_active": [bets(np.corrcoef(active.to_numpy().T))]})
+
+    counted = weekly.join(bench, "date").groupBy("universe").applyInPandas(run, "universe string, n_series int, bets_total double, bets_active double")
+    decisions = F.lit(per_year) / F.col("horizon")
+    out = counted.withColumn("horizon", F.explode(F.array(*[F.lit(h) for h in horizons]))).withColumn("decisions", decisions).withColumn("breadth", F.col("bets_active") * F.col("decisions"))
+    return out.select("universe", "horizon", "n_series", "bets_total", "bets_active", "decisions", "breadth", F.when(F.col("breadth") > 0, F.lit(target) / F.sqrt("breadth")).alias("implied_ic"))
+
+
+def transfer(a: np.ndarray, w: np.ndarray, omega: np.ndarray) -> dict[str, float]:
+    """How much of views ``a`` active weights ``w`` carry under the active covariance: three coefficients and the condition number.
+
+    full: a'w over the roots of a' omega^-1 a and w' omega w. diagonal: correlation of a over volatility with w times it.
+    alignment: correlation of a with omega w. What cannot be formed is nan.
+    """
+    out = dict.fromkeys(("full", "diagonal", "alignment"), float("nan")) | {"condition": float(np.linalg.cond(omega))}
+    together = lambda x, y: float(np.corrcoef(x, y)[0, 1]) if min(x.std(), y.std()) >= 1e-15 else float("nan")
+    risk, load = np.sqrt(np.maximum(np.diag(omega), 0)), omega @ w
+    if (risk > 0).all():
+        out["diagonal"] = together(a / risk, w * risk)
+    out["alignment"] = together(a, load)
+    best, var = float(a @ np.linalg.lstsq(omega, a, rcond=1e-8)[0]), float(w @ load)
+    if best > 0 and var > 0:
+        out["full"] = float(a @ w) / np.sqrt(best * var)
+    return out
+
+
+def active_covariance(c: np.ndarray, bench: np.ndarray) -> np.ndarray:
+    """The covariance of each series' return over the benchmark book's."""
+    load = c @ bench
+    return c - load[:, None] - load[None, :] + float(bench @ load)
+
+
+def path_transfer(books: DataFrame, cov: DataFrame) -> DataFrame:
+    """(universe, full, diagonal, alignment, condition_median, condition_max, n_dates): the mean coefficients of a path of books.
+
+    books: universe, date, series_id, w, alpha, bench (benchmark weight); cov: universe, as_of, a, b, cov. One date is one group.
+    """
+    rows = F.array_sort(F.collect_list(F.struct("series_id", "w", "alpha", "bench")))
+    held = books.groupBy("universe", "date").agg(rows.alias("rows"))
+    flat = cov.groupBy("universe", F.col("as_of").alias("date")).agg(F.array_sort(F.collect_list(F.struct("a", "b", "cov"))).alias("cov"))
+
+    def run(batches):
+        for p in batches:
+            out = []
+            for u, d, own, c in zip(p["universe"], p["date"], p["rows"], p["cov"]):
+                m = {(x["a"], x["b"]): x["cov"] for x in c}
+                own = [x for x in own if (x["series_id"], x["series_id"]) in m]
+                if len(own) < 2:
+                    continue
+                ids = [x["series_id"] for x in own]
+                w, a, b = (np.array([x[k] or 0.0 for x in own], float) for k in ("w", "alpha", "bench"))
+                out.append({"universe": u, "date": d, **transfer(a, w - b, active_covariance(np.array([[m[i, j] for j in ids] for i in ids]), b))})
+            yield pd.DataFrame(out, columns=["universe", "date", "full", "diagonal", "alignment", "condition"])
+
+    per = held.join(flat, ["universe", "date"]).mapInPandas(run, "universe string, date date, full double, diagonal double, alignment double, condition double")
+    real = lambda c: F.when(~F.isnan(c), F.col(c))
+    means = [F.avg(real(c)).alias(c) for c in ("full", "diagonal", "alignment")]
+    return per.groupBy("universe").agg(*means, F.median("condition").alias("condition_median"), F.max("condition").alias("condition_max"), F.count(real("full")).alias("n_dates"))

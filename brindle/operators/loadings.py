@@ -365,6 +365,19 @@ def estimated(panel: DataFrame, factors: list[str], method: str, covariance: boo
     return made if covariance else made.drop("cov", "place")
 
 
+def moved_by_the_future(panel: DataFrame, factors: list[str], methods: list[str], cut: str) -> DataFrame:
+    """(method, moved): how many loadings dated before ``cut`` differ when the weeks from then on are not there. Zero, or a method looks ahead."""
+    past = panel.where(F.col("date") < F.lit(cut).cast("date"))
+    out = None
+    for m in methods:
+        whole = estimated(panel, factors, m).where(F.col("date") < F.lit(cut).cast("date")).select("instrument", "date", "factor", F.col("loading").alias("a"))
+        part = estimated(past, factors, m).select("instrument", "date", "factor", F.col("loading").alias("b"))
+        off = F.coalesce(F.abs(F.col("a") - F.col("b")) > 1e-9 * (1 + F.abs("b")), F.lit(True))
+        one = whole.join(part, ["instrument", "date", "factor"], "full").agg(F.count_if(off).alias("moved")).select(F.lit(m).alias("method"), "moved")
+        out = one if out is None else out.unionByName(one)
+    return out
+
+
 def with_peer_prior(loadings: DataFrame, peers: DataFrame, least: int = PEERS) -> DataFrame:
     """Loadings mixed with their class's others as a prior, by precision: the whole covariance of the own ones against the
     others' mean and variance of each factor. Classes of fewer than ``least`` others leave loadings alone.

@@ -10,6 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from ..functions.scalars import unit
 from .lineage import cut
 
 
@@ -44,26 +45,49 @@ def ols(x: str, y: str) -> list[Column]:
     return [F.when(ok, slope).alias("slope"), F.when(ok, se).alias("se"), F.when(ok & (se > 0), slope / se).alias("t"), n.alias("n")]
 
 
+def _ranked(p: DataFrame, family: str | None) -> tuple[DataFrame, list[str]]:
+    """``p`` with its ascending rank ``_i`` among ``_m`` tests, and the columns that its parts in order of p are named by.
+
+    Families are ranked by a window each. One family of all tests is cut into ranges of p, written once; a rank is the place in
+    the range and the sizes of the ranges before it, so no task holds all tests.
+    """
+    if family:
+        w = Window.partitionBy(family)
+        return p.withColumn("_i", F.row_number().over(w.orderBy("p", "test"))).withColumn("_m", F.count("*").over(w)).withColumn("_part", F.lit(0)), [family]
+    parts = cut(p.repartitionByRange("p", "test").withColumn("_part", F.spark_partition_id()))
+    sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
+    before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_m", F.sum("_n").over(Window.partitionBy(F.lit(0))))
+    placed = parts.join(F.broadcast(before.drop("_n")), "_part")
+    return placed.withColumn("_i", F.col("_before") + F.row_number().over(Window.partitionBy("_part").orderBy("p", "test"))).drop("_before"), []
+
+
+def _running(step: DataFrame, name: str, up: bool, by: list[str]) -> DataFrame:
+    """``name``: the running maximum of ``_x`` from the smallest p (``up``), or its running minimum from the largest, at most one."""
+    best = F.max if up else F.min
+    within = Window.partitionBy(*by, "_part").orderBy("_i")
+    rows = within.rowsBetween(Window.unboundedPreceding, 0) if up else within.rowsBetween(0, Window.unboundedFollowing)
+    ends = step.groupBy(*by, "_part").agg(best("_x").alias("_e"))  # one row a range
+    other = Window.partitionBy(*by).orderBy("_part") if by else Window.orderBy("_part")
+    ends = ends.withColumn("_past", best("_e").over(other.rowsBetween(Window.unboundedPreceding, -1) if up else other.rowsBetween(1, Window.unboundedFollowing))).drop("_e")
+    joined = step.join(ends if by else F.broadcast(ends), [*by, "_part"])
+    both = F.greatest if up else F.least
+    return joined.withColumn(name, F.least(both(best("_x").over(rows), F.col("_past")), F.lit(1.0))).drop("_x", "_i", "_m", "_part", "_past")
+
+
 def holm(p: DataFrame, family: str | None = None) -> DataFrame:
-    """Adds ``holm``: running maximum of (m - i + 1) p over ascending p, capped at one. A family is a list of hypotheses: it fits a task."""
-    by = [family] if family else []
-    w = (Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))).orderBy("p", "test")
-    m = F.count("*").over(Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0)))
-    step = p.withColumn("_x", (m - F.row_number().over(w) + 1) * F.col("p"))
-    return step.withColumn("holm", F.least(F.max("_x").over(w.rowsBetween(Window.unboundedPreceding, 0)), F.lit(1.0))).drop("_x")
+    """Adds ``holm``: running maximum of (m - i + 1) p over ascending p, at most one."""
+    ranked, by = _ranked(p, family)
+    return _running(ranked.withColumn("_x", (F.col("_m") - F.col("_i") + 1) * F.col("p")), "holm", True, by)
 
 
 def step_up(p: DataFrame, name: str, dependent: bool = False, family: str | None = None) -> DataFrame:
     """Adds Benjamini-Hochberg (or, ``dependent``, Benjamini-Yekutieli) adjusted p: reverse running minimum of c m p / i."""
-    by = [family] if family else []
-    part = Window.partitionBy(*by) if by else Window.partitionBy(F.lit(0))
-    w = part.orderBy("p", "test")
-    m = F.count("*").over(part)
-    c = F.aggregate(F.sequence(F.lit(1).cast("bigint"), m), F.lit(0.0), lambda a, i: a + 1 / i) if dependent else F.lit(1.0)
-    step = p.withColumn("_i", F.row_number().over(w)).withColumn("_m", m)
-    step = step.withColumn("_c", c if not dependent else F.aggregate(F.sequence(F.lit(1).cast("bigint"), F.col("_m")), F.lit(0.0), lambda a, i: a + 1 / i))
-    step = step.withColumn("_x", F.col("_c") * F.col("_m") * F.col("p") / F.col("_i"))
-    return step.withColumn(name, F.least(F.min("_x").over(w.rowsBetween(0, Window.unboundedFollowing)), F.lit(1.0))).drop("_i", "_m", "_c", "_x")
+    ranked, by = _ranked(p, family)
+    c = F.lit(1.0)
+    if dependent:  # the harmonic number of m: one for each family, not one for each test
+        sums = ranked.groupBy(*by).agg(F.sum(1 / F.col("_i")).alias("_c"))
+        ranked, c = (ranked.join(sums, by) if by else ranked.crossJoin(F.broadcast(sums))), F.col("_c")  # one row without families
+    return _running(ranked.withColumn("_x", c * F.col("_m") * F.col("p") / F.col("_i")), name, False, by).drop("_c")
 
 
 def marginal_p(t: DataFrame, null: DataFrame) -> DataFrame:
@@ -73,26 +97,24 @@ def marginal_p(t: DataFrame, null: DataFrame) -> DataFrame:
 
 
 def standardised_columns(t: DataFrame, null: DataFrame) -> tuple[DataFrame, DataFrame]:
-    """Both tables on the scale of the pooled k + 1 values of each test."""
-    pool = null.select("test", F.col("t0").alias("x")).unionByName(t.select("test", F.col("t").alias("x"))).groupBy("test").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s")).where("s > 0")
+    """Both tables on the scale of the pooled k + 1 values of each test. Refuses tests without spread: leaving them out would shrink the family."""
+    pool = null.select("test", F.col("t0").alias("x")).unionByName(t.select("test", F.col("t").alias("x"))).groupBy("test").agg(F.avg("x").alias("m"), F.stddev_samp("x").alias("s"))
+    pool = pool.withColumn("s", F.when((F.col("s") > 0) & (F.col("s") < float("inf")), F.col("s")).otherwise(F.raise_error(F.concat(F.lit("no finite spread in the null of test "), F.col("test").cast("string"))).cast("double")))
     return t.join(pool, "test").select("test", ((F.col("t") - F.col("m")) / F.col("s")).alias("t")), null.join(pool, "test").select("draw", "test", ((F.col("t0") - F.col("m")) / F.col("s")).alias("t0"))
 
 
 def romano_wolf(t: DataFrame, null: DataFrame, alpha: float = 0.05) -> DataFrame:
     """Stepdown by the maximum over tests still active: (test, p, rejected).
 
-    Each round is one aggregation over the draws; rounds end with the first that rejects nothing. Only rejected test ids,
-    a few per round, and per-round counts pass through the driver.
+    Each round is one aggregation over the draws, to a sorted list of their maxima: one number a draw, which is held against
+    every test. Rounds end with the first that rejects nothing. Only counts pass through the driver.
     """
     active, floor, parts = t, 0.0, []
     while True:
         top = null.join(active.select("test"), "test", "left_semi").groupBy("draw").agg(F.max("t0").alias("top"))
-        k = top.count()
-        # Tests per round are few next to draws; ranks come from one sort of draws and tests together.
-        both = top.select(F.col("top").alias("x"), F.lit(1).alias("is_draw"), F.lit(None).cast(t.schema["test"].dataType).alias("test")).unionByName(active.select(F.col("t").alias("x"), F.lit(0).alias("is_draw"), "test"))
-        at_or_above = F.sum("is_draw").over(Window.partitionBy(F.lit(0)).orderBy(F.desc("x")))
-        p = both.withColumn("p", F.greatest((1 + at_or_above) / F.lit(1.0 + k), F.lit(floor))).where("is_draw = 0").select("test", "p")
-        p = cut(p)
+        tops = top.agg(F.array_sort(F.collect_list("top")).alias("tops"))  # bounded by the number of draws
+        at_or_above = F.aggregate("tops", F.lit(0), lambda n, x: n + (x >= F.col("t")).cast("int"))
+        p = cut(active.crossJoin(F.broadcast(tops)).select("test", F.greatest((1 + at_or_above) / (1.0 + F.size("tops")), F.lit(floor)).alias("p")))  # one row of maxima
         hit = p.where(F.col("p") <= alpha)
         if hit.isEmpty():
             parts.append(p.withColumn("rejected", F.lit(False)))
@@ -108,32 +130,35 @@ def romano_wolf(t: DataFrame, null: DataFrame, alpha: float = 0.05) -> DataFrame
     return out
 
 
-def gfwer_rejections(t: np.ndarray, null: np.ndarray, g: int, alpha: float) -> np.ndarray:
-    """Stepdown that controls the chance of ``g`` or more false rejections; g = 1 is the plain one.
+def gfwer_adjusted(t: np.ndarray, null: np.ndarray, g: int, alpha: float) -> np.ndarray:
+    """Adjusted p of a stepdown that controls the chance of ``g`` or more false rejections; g = 1 is the plain one.
 
     Later rounds allow for g - 1 of the rejected being false: each choice of them joins the active tests, the worst one counts.
+    With fewer than g rejections so far nothing more is rejected: what is left has one. p never falls from round to round.
     """
     k, m = null.shape
-    rejected = np.zeros(m, bool)
-    while True:
-        active = np.flatnonzero(~rejected)
-        if not len(active):
-            return rejected
-        done = np.flatnonzero(rejected)
-        ways = itertools.combinations(done, g - 1) if len(done) >= g else [tuple(done)]
-        p = np.zeros(len(active))
-        for way in ways:
+    p, rejected, floor, first = np.ones(m), np.zeros(m, bool), 0.0, True
+    while not rejected.all():
+        active, done = np.flatnonzero(~rejected), np.flatnonzero(rejected)
+        if not first and len(done) < g:
+            break
+        worst = np.zeros(len(active))
+        for way in [()] if first else itertools.combinations(done, g - 1):
             pool = np.concatenate([active, np.array(way, int)])
             top = np.full(k, -np.inf) if len(pool) < g else np.partition(null[:, pool], len(pool) - g, axis=1)[:, len(pool) - g]
-            p = np.maximum(p, (1 + (top[:, None] >= t[active][None, :]).sum(axis=0)) / (k + 1))
-        fresh = active[p <= alpha]
-        if not len(fresh):
-            return rejected
-        rejected[fresh] = True
+            worst = np.maximum(worst, (1 + (top[:, None] >= t[active][None, :]).sum(axis=0)) / (k + 1))
+        fresh = worst <= alpha
+        if not fresh.any():
+            p[active] = np.maximum(floor, worst)
+            break
+        p[active[fresh]] = np.maximum(floor, worst[fresh])
+        floor, first = max(floor, float(worst[fresh].max())), False
+        rejected[active[fresh]] = True
+    return p
 
 
 def gfwer(t: DataFrame, null: DataFrame, g: int = 2, alpha: float = 0.05) -> DataFrame:
-    """(family, test, rejected). t: family, test, t; null: family, draw, test, t0. A family of tests is one group: a list of hypotheses.
+    """(family, test, p, rejected). t: family, test, t; null: family, draw, test, t0. A family of tests is one group: a list of hypotheses.
     A test that a draw lacks is exceeded by none in it.
     """
     sets = F.array_sort(F.collect_list(F.struct("draw", "t0")))
@@ -141,35 +166,45 @@ def gfwer(t: DataFrame, null: DataFrame, g: int = 2, alpha: float = 0.05) -> Dat
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
         wide = pd.DataFrame({i: pd.Series(x, index=d) for i, (d, x) in enumerate(zip(rows["draws"], rows["t0"]))}).fillna(-np.inf)
-        hit = gfwer_rejections(rows["t"].to_numpy(float), wide.to_numpy(), g, alpha)
-        return pd.DataFrame({"family": key[0], "test": rows["test"], "rejected": hit})
+        p = gfwer_adjusted(rows["t"].to_numpy(float), wide.to_numpy(), g, alpha)
+        return pd.DataFrame({"family": key[0], "test": rows["test"], "p": p, "rejected": p <= alpha})
 
     kind = dict(t.dtypes)
-    return t.join(drawn, ["family", "test"]).groupBy("family").applyInPandas(run, f"family {kind['family']}, test {kind['test']}, rejected boolean")
+    return t.join(drawn, ["family", "test"]).groupBy("family").applyInPandas(run, f"family {kind['family']}, test {kind['test']}, p double, rejected boolean")
+
 
+def gate(t: DataFrame, null: DataFrame, alpha: float = 0.05, g: int = 2, small: int = 2, shuffles: int = 200, standardise: bool = True) -> DataFrame:
+    """(test, p, rejected, g, n_tests, n_shuffles): the search's verdict. Fewer draws than ``shuffles`` are refused.
 
-def block_order(n: int, block: int, seed: int) -> list[int]:
-    """Row order after a permutation of contiguous blocks; the short last block is a block of its own."""
-    blocks = [list(range(i, min(i + block, n))) for i in range(0, n, block)]
-    return [r for i in np.random.default_rng(seed).permutation(len(blocks)) for r in blocks[i]]
+    A search of fewer than ``small`` tests takes g = 1: with a set smaller than g a single test would pass unconditionally.
+    """
+    m, k = t.count(), null.agg(F.count_distinct("draw")).first()[0]
+    if k < shuffles:
+        raise ValueError(f"{k} shuffles, at least {shuffles} are needed")
+    own = 1 if m < small else g
+    if standardise:
+        t, null = standardised_columns(t, null)
+    out = gfwer(t.withColumn("family", F.lit(0)), null.withColumn("family", F.lit(0)), own, alpha)
+    return out.select("test", "p", "rejected", F.lit(own).alias("g"), F.lit(m).cast("long").alias("n_tests"), F.lit(k).cast("long").alias("n_shuffles"))
 
 
 def block_permuted(rows: DataFrame, block: int, seed: int) -> DataFrame:
-    """(series_id, date, value) with values moved in whole blocks of dates, one permutation for all series; dates stay."""
-    dates = [r[0] for r in rows.select("date").distinct().orderBy("date").collect()]  # one value a date of the calendar
-    order = block_order(len(dates), block, seed)
-    moved = rows.sparkSession.createDataFrame([(dates[src], dates[dst]) for dst, src in enumerate(order)], "date date, to date")
-    return rows.join(F.broadcast(moved), "date").select("series_id", F.col("to").alias("date"), *[c for c in rows.columns if c not in ("series_id", "date")])
+    """(series_id, date, value) with values moved in whole blocks of dates, one permutation for all series; dates stay.
+
+    Blocks are put in the order of a hash; the short last block is a block of its own. The calendar has one row a date.
+    """
+    days = rows.select("date").distinct().withColumn("k", F.row_number().over(Window.orderBy("date")) - 1).withColumn("b", F.floor(F.col("k") / block))
+    moved = days.withColumn("at", F.row_number().over(Window.orderBy(unit("block", seed, F.col("b").cast("string")), "k")) - 1)
+    to = moved.join(days.select(F.col("k").alias("at"), F.col("date").alias("to")), "at").select("date", "to")
+    return rows.join(F.broadcast(to), "date").select("series_id", F.col("to").alias("date"), *[c for c in rows.columns if c not in ("series_id", "date")])
 
 
 def bootstrap_starts(spark: SparkSession, weeks: int, block: int, draws: int, seed: int) -> DataFrame:
-    """(draw, slot, week): for each draw the source week of each slot; starts are uniform in [0, weeks - block], cut at ``weeks``."""
-    rng = np.random.default_rng(seed)
+    """(draw, slot, week): for each draw the source week of each slot; starts are uniform in [0, weeks - block], by hash, cut at ``weeks``."""
     per = math.ceil(weeks / block)
-    starts = rng.integers(0, weeks - block + 1, size=(draws, per))
-    rows = [(int(d), int(j), int(s)) for d in range(draws) for j, s in enumerate(starts[d])]
-    table = spark.createDataFrame(rows, "draw int, j int, start int")
-    out = table.select("draw", (F.col("j") * block).alias("first"), "start", F.posexplode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o", "k"))
+    grid = spark.range(draws * per).select(F.floor(F.col("id") / per).cast("int").alias("draw"), (F.col("id") % per).cast("int").alias("j"))
+    start = F.floor(unit("start", seed, F.col("draw").cast("string"), F.col("j").cast("string")) * (weeks - block + 1)).cast("int")
+    out = grid.select("draw", (F.col("j") * block).alias("first"), start.alias("start"), F.posexplode(F.sequence(F.lit(0), F.lit(block - 1))).alias("o", "k"))
     return out.select("draw", (F.col("first") + F.col("o")).alias("slot"), (F.col("start") + F.col("o")).alias("week")).where(F.col("slot") < weeks)
 
 

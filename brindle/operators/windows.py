@@ -39,6 +39,13 @@ def drawdown(active: DataFrame) -> DataFrame:
     return grown.select("series_id", "date", "wealth", (F.col("wealth") / F.max("wealth").over(up_to) - 1).alias("drawdown"))
 
 
+def risk_path(active: DataFrame, n: int = 156, per_year: int = 52) -> DataFrame:
+    """``active`` (series_id, date, active) with ``te`` and ``drawdown`` of the same rows: one exchange and one sort for all windows."""
+    w, up_to = trailing(n), of_series().rowsBetween(Window.unboundedPreceding, 0)
+    grown = active.withColumn("te", full(F.stddev_samp("active").over(w) * F.sqrt(F.lit(per_year)), F.col("active"), n, w)).withColumn("_wealth", F.product(1 + F.col("active")).over(up_to))
+    return grown.withColumn("drawdown", F.col("_wealth") / F.max("_wealth").over(up_to) - 1).drop("_wealth")
+
+
 def information_ratio(x: Column, per_year: int = 52) -> Column:
     """Mean over deviation, annualised; null for fewer than two values or no spread."""
     sd = F.stddev_samp(x)

@@ -273,16 +273,6 @@ def where_fill(spark, sf):
     return h.weekly(spark, sf).select("series_id", "date", F.coalesce(F.when(F.col("ret") > -0.5, F.col("ret")), F.lit(0.0)).alias("ret"))
 
 
-@query("k15_rescaled_volatility", "WITH f AS (SELECT series_id, stddev_samp(ret) FILTER (date >= DATE '2000-01-01') AS fast, stddev_samp(ret) AS slow FROM weekly GROUP BY 1), c AS (SELECT a.series_id AS a, b.series_id AS b, covar_samp(a.ret, b.ret) AS cov FROM weekly a JOIN weekly b USING (date) WHERE a.series_id IN ('S1', 'S2', 'S3') AND b.series_id IN ('S1', 'S2', 'S3') GROUP BY 1, 2) SELECT a, b, r(cov * x.fast / x.slow * y.fast / y.slow) AS cov FROM c JOIN f x ON x.series_id = a JOIN f y ON y.series_id = b")
-def rescaled(spark, sf):
-    w = h.weekly(spark, sf)
-    f = w.groupBy("series_id").agg((F.stddev_samp(F.when(F.col("date") >= F.lit("2000-01-01").cast("date"), F.col("ret"))) / F.stddev_samp("ret")).alias("k"))
-    some = w.where("series_id in ('S1', 'S2', 'S3')").join(f, "series_id")
-    other = some.select(F.col("series_id").alias("b"), "date", F.col("ret").alias("y"), F.col("k").alias("kb"))
-    c = some.join(other, "date").groupBy(F.col("series_id").alias("a"), "b").agg((F.covar_samp("ret", "y") * F.first("k") * F.first("kb")).alias("cov"))
-    return c
-
-
 @query("k25_alpha_from_views", f"WITH {_EXPOSURE}, v AS (SELECT date, factor, 0.01 * exposure AS v FROM e) SELECT w.date, w.series_id, r(coalesce(sum(x.x * v.v), 0) * (m.market <> '')::INT) AS alpha FROM weights w JOIN meta m USING (series_id) LEFT JOIN x USING (series_id) LEFT JOIN v ON v.date = w.date AND v.factor = x.factor GROUP BY w.date, w.series_id, m.market")
 def alpha(spark, sf):
     m = h.meta(spark, sf)
@@ -310,7 +300,15 @@ def resolved(spark, sf):
     return h.runs(spark, sf).select("run_id", F.coalesce(F.when(F.col("hypothesis") < 10, "cell"), F.when(F.col("status") == "F", "params"), F.lit("none")).alias("overlay"))
 
 
-@query("k30_six_factors")
+_LAST = "(SELECT series_id, f.date, arg_max(level, l.date) AS level FROM levels l JOIN fridays f ON l.date <= f.date AND l.date > f.date - 7 WHERE level IS NOT NULL GROUP BY 1, 2)"
+_CHANGE = "max(CASE WHEN series_id = '{s}' THEN {x} END)"
+
+
+@query("k30_six_factors", f"""
+WITH g AS (SELECT s.series_id, f.date, level FROM (SELECT DISTINCT series_id FROM levels WHERE series_id IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6')) s CROSS JOIN fridays f LEFT JOIN {_LAST} USING (series_id, date)),
+c AS (SELECT series_id, date, ln(level / lag(level) OVER w) AS lg, level - lag(level) OVER w AS df FROM g WINDOW w AS (PARTITION BY series_id ORDER BY date)),
+u AS (SELECT CASE WHEN median(level) >= 20 THEN 1.0::DOUBLE ELSE 100.0::DOUBLE END AS scale FROM levels WHERE series_id = 'S4')
+SELECT date, {', '.join(f"r({_CHANGE.format(s=s, x=x)}) AS {k}" for k, s, x in (('equity', 'S1', 'lg'), ('real_yield', 'S2', 'df'), ('breakeven', 'S3', 'df'), ('credit', 'S4', 'df * scale'), ('dollar', 'S5', 'lg'), ('commodities', 'S6', 'lg')))} FROM c, u GROUP BY 1""")
 def six_factors(spark, sf):
     roles = dict(zip(("equity", "real_yield", "breakeven", "credit", "dollar", "commodities"), ("S1", "S2", "S3", "S4", "S5", "S6")))
     return factors.frame(h.levels(spark, sf), h.fridays(spark, sf), roles)
@@ -318,10 +316,10 @@ def six_factors(spark, sf):
 
 @query("k65_nine_vetoes")
 def nine(spark, sf):
-    a = active(spark, sf).where("series_id = 'S1'")
+    a = active(spark, sf)
     v = h.vintages(spark, sf)
     context = {
-        "cash": h.weights(spark, sf).where("series_id = 'S1'"),
+        "cash": h.weights(spark, sf).where("series_id = 'S1'"),  # the cash line of the book
         "weights": h.weights(spark, sf),
         "active": a,
         "te": windows.tracking_error(a, 26),

@@ -2,10 +2,9 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from ..operators import loadings, optimise, stats, windows
+from ..operators import loadings, windows
 from ..sources import hosted as h
 from ..sources import synthetic
 from .registry import query
@@ -29,7 +28,10 @@ def _method(name: str, method: str):
     return run
 
 
-ols = _method("k31_rolling_ols", "ols")
+def ols(spark, sf):
+    return loadings.estimated(panel(spark, sf), FACTORS, "ols")
+
+
 _method("k32_huber_m", "huber")
 _method("k34_regime_conditional", "regime")
 _method("k35_discount_filter", "discount")
@@ -43,30 +45,10 @@ def peer_prior(spark, sf):
     return loadings.with_peer_prior(loadings.estimated(panel(spark, sf), FACTORS, "ols", covariance=True), peers)
 
 
-@query("k38_predicted_losses")
 def losses(spark, sf):
     return loadings.predicted_losses(ols(spark, sf), panel(spark, sf), FACTORS).groupBy("instrument").agg(F.avg("loss").alias("loss"), F.count("*").alias("n"))
 
 
-@query("k20_long_only_books")
-def books(spark, sf):
-    """Each fourth Friday's book over eight series: score as alpha, equal weights as benchmark, a diagonal covariance."""
-    some = h.scores(spark, sf).where("series_id in ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8')").where(F.pmod(F.datediff("date", F.lit("1995-01-06").cast("date")), F.lit(28)) == 0)
-    w = Window.partitionBy("date")
-    k = F.row_number().over(w.orderBy("series_id")) - 1
-    n = F.count("*").over(w)
-    x = some.withColumn("k", k).withColumn("n", n)
-    row = F.transform(F.sequence(F.lit(0), (F.col("n") - 1).cast("int")), lambda i: F.when(i == F.col("k"), 0.04).otherwise(0.01))
-    p = x.select("date", "series_id", (F.col("score") / 1000).alias("alpha"), (1 / F.col("n")).alias("bench"), (1 / F.col("n")).alias("before"), F.lit(0.001).alias("cost"), row.alias("row"))
-    return optimise.solved_books(p, 0.06)
-
-
-@query("k52_planted_signal")
-def planted(spark, sf):
-    d = h.scores(spark, sf).where("fwd is not null").select("series_id", "date", F.col("fwd").alias("z"))
-    return synthetic.planted_scores(d, 0.1, 5).join(d, ["series_id", "date"]).agg(F.corr("score", "z").alias("ic"), F.count("*").alias("n"))
-
-
 @query("a32_synthetic_levels")
 def levels(spark, sf):
     return synthetic.levels(spark, 20, "1999-01-04", "2001-12-31", 1).groupBy("series_id").agg(F.count("*").alias("n"), F.min("date").alias("first"))
@@ -83,18 +65,11 @@ def bias_map(spark, sf):
     return synthetic.simulated_maxima(spark, 2000, 10, 52, 3).agg(F.percentile("worst_bias", q).alias("worst_bias"), F.percentile("drawdown", q).alias("drawdown"))
 
 
-@query("k51_error_rates")
-def error_rates(spark, sf):
-    """Replicated families of ten tests, three of them false: error rates and power of three procedures."""
-    z = F.sqrt(-2 * F.log((F.pmod(F.xxhash64(F.lit(1), "rep", "test"), F.lit(1 << 30)) + 1) / float((1 << 30) + 1))) * F.cos(2 * 3.141592653589793 * F.pmod(F.xxhash64(F.lit(2), "rep", "test"), F.lit(1 << 30)) / float(1 << 30))
-    reps = spark.range(500).select(F.col("id").alias("rep"), F.explode(F.sequence(F.lit(0), F.lit(9))).alias("test"))
-    x = reps.withColumn("t", z + F.when(F.col("test") < 3, 3.0).otherwise(0.0))
-    p = x.withColumn("p", 1 / (1 + F.exp(1.5976 * F.col("t") + 0.070566 * F.pow("t", 3)))).select("rep", "test", "p")
-    both = stats.step_up(stats.step_up(stats.holm(p, "rep"), "bh", family="rep"), "by_p", dependent=True, family="rep")
-    long = both.unpivot(["rep", "test"], ["holm", "bh", "by_p"], "procedure", "q")
-    per = long.groupBy("procedure", "rep").agg(F.count_if((F.col("q") <= 0.05) & (F.col("test") >= 3)).alias("v"), F.count_if((F.col("q") <= 0.05) & (F.col("test") < 3)).alias("s"))
-    r = F.col("v") + F.col("s")
-    return per.groupBy("procedure").agg(F.avg((F.col("v") > 0).cast("int")).alias("fwer"), F.avg((F.col("v") >= 2).cast("int")).alias("p2"), F.avg(F.col("v") / F.greatest(r, F.lit(1))).alias("fdr"), F.avg(F.when(r > 0, F.col("v") / r)).alias("pfdr"), F.avg(F.col("s") / 3).alias("power"))
+@query("k37_no_lookahead", "SELECT m AS method, 0::BIGINT AS moved FROM (VALUES ('ols'), ('huber'), ('discount'), ('reverting')) t(m)")
+def no_lookahead(spark, sf):
+    """Loadings of the weeks before 1998 from all weeks and from those weeks alone: cells that differ, by estimator."""
+    p = panel(spark, sf)
+    return loadings.moved_by_the_future(p, FACTORS, ["ols", "huber", "discount", "reverting"], "1998-01-01")
 
 
 @query("e39_rank_agreement")

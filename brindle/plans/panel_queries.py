@@ -19,10 +19,7 @@ d AS (SELECT *, wealth / max(wealth) OVER (PARTITION BY series_id ORDER BY date)
 SELECT series_id, count(*) AS weeks, r(avg(active) * 52 / (stddev_samp(active) * sqrt(52))) AS ir, r(max(te)) AS worst_te, r(min(dd)) AS drawdown FROM d GROUP BY 1""")
 def flagship(spark, sf):
     a = windows.active_returns(h.weekly(spark, sf).where("ret is not null"), h.bench(spark, sf))
-    t = windows.tracking_error(a, 26)
-    d = windows.drawdown(a)
-    path = a.join(t, ["series_id", "date"]).join(d, ["series_id", "date"])
-    return path.groupBy("series_id").agg(F.count("*").alias("weeks"), windows.information_ratio(F.col("active")).alias("ir"), F.max("te").alias("worst_te"), F.min("drawdown").alias("drawdown"))
+    return windows.risk_path(a, 26).groupBy("series_id").agg(F.count("*").alias("weeks"), windows.information_ratio(F.col("active")).alias("ir"), F.max("te").alias("worst_te"), F.min("drawdown").alias("drawdown"))
 
 
 @query("b1_to_missing", """

@@ -12,21 +12,21 @@ from ..sources import hosted
 Query = Callable[[SparkSession, str], DataFrame]
 QUERIES: dict[str, Query] = {}
 ORACLES: dict[str, str] = {}
-#: Decimals to which registered queries and their SQL round doubles, so that the order of a sum does not show.
-DECIMALS = 6
-#: Added before rounding, on both sides: two engines may round an exact half apart.
-NUDGE = 2.7e-8
 
 
-def rounded(df: DataFrame) -> DataFrame:
-    return df.select(*[F.round(F.col(f"`{c}`") + NUDGE, DECIMALS).alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
+def comparable(df: DataFrame) -> DataFrame:
+    """Doubles in single precision, about seven significant digits: registered queries are held against SQL, where the order of a sum shows.
+
+    Operators themselves return what they compute.
+    """
+    return df.select(*[F.col(f"`{c}`").cast("float").cast("double").alias(c) if t == "double" else F.col(f"`{c}`") for c, t in df.dtypes])
 
 
 def query(name: str, sql: str | None = None) -> Callable[[Query], Query]:
-    """Register a query under ``name``; ``sql`` may use the hosted tables by name and ``r(x)`` for the rounding."""
+    """Register a query under ``name``; ``sql`` may use the hosted tables by name and ``r(x)`` for the same precision."""
 
     def keep(f: Query) -> Query:
-        QUERIES[name] = lambda spark, sf_dir: rounded(f(spark, sf_dir))
+        QUERIES[name] = lambda spark, sf_dir: comparable(f(spark, sf_dir))
         if sql is not None:
             ORACLES[name] = hosted.with_tables(sql)
         return f

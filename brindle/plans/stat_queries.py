@@ -293,16 +293,11 @@ def marginal(spark, sf):
     return stats.marginal_p(*draws(spark, sf))
 
 
-@query("k45_standardised_columns", f"WITH {_NULLS}, p AS (SELECT test, avg(x) AS m, stddev_samp(x) AS s FROM (SELECT test, t AS x FROM t UNION ALL SELECT test, t0 FROM n) GROUP BY 1) SELECT test, r((t - m) / s) AS t FROM t JOIN p USING (test) WHERE s > 0")
+@query("k45_standardised_columns", f"WITH {_NULLS}, p AS (SELECT test, avg(x) AS m, stddev_samp(x) AS s FROM (SELECT test, t AS x FROM t UNION ALL SELECT test, t0 FROM n) GROUP BY 1) SELECT test, r((t - m) / s) AS t FROM t JOIN p USING (test)")
 def standardised(spark, sf):
     return stats.standardised_columns(*draws(spark, sf))[0]
 
 
-@query("k46_romano_wolf")
-def romano_wolf(spark, sf):
-    return stats.romano_wolf(*stats.standardised_columns(*draws(spark, sf)))
-
-
 @query("k47_generalised_stepdown")
 def generalised(spark, sf):
     t, n = stats.standardised_columns(*draws(spark, sf))
@@ -310,33 +305,19 @@ def generalised(spark, sf):
     return stats.gfwer(t.select(family, "test", "t"), n.select(family, "draw", "test", "t0"))
 
 
-@query("k40_block_permuted")
-def permuted(spark, sf):
-    return stats.block_permuted(h.weekly(spark, sf), 13, 7)
-
-
-@query("k39_block_bootstrap")
-def bootstrap(spark, sf):
-    weeks = h.bench(spark, sf).where("bench is not null").withColumn("week", F.row_number().over(Window.orderBy("date")) - 1)  # one row a week
-    n = weeks.count()
-    x = h.weekly(spark, sf).where("ret is not null").join(weeks, "date").select(F.col("series_id").alias("name"), "week", F.col("ret").alias("x"))
-    return stats.block_bootstrap(x, stats.bootstrap_starts(spark, n, 13, 20, 3))
-
-
 @query("k11_cross_region_covariance", """
-WITH d AS (SELECT r.series_id, r.date, r.ret, m.region FROM returns r JOIN meta m USING (series_id) WHERE series_id IN ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8')),
+WITH d AS (SELECT r.series_id, r.date, r.ret, m.region FROM returns r JOIN meta m USING (series_id)),
 o AS (SELECT series_id, date, region, CASE WHEN count(ret) OVER w = 2 THEN product(1 + ret) OVER w - 1 END AS ret FROM d WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS 1 PRECEDING)),
 p AS (SELECT a.series_id AS a, b.series_id AS b, covar_samp(a.ret, b.ret) AS cov, count(*) AS n FROM d a JOIN d b ON a.date = b.date AND a.series_id <= b.series_id AND a.region = b.region WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2),
 x AS (SELECT a.series_id AS a, b.series_id AS b, covar_samp(a.ret, b.ret) / 2 AS cov, count(*) AS n FROM o a JOIN o b ON a.date = b.date AND a.series_id < b.series_id AND a.region <> b.region WHERE a.ret IS NOT NULL AND b.ret IS NOT NULL GROUP BY 1, 2)
 SELECT a, b, r(cov) AS cov, n FROM p WHERE n >= 60 UNION ALL SELECT a, b, r(cov), n FROM x WHERE n >= 60""")
 def cross_region(spark, sf):
-    some = h.returns(spark, sf).where("series_id in ('S1', 'S2', 'S3', 'S4', 'S5', 'S6', 'S7', 'S8')")
-    return covariance.cross_region(some, h.meta(spark, sf))
+    return covariance.cross_region(h.returns(spark, sf), h.meta(spark, sf))
 
 
-@query("k12_cross_region_pairs", "SELECT a.series_id AS a, b.series_id AS b FROM meta a JOIN meta b ON a.series_id < b.series_id AND a.region <> b.region WHERE a.bucket = 'low' AND b.bucket = 'low'")
+@query("k12_cross_region_pairs", "SELECT a.series_id AS a, b.series_id AS b FROM meta a JOIN meta b ON a.series_id < b.series_id AND a.region <> b.region")
 def pairs(spark, sf):
-    return covariance.cross_region_pairs(h.meta(spark, sf).where("bucket = 'low'"))
+    return covariance.cross_region_pairs(h.meta(spark, sf))
 
 
 @query("k28_factor_covariance", """
@@ -347,18 +328,6 @@ def factor_covariance(spark, sf):
     return covariance.trailing_pairs(f, 156)
 
 
-@query("k13_ledoit_wolf")
-def ledoit_wolf(spark, sf):
-    m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"))
-    return covariance.shrunk(h.weekly(spark, sf).join(m, "series_id"), "constant_correlation", present=0.5)
-
-
-@query("k14_ledoit_wolf_identity")
-def identity(spark, sf):
-    m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"))
-    return covariance.shrunk(h.weekly(spark, sf).join(m, "series_id"), "identity", present=0.5)
-
-
 @query("k18_effective_bets")
 def bets(spark, sf):
     m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"))

@@ -61,10 +61,10 @@ def forward_sum(spark, sf):
 
 
 @query("e18_drawdown", f"""
-WITH {_ACTIVE}, g AS (SELECT series_id, date, product(1 + active) OVER {_W}) AS wealth FROM a WHERE date < DATE '1998-01-01')
+WITH {_ACTIVE}, g AS (SELECT series_id, date, product(1 + active / 100) OVER {_W}) AS wealth FROM a)
 SELECT series_id, date, r(wealth) AS wealth, r(wealth / max(wealth) OVER {_W}) - 1) AS drawdown FROM g""")
 def drawdown(spark, sf):
-    return windows.drawdown(active(spark, sf).where("date < date'1998-01-01'"))
+    return windows.drawdown(active(spark, sf).withColumn("active", F.col("active") / 100))
 
 
 @query("e19_turnover_quantile", f"""
@@ -100,10 +100,10 @@ def valid(spark, sf):
 
 
 @query("e24_robust_scale", f"""
-WITH w AS (SELECT series_id, date, list(ret) FILTER (ret IS NOT NULL) OVER {_W} ROWS 12 PRECEDING) AS xs FROM weekly WHERE series_id LIKE 'S1%'),
+WITH w AS (SELECT series_id, date, list(ret) FILTER (ret IS NOT NULL) OVER {_W} ROWS 12 PRECEDING) AS xs FROM weekly),
 m AS (SELECT *, list_median(xs) AS m FROM w) SELECT series_id, date, r(1.4826 * list_median(list_transform(xs, lambda x: abs(x - m)))) AS scale FROM m""")
 def robust(spark, sf):
-    return windows.robust_scale(h.weekly(spark, sf).where("series_id like 'S1%'"), 13)
+    return windows.robust_scale(h.weekly(spark, sf), 13)
 
 
 @query("e25_explained_share", f"""

@@ -44,7 +44,7 @@ SQL = {
                   FROM lineitem WHERE isodow(CAST(l_shipdate AS DATE)) = 5 GROUP BY 1, 2)""",
     "scores": """SELECT date, series_id, q AS score, lead(q) OVER (PARTITION BY series_id ORDER BY date) AS fwd FROM (SELECT CAST(l_shipdate AS DATE) AS date, 'S' || l_suppkey AS series_id, max(l_quantity) AS q
                  FROM lineitem WHERE isodow(CAST(l_shipdate AS DATE)) = 5 GROUP BY 1, 2)""",
-    "pvals": "SELECT p_partkey AS test, ((p_partkey * 7919) % 1009) / 2018.0::DOUBLE AS p FROM part WHERE p_size <= 10",
+    "pvals": "SELECT p_partkey AS test, ((p_partkey * 7919) % 1009) / 2018.0::DOUBLE AS p FROM part",
 }
 _NEEDS = {k: [n for n in SQL if n != k and re.search(rf"\b{n}\b", v)] for k, v in SQL.items()}
 
@@ -63,7 +63,7 @@ def with_tables(sql: str) -> str:
         if re.search(rf"\b{n}\b", sql):
             want(n)
     head = ",\n".join(f"{n} AS (SELECT * FROM ({SQL[n]}))" for n in wanted)
-    sql = re.sub(r"\br\(", "round6(", sql)
+    sql = re.sub(r"\br\(", "single(", sql)
     body = sql.strip()
     if not wanted:
         return _rounding(body)
@@ -73,14 +73,14 @@ def with_tables(sql: str) -> str:
 
 
 def _rounding(sql: str) -> str:
-    """round6(x) as round(x, 6), with nested parentheses."""
+    """single(x) as x in single precision, with nested parentheses."""
     out, at = "", 0
-    while (i := sql.find("round6(", at)) >= 0:
+    while (i := sql.find("single(", at)) >= 0:
         depth, j = 1, i + 7
         while depth:
             depth += {"(": 1, ")": -1}.get(sql[j], 0)
             j += 1
-        out += sql[at:i] + "round(CAST(" + _rounding(sql[i + 7 : j - 1]) + " AS DOUBLE) + 2.7e-8, 6)"
+        out += sql[at:i] + "CAST(CAST(" + _rounding(sql[i + 7 : j - 1]) + " AS FLOAT) AS DOUBLE)"
         at = j
     return out + sql[at:]
 
@@ -186,5 +186,5 @@ def scores(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def pvals(spark: SparkSession, sf_dir: str) -> DataFrame:
-    p = table(spark, sf_dir, "part").where("p_size <= 10")
+    p = table(spark, sf_dir, "part")
     return p.select(F.col("p_partkey").alias("test"), (((F.col("p_partkey") * 7919) % 1009) / 2018.0).alias("p"))

@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -41,10 +41,46 @@ def vintages(spark: SparkSession, series: int, months: int, seed: int, revised:
     return spark.range(series).groupBy("id").applyInPandas(run, "series_id string, period_end date, knowledge_date date, value double")
 
 
-def planted_scores(truth: DataFrame, ic: float, seed: int, decay: float = 0.9) -> DataFrame:
+def analytics(spark: SparkSession, series: int, first: str, last: str, seed: int) -> DataFrame:
+    """(series_id, field, date, value): daily random walks of a spread, a yield and a duration, each kept above a floor."""
+    days = pd.bdate_range(first, last)
+
+    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
+        i = int(key[0])
+        parts = []
+        for j, (name, start, step, floor) in enumerate((("oas", 1.5, 0.03, 0.05), ("ytw", 4.0, 0.05, 0.0), ("oad", 5.0, 0.01, 0.1))):
+            rng = np.random.default_rng([seed, i, j])
+            walk = np.maximum(start * rng.uniform(0.5, 1.5) + np.cumsum(rng.standard_normal(len(days)) * step), floor)
+            parts.append(pd.DataFrame({"series_id": f"X{i:04d}", "field": name, "date": days.date, "value": walk}))
+        return pd.concat(parts)
+
+    return spark.range(series).groupBy("id").applyInPandas(run, "series_id string, field string, date date, value double")
+
+
+def benchmark(returns: DataFrame, legs: dict[str, float], base: float = 100.0) -> DataFrame:
+    """(date, level): a benchmark of fixed leg weights, compounded from ``base`` over the dates on which all legs have a return."""
+    w = F.create_map(*[F.lit(x) for leg in legs.items() for x in leg])
+    days = returns.where(F.col("series_id").isin(list(legs)) & F.col("ret").isNotNull()).groupBy("date").agg(F.sum(w[F.col("series_id")] * F.col("ret")).alias("ret"), F.count("*").alias("n")).where(F.col("n") == len(legs))
+    return days.select("date", (base * F.product(1 + F.col("ret")).over(Window.orderBy("date").rowsBetween(Window.unboundedPreceding, 0))).alias("level"))  # one row a day
+
+
+def planted_benchmark(net: DataFrame, ir: float, risk: float, seed: int, per_year: float = 52.0) -> DataFrame:
+    """(date, net, active, bench): a benchmark that makes a path's (date, net) active return have exactly ``ir`` over ``risk`` a year.
+
+    Noise by date hash is standardised with the moments of all dates, so the ratio holds exactly.
+    """
+    u = lambda k: (F.pmod(F.xxhash64(F.lit(seed), F.lit(k), "date"), F.lit(1 << 40)) + 0.5) / float(1 << 40)
+    drawn = net.withColumn("e", F.sqrt(-2 * F.log(u(1))) * F.cos(2 * float(np.pi) * u(2)))
+    one = drawn.agg(F.avg("e").alias("m"), F.stddev_samp("e").alias("s"))
+    active = risk / float(np.sqrt(per_year)) * ((F.col("e") - F.col("m")) / F.col("s") + ir / float(np.sqrt(per_year)))
+    return drawn.crossJoin(F.broadcast(one)).select("date", "net", active.alias("active")).withColumn("bench", F.col("net") - F.col("active"))  # one row of moments
+
+
+def planted_scores(truth: DataFrame, ic: float, seed: int, decay: float = 0.9, by_column: bool = False) -> DataFrame:
     """Scores that correlate with a standardised truth (series_id, date, z) at ``ic``: the truth plus orthogonal AR(1) noise.
 
-    Noise is drawn series by series; its part along the truth is taken out with sums over the whole panel.
+    Noise is drawn series by series; its part along the truth is taken out with sums over the whole panel, or, ``by_column``,
+    over each series, which then has the correlation by itself; series without spread are left out.
     """
 
     def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
@@ -58,6 +94,12 @@ def planted_scores(truth: DataFrame, ic: float, seed: int, decay: float = 0.9) -
         return rows.assign(noise=x)[["series_id", "date", "z", "noise"]]
 
     drawn = truth.groupBy("series_id").applyInPandas(run, "series_id string, date date, z double, noise double")
+    if by_column:
+        w = Window.partitionBy("series_id")
+        z, x = F.col("z") - F.avg("z").over(w), F.col("noise") - F.avg("noise").over(w)
+        left = drawn.withColumn("zz", z).withColumn("xx", x).withColumn("left", F.col("xx") - F.try_divide(F.sum(F.col("xx") * F.col("zz")).over(w), F.sum(F.col("zz") * F.col("zz")).over(w)) * F.col("zz"))
+        score = ic * F.try_divide("zz", F.stddev_pop("zz").over(w)) + float(np.sqrt(1 - ic**2)) * F.try_divide("left", F.stddev_pop("left").over(w))
+        return left.select("series_id", "date", score.alias("score")).where("score is not null")
     one = drawn.agg(F.avg("z").alias("mz"), F.avg("noise").alias("mn"), F.covar_pop("z", "noise").alias("c"), F.var_pop("z").alias("v"))
     left = drawn.crossJoin(F.broadcast(one)).withColumn("left", F.col("noise") - F.col("mn") - F.col("c") / F.col("v") * (F.col("z") - F.col("mz")))  # one row of moments
     sd = left.agg(F.stddev_pop("left").alias("s"), F.stddev_pop("z").alias("sz"))

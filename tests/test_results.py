@@ -46,18 +46,25 @@ def test_generalised_stepdown(spark):
     rng = np.random.default_rng(5)
     null = rng.standard_normal((300, 6))
     t = np.array([4.0, 3.1, 2.4, 1.0, 0.2, -1.0])
-    one, two = stats.gfwer_rejections(t, null, 1, 0.05), stats.gfwer_rejections(t, null, 2, 0.05)
+    p1, p2 = stats.gfwer_adjusted(t, null, 1, 0.05), stats.gfwer_adjusted(t, null, 2, 0.05)
+    one, two = p1 <= 0.05, p2 <= 0.05
     td = spark.createDataFrame([("f", i, float(x)) for i, x in enumerate(t)], "family string, test int, t double")
     nd = spark.createDataFrame([("f", d, i, float(null[d, i])) for d in range(300) for i in range(6)], "family string, draw int, test int, t0 double")
     plain = {r.test: r.rejected for r in stats.romano_wolf(td.drop("family"), nd.drop("family")).collect()}
     assert {i: bool(x) for i, x in enumerate(one)} == {**dict.fromkeys(range(6), False), **plain}
     assert (two | ~one).all() and two.sum() >= one.sum()
-    assert {r.test: r.rejected for r in stats.gfwer(td, nd, 2).collect()} == {i: bool(x) for i, x in enumerate(two)}
-
-
-def test_blocks_keep_inner_order():
-    order = stats.block_order(10, 4, 1)
-    assert sorted(order) == list(range(10))
+    assert {r.test: (r.p, r.rejected) for r in stats.gfwer(td, nd, 2).collect()} == {i: (pytest.approx(p2[i]), bool(x)) for i, x in enumerate(two)}
+    rounds = {r.test: r.p for r in stats.romano_wolf(td.drop("family"), nd.drop("family")).collect()}
+    assert all(p1[i] == pytest.approx(x) for i, x in rounds.items())
+    assert (np.diff(p2[np.argsort(-t)]) >= -1e-12).all() and stats.gfwer_adjusted(np.array([5.0]), null[:, :1], 2, 0.05)[0] <= 0.05  # a set below g never binds
+
+
+def test_blocks_keep_inner_order(spark):
+    days = [D(2020, 1, 1) + dt.timedelta(i) for i in range(10)]
+    rows = spark.createDataFrame([(s, d, float(i)) for s in "ab" for i, d in enumerate(days)], "series_id string, date date, ret double")
+    got = stats.block_permuted(rows, 4, 1).orderBy("series_id", "date").collect()
+    order = [int(r.ret) for r in got[:10]]
+    assert [int(r.ret) for r in got[10:]] == order and sorted(order) == list(range(10)) and [r.date for r in got[:10]] == days
     assert {tuple(g) for g in ([0, 1, 2, 3], [4, 5, 6, 7], [8, 9])} == {tuple(b) for b in _runs(order)}
 
 
