@@ -341,12 +341,12 @@ def credit_scale(spark, sf):
 @query("h17_convictions", """
 WITH p AS (SELECT o_orderkey, list_transform([o_custkey % 7 + 1, o_orderkey % 5 + 1, o_custkey % 3]::DOUBLE[], lambda x: x / (o_custkey % 7 + 1 + o_orderkey % 5 + 1 + o_custkey % 3)) AS p FROM orders),
 e AS (SELECT o_orderkey, list_max(p) AS m, 1 + list_sum(list_transform(p, lambda x: CASE WHEN x > 0 THEN x * ln(x) ELSE 0 END)) / ln(3) AS ent FROM p)
-SELECT o_orderkey, r(least(greatest(ent, 0), 1)) AS entropy, r((m - 1.0::DOUBLE / 3) / (1 - 1.0::DOUBLE / 3)) AS top, r(least(greatest(ent, 0), 1) * ((m - 1.0::DOUBLE / 3) / (1 - 1.0::DOUBLE / 3))) AS product FROM e""")
+SELECT o_orderkey, r(round(least(greatest(ent, 0), 1), 12)) AS entropy, r(round((m - 1.0::DOUBLE / 3) / (1 - 1.0::DOUBLE / 3), 12)) AS top, r(round(least(greatest(ent, 0), 1) * ((m - 1.0::DOUBLE / 3) / (1 - 1.0::DOUBLE / 3)), 12)) AS product FROM e""")
 def convictions(spark, sf):
     raw = F.array(*[x.cast("double") for x in (F.col("o_custkey") % 7 + 1, F.col("o_orderkey") % 5 + 1, F.col("o_custkey") % 3)])
     p = h.table(spark, sf, "orders").select("o_orderkey", scalars.normalised(raw).alias("p"))
     e, t = scalars.entropy_conviction(F.col("p")), scalars.max_probability_conviction(F.col("p"))
-    return p.select("o_orderkey", e.alias("entropy"), t.alias("top"), scalars.combined_conviction(e, t, "product").alias("product"))
+    return p.select("o_orderkey", F.round(e, 12).alias("entropy"), F.round(t, 12).alias("top"), F.round(scalars.combined_conviction(e, t, "product"), 12).alias("product"))
 
 
 @query("h24_array_functions", "SELECT conv_id, list_sort(list(DISTINCT role)) AS roles, list_contains(list(role), 'system') AS has_system, count(*) AS turns FROM conversations GROUP BY 1")

@@ -166,7 +166,7 @@ def triage(spark, sf):
     return h.runs(spark, sf).groupBy("hypothesis").agg(state.alias("state"), F.max("ts").alias("ts"))
 
 
-@query("k57_grid_cells", "SELECT ic, horizon, seed, printf('ic%.2f-h%d-s%d', ic, horizon, seed) AS key FROM (SELECT unnest([0.02, 0.05, 0.1, 0.2]::DOUBLE[]) AS ic), (SELECT unnest([4, 13, 26, 52]) AS horizon), (SELECT unnest(generate_series(0, 9))::INT AS seed) WHERE NOT (ic = 0.02 AND horizon = 52)")
+@query("k57_grid_cells", "SELECT ic, horizon, seed, printf('ic%.2f-h%d-s%d', ic, horizon, seed) AS key FROM (SELECT unnest([0.02, 0.05, 0.1, 0.2]::DOUBLE[]) AS ic), (SELECT unnest([4, 13, 26, 52]) AS horizon), (SELECT unnest(generate_series(0, 9))::INT AS seed) WHERE NOT (ic = 0.02 AND horizon = 52)", exact=True)
 def grid(spark, sf):
     ic = spark.createDataFrame([(x,) for x in (0.02, 0.05, 0.1, 0.2)], "ic double")
     horizon = spark.createDataFrame([(x,) for x in (4, 13, 26, 52)], "horizon int")
@@ -175,7 +175,7 @@ def grid(spark, sf):
     return cells.withColumn("key", F.format_string("ic%.2f-h%d-s%d", "ic", "horizon", "seed"))
 
 
-@query("k58_cells_with_twins", "SELECT ic, seed, live FROM (SELECT unnest([0.02, 0.05]::DOUBLE[]) AS ic), (SELECT unnest(generate_series(0, 4))::INT AS seed), (SELECT unnest([true, false]) AS live)")
+@query("k58_cells_with_twins", "SELECT ic, seed, live FROM (SELECT unnest([0.02, 0.05]::DOUBLE[]) AS ic), (SELECT unnest(generate_series(0, 4))::INT AS seed), (SELECT unnest([true, false]) AS live)", exact=True)
 def twins(spark, sf):
     cells = spark.createDataFrame([(0.02,), (0.05,)], "ic double").crossJoin(spark.range(5).select(F.col("id").cast("int").alias("seed")))  # a grid of parameters
     return cells.select("ic", "seed", F.explode(F.array(F.lit(True), F.lit(False))).alias("live"))

@@ -180,11 +180,11 @@ def ic(spark, sf):
 
 @query("e40_standardised_truth", """
 WITH d AS (SELECT series_id, date, fwd - avg(fwd) OVER (PARTITION BY date) AS x FROM scores WHERE fwd IS NOT NULL)
-SELECT series_id, date, r((x - (SELECT avg(x) FROM d)) / (SELECT stddev_pop(x) FROM d)) AS z FROM d""")
+SELECT series_id, date, r(round((x - (SELECT avg(x) FROM d)) / (SELECT stddev_pop(x) FROM d), 12)) AS z FROM d""")
 def truth(spark, sf):
     d = h.scores(spark, sf).where("fwd is not null").withColumn("x", F.col("fwd") - F.avg("fwd").over(Window.partitionBy("date")))
     of = d.agg(F.avg("x").alias("m"), F.stddev_pop("x").alias("s"))
-    return d.crossJoin(F.broadcast(of)).select("series_id", "date", ((F.col("x") - F.col("m")) / F.col("s")).alias("z"))  # one row of moments
+    return d.crossJoin(F.broadcast(of)).select("series_id", "date", F.round((F.col("x") - F.col("m")) / F.col("s"), 12).alias("z"))  # one row of moments
 
 
 @query("e41_transfer", "SELECT r(avg(c)) AS transfer FROM (SELECT date, corr(w, score) AS c FROM weights JOIN scores USING (date, series_id) GROUP BY 1)")
