@@ -33,7 +33,7 @@ from .shared import Stash, packed
 REACH = 2
 GROUPS = 5
 CELL = 24
-#: Texts that a task holds at a time where it also samples their shingles.
+#: Texts that a task holds at a time.
 BATCH = 1000
 SEED = 42
 _CHUNK = 1 << 16
@@ -133,7 +133,7 @@ def classes(docs: DataFrame, shingle: int = 3, similar: float | None = None) ->
     else:
         made = docs.select("doc_id", F.xxhash64("text").alias("text_key"), marks(F.col("text"), shingle, similar).alias("m"))
         made = made.select("doc_id", "text_key", "m.fp", F.struct("m.n", "m.cells").alias("sketch"))
-    rows = stash.keep(made, "rows", None if similar is None else BATCH)
+    rows = stash.keep(made, "rows", BATCH)
     first = F.min(F.struct(F.col("doc_id").isNull().alias("none"), F.col("doc_id").alias("doc_id"), F.col("text_key").alias("text_key")))
     each = stash.keep(rows.groupBy("fp").agg(first.alias("first")), "fps")
     edges = links(each.select("fp", embed(F.col("fp")).alias("e")))
