@@ -81,4 +81,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
     copies = counted.where("n > 0").select("row", "who", F.explode(F.sequence(F.lit(1), F.col("n"))).alias("copy"))
     key = (unit(F.lit("order"), F.lit(seed), F.col("who"), F.col("copy").cast("string")) * F.lit(float(2**52))).cast("bigint")
     kept = [F.col(f"row.`{c}`") for c in docs.columns if c.lower() not in ("copy", "shuffle_key")]
-    return copies.withColumn("shuffle_key", key).orderBy("shuffle_key", "who", "copy").select(*kept, "copy", "shuffle_key")
+    # Keys are uniform by making, so a key's range, and with it its partition, follows from the key: no pass to sample bounds.
+    n = int(docs.sparkSession.conf.get("spark.sql.shuffle.partitions"))
+    dealt = copies.withColumn("shuffle_key", key).repartitionById(n, F.floor(F.col("shuffle_key") / F.lit(float(2**52)) * n).cast("int"))
+    return dealt.sortWithinPartitions("shuffle_key", "who", "copy").select(*kept, "copy", "shuffle_key")
