@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import re
 import tempfile
 import uuid
 
@@ -17,9 +18,11 @@ _BATCH = "spark.sql.execution.arrow.maxRecordsPerBatch"
 
 
 def checkpoint_root(spark: SparkSession) -> str:
-    """The shared folder the session names in spark.checkpoint.dir; a temporary one only where that is unset."""
+    """The shared folder the session names in spark.checkpoint.dir. Where that is unset, a temporary one if all runs in one process, else an error."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
+        if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
+            raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"{tempfile.gettempdir()}/brindle-checkpoints"
         spark.conf.set("spark.checkpoint.dir", root)
     return root.rstrip("/")
