@@ -117,3 +117,18 @@ def walk_forward(panel: DataFrame, rule: WeightRule, weekday: int = 4, per_year:
         return pd.DataFrame(out, columns=["run_id", "date", "gross", "net", "turnover", "cost"])
 
     return panel.groupBy("run_id").applyInPandas(run, f"run_id {panel.schema['run_id'].dataType.simpleString()}, date date, gross double, net double, turnover double, cost double")
+
+
+def averaged_over_days(panel: DataFrame, rule: WeightRule, weekdays: tuple[int, ...] = (1, 2, 4), per_year: int = 52) -> DataFrame:
+    """(run_id, date, gross, net, turnover, cost, paths): paths that trade on each weekday, averaged over the union of their dates."""
+    paths = None
+    for day in weekdays:
+        one = walk_forward(panel, rule, day, per_year)
+        paths = one if paths is None else paths.unionByName(one)
+    return paths.groupBy("run_id", "date").agg(*[F.avg(c).alias(c) for c in ("gross", "net", "turnover", "cost")], F.count("*").alias("paths"))
+
+
+def exposures_at(exposures: DataFrame, books: DataFrame) -> DataFrame:
+    """(date, instrument, factor, x): the exposures of each book's own week, for the instruments it holds. A join on the week, no rule called."""
+    held = books.select("date", F.col("series_id").alias("instrument")).distinct()
+    return exposures.join(held, ["date", "instrument"]).select("date", "instrument", "factor", "x")

@@ -173,7 +173,7 @@ def gfwer(t: DataFrame, null: DataFrame, g: int = 2, alpha: float = 0.05) -> Dat
     return t.join(drawn, ["family", "test"]).groupBy("family").applyInPandas(run, f"family {kind['family']}, test {kind['test']}, p double, rejected boolean")
 
 
-def gate(t: DataFrame, null: DataFrame, alpha: float = 0.05, g: int = 2, small: int = 2, shuffles: int = 200, standardise: bool = True) -> DataFrame:
+def gate(t: DataFrame, null: DataFrame, alpha: float = 0.05, g: int = 2, small: int = 8, shuffles: int = 100, standardise: bool = True) -> DataFrame:
     """(test, p, rejected, g, n_tests, n_shuffles): the search's verdict. Fewer draws than ``shuffles`` are refused.
 
     A search of fewer than ``small`` tests takes g = 1: with a set smaller than g a single test would pass unconditionally.
@@ -215,6 +215,17 @@ def block_bootstrap(values: DataFrame, starts: DataFrame) -> DataFrame:
     return starts.join(centred, "week").groupBy("draw", "name").agg(F.avg("x").alias("mean"))
 
 
+def live_rank(t: DataFrame, null: DataFrame) -> DataFrame:
+    """(test, rank): one and the number of draws above the live value."""
+    return null.join(t, "test").groupBy("test").agg((1 + F.count_if(F.col("t0") > F.col("t"))).alias("rank"))
+
+
+def streams(spark: SparkSession, labels: list[str], n: int, seed: int) -> DataFrame:
+    """(label, i, u): a stream of numbers in [0, 1) for each label, independent of one another and of any partitioning."""
+    grid = spark.range(n).select(F.col("id").alias("i"), F.explode(F.array(*[F.lit(x) for x in labels])).alias("label"))
+    return grid.select("label", "i", unit(seed, F.col("label"), F.col("i").cast("string")).alias("u"))
+
+
 def required(table: DataFrame, target: float) -> DataFrame:
     """Per horizon the smallest ic at which ``mean`` crosses a target, by linear interpolation, and how it was found."""
     w = Window.partitionBy("horizon").orderBy("ic")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import book, cells, covariance, fit, mandate, stats
+from ..operators import book, cells, covariance, fit, mandate, stats, windows
 from ..sources import hosted as h
 from ..sources import synthetic
 from .model_queries import FACTORS, losses, ols, panel  # noqa: F401
@@ -246,9 +246,9 @@ def romano_wolf(spark, sf):
     return stats.romano_wolf(*stats.standardised_columns(*draws(spark, sf)))
 
 
-@query("k41_gate")
+@query("k49_gate")
 def gate(spark, sf):
-    return stats.gate(*draws(spark, sf), shuffles=100)
+    return stats.gate(*draws(spark, sf))
 
 
 _Z = "sqrt(-2 * ln(1 - ('0x' || substr(md5(rep || '|' || test || '|1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)) * cos(2 * 3.141592653589793::DOUBLE * (('0x' || substr(md5(rep || '|' || test || '|2'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE))"
@@ -361,3 +361,20 @@ def mandate_books(spark, sf):
     holds = own.select("universe", "date", "series_id", (F.coalesce("score", F.lit(0.0)) / 1000).alias("alpha"), F.lit(0.0).alias("bench"), F.lit(0.0).alias("before"), book.bps(F.col("bucket"), book.HALF_SPREAD).alias("cost"), (F.col("tier") == "second").alias("cash"))
     leg = at.select("universe", "date", F.lit("LEG").alias("series_id"), F.lit(None).cast("double").alias("alpha"), F.lit(1.0).alias("bench"), F.lit(0.0).alias("before"), F.lit(0.0).alias("cost"), F.lit(False).alias("cash"))
     return mandate.books(holds.unionByName(leg), cov.select("universe", "date", "a", "b", "cov"), mandate.Mandate(te=0.3, max_cash=0.2, names=30))
+
+
+@query("k24_view_books")
+def view_books(spark, sf):
+    """Scores to z to views to alpha to books: the last Friday of each year, by region, from a book held alike."""
+    ends = year_ends(spark, sf)
+    cov = covariance.trailing(with_leg(spark, sf), ends, ["LEG"], present=0.5).withColumnRenamed("as_of", "date")
+    m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"), "bucket", "tier")
+    at = ends.select("universe", F.col("as_of").alias("date"))
+    z = windows.standardised(h.scores(spark, sf), 20, 1.5).select("series_id", "date", "z")
+    sigma = h.weekly(spark, sf).select("series_id", "date", F.stddev_samp("ret").over(windows.trailing(52)).alias("sigma"))
+    own = m.join(at, "universe").join(z, ["series_id", "date"], "left").join(sigma, ["series_id", "date"], "left")
+    alpha = F.coalesce(scalars.view_scale(0.05, F.col("sigma"), F.col("z"), F.lit(4.0)), F.lit(0.0))  # no view, no alpha
+    n = F.count("*").over(Window.partitionBy("universe", "date"))
+    holds = own.select("universe", "date", "series_id", alpha.alias("alpha"), F.lit(0.0).alias("bench"), (1 / n).alias("before"), (book.bps(F.col("bucket"), book.HALF_SPREAD) / 4).alias("cost"), (F.col("tier") == "second").alias("cash"))
+    leg = at.select("universe", "date", F.lit("LEG").alias("series_id"), F.lit(None).cast("double").alias("alpha"), F.lit(1.0).alias("bench"), F.lit(0.0).alias("before"), F.lit(0.0).alias("cost"), F.lit(False).alias("cash"))
+    return mandate.books(holds.unionByName(leg), cov.select("universe", "date", "a", "b", "cov"), mandate.Mandate(te=0.3, max_cash=0.2, names=30, turnover=1.0))

@@ -96,6 +96,22 @@ def earlier_starts(base: DataFrame, extra: DataFrame) -> DataFrame:
     return base.unionByName(extra.select(base.columns)).groupBy("series_id", "field").agg(F.min("start").alias("start"))
 
 
+def field_starts(fields: DataFrame, holdout: str, gaps: int = 20, most: int = 5) -> DataFrame:
+    """(series_id, field, start) of each (series_id, field): the true daily start of what it prints before ``holdout``; absent if there is none."""
+    seen = fields.where((F.col("date") < F.lit(holdout).cast("date")) & F.col("value").isNotNull())
+    keyed = seen.select(F.to_json(F.struct("series_id", "field")).alias("series_id"), "date", F.col("value").alias("level"))
+    key = F.from_json("series_id", "series_id string, field string")
+    return panel.true_daily_starts(keyed, gaps, most).select(key.alias("k"), "start").select("k.series_id", "k.field", "start")
+
+
+def weekly_from_both(weekly: DataFrame, daily: DataFrame, holdout: str | None = None, run: int = 6) -> DataFrame:
+    """Weekly and daily sheets (series_id, date, level) as one table of Fridays without stale runs; an id in both is refused."""
+    twice = weekly.select("series_id").distinct().join(daily.select("series_id").distinct(), "series_id")
+    if not twice.isEmpty():
+        raise ValueError(f"weekly and daily: {twice.first()[0]}")
+    return panel.stale_dropped(panel.to_fridays(weekly.unionByName(daily), holdout), run)
+
+
 def optional_levels(spark: SparkSession, path: str, schema: str = "series_id string, date date, raw string") -> DataFrame:
     """An extra level file if there is one, else no rows."""
     where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)

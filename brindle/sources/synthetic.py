@@ -126,3 +126,14 @@ def simulated_maxima(spark: SparkSession, paths: int, years: int, weeks: int, se
             yield pd.DataFrame(out, columns=["path", "worst_bias", "drawdown"])
 
     return spark.range(paths).mapInPandas(run, "path long, worst_bias double, drawdown double")
+
+
+def drawdown_paths(spark: SparkSession, paths: int, weeks: int, risk: float, seed: int) -> DataFrame:
+    """(path, per_risk): the deepest fall of each simulated path of weekly active returns without drift, per unit of annual risk."""
+    from ..functions.scalars import normal
+
+    e = normal(seed, F.col("path").cast("string"), F.col("week").cast("string")) * (risk / float(np.sqrt(52)))
+    steps = spark.range(paths).select(F.col("id").alias("path"), F.explode(F.sequence(F.lit(0), F.lit(weeks - 1))).alias("week")).withColumn("e", e)
+    w = Window.partitionBy("path").orderBy("week").rowsBetween(Window.unboundedPreceding, 0)
+    wealth = steps.withColumn("wealth", F.product(1 + F.col("e")).over(w))
+    return wealth.withColumn("fall", 1 - F.col("wealth") / F.max("wealth").over(w)).groupBy("path").agg((F.max("fall") / risk).alias("per_risk"))

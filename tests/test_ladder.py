@@ -24,9 +24,9 @@ def test_gate_refuses_few_shuffles_and_flat_tests(spark):
     null = rng.standard_normal((120, 3))
     t = spark.createDataFrame([(i, x) for i, x in enumerate([4.0, 0.1, 3.5])], "test int, t double")
     n = spark.createDataFrame([(d, i, float(null[d, i])) for d in range(120) for i in range(3)], "draw int, test int, t0 double")
-    assert {r.test: r.rejected for r in stats.gate(t, n, shuffles=100).collect()} == {0: True, 1: False, 2: True}
+    assert {r.test: r.rejected for r in stats.gate(t, n).collect()} == {0: True, 1: False, 2: True}
     with pytest.raises(ValueError, match="shuffles"):
-        stats.gate(t, n, shuffles=200)
+        stats.gate(t, n, shuffles=121)
     flat = n.withColumn("t0", F.when(F.col("test") == 1, 0.1).otherwise(F.col("t0")))
     with pytest.raises(Exception, match="no finite spread"):
         stats.standardised_columns(t, flat)[0].collect()
@@ -147,3 +147,19 @@ def test_loads_refuse_doubles_and_keep_what_is_written_once(spark, tmp_path):
     assert spark.read.csv(str(tmp_path / "out/cells.csv"), header=True).count() == 2
     with pytest.raises(Exception, match="exists"):
         loaders.write_outputs(cell, str(tmp_path / "out"))
+
+
+def test_params_are_nested_fixed_and_hashed():
+    from brindle.params import Params
+
+    p = Params.load('{"a": {"b": {"c": 1}, "d": [1, 2]}}', '{"e": null}')
+    assert p.get("a.b.c") == 1 and p.get("a.x") is None and p.require("a.d") == (1, 2)
+    with pytest.raises(KeyError):
+        p.require("e")
+    with pytest.raises(ValueError, match="two parts"):
+        Params.of({"a": 1}, {"a": 2})
+    q = p.override("a.b.c", 2)
+    assert q.get("a.b.c") == 2 and p.get("a.b.c") == 1 and q.sha256 != p.sha256 == Params.of({"e": None, "a": {"d": [1, 2], "b": {"c": 1}}}).sha256
+    with pytest.raises(TypeError):
+        p.values["a"]["d"] = 3
+    assert p.first({"h": None}, "h", "a.b.c") == 1 and p.first({"h": 0}, "h", "a.b.c") == 0
