@@ -131,7 +131,10 @@ def test_neighbours_against_brute_force(spark, monkeypatch):
     x[800:830] = x[100:130] + 1e-4
     rows = [(i, [float(a) for a in v]) for i, v in enumerate(x)]
     odd = [(None, [1.0] * 24), (5000, None), (5100, [0.0] * 24), (5200, [float("nan")] + [1.0] * 23), (5300, [float("inf")] + [1.0] * 23), (5400, [None] + [1.0] * 23), (5500, [1.0, 2.0]), rows[0], rows[0]]
-    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("v", F.lit(2)).repartition(5)
+    df = spark.createDataFrame(rows + odd, "vec_id long, embedding array<float>").withColumn("id", F.lit(1)).withColumn("v", F.lit(2))
+    for c in ("query_id", "rank", "score", "block", "asked", "bits"):  # named like what the search adds
+        df = df.withColumn(c, F.lit("mine"))
+    df = df.repartition(5)
     got = [tuple(r) for r in ann.search(df).orderBy("query_id", "rank").select("query_id", "rank", "vec_id", "score").collect()]
     want = brute(rows)
     assert len(got) == len(want) == 120
@@ -158,3 +161,10 @@ def test_estimates_are_unbiased_and_bounds_hold():
     true = ((q[:, None] - x[None]) ** 2).sum(-1)
     assert abs((middle - true).mean()) < 0.5 and (lower > true).mean() < 0.005
     assert np.allclose(turn @ turn.T, np.eye(64))
+
+
+def test_a_very_long_page_has_its_whole_text_in_its_records(spark):
+    page = "<article>" + "<p>some words of a long page</p>" * 60_000 + "</article>"
+    made = warc.derivatives(warc.responses(spark.createDataFrame([(1, "http://a.example/", page)], "page_id long, url string, html string"))).collect()
+    text = next(r.content for r in made if r.content.startswith("some words"))
+    assert len(page) > 1 << 20 and len(text.split()) == 6 * 60_000

@@ -1,12 +1,47 @@
 """The corpus pipeline: every stage keeps what the one before kept, its decisions hold, and odd rows pass through."""
 
+import math
+import re
+
 import pytest
 from pyspark.sql import functions as F
 
 import corpus_pipeline
 from brindle.llm import decontam, simhash, toxicity
 
-from .test_text_operators import DOCS, corpus
+from .test_text_operators import DOCS, base_spans, clashing, corpus, jaccard
+
+
+def classes_by_brute_force(rows):
+    """Smallest doc_id of each row's class: shingle sets of 0.8 or more, or fingerprints within two bits."""
+    sets = [{tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))} if w else set() for w in ((r.text or "").encode().lower().split() for r in rows)]
+    fps = [simhash.text_fingerprint((r.text or "").encode(), 5) for r in rows]
+    root = list(range(len(rows)))
+
+    def find(i):
+        while root[i] != i:
+            i = root[i]
+        return i
+
+    for i in range(len(rows)):
+        for j in range(i):
+            if jaccard(sets[i], sets[j]) >= 0.8 or bin(fps[i] ^ fps[j]).count("1") <= 2:
+                root[find(i)] = find(j)
+    least = {}
+    for i, r in enumerate(rows):
+        least[find(i)] = min(least.get(find(i), float("inf")), float("inf") if r.doc_id is None else r.doc_id)
+    return sorted(least.values())
+
+
+def contaminated_by_brute_force(text, items):
+    cut = re.compile(r"[\x20\x09-\x0d!-/:-@\[-`{-~]+")
+    words = lambda t: [x for x in cut.split((t or "").lower()) if x]
+    for item in items:
+        n = min(5, len(words(item)))
+        own, there = ({tuple(w[i : i + n]) for i in range(len(w) - n + 1)} for w in (words(item), words(text)))
+        if n and len(own & there) >= math.ceil(0.8 * len(own)):
+            return True
+    return False
 
 
 @pytest.fixture
@@ -35,15 +70,31 @@ def test_stages_one_after_the_other(spark, folder):
         if i == 1:
             made = simhash.classes(kept, 5, 0.8)
             assert made.select("component_id").distinct().count() == kept.count()
+            assert sorted(float("inf") if r.doc_id is None else r.doc_id for r in kept.collect()) == classes_by_brute_force(docs.collect())
         if i == 2:
-            assert decontam.contaminations(kept, spark.read.parquet(f"{folder}/benchmark.parquet")).count() == 0
+            bench = spark.read.parquet(f"{folder}/benchmark.parquet")
+            assert decontam.contaminations(kept, bench).count() == 0
+            clean = [r for r in docs.collect() if not contaminated_by_brute_force(r.text, [b.text for b in bench.collect()])]
+            assert sorted(map(str, clean)) == sorted(map(str, kept.collect()))
         if i == 3:
             assert kept.count() == docs.count()
+            before = {r.doc_id: r.text for r in docs.collect()}
+            assert all(r.text == before[r.doc_id] if not base_spans(before[r.doc_id] or "") else not base_spans(r.text) for r in kept.collect())
         docs = kept
     assert {"copy", "shuffle_key"} <= set(docs.columns)
     assert docs.count() == corpus_pipeline.run(spark, folder).count()
 
 
+def test_stages_keep_columns_named_like_their_own(spark, folder, tmp_path):
+    docs = clashing(spark.read.parquet(f"{folder}/documents.parquet"))
+    docs.write.parquet(f"{tmp_path}/clash")
+    docs = spark.read.parquet(f"{tmp_path}/clash")
+    for name, stage in corpus_pipeline.STAGES[:4]:
+        assert stage(spark, docs, folder).columns == docs.columns, name
+    out = corpus_pipeline.STAGES[4][1](spark, docs, folder)
+    assert out.columns == [c for c in docs.columns if c != "copy"] + ["copy", "shuffle_key"] and out.where("row = 'mine'").count() == out.count()
+
+
 def test_run_over_no_rows(spark, folder, tmp_path):
     empty = f"{tmp_path}/empty"
     for t in ("documents", "labels", "benchmark"):

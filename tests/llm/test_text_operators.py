@@ -535,3 +535,30 @@ def test_empty_tables(spark):
     items = spark.createDataFrame([], "item_id long, text string")
     assert decontam.contaminations(none, items).count() == 0
     assert decontam.drop_contaminated(spark.createDataFrame([(1, "a", "", "", 1)], DOCS), items).count() == 1
+
+
+LONG = " ".join(f"w{i % 9973}x{i % 13}" for i in range(160_000))
+
+
+def test_very_long_texts_are_read_whole(spark):
+    """Texts of more than a piece, next to nulls and repeats: the same results as of their plain computation."""
+    assert len(LONG) > words.PIECE
+    rows = [(1, LONG, "en", "a", len(LONG)), (2, LONG + " tail", "en", "a", len(LONG) + 5), (3, None, None, None, None), (4, "", "en", "b", 0), (1, LONG, "en", "a", len(LONG))]
+    docs = spark.createDataFrame(rows, DOCS)
+    made = {r.doc_id: (r.fp, r.component_id) for r in simhash.classes(docs, 5, 0.8).collect()}
+    assert made[1][1] == made[2][1] == 1 and made[3][1] == made[4][1] == 3 and made[1][0] == int(np.array([simhash.text_fingerprint(LONG.encode(), 5)], np.uint64).view(np.int64)[0])
+    assert sorted(r.doc_id for r in simhash.drop_near_duplicates(docs).collect()) == [1, 3]
+    removed = {r.doc_id: (r.n_words, r.n_removed) for r in substring.deduplicated(docs).collect()}
+    assert removed[1] == (160_000, 0) and removed[2] == (160_001, 160_000) and removed[3] == (0, 0)
+    labels = spark.createDataFrame([(1, 1, 0), (2, 1, 0), (4, 0, 1)], "doc_id long, quality int, toxic int")
+    for out in (toxicity.severities(docs, labels), cotrain.qualities(docs, labels)):
+        got = out.collect()
+        assert len(got) == 5 and len({tuple(r) for r in got if r.doc_id == 1}) == 1  # repeated rows are scored alike
+    mixed = mixing.mix(docs, total=3.0 * len(LONG))
+    assert {(r.doc_id, r.n) for r in mixed.select("doc_id", F.length("text").alias("n")).distinct().collect()} <= {(1, len(LONG)), (2, len(LONG) + 5), (3, None), (4, 0)}
+
+
+def test_scans_of_rows_with_clashing_columns(spark):
+    df = clashing(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(secret_texts())], DOCS))
+    plain = secrets.digest(secrets.scan_all(spark.createDataFrame(list(enumerate(secret_texts())), "doc_id long, text string"))).collect()
+    assert sorted(map(tuple, secrets.digest(secrets.scan_all(df)).collect())) == sorted(map(tuple, plain))
