@@ -13,7 +13,7 @@ On pages with a marked article the distribution so decides which text beside it
 from __future__ import annotations
 
 import re
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from dataclasses import dataclass
 from html import unescape
 
@@ -80,8 +80,8 @@ def _kind(name: str, attributes: str, inside: int) -> tuple[bool, int]:
     return boiler, 0 if boiler else level
 
 
-def lines(html: str | None) -> list[Line]:
-    """The lines of a page, in order, without empty ones."""
+def lines(html: str | None, seen: Callable[[str, str], None] | None = None) -> list[Line]:
+    """The lines of a page, in order, without empty ones. ``seen`` gets the name and attributes of each opening tag on the way."""
     out: list[Line] = []
     stack: list[tuple[str, bool, int]] = []  # name, boilerplate, article: each with what it stands in
     parts: list[str] = []
@@ -123,6 +123,8 @@ def lines(html: str | None) -> list[Line]:
             if at_depth is not None and (name in _BLOCK or not any(stack[i][0] in _BLOCK for i in range(at_depth, len(stack)))):
                 leave(at_depth)
             continue
+        if seen is not None:
+            seen(name, m[3] or "")
         if name in _RAW:
             end = re.compile(rf"</{re.escape(name)}(?=[\s/>])[^>]*>?", re.I).search(html, at)
             at = end.end() if end else len(html)

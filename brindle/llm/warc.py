@@ -83,21 +83,18 @@ def response(page_id: int | None, url: str | None, html: str | None, date: str =
     return headers, block
 
 
-def links(html: str, base: str) -> list[dict[str, str]]:
-    """The addresses that a page's elements hold, made absolute where that is possible, in order."""
-    out = []
-    for m in pages_html._TOKEN.finditer(html):
-        name = (m[2] or "").lower()
-        if m[1] or name not in _LINKS:
-            continue
-        target = pages_html._attributes(m[3]).get(_LINKS[name])
-        if target is not None:
-            try:
-                whole = urljoin(base, target.strip())
-            except ValueError:
-                whole = target
-            out.append({"path": f"{name}@{_LINKS[name]}", "url": whole})
-    return out
+def link(name: str, attributes: str, base: str) -> dict[str, str] | None:
+    """The address that an element holds, made absolute where that is possible; None if it holds none."""
+    if name not in _LINKS:
+        return None
+    target = pages_html._attributes(attributes).get(_LINKS[name])
+    if target is None:
+        return None
+    try:
+        whole = urljoin(base, target.strip())
+    except ValueError:
+        whole = target
+    return {"path": f"{name}@{_LINKS[name]}", "url": whole}
 
 
 def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str], bytes]]:
@@ -107,11 +104,13 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
     title = _TITLE.search(html)
     title_text = " ".join(unescape(title[1]).split()) if title else ""
     lang = _LANG.search(html)
-    text = "\n".join([title_text] * bool(title_text) + [x.text for x in pages_html.lines(html)])
+    found: list[dict[str, str] | None] = []  # lines and links in one pass over the markup
+    lines = pages_html.lines(html, lambda name, attributes: found.append(link(name, attributes, headers.get("WARC-Target-URI", ""))))
+    text = "\n".join([title_text] * bool(title_text) + [x.text for x in lines])
     source = headers["WARC-Record-ID"]
     shared = {k: headers[k] for k in ("WARC-Date", "WARC-Target-URI") if k in headers} | {"WARC-Refers-To": source}
     conversion_id = urn("conversion", source)
-    meta = {"envelope": {"headers": headers, "block_digest": headers.get("WARC-Block-Digest"), "payload_digest": headers.get("WARC-Payload-Digest")}, "http": {"status": status, "headers": http, "entity_length": len(body), "entity_digest": digest(body)}, "html": {"title": title_text, "lang": lang[1] if lang else None, "links": links(html, headers.get("WARC-Target-URI", ""))}, "conversion": conversion_id}
+    meta = {"envelope": {"headers": headers, "block_digest": headers.get("WARC-Block-Digest"), "payload_digest": headers.get("WARC-Payload-Digest")}, "http": {"status": status, "headers": http, "entity_length": len(body), "entity_digest": digest(body)}, "html": {"title": title_text, "lang": lang[1] if lang else None, "links": [x for x in found if x]}, "conversion": conversion_id}
     out = []
     for kind, record_id, mime, content in (("metadata", urn("metadata", source), "application/json", json.dumps(meta, ensure_ascii=False)), ("conversion", conversion_id, "text/plain; charset=utf-8", text)):
         data = content.encode("utf-8", "surrogatepass")
