@@ -4,6 +4,7 @@ from __future__ import annotations
 
 import re
 from collections.abc import Callable
+from dataclasses import dataclass
 
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -14,14 +15,27 @@ from . import hosted, synthetic
 MANIFEST = "file string, sheet string, layout string, field string, currency string, role string, header_rows int, first_data_row int"
 QDF = ("real_date", "cid", "xcat", "value", "grading", "eop_lag")
 
-SOURCES: dict[str, Callable[..., DataFrame]] = {"synthetic": synthetic.levels, "hosted": hosted.levels}
+
+@dataclass(frozen=True)
+class Source:
+    """What every source offers: readers of levels, of analytics by field and of vintages; None where it has none."""
+
+    levels: Callable[..., DataFrame]
+    analytics: Callable[..., DataFrame] | None = None
+    vintages: Callable[..., DataFrame] | None = None
+
+
+def loader(name: str) -> Source:
+    """A named source; an unknown name is refused."""
+    known = {"synthetic": Source(synthetic.levels, synthetic.analytics, synthetic.vintages), "hosted": Source(hosted.levels, None, hosted.vintages), "wide": Source(wide_csv), "local": Source(local_csv), "blocks": Source(blocks_csv), "vendor": Source(wide_csv, None, vintage_frame)}
+    if name not in known:
+        raise ValueError(f"unknown source {name!r}; there are {', '.join(sorted(known))}")
+    return known[name]
 
 
 def source(name: str) -> Callable[..., DataFrame]:
-    """The levels reader of a named source; an unknown name is refused."""
-    if name not in SOURCES:
-        raise ValueError(f"unknown source {name!r}; there are {', '.join(sorted(SOURCES))}")
-    return SOURCES[name]
+    """The levels reader of a named source."""
+    return loader(name).levels
 
 
 def manifest(spark: SparkSession, path: str) -> DataFrame:
@@ -47,6 +61,30 @@ def wide_csv(spark: SparkSession, path: str, currencies: tuple[str, ...] | None
     return long.select("series_id", "date", to_missing(F.col("raw")).alias("level"))
 
 
+def local_csv(spark: SparkSession, path: str, currency: dict[str, str]) -> DataFrame:
+    """(series_id, date, level, currency) of the tickers of ``currency`` (ticker to its own currency), one column of the file each.
+
+    A ticker's column is ``<ticker>_local_<CCY>`` or, without one, ``<ticker>_USD_unhedged``, which is in dollars. A local column
+    of another currency, a ticker without a column and a doubled column are refused; other columns are left out.
+    """
+    raw = spark.read.csv(path, header=True)
+    names = spark.read.text(path).first()[0].split(",")[1:]
+    if len(set(names)) < len(names):
+        raise ValueError(f"doubled columns: {sorted({n for n in names if names.count(n) > 1})}")
+    chosen = []
+    for ticker, own in currency.items():
+        local = [n for n in names if re.fullmatch(re.escape(ticker) + r"_local_[A-Z]{3}", n)]
+        if wrong := [n for n in local if n[-3:] != own]:
+            raise ValueError(f"{wrong[0]} is not in {own}")
+        column = local[0] if local else f"{ticker}_USD_unhedged"
+        if column not in names:
+            raise ValueError(f"no column of {ticker}")
+        chosen.append((ticker, column, own if local else "USD"))
+    long = raw.select(F.to_date(F.col(f"`{raw.columns[0]}`")).alias("date"), *[F.col(f"`{c}`").alias(t) for t, c, _ in chosen]).unpivot("date", [t for t, _, _ in chosen], "series_id", "raw")
+    of = F.create_map(*[F.lit(x) for t, _, c in chosen for x in (t, c)])
+    return long.select("series_id", "date", to_missing(F.col("raw")).alias("level"), of[F.col("series_id")].alias("currency"))
+
+
 def blocks_csv(spark: SparkSession, path: str) -> DataFrame:
     """Side-by-side blocks of (id, date, value) columns as (series_id, date, value); text for a value or a doubled key is refused."""
     raw = spark.read.csv(path, header=True)

@@ -107,3 +107,18 @@ def test_streams(spark, tmp_path):
     v = weekly.append_vintages(weekly.events(spark, str(tmp_path / "in"), schema), str(tmp_path / "v"), str(tmp_path / "ck"))
     v.awaitTermination(120)
     assert spark.read.parquet(str(tmp_path / "v")).count() == 7
+
+
+def test_local_columns(spark, tmp_path):
+    path = str(tmp_path / "x.csv")
+    with open(path, "w") as f:
+        f.write("date,A_local_EUR,A_USD_unhedged,B_USD_unhedged,C_local_JPY\n2020-01-02,1.5,9,2.5,#N/A\n")
+    got = readers.local_csv(spark, path, {"A": "EUR", "B": "GBP", "C": "JPY"}).collect()
+    assert sorted((r.series_id, r.level, r.currency) for r in got if r.level is not None) == [("A", 1.5, "EUR"), ("B", 2.5, "USD")] and len(got) == 3
+    with pytest.raises(ValueError, match="not in USD"):
+        readers.local_csv(spark, path, {"A": "USD"})
+    with pytest.raises(ValueError, match="no column"):
+        readers.local_csv(spark, path, {"D": "EUR"})
+    assert readers.loader("synthetic").analytics is not None and readers.source("wide") is readers.wide_csv
+    with pytest.raises(ValueError, match="unknown source"):
+        readers.loader("nowhere")
