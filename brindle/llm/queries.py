@@ -7,7 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from . import ann, cotrain, decontam, html, mixing, secrets, simhash, substring, toxicity, warc
+from . import ann, cotrain, decontam, dialogues, html, mixing, pieces, resample, secrets, simhash, substring, toxicity, warc
 
 
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
@@ -58,6 +58,24 @@ def op10_secret_ledger(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secrets.digest(secrets.scan_all(docs, ledger))
 
 
+def op11_importance_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return resample.resample(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
+def op12_conversation_repair(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return dialogues.repair(table(spark, sf_dir, "conversations"))
+
+
+def op13_sentencepiece_ids(spark: SparkSession, sf_dir: str, model: str | None = None) -> DataFrame:
+    """``model``: the path of the vocabulary on every executor; by default the public one of 32,000 pieces."""
+    if model is None:
+        import public_tokenizers
+
+        model = public_tokenizers.path("piece_bpe_32k.model")
+    made = pieces.encoded(table(spark, sf_dir, "documents"), model)
+    return made.select("doc_id", F.size("ids").cast("bigint").alias("n_tokens"), F.sha2(pieces.written(F.col("ids")), 256).alias("ids_sha256"), F.sha2("decoded", 256).alias("decoded_sha256"))
+
+
 _MIX_SQL = """
 WITH src AS (SELECT source, sum(coalesce(length(text), 0))::DOUBLE AS units FROM documents GROUP BY source),
 raw AS (SELECT *, CASE WHEN units > 0 THEN pow(units, 0.5) ELSE 0.0 END AS raw FROM src),
@@ -124,6 +142,32 @@ SELECT doc_id, len(w)::BIGINT AS n_words, len(qs)::BIGINT AS n_removed,
        sha256(array_to_string(CASE WHEN len(qs) = 0 THEN w ELSE list_filter(w, lambda x, i: NOT list_contains(qs, i)) END, ' ')) AS kept_sha256 FROM kept
 """
 
-_OPERATORS = (op1_rotated_bit_neighbours, op2_cotrained_quality, op3_poisson_mixing, op4_simhash_classes, op5_benchmark_containment, op6_line_block_text, op7_repeated_windows, op8_toxic_severity, op9_warc_derivatives, op10_secret_ledger)
+#: CRC-32 of the bytes of s, by the table of its polynomial.
+_CRC_SQL = """
+poly AS (SELECT list(c ORDER BY i) AS t FROM (SELECT i, list_reduce(range(8), lambda c, k: CASE WHEN c % 2 = 1 THEN xor(c // 2, 3988292384) ELSE c // 2 END, i) AS c FROM range(256) AS r(i))),
+crc AS MATERIALIZED (SELECT s, xor(list_reduce(list_transform(range(0, octet_length(encode(s))), lambda i: ('0x' || substr(h, 2 * i + 1, 2))::BIGINT),
+                                               lambda c, b: xor(c // 256, t[xor(c % 256, b) + 1]), 4294967295::BIGINT), 4294967295) AS crc
+        FROM (SELECT s, hex(encode(s)) AS h FROM strings), poly)
+"""
+
+_RESAMPLE_SQL = rf"""
+WITH txt AS MATERIALIZED (SELECT row_number() OVER () AS i, doc_id, coalesce(text, '') AS text FROM documents),
+tok AS MATERIALIZED (SELECT i, doc_id, list_filter(string_split_regex(translate(text, 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x00-\x2F\x3A-\x60\x7B-\x7F]+'), lambda x: x <> '') AS w
+        FROM (SELECT * FROM txt UNION ALL SELECT -row_number() OVER (), NULL, coalesce(text, '') FROM benchmark)),
+run AS MATERIALIZED (SELECT i, unnest(list_concat(w, list_transform(range(1, len(w)), lambda p: w[p] || ' ' || w[p + 1]))) AS s FROM tok),
+strings AS (SELECT DISTINCT s FROM run), {_CRC_SQL.strip()},
+hit AS MATERIALIZED (SELECT i, crc % 10000 AS b, count(*) AS n FROM run JOIN crc USING (s) GROUP BY ALL),
+tot AS (SELECT sum(n) FILTER (i > 0)::DOUBLE AS ss, coalesce(sum(n) FILTER (i < 0), 0)::DOUBLE AS tt FROM hit),
+cnt AS (SELECT b, coalesce(sum(n) FILTER (i > 0), 0)::DOUBLE AS s, coalesce(sum(n) FILTER (i < 0), 0)::DOUBLE AS t FROM hit GROUP BY b),
+gain AS (SELECT b, floor(1000 * ln((t + 1) * (ss + 10000) / ((s + 1) * (tt + 10000))))::BIGINT AS gain FROM cnt, tot),
+per AS (SELECT i, sum(n)::BIGINT AS n, sum(n * gain)::BIGINT AS g FROM hit JOIN gain USING (b) WHERE i > 0 GROUP BY i),
+scr AS (SELECT i, doc_id, len(w) AS n_words, coalesce(n, 0) AS n_features, coalesce((g - ((g % n) + n) % n) // n, 0)::BIGINT AS weight,
+        floor(-1000 * ln(-ln((('0x' || substr(sha256('7:' || coalesce(doc_id::VARCHAR, '')), 1, 8))::BIGINT + 0.5::DOUBLE) / 4294967296)))::BIGINT AS noise FROM tok LEFT JOIN per USING (i) WHERE i > 0),
+pos AS (SELECT i, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS LAST, i) AS rank FROM scr WHERE n_words >= 20)
+SELECT doc_id, n_features::BIGINT AS n_features, weight, weight + noise AS score, CASE WHEN rank <= 25 * (SELECT count(*) FROM pos) // 100 THEN rank END::BIGINT AS rank FROM scr LEFT JOIN pos USING (i)
+"""
+
+_OPERATORS = (op1_rotated_bit_neighbours, op2_cotrained_quality, op3_poisson_mixing, op4_simhash_classes, op5_benchmark_containment, op6_line_block_text, op7_repeated_windows, op8_toxic_severity, op9_warc_derivatives, op10_secret_ledger,
+              op11_importance_resampling, op12_conversation_repair, op13_sentencepiece_ids)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
-ORACLES: dict[str, str] = {"op1_rotated_bit_neighbours": _NEIGHBOUR_SQL, "op3_poisson_mixing": _MIX_SQL, "op5_benchmark_containment": _CONTAIN_SQL, "op7_repeated_windows": _WINDOW_SQL, "op10_secret_ledger": _SECRET_SQL}
+ORACLES: dict[str, str] = {"op1_rotated_bit_neighbours": _NEIGHBOUR_SQL, "op3_poisson_mixing": _MIX_SQL, "op5_benchmark_containment": _CONTAIN_SQL, "op7_repeated_windows": _WINDOW_SQL, "op10_secret_ledger": _SECRET_SQL, "op11_importance_resampling": _RESAMPLE_SQL}
