@@ -27,8 +27,8 @@ from . import words
 
 #: Fixed value: the mark that stands for a space in pieces.
 MARK = "▁"
-#: Stretches a process remembers, and the longest remembered; others are solved anew. Bounds memory, not results.
-REMEMBERED, LONGEST = 500_000, 64
+#: Stretches of a generation, of which a process remembers two, and the longest remembered; others are solved anew. Bounds memory, not results.
+REMEMBERED, LONGEST = 450_000, 64
 _STRETCH = re.compile(f"{MARK}+[^{MARK}]*")
 
 
@@ -51,10 +51,14 @@ class Vocabulary:
         self.bytes = [byte.get(f"<0x{b:02X}>") for b in range(256)]
         if None in self.bytes:
             raise ValueError(f"{path}: no byte pieces to fall back on")
-        self.spelt = [n.replace(MARK, " ").encode() for n in names]
+        spelt = [n.replace(MARK, " ").encode() for n in names]
         for b, i in enumerate(self.bytes):
-            self.spelt[i] = bytes([b])
-        self.known: dict[str, tuple[bytes, str]] = {}
+            spelt[i] = bytes([b])
+        self.spelt = np.frombuffer(b"".join(spelt), np.uint8)
+        self.sizes = np.array([len(x) for x in spelt], np.int64)
+        self.starts = np.cumsum(self.sizes) - self.sizes
+        self.known: dict[str, bytes] = {}
+        self.older: dict[str, bytes] = {}
 
     def merged(self, text: str) -> list[str]:
         """The symbols that are left of ``text`` (marks for spaces) when the agenda is empty."""
@@ -81,47 +85,54 @@ class Vocabulary:
         return [s for s in symbol if s is not None]
 
     def solved(self, text: str) -> list[int]:
-        out: list[int] = []
-        for s in self.merged(text):
-            i = self.ids.get(s)
-            out.extend([i] if i is not None else [self.bytes[b] for b in s.encode()])
-        return out
-
-    def decode(self, ids: list[int]) -> str:
-        """The pieces' text; marks are spaces and runs of byte pieces are UTF-8. The mark put before a text is still there."""
-        return b"".join(self.spelt[i] for i in ids).decode("utf-8", "replace")
-
-    def learn(self, stretches: set[str]) -> dict[str, tuple[bytes, str]]:
-        """Ids (int32) and decoded text of stretches not yet known, as the library has them too. Those short enough are remembered."""
-        todo = list(stretches)
-        mine = [self.solved(s) for s in todo]
-        plain = [s[1:].replace(MARK, " ") for s in todo]  # the library puts the first mark itself
+        symbols = self.merged(text)
+        out = list(map(self.ids.get, symbols))
+        if None not in out:
+            return out
+        return [k for s, i in zip(symbols, out) for k in ([i] if i is not None else [self.bytes[b] for b in s.encode()])]
+
+    def decode(self, ids: np.ndarray) -> tuple[bytes, np.ndarray]:
+        """The pieces' text in UTF-8, marks as spaces, and where each id's part ends in it."""
+        sizes = self.sizes[ids]
+        ends = np.cumsum(sizes)
+        at = np.repeat(self.starts[ids] - (ends - sizes), sizes) + np.arange(int(ends[-1]) if len(ends) else 0)
+        return self.spelt[at].tobytes(), ends
+
+    def learn(self, stretches: list[str]) -> dict[str, bytes]:
+        """The ids (int32) of stretches not known so far. The library has to give them, and their text, too."""
+        mine = [self.solved(s) for s in stretches]
+        plain = [s[1:].replace(MARK, " ") for s in stretches]  # the library puts the first mark itself
         theirs = self.library.encode(plain, num_threads=1)
-        read = [self.decode(i) for i in mine]
-        texts = self.library.decode(theirs, num_threads=1)
-        out = {}
-        for s, a, b, c, d, p in zip(todo, mine, theirs, read, texts, plain):
-            # The library gives no ids for an empty text, which a lone first mark would be; such a stretch follows another text.
-            if p and (a != b or c[1:] != d):
-                raise ValueError(f"the sentencepiece library encodes {p[:200]!r} as {b[:50]} and decodes {d[:200]!r}, not {a[:50]}, {c[1:][:200]!r}")
-            out[s] = (array("i", a).tobytes(), c)
+        if mine != theirs:
+            for a, b, p in zip(mine, theirs, plain):
+                # The library gives no ids for an empty text, which a lone first mark would be; such a stretch follows another text.
+                if p and a != b:
+                    raise ValueError(f"the sentencepiece library encodes {p[:200]!r} as {b[:50]}, not {a[:50]}")
+        flat = [i for ids in mine for i in ids]
+        read = self.decode(np.array(flat, np.int32))[0].decode()
+        if read[1:] != self.library.decode(flat):
+            raise ValueError(f"the sentencepiece library decodes another text than {read[:200]!r}")
+        return {s: array("i", a).tobytes() for s, a in zip(stretches, mine)}
+
+    def found(self, stretches: set[str]) -> dict[str, bytes]:
+        """``learn`` of those among ``stretches`` that the older generation does not know either; all of them become known."""
+        older = self.older.get
+        out = {s: v for s in stretches if (v := older(s)) is not None}
+        out |= self.learn([s for s in stretches if s not in out])
         if len(self.known) + len(out) > REMEMBERED:
-            self.known.clear()
+            self.known, self.older = {}, self.known
         self.known.update((s, v) for s, v in out.items() if len(s) <= LONGEST)
         return out
 
-    def encode(self, texts: list[str]) -> list[tuple[bytes, str]]:
-        """Ids (int32) and decoded text of each text; an empty text has neither."""
+    def encode(self, texts: list[str]) -> list[bytes]:
+        """The ids (int32) of each text; an empty text has none."""
         cut = [_STRETCH.findall(MARK + t.replace(" ", MARK)) if t else [] for t in texts]
-        new = {s for stretches in cut for s in stretches}
-        have = {s: v for s in new if (v := self.known.get(s)) is not None}
-        if len(have) < len(new):
-            have |= self.learn(new.difference(have))
-        out = []
-        for stretches in cut:
-            found = [have[s] for s in stretches]
-            out.append((b"".join([f[0] for f in found]), "".join([f[1] for f in found])[1:]))
-        return out
+        held = [list(map(self.known.get, stretches)) for stretches in cut]
+        gaps = [(k, i) for k, have in enumerate(held) if None in have for i, v in enumerate(have) if v is None]
+        fresh = self.found({cut[k][i] for k, i in gaps}) if gaps else {}
+        for k, i in gaps:
+            held[k][i] = fresh[cut[k][i]]
+        return list(map(b"".join, held))
 
 
 @functools.lru_cache(maxsize=4)
@@ -145,9 +156,14 @@ def encoded(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id"
             raw = batch.column(1).cast(pa.large_binary())
             for at, texts in words.grouped(x.as_py() for x in raw):
                 made = vocab.encode([t.decode() for t in texts])
-                ends = np.cumsum([0] + [len(i) // 4 for i, _ in made]).astype(np.int32)
-                flat = pa.Array.from_buffers(pa.int32(), int(ends[-1]), [None, pa.py_buffer(b"".join(i for i, _ in made))])
-                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), pa.ListArray.from_arrays(pa.array(ends), flat), pa.array([d for _, d in made], pa.string())], ["key", "ids", "decoded"])
+                flat = np.frombuffer(b"".join(made), np.int32)
+                ends = np.cumsum([0] + [len(i) // 4 for i in made])
+                data, places = vocab.decode(flat)
+                places = np.concatenate([[0], places])[ends]
+                # A text begins with the mark put before it, which is one byte here.
+                plain = pa.array([data[a + 1 : b] for a, b in zip(places, places[1:])], pa.binary()).cast(pa.string())
+                ids = pa.ListArray.from_arrays(pa.array(ends.astype(np.int32)), pa.array(flat))
+                yield pa.RecordBatch.from_arrays([batch.column(0).slice(at, len(texts)), ids, plain], ["key", "ids", "decoded"])
 
     kind = docs.schema[key].dataType.simpleString()
     return only.mapInArrow(run, f"key {kind}, ids array<int>, decoded string").withColumnRenamed("key", key)

@@ -8,6 +8,7 @@ import re
 import zlib
 from collections import Counter
 
+import numpy as np
 import public_tokenizers
 import pytest
 import sentencepiece
@@ -165,6 +166,7 @@ def some_conversations():
     rows = [(c, rng.choice((None, t, t, t, t + 3)), rng.choice(roles[:3] * 3 + roles), rng.choice(texts)) for c in range(80) for t in range(rng.randint(1, 9))]
     rows += [(None, t, r, x) for t, r, x in ((0, "user", "a."), (1, "assistant", "b."), (None, None, None), (5, "user", "c"))]
     rows += [(900, 1, "user", "Same."), (900, 1, "assistant", "Same."), (900, 1, "user", "Same."), (901, None, "user", "x."), (902, 0, "user", "long " * 200_000 + ".")]
+    rows += [(c, 0, "user", "Gone.") for c in range(2000, 2100) if zlib.crc32(f"{c}:0".encode()) % 20 == 0]  # nothing of these is left
     rows += [(1000 + i, t, ("user", "assistant")[t % 2], "Common.") for i in range(400) for t in range(4)]
     return rows
 
@@ -177,7 +179,7 @@ def test_repair_equals_the_plain_one(spark):
     want = plain_repair(rows)
     assert out.columns == ["conv_id", "gaps", "blank", "duplicate", "truncated", "illegal", "cost", "audit", "repaired_sha256"]
     assert set(got) == set(want) and {c for c in got if got[c] != want[c]} == set()
-    assert any(v[6] == "" for v in got.values()) and any("I" in v[6] for v in got.values())
+    assert sum(v[6] == "" for v in got.values()) > 1 and any("R" in v[6] and "D" in v[6] for v in got.values())
 
 
 def test_repair_of_an_empty_table_and_blocks_of_marks(spark, monkeypatch):
@@ -214,8 +216,8 @@ def test_forgetting_stretches_changes_nothing(monkeypatch):
     monkeypatch.setattr(pieces, "LONGEST", 4)
     vocab = pieces.Vocabulary(MODEL)
     for x in odd_texts():
-        ids, decoded = vocab.encode([x])[0]
-        assert list(memoryview(ids).cast("i")) == vocab.library.encode(x) and decoded == vocab.library.decode(vocab.library.encode(x))
+        ids = list(memoryview(vocab.encode([x])[0]).cast("i"))
+        assert ids == vocab.library.encode(x) and vocab.decode(np.array(ids, np.int32))[0][1:].decode() == vocab.library.decode(ids)
 
 
 def test_a_difference_to_the_library_ends_the_job():
