@@ -151,49 +151,67 @@ def with_legs(c: np.ndarray, x: np.ndarray, legs: np.ndarray, half_life: float |
     return np.block([[c, cross.T], [cross, cross @ b.T + np.diag(missed)]]), b, np.array(missed), np.array(fit)
 
 
-def windows_ending(weekly: DataFrame, as_of: DataFrame, window: int) -> DataFrame:
-    """Rows of ``weekly`` (universe, date, ...) once for each of ``as_of`` (universe, as_of) whose last ``window`` periods hold them.
+#: As-of dates of a universe that one task computes; its weeks are shipped once for a block and the window before it.
+AS_OF_BLOCK = 26
 
-    Dates meet as-of dates by equality on a table of (as_of, date), which is bounded by the calendar. Universes with fewer
-    periods at a date have none there.
-    """
-    days = weekly.select("universe", "date").distinct().withColumn("k", F.row_number().over(Window.partitionBy("universe").orderBy("date")))
-    reach = as_of.select("universe", "as_of").distinct().join(days, "universe").where("date <= as_of").groupBy("universe", "as_of").agg(F.max("k").alias("end")).where(F.col("end") >= window)
-    spans = reach.select("universe", "as_of", F.explode(F.sequence(F.col("end") - window + 1, F.col("end"))).alias("k")).join(days, ["universe", "k"])
-    return weekly.join(spans.select("universe", "as_of", "date"), ["universe", "date"])
 
+def estimate(wide: pd.DataFrame, legs: list[str], present: float = 0.9, half_life: float | None = None, overlay: str = "per_series") -> tuple[list[str], int, np.ndarray, float, np.ndarray] | None:
+    """(ids, holdings among them, matrix, shrinkage, R squared by id) of one window of weeks by series; None where nothing can be held or a leg lacks its window."""
+    ok = wide.columns[wide.iloc[0].notna() & (wide.notna().mean() >= present)]
+    hold, own = [c for c in ok if c not in legs], [c for c in legs if c in ok]
+    if not hold or len(own) < len(legs):
+        return None
+    x = wide[hold].fillna(0.0).to_numpy()
+    c, k = shrink(x, "constant_correlation")
+    if half_life is not None:
+        c = rescaled(c, x, half_life) if overlay == "per_series" else c * turbulence(c, x, half_life) ** 2
+    r2 = np.full(len(hold) + len(own), np.nan)
+    if own:
+        c, _, _, r2[len(hold) :] = with_legs(c, x, wide[own].fillna(0.0).to_numpy(), half_life)
+    return [*hold, *own], len(hold), c, k, r2
 
-def trailing(weekly: DataFrame, as_of: DataFrame, legs: list[str], window: int = 156, present: float = 0.9, half_life: float | None = None, overlay: str = "per_series") -> DataFrame:
-    """(universe, as_of, a, b, cov, shrinkage, leg_r2): the covariance that could have been estimated at each as-of date.
+
+def matrices(weekly: DataFrame, as_of: DataFrame, legs: list[str], window: int = 156, present: float = 0.9, half_life: float | None = None, overlay: str = "per_series") -> DataFrame:
+    """(universe, as_of, ids, n_hold, matrix, shrinkage, leg_r2): the covariance that could have been estimated at each as-of date.
 
     weekly: universe, series_id, date, ret. Series live at the window's start with ``present`` of its periods take part, gaps
     as zero; shrunk to a constant correlation; with ``half_life``, volatilities follow the weighted ones (``per_series``) or
-    one multiplier (``scalar``); ``legs`` come in through tracking books, after that. ``leg_r2`` is null but on a leg's own
-    diagonal. A universe and date without a whole window, or whose legs lack one, has no rows. One universe's window is a group.
+    one multiplier (``scalar``); ``legs`` come in through tracking books, after that. ``ids`` are the holdings, then the legs;
+    ``matrix`` is row by row. A universe and date without a whole window, or whose legs lack one, has no row.
+
+    Weeks of a universe are numbered; an as-of date belongs to its last week's block. A task gets a block's weeks and the window
+    before them, so a week is shipped a few times however many as-of dates there are.
     """
     if overlay not in ("per_series", "scalar"):
         raise ValueError(f"unknown overlay {overlay!r}")
 
-    def run(key: tuple, rows: pd.DataFrame) -> pd.DataFrame:
-        wide = rows.pivot(index="date", columns="series_id", values="ret").sort_index()
-        ok = wide.columns[wide.iloc[0].notna() & (wide.notna().mean() >= present)]
-        hold, own = [c for c in ok if c not in legs], [c for c in legs if c in ok]
-        out = pd.DataFrame(columns=["universe", "as_of", "a", "b", "cov", "shrinkage", "leg_r2"])
-        if len(wide) < window or not hold or len(own) < len(legs):
-            return out
-        x = wide[hold].fillna(0.0).to_numpy()
-        c, k = shrink(x, "constant_correlation")
-        if half_life is not None:
-            c = rescaled(c, x, half_life) if overlay == "per_series" else c * turbulence(c, x, half_life) ** 2
-        r2 = np.full(len(hold) + len(own), np.nan)
-        if own:
-            c, _, _, r2[len(hold) :] = with_legs(c, x, wide[own].fillna(0.0).to_numpy(), half_life)
-        out = _long(key, [*hold, *own], c, k)
-        return out.assign(as_of=key[1], leg_r2=np.where(out["a"] == out["b"], np.repeat(r2, len(r2)), np.nan))[["universe", "as_of", "a", "b", "cov", "shrinkage", "leg_r2"]]
-
-    held = windows_ending(weekly, as_of, window)
-    made = held.groupBy("universe", "as_of").applyInPandas(run, "universe string, as_of date, a string, b string, cov double, shrinkage double, leg_r2 double")
-    return made.withColumn("leg_r2", F.when(~F.isnan("leg_r2"), F.col("leg_r2")))
+    def run(key: tuple, rows: pd.DataFrame, ends: pd.DataFrame) -> pd.DataFrame:
+        out = []
+        if len(rows) and len(ends):
+            wide = rows.pivot(index="k", columns="series_id", values="ret").sort_index()
+            for as_of, end in zip(ends["as_of"], ends["end"]):
+                part = wide.loc[end - window + 1 : end]
+                if len(part) == window and (made := estimate(part, legs, present, half_life, overlay)) is not None:
+                    ids, n, c, k, r2 = made
+                    out.append((key[0], as_of, [str(i) for i in ids], n, c.ravel(), k, r2))
+        return pd.DataFrame(out, columns=["universe", "as_of", "ids", "n_hold", "matrix", "shrinkage", "leg_r2"])
+
+    days = weekly.select("universe", "date").distinct().withColumn("k", F.row_number().over(Window.partitionBy("universe").orderBy("date")))
+    block = lambda k: F.floor((F.col(k) if isinstance(k, str) else k) / AS_OF_BLOCK).cast("int")
+    reach = as_of.select("universe", "as_of").distinct().join(days, "universe").where("date <= as_of").groupBy("universe", "as_of").agg(F.max("k").alias("end"))
+    ends = reach.where(F.col("end") >= window).withColumn("block", block("end"))
+    wanted = ends.select("universe", "block").distinct()
+    spread = days.withColumn("block", F.explode(F.sequence(block("k"), block(F.col("k") + window - 1)))).join(wanted, ["universe", "block"], "left_semi")
+    held = weekly.select("universe", "date", "series_id", "ret").join(spread, ["universe", "date"])
+    return held.groupBy("universe", "block").cogroup(ends.groupBy("universe", "block")).applyInPandas(run, "universe string, as_of date, ids array<string>, n_hold int, matrix array<double>, shrinkage double, leg_r2 array<double>")
+
+
+def trailing(weekly: DataFrame, as_of: DataFrame, legs: list[str], window: int = 156, present: float = 0.9, half_life: float | None = None, overlay: str = "per_series") -> DataFrame:
+    """(universe, as_of, a, b, cov, shrinkage, leg_r2): ``matrices`` as a long table. ``leg_r2`` is null but on a leg's own diagonal."""
+    each = matrices(weekly, as_of, legs, window, present, half_life, overlay).select("*", F.size("ids").alias("_n"), F.posexplode("matrix").alias("_i", "cov"))
+    a, b = (F.col("_i") / F.col("_n")).cast("int"), F.col("_i") % F.col("_n")
+    r2 = F.when((a == b) & ~F.isnan(F.col("leg_r2")[a]), F.col("leg_r2")[a])
+    return each.select("universe", "as_of", F.col("ids")[a].alias("a"), F.col("ids")[b].alias("b"), "cov", "shrinkage", r2.alias("leg_r2"))
 
 
 def bets(m: np.ndarray) -> float:
@@ -271,26 +289,27 @@ def active_covariance(c: np.ndarray, bench: np.ndarray) -> np.ndarray:
 def path_transfer(books: DataFrame, cov: DataFrame) -> DataFrame:
     """(universe, full, diagonal, alignment, condition_median, condition_max, n_dates): the mean coefficients of a path of books.
 
-    books: universe, date, series_id, w, alpha, bench (benchmark weight); cov: universe, as_of, a, b, cov. One date is one group.
+    books: universe, date, series_id, w, alpha, bench (benchmark weight); cov: ``matrices``. One date of a universe is one row.
     """
     rows = F.array_sort(F.collect_list(F.struct("series_id", "w", "alpha", "bench")))
     held = books.groupBy("universe", "date").agg(rows.alias("rows"))
-    flat = cov.groupBy("universe", F.col("as_of").alias("date")).agg(F.array_sort(F.collect_list(F.struct("a", "b", "cov"))).alias("cov"))
+    own = cov.select("universe", F.col("as_of").alias("date"), "ids", "matrix")
 
     def run(batches):
         for p in batches:
             out = []
-            for u, d, own, c in zip(p["universe"], p["date"], p["rows"], p["cov"]):
-                m = {(x["a"], x["b"]): x["cov"] for x in c}
-                own = [x for x in own if (x["series_id"], x["series_id"]) in m]
-                if len(own) < 2:
+            for u, d, rows, ids, flat in zip(p["universe"], p["date"], p["rows"], p["ids"], p["matrix"]):
+                place = {k: i for i, k in enumerate(ids)}
+                rows = [x for x in rows if x["series_id"] in place]
+                if len(rows) < 2:
                     continue
-                ids = [x["series_id"] for x in own]
-                w, a, b = (np.array([x[k] or 0.0 for x in own], float) for k in ("w", "alpha", "bench"))
-                out.append({"universe": u, "date": d, **transfer(a, w - b, active_covariance(np.array([[m[i, j] for j in ids] for i in ids]), b))})
+                at = [place[x["series_id"]] for x in rows]
+                w, a, b = (np.array([x[k] or 0.0 for x in rows], float) for k in ("w", "alpha", "bench"))
+                c = np.asarray(flat, float).reshape(len(ids), len(ids))[np.ix_(at, at)]
+                out.append({"universe": u, "date": d, **transfer(a, w - b, active_covariance(c, b))})
             yield pd.DataFrame(out, columns=["universe", "date", "full", "diagonal", "alignment", "condition"])
 
-    per = held.join(flat, ["universe", "date"]).mapInPandas(run, "universe string, date date, full double, diagonal double, alignment double, condition double")
+    per = held.join(own, ["universe", "date"]).mapInPandas(run, "universe string, date date, full double, diagonal double, alignment double, condition double")
     real = lambda c: F.when(~F.isnan(c), F.col(c))
     means = [F.avg(real(c)).alias(c) for c in ("full", "diagonal", "alignment")]
     return per.groupBy("universe").agg(*means, F.median("condition").alias("condition_median"), F.max("condition").alias("condition_max"), F.count(real("full")).alias("n_dates"))

@@ -85,3 +85,11 @@ def largest(rows: DataFrame, by: list[str], name: str, value: str) -> DataFrame:
     size = F.abs(F.col(value))
     ok = rows.where(size.isNotNull() & ~F.isnan(size) & (size < float("inf")))
     return ok.groupBy(*by).agg(F.min_by(name, F.struct((-size).alias("s"), F.col(name).alias("n"))).alias(name), F.max(size).alias("size"))
+
+
+def restart_stability(agreement: DataFrame, least: float = 0.9) -> DataFrame:
+    """(n_fits, lowest_median, lowest_worst, middle_median, below) of ``loadings.restart_agreement``: did the regimes hold across restarts?
+
+    ``below`` counts the weeks on which some restart agrees with the best one on less than ``least`` of the weeks.
+    """
+    return agreement.agg(F.count("*").alias("n_fits"), F.median("lowest").alias("lowest_median"), F.min("lowest").alias("lowest_worst"), F.median("middle").alias("middle_median"), F.count_if(F.col("lowest") < least).alias("below"))

@@ -217,11 +217,11 @@ def _smoothed(dens: np.ndarray, start: np.ndarray, move: np.ndarray, mask: np.nd
     return g * mask[:, :, None], fwd, move * np.einsum("tmi,tmj->mij", fwd[:-1], nxt), np.where(mask, np.log(scale), 0).sum(axis=0)
 
 
-def regime_fits(x: np.ndarray, counts: list[int], restarts: int = RESTARTS, rounds: int = ROUNDS, seed: int = 20261001) -> list[tuple[np.ndarray, np.ndarray, np.ndarray]]:
+def regime_fits(x: np.ndarray, counts: list[int], restarts: int = RESTARTS, rounds: int = ROUNDS, seed: int = 20261001) -> list[tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]]:
     """Two Gaussian states with full covariances on the first ``c`` rows, for each ``c`` of counts, by expectation-maximisation.
 
     For each: (smoothed probabilities, transitions, probabilities of the next row), the calm state first, of the best of some
-    starts. A start splits the rows at a random quantile of their noisy distance from the mean. All fits run as one batch.
+    starts, and the share of rows on which each other start, its own calm state first, finds the same state likelier. A start splits the rows at a random quantile of their noisy distance from the mean. All fits run as one batch.
     """
     n, d = max(counts), x.shape[1]
     x = x[:n]
@@ -275,7 +275,11 @@ def regime_fits(x: np.ndarray, counts: list[int], restarts: int = RESTARTS, roun
         j = i * restarts + int(like[i * restarts : (i + 1) * restarts].argmax())
         order = np.argsort(np.trace(cov[2 * j : 2 * j + 2], axis1=1, axis2=2))  # the calm state first
         own = move[j][np.ix_(order, order)]
-        out.append((g[:c, j][:, order], own, fwd[c - 1, j][order] @ own))
+        chains = np.arange(i * restarts, (i + 1) * restarts)
+        calm = np.trace(cov[pair(chains)].reshape(restarts, 2, d, d), axis1=2, axis2=3).argmin(axis=1)
+        wild = np.take_along_axis(g[:c, chains], (1 - calm)[None, :, None], axis=2)[:, :, 0] > 0.5
+        same = (wild == wild[:, [j - i * restarts]]).mean(axis=0)
+        out.append((g[:c, j][:, order], own, fwd[c - 1, j][order] @ own, np.delete(same, j - i * restarts)))
     return out
 
 
@@ -287,7 +291,11 @@ def regimes(x: np.ndarray, restarts: int = RESTARTS, rounds: int = ROUNDS, seed:
 def _regime_weeks(x: np.ndarray, at: list[int]) -> list[tuple[int, np.ndarray, float]]:
     """(week, calm probabilities of the weeks up to it, the next week's) of each week in ``at`` that has enough history."""
     at = [t for t in at if t + 1 >= WINDOW]
-    return [(t, g[:, 0], float(ahead[0])) for i in range(0, len(at), WEEKS) for t, (g, _, ahead) in zip(at[i : i + WEEKS], regime_fits(x, [t + 1 for t in at[i : i + WEEKS]]))]
+    return [(t, g[:, 0], float(ahead[0])) for t, (g, _, ahead, _) in _weekly_fits(x, at)]
+
+
+def _weekly_fits(x: np.ndarray, at: list[int]) -> list[tuple[int, tuple]]:
+    return [fit for i in range(0, len(at), WEEKS) for fit in zip(at[i : i + WEEKS], regime_fits(x, [t + 1 for t in at[i : i + WEEKS]]))]
 
 
 def regime_conditional(y: np.ndarray, f: np.ndarray, place: np.ndarray | None = None, path: dict[int, tuple[np.ndarray, float]] | None = None) -> Path:
@@ -319,24 +327,47 @@ def regime_conditional(y: np.ndarray, f: np.ndarray, place: np.ndarray | None =
     return beta, cov, var, count
 
 
+def _calendar(panel: DataFrame, factors: list[str]) -> pd.DataFrame:
+    """The weeks on which all factors are known, in order: bounded by the calendar."""
+    known = panel.select("date", *factors).where(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in factors))
+    return known.groupBy("date").agg(*[F.first(c).alias(c) for c in factors]).orderBy("date").toPandas()
+
+
+def _by_week(panel: DataFrame, weeks: int, run: Callable, schema: str) -> DataFrame:
+    """``run`` over the numbers of the weeks, a few a task."""
+    return panel.sparkSession.range(0, weeks, 1, max(1, -(-weeks // WEEKS))).mapInPandas(run, schema)
+
+
 def regime_path(panel: DataFrame, factors: list[str]) -> tuple[np.ndarray, dict[int, tuple[np.ndarray, float]]]:
     """The factors' calendar and its regimes week by week, fitted once for all instruments, a few weeks a task.
 
     Both are bounded by the calendar: a number for each pair of weeks.
     """
-    known = panel.select("date", *factors).where(" and ".join(f"`{c}` is not null and not isnan(`{c}`)" for c in factors))
-    weeks = known.groupBy("date").agg(*[F.first(c).alias(c) for c in factors]).orderBy("date").toPandas()
+    weeks = _calendar(panel, factors)
     x = weeks[factors].to_numpy(float)
 
     def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for ids in batches:
             yield pd.DataFrame(_regime_weeks(x, ids["id"].tolist()), columns=["t", "calm", "ahead"])
 
-    tasks = max(1, -(-len(x) // WEEKS))
-    rows = panel.sparkSession.range(0, len(x), 1, tasks).mapInPandas(run, "t long, calm array<double>, ahead double").collect()
+    rows = _by_week(panel, len(x), run, "t long, calm array<double>, ahead double").collect()
     return pd.to_datetime(weeks["date"]).to_numpy(), {r["t"]: (np.array(r["calm"]), r["ahead"]) for r in rows}
 
 
+def restart_agreement(panel: DataFrame, factors: list[str]) -> DataFrame:
+    """(date, lowest, middle): for each week's fit of the regimes the least and the median share of weeks, over the restarts but the best, on
+    which a restart finds the same state likelier as the best one. Weeks before there is enough history have no row."""
+    weeks = _calendar(panel, factors)
+    x, dates = weeks[factors].to_numpy(float), weeks["date"].to_numpy()
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for ids in batches:
+            fits = _weekly_fits(x, [t for t in ids["id"].tolist() if t + 1 >= WINDOW])
+            yield pd.DataFrame([(dates[t], float(same.min()), float(np.median(same))) for t, (_, _, _, same) in fits], columns=["date", "lowest", "middle"])
+
+    return _by_week(panel, len(x), run, "date date, lowest double, middle double")
+
+
 ESTIMATORS: dict[str, Callable[..., Path]] = {"ols": rolling_ols, "huber": huber, "discount": discount_filter, "reverting": reverting_filter, "regime": regime_conditional}
 
 

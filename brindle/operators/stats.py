@@ -45,15 +45,19 @@ def ols(x: str, y: str) -> list[Column]:
     return [F.when(ok, slope).alias("slope"), F.when(ok, se).alias("se"), F.when(ok & (se > 0), slope / se).alias("t"), n.alias("n")]
 
 
+#: Tests that one task ranks. Results do not depend on it.
+ONE_SORT = 200_000
+
+
 def _ranked(p: DataFrame, family: str | None) -> tuple[DataFrame, list[str]]:
     """``p`` with its ascending rank ``_i`` among ``_m`` tests, and the columns that its parts in order of p are named by.
 
-    Families are ranked by a window each. One family of all tests is cut into ranges of p, written once; a rank is the place in
-    the range and the sizes of the ranges before it, so no task holds all tests.
+    Families are ranked by a window each, and so is one family of at most ONE_SORT tests. A larger one is cut into ranges of p,
+    written once; a rank is the place in the range and the sizes of the ranges before it, so no task holds all tests.
     """
-    if family:
-        w = Window.partitionBy(family)
-        return p.withColumn("_i", F.row_number().over(w.orderBy("p", "test"))).withColumn("_m", F.count("*").over(w)).withColumn("_part", F.lit(0)), [family]
+    if family or p.limit(ONE_SORT + 1).count() <= ONE_SORT:
+        w = Window.partitionBy(family or F.lit(0))
+        return p.withColumn("_i", F.row_number().over(w.orderBy("p", "test"))).withColumn("_m", F.count("*").over(w)).withColumn("_part", F.lit(0)), [family] if family else []
     parts = cut(p.repartitionByRange("p", "test").withColumn("_part", F.spark_partition_id()))
     sizes = parts.groupBy("_part").agg(F.count("*").alias("_n"))  # one row a range
     before = sizes.withColumn("_before", F.coalesce(F.sum("_n").over(Window.orderBy("_part").rowsBetween(Window.unboundedPreceding, -1)), F.lit(0))).withColumn("_m", F.sum("_n").over(Window.partitionBy(F.lit(0))))
@@ -103,35 +107,103 @@ def standardised_columns(t: DataFrame, null: DataFrame) -> tuple[DataFrame, Data
     return t.join(pool, "test").select("test", ((F.col("t") - F.col("m")) / F.col("s")).alias("t")), null.join(pool, "test").select("draw", "test", ((F.col("t0") - F.col("m")) / F.col("s")).alias("t0"))
 
 
-def romano_wolf(t: DataFrame, null: DataFrame, alpha: float = 0.05) -> DataFrame:
-    """Stepdown by the maximum over tests still active: (test, p, rejected).
+#: Families whose sorted maxima are broadcast; each has one number a draw.
+NEAR_FAMILIES = 64
+
+
+def at_or_above(values: Column, x: Column) -> Column:
+    """How many of an ascending array are at or above ``x``, by binary search."""
+    n = F.size(values)
+
+    def half(span: Column, _: Column) -> Column:
+        mid = ((span["lo"] + span["hi"]) / 2).cast("int")
+        open_, low = span["lo"] < span["hi"], F.get(values, mid) < x
+        return F.struct(F.when(open_ & low, mid + 1).otherwise(span["lo"]).alias("lo"), F.when(open_ & ~low, mid).otherwise(span["hi"]).alias("hi"))
+
+    steps = F.sequence(F.lit(1), F.ceil(F.log2(n + 2)).cast("int"))
+    return n - F.aggregate(steps, F.struct(F.lit(0).alias("lo"), n.alias("hi")), half)["lo"]
+
 
-    Each round is one aggregation over the draws, to a sorted list of their maxima: one number a draw, which is held against
-    every test. Rounds end with the first that rejects nothing. Only counts pass through the driver.
+def largest_by_draw(null: DataFrame, g: int) -> DataFrame:
+    """(family, draw, a1, ..., ag): the g largest values of each draw, null where it has fewer. Each is one maximum, partly formed before the shuffle."""
+    by, key = ["family", "draw"], F.struct("t0", "test")
+    rest, out = null, None
+    for k in range(1, g + 1):
+        top = rest.groupBy(*by).agg(F.max(key).alias(f"_{k}"))
+        out = top if out is None else out.join(top, by, "left")
+        if k < g:
+            rest = rest.join(top, by).where(key < F.col(f"_{k}")).drop(f"_{k}")
+    return out.select(*by, *[F.col(f"_{k}.t0").alias(f"a{k}") for k in range(1, g + 1)])
+
+
+def _bar(tops: DataFrame, done: DataFrame | None, null: DataFrame, g: int) -> DataFrame:
+    """(family, bar): for each family the ascending array, one number a draw, that tests are held against.
+
+    It is the g-th largest of the active tests and, for g = 2 once tests were rejected, the worst case over each rejected one
+    joining them: the k-th largest number of the worst case is the largest of the k-th largest ones.
+    """
+    none = F.lit(float("-inf"))
+    if g == 1 or done is None:
+        return tops.groupBy("family").agg(F.array_sort(F.collect_list(F.coalesce(f"a{g}", none))).alias("bar"))  # bounded by the number of draws
+    ways = done.select("family", F.col("test").alias("way")).join(tops, "family")
+    own = null.select("family", "draw", F.col("test").alias("way"), "t0")
+    second = F.greatest(F.coalesce("a2", none), F.least(F.col("a1"), F.coalesce("t0", none)))
+    each = ways.join(own, ["family", "draw", "way"], "left").groupBy("family", "way").agg(F.array_sort(F.collect_list(second)).alias("c"))
+    worst = each.select("family", F.posexplode("c").alias("j", "c")).groupBy("family", "j").agg(F.max("c").alias("c"))
+    return worst.groupBy("family").agg(F.array_sort(F.collect_list("c")).alias("bar"))
+
+
+def stepdown(t: DataFrame, null: DataFrame, alpha: float = 0.05, g: int = 1) -> DataFrame:
+    """(family, test, p, rejected) of stepdowns that control the chance of ``g`` (1 or 2) or more false rejections, all families at once.
+
+    t: family, test, t; null: family, draw, test, t0. A round holds each active test against one number a draw; a family whose
+    round rejects nothing stops, the others go on. p never falls from round to round. For g = 2 a family with a single
+    rejection after the first round rejects nothing more and what is left has one. A test that a draw lacks is exceeded by none in it.
+
+    Every round is a few aggregations whose groups are the draws of one test or the tests of one draw; no group holds all draws
+    of a family. Only counts pass through the driver.
     """
-    active, floor, parts = t, 0.0, []
+    if g not in (1, 2):
+        raise ValueError(f"g must be 1 or 2 here, got {g}; gfwer takes others, a family a task")
+    kind = dict(t.dtypes)["family"]
+    floors = null.groupBy("family").agg(F.count_distinct("draw").alias("k")).select("family", "k", F.lit(0.0).alias("floor"), F.lit(0).cast("bigint").alias("n_done"))
+    few = floors.limit(NEAR_FAMILIES + 1).count() <= NEAR_FAMILIES
+    near = F.broadcast if few else (lambda df: df)
+    active, done, parts = t.select("family", "test", "t"), None, []
     while True:
-        top = null.join(active.select("test"), "test", "left_semi").groupBy("draw").agg(F.max("t0").alias("top"))
-        tops = top.agg(F.array_sort(F.collect_list("top")).alias("tops"))  # bounded by the number of draws
-        at_or_above = F.aggregate("tops", F.lit(0), lambda n, x: n + (x >= F.col("t")).cast("int"))
-        p = cut(active.crossJoin(F.broadcast(tops)).select("test", F.greatest((1 + at_or_above) / (1.0 + F.size("tops")), F.lit(floor)).alias("p")))  # one row of maxima
-        hit = p.where(F.col("p") <= alpha)
-        if hit.isEmpty():
-            parts.append(p.withColumn("rejected", F.lit(False)))
-            break
-        parts.append(hit.withColumn("rejected", F.lit(True)))
-        floor = hit.agg(F.max("p")).first()[0]
-        active = cut(active.join(hit, "test", "left_anti"))
+        going = null.join(active.select("family", "test"), ["family", "test"], "left_semi")
+        held = active.join(near(_bar(largest_by_draw(going, g), done, null, g)), "family", "left").join(near(floors), "family", "left")
+        worst = (1 + F.coalesce(at_or_above(F.col("bar"), F.col("t")), F.lit(0))) / (1.0 + F.coalesce("k", F.lit(0)))
+        scored = cut(held.select("family", "test", "t", "k", F.coalesce("floor", F.lit(0.0)).alias("floor"), F.coalesce("n_done", F.lit(0)).alias("n_done"), worst.alias("worst")).withColumn("fresh", F.col("worst") <= alpha))
+        per = scored.groupBy("family").agg(F.count_if("fresh").alias("n_fresh"), F.max(F.when(F.col("fresh"), F.col("worst"))).alias("top"))
+        all_done = F.col("n_done") + F.col("n_fresh")
+        ended = F.col("n_fresh") == 0
+        thin = F.lit(g > 1) & ~ended & ~F.col("fresh") & (all_done < g)  # too few rejections to go on
+        judged = scored.join(near(per), "family").select(
+            "family", "test", "t", "k", F.greatest("floor", "top").alias("next_floor"), all_done.alias("all_done"), "fresh", thin.alias("thin"), (ended | F.col("fresh") | thin).alias("final"), F.greatest("worst", "floor").alias("p"),
+        )
+        judged = cut(judged)
+        parts.append(judged.where("final").select("family", "test", F.when(F.col("thin"), 1.0).otherwise(F.col("p")).alias("p"), F.col("fresh").alias("rejected")))
+        active = judged.where("not final").select("family", "test", "t")
         if active.isEmpty():
             break
+        more = judged.where("fresh").select("family", "test")
+        done = more if done is None else done.unionByName(more)
+        floors = judged.where("not final").groupBy("family").agg(F.max("k").alias("k"), F.max("next_floor").alias("floor"), F.max("all_done").alias("n_done"))
     out = parts[0]
     for x in parts[1:]:
         out = out.unionByName(x)
-    return out
+    return out.select(F.col("family").cast(kind).alias("family"), "test", "p", "rejected")
+
+
+def romano_wolf(t: DataFrame, null: DataFrame, alpha: float = 0.05) -> DataFrame:
+    """Stepdown by the maximum over tests still active, all tests one family: (test, p, rejected)."""
+    one = F.lit(0).alias("family")
+    return stepdown(t.select(one, "test", "t"), null.select(one, "draw", "test", "t0"), alpha).drop("family")
 
 
 def gfwer_adjusted(t: np.ndarray, null: np.ndarray, g: int, alpha: float) -> np.ndarray:
-    """Adjusted p of a stepdown that controls the chance of ``g`` or more false rejections; g = 1 is the plain one.
+    """Adjusted p of one family's stepdown that controls the chance of ``g`` or more false rejections; g = 1 is the plain one.
 
     Later rounds allow for g - 1 of the rejected being false: each choice of them joins the active tests, the worst one counts.
     With fewer than g rejections so far nothing more is rejected: what is left has one. p never falls from round to round.
@@ -184,7 +256,8 @@ def gate(t: DataFrame, null: DataFrame, alpha: float = 0.05, g: int = 2, small:
     own = 1 if m < small else g
     if standardise:
         t, null = standardised_columns(t, null)
-    out = gfwer(t.withColumn("family", F.lit(0)), null.withColumn("family", F.lit(0)), own, alpha)
+    one = F.lit(0).alias("family")
+    out = stepdown(t.select(one, "test", "t"), null.select(one, "draw", "test", "t0"), alpha, own)
     return out.select("test", "p", "rejected", F.lit(own).alias("g"), F.lit(m).cast("long").alias("n_tests"), F.lit(k).cast("long").alias("n_shuffles"))
 
 

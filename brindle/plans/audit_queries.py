@@ -6,7 +6,8 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import book, factors, panel, stats, vetoes, windows
+from ..operators import book, factors, lifecycle, panel, rule, stats, vetoes, windows
+from ..operators.lineage import cut
 from ..sources import hosted as h
 from .registry import query
 from .stat_queries import _EXPOSURE, exposure
@@ -314,19 +315,105 @@ def six_factors(spark, sf):
     return factors.frame(h.levels(spark, sf), h.fridays(spark, sf), roles)
 
 
-@query("k65_nine_vetoes")
-def nine(spark, sf):
-    a = active(spark, sf)
+_NINE = """
+w AS (SELECT region AS run_id, date, series_id, tier, w / sum(w) OVER (PARTITION BY region, date) AS w FROM weights JOIN meta USING (series_id)),
+a AS (SELECT region AS run_id, series_id, date, ret - bench AS active FROM weekly JOIN bench USING (date) JOIN meta USING (series_id) WHERE ret IS NOT NULL),
+te AS (SELECT *, CASE WHEN count(active) OVER x = 26 THEN stddev_samp(active) OVER x * sqrt(52) END AS te FROM a WINDOW x AS (PARTITION BY series_id ORDER BY date ROWS 25 PRECEDING)),
+z AS (SELECT run_id, series_id, date, active / (before / sqrt(52)) AS z FROM (SELECT *, lag(te) OVER (PARTITION BY series_id ORDER BY date) AS before FROM te) WHERE before > 1e-12),
+u AS (SELECT CASE grading WHEN 1 THEN 'ASIA' WHEN 2 THEN 'EUROPE' ELSE 'AMERICA' END AS run_id, knowledge_date, CASE WHEN grading = 1 AND day(period_end) % 9 = 0 THEN knowledge_date - 1 ELSE knowledge_date END AS used_on_date, period_end AS fitted_through FROM vintages),
+sd AS (SELECT region AS run_id, hedged AS seed, avg(active) * 52 / (stddev_samp(active) * sqrt(52)) AS ir FROM a JOIN meta USING (series_id) GROUP BY 1, 2),
+i AS (SELECT region AS run_id, date, CASE WHEN count(*) >= 5 AND stddev_pop(score) > 1e-12 AND stddev_pop(fwd) > 1e-12 THEN corr(score, fwd) END AS ic FROM scores JOIN meta USING (series_id) WHERE fwd IS NOT NULL GROUP BY 1, 2),
+v AS (
+SELECT run_id, 0 AS ord, max(w) <= 0.2 * (1 + 1e-9) AS passed, max(w) AS value FROM (SELECT run_id, date, sum(w) AS w FROM w WHERE tier = 'second' GROUP BY 1, 2) GROUP BY 1
+UNION ALL SELECT run_id, 1, max(bias) <= 1.72, max(bias) FROM (SELECT run_id, series_id, year(date), stddev_samp(z) AS bias FROM z GROUP BY ALL HAVING count(z) >= 40) GROUP BY 1
+UNION ALL SELECT run_id, 2, max(n) <= 30, max(n) FROM (SELECT run_id, date, count(*) FILTER (abs(w) > 0) AS n FROM w GROUP BY 1, 2) GROUP BY 1
+UNION ALL SELECT run_id, 3, avg((s >= 0.8)::INT) >= 0.9, avg((s >= 0.8)::INT) FROM (SELECT region AS run_id, date, avg((ret IS NOT NULL)::INT) AS s FROM weekly JOIN meta USING (series_id) GROUP BY 1, 2) GROUP BY 1
+UNION ALL SELECT run_id, 4, count(*) FILTER (bad) = 0, count(*) FILTER (bad) FROM (SELECT run_id, coalesce(used_on_date < knowledge_date, true) OR NOT coalesce(fitted_through <= used_on_date, false) AS bad FROM u) GROUP BY 1
+UNION ALL SELECT region, 5, count(*) FILTER (date < start) = 0, count(*) FILTER (date < start) FROM levels JOIN meta USING (series_id) GROUP BY 1
+UNION ALL SELECT run_id, 6, max(ir) - min(ir) <= 0.15 * (1 + 1e-9) AND count(ir) >= 2, max(ir) - min(ir) FROM sd GROUP BY 1
+UNION ALL SELECT run_id, 8, sign(avg(ic)) = 1, avg(ic) FROM i GROUP BY 1),
+o(ord, veto) AS (VALUES (0, 'cash'), (1, 'risk_calibration'), (2, 'positions'), (3, 'coverage'), (4, 'lookahead'), (5, 'frequency'), (6, 'seed_stability'), (7, 'multiple_testing'), (8, 'direction'))"""
+
+
+def nine_inputs(spark, sf):
+    """The tables of five runs, the regions: shuffles are missing for all, usage for two of them."""
+    m = h.meta(spark, sf).select("series_id", F.col("region").alias("run_id"), "tier", "hedged", "start")
+    of = lambda df: df.join(m, "series_id")
+    w = of(h.weights(spark, sf)).withColumn("w", F.col("w") / F.sum("w").over(Window.partitionBy("run_id", "date")))
+    a = windows.active_returns(h.weekly(spark, sf).where("ret is not null"), h.bench(spark, sf))
     v = h.vintages(spark, sf)
-    context = {
-        "cash": h.weights(spark, sf).where("series_id = 'S1'"),  # the cash line of the book
-        "weights": h.weights(spark, sf),
-        "active": a,
-        "te": windows.tracking_error(a, 26),
-        "usage": v.select("knowledge_date", F.col("knowledge_date").alias("used_on_date"), F.col("period_end").alias("fitted_through")),
-        "contributions": h.levels(spark, sf),
-        "meta": h.meta(spark, sf),
-        "availability": h.weekly(spark, sf).select("date", "series_id", F.col("ret").isNotNull().alias("available")),
-        "ic": windows.realised_ic(h.scores(spark, sf)).select(F.col("per_date").alias("ic"), F.lit(1).alias("expected")),
+    ir = F.avg("active") * 52 / (F.stddev_samp("active") * F.sqrt(F.lit(52)))
+    early = (F.col("grading") == 1) & (F.dayofmonth("period_end") % 9 == 0)
+    daily = of(h.scores(spark, sf)).where("fwd is not null").groupBy("run_id", "date").agg(F.when((F.count("*") >= 5) & (F.stddev_pop("score") > 1e-12) & (F.stddev_pop("fwd") > 1e-12), F.try_divide(F.covar_pop("score", "fwd"), F.stddev_pop("score") * F.stddev_pop("fwd"))).alias("ic"))
+    return {
+        "cash": w.where("tier = 'second'").groupBy("run_id", "date").agg(F.sum("w").alias("w")),
+        "weights": w.select("run_id", "date", "series_id", "w"),
+        "active": of(a).select("run_id", "series_id", "date", "active"),
+        "te": of(windows.tracking_error(a, 26)).select("run_id", "series_id", "date", "te"),
+        "usage": v.select(F.when(F.col("grading") == 1, "ASIA").when(F.col("grading") == 2, "EUROPE").otherwise("AMERICA").alias("run_id"), "knowledge_date", F.when(early, F.date_sub("knowledge_date", 1)).otherwise(F.col("knowledge_date")).alias("used_on_date"), F.col("period_end").alias("fitted_through")),
+        "contributions": of(h.levels(spark, sf)).select("run_id", "series_id", "date"),
+        "meta": m.select("run_id", "series_id", "start"),
+        "availability": of(h.weekly(spark, sf)).select("run_id", "date", "series_id", F.col("ret").isNotNull().alias("available")),
+        "seeds": of(a).groupBy("run_id", F.col("hedged").alias("seed")).agg(ir.alias("ir")),
+        "ic": daily.withColumn("expected", F.lit(1)),
     }
-    return vetoes.apply(spark, context)
+
+
+@query("k65_nine_vetoes", f"WITH {_NINE} SELECT r.run_id, o.ord, o.veto, coalesce(passed, false) AS passed, r(value) AS value, CASE WHEN o.ord = 7 THEN 'missing input: t, null, own' WHEN value IS NULL THEN 'no data' ELSE '' END AS detail FROM (SELECT DISTINCT region AS run_id FROM meta) r CROSS JOIN o LEFT JOIN v USING (run_id, ord)")
+def nine(spark, sf):
+    runs = h.meta(spark, sf).select(F.col("region").alias("run_id")).distinct()
+    return vetoes.verdicts(runs, nine_inputs(spark, sf))
+
+
+@query("k67_first_failures", f"WITH {_NINE} SELECT run_id, arg_min(veto, ord) AS veto FROM (SELECT run_id, o.ord, o.veto, coalesce(passed, false) AS passed FROM (SELECT DISTINCT region AS run_id FROM meta) r CROSS JOIN o LEFT JOIN v USING (run_id, ord)) WHERE NOT passed GROUP BY 1")
+def first_failing(spark, sf):
+    return vetoes.first_failures(nine(spark, sf))
+
+
+@query("k7_run_context")
+def run_context(spark, sf):
+    """The mandate's paths judged: their books, risk, returns and usage as tables of the vetoes."""
+    from . import ladder_queries as ladder
+
+    made = cut(ladder.view_path(spark, sf))
+    scores = h.scores(spark, sf).join(h.meta(spark, sf).select("series_id", F.col("region").alias("universe")), "series_id")
+    used = rule.usage(made, ladder.with_leg(spark, sf), scores.select("universe", "date", "series_id"), "sigma")
+    return vetoes.verdicts(made.select(F.col("universe").alias("run_id")).distinct(), vetoes.context_of_paths(made, used))
+
+
+_MOVES = """mv AS (SELECT o_orderkey AS pos, 'H' || o_custkey % 97 AS hypothesis_id, CASE o_orderstatus WHEN 'P' THEN 'pending' WHEN 'O' THEN 'running' ELSE 'done' END AS to_state FROM orders),
+ms AS (SELECT pos, hypothesis_id, CASE WHEN pos % 5 = 0 THEN 'pending' WHEN pos % 31 = 0 THEN 'parked' ELSE coalesce(lag(to_state) OVER (PARTITION BY hypothesis_id ORDER BY pos), 'pending') END AS from_state, to_state FROM mv)"""
+
+
+def moves(spark, sf):
+    """Orders as moves of 97 hypotheses; some name a state that their hypothesis does not stand in, or none there is."""
+    to = F.when(F.col("o_orderstatus") == "P", "pending").when(F.col("o_orderstatus") == "O", "running").otherwise("done")
+    mv = h.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), F.concat(F.lit("H"), (F.col("o_custkey") % 97).cast("string")).alias("hypothesis_id"), to.alias("to_state"))
+    before = F.coalesce(F.lag("to_state").over(Window.partitionBy("hypothesis_id").orderBy("pos")), F.lit("pending"))
+    return mv.select("pos", "hypothesis_id", F.when(F.col("pos") % 5 == 0, "pending").when(F.col("pos") % 31 == 0, "parked").otherwise(before).alias("from_state"), "to_state")
+
+
+@query("a41_judged_moves", f"""
+WITH {_MOVES}, s AS (SELECT *, coalesce(lag(to_state) OVER (PARTITION BY hypothesis_id ORDER BY pos), 'pending') AS stood FROM ms)
+SELECT pos, hypothesis_id, from_state, to_state, stood, CASE WHEN from_state NOT IN ('pending', 'running', 'done') THEN 'unknown state' WHEN from_state = to_state THEN 'no move' WHEN from_state <> stood THEN 'does not stand there' WHEN from_state = 'done' AND to_state = 'pending' THEN 'move not allowed' END AS fault FROM s""")
+def judged_moves(spark, sf):
+    """Each move held against where its hypothesis stands; what is done is not taken up from the start."""
+    m = moves(spark, sf)
+    allowed = tuple(x for x in lifecycle.MOVES if x != ("done", "pending"))
+    return lifecycle.judged(m, spark.createDataFrame([], lifecycle.TRANSITIONS), allowed)
+
+
+@query("a43_latest_states", f"WITH {_MOVES} SELECT hypothesis_id, arg_max(to_state, pos) AS state, max(pos)::INT AS pos, count(*) AS moves FROM ms GROUP BY 1")
+def latest_states(spark, sf):
+    log = moves(spark, sf).select(F.lit(1).cast("long").alias("seq"), F.col("pos").cast("int").alias("pos"), "hypothesis_id", "to_state")
+    return lifecycle.latest(log).select("hypothesis_id", "state", "pos", "moves")
+
+
+@query("a43_states_at", f"""
+WITH {_MOVES}, t AS (SELECT ms.*, CAST(o_orderdate AS DATE) AS ts FROM ms JOIN orders ON pos = o_orderkey), d AS (SELECT unnest([DATE '1993-06-30', DATE '1995-12-31', DATE '1998-01-01']) AS as_of)
+SELECT hypothesis_id, as_of, arg_max(to_state, (ts, pos)) AS state FROM t JOIN d ON ts <= as_of GROUP BY 1, 2""")
+def states_at(spark, sf):
+    when = h.table(spark, sf, "orders").select(F.col("o_orderkey").alias("pos"), F.col("o_orderdate").cast("date").cast("timestamp").alias("ts"))
+    log = moves(spark, sf).join(when, "pos").select(F.lit(1).cast("long").alias("seq"), F.col("pos").cast("int").alias("pos"), "ts", "hypothesis_id", "to_state")
+    dates = spark.createDataFrame([("1993-06-30",), ("1995-12-31",), ("1998-01-01",)], "d string").select(F.col("d").cast("date").alias("as_of"))
+    return lifecycle.latest_at(log, dates).select("hypothesis_id", F.col("as_of").cast("date").alias("as_of"), "state")

@@ -6,7 +6,7 @@ from pyspark.sql import Window
 from pyspark.sql import functions as F
 
 from ..functions import scalars
-from ..operators import book, cells, covariance, fit, mandate, stats, windows
+from ..operators import book, cells, covariance, fit, loadings, mandate, rule, stats, windows
 from ..sources import hosted as h
 from ..sources import synthetic
 from .model_queries import FACTORS, losses, ols, panel  # noqa: F401
@@ -38,15 +38,15 @@ def rescaled(spark, sf):
     return covariance.rescale_volatility(cov.where("cov is not null"), u, 26.0)
 
 
-def year_ends(spark, sf):
-    """The last Friday of each year, for every region."""
-    f = h.fridays(spark, sf).groupBy(F.year("date").alias("y")).agg(F.max("date").alias("as_of")).select("as_of")
-    return h.meta(spark, sf).select(F.col("region").alias("universe")).distinct().crossJoin(F.broadcast(f))  # one row a year
+def rebalance_dates(spark, sf):
+    """Every Friday, for every region."""
+    f = h.fridays(spark, sf).select(F.col("date").alias("as_of")).distinct()
+    return h.meta(spark, sf).select(F.col("region").alias("universe")).distinct().crossJoin(F.broadcast(f))  # one row a week of the calendar
 
 
 @query("k17_trailing_covariance")
 def trailing(spark, sf):
-    return covariance.trailing(universes(spark, sf), year_ends(spark, sf), [], present=0.5, half_life=26.0)
+    return covariance.trailing(universes(spark, sf), rebalance_dates(spark, sf), [], present=0.5, half_life=26.0)
 
 
 def with_leg(spark, sf):
@@ -58,7 +58,7 @@ def with_leg(spark, sf):
 
 @query("k16_embedded_legs")
 def embedded(spark, sf):
-    return covariance.trailing(with_leg(spark, sf), year_ends(spark, sf), ["LEG"], present=0.5)
+    return covariance.trailing(with_leg(spark, sf), rebalance_dates(spark, sf), ["LEG"], present=0.5)
 
 
 @query("k19_effective_breadth")
@@ -164,11 +164,10 @@ def quartiles(spark, sf):
     return fit.skill(predictions(spark, sf), ["instrument"]).where("n >= 26").agg(*fit.quartiles("corr"))
 
 
-@query("d39_fit_stability", "WITH w AS (SELECT date, min(score) / 25 AS lo, median(score) / 25 AS mid FROM scores GROUP BY 1) SELECT count(*) AS n_fits, r(median(lo)) AS lowest_median, r(min(lo)) AS lowest_worst, r(median(mid)) AS middle_median, count(*) FILTER (lo < 0.9) AS below FROM w")
+@query("d39_fit_stability")
 def fit_stability(spark, sf):
-    """How far restarts agree by week, on scores as agreements: median and worst of the lowest, weeks below 90 percent."""
-    w = h.scores(spark, sf).groupBy("date").agg((F.min("score") / 25).alias("lo"), (F.median("score") / 25).alias("mid"))
-    return w.agg(F.count("*").alias("n_fits"), F.median("lo").alias("lowest_median"), F.min("lo").alias("lowest_worst"), F.median("mid").alias("middle_median"), F.count_if(F.col("lo") < 0.9).alias("below"))
+    """How far the ten restarts of each week's regime fit agree with the best one."""
+    return fit.restart_stability(loadings.restart_agreement(panel(spark, sf), FACTORS))
 
 
 @query("e38_column_mean_corr", """
@@ -246,11 +245,50 @@ def romano_wolf(spark, sf):
     return stats.romano_wolf(*stats.standardised_columns(*draws(spark, sf)))
 
 
-@query("k49_gate")
+def _stepdown_of_two(rounds: int = 6, alpha: float = 0.05) -> str:
+    """The rounds of the stepdown that allows one false rejection: from the second on each rejected test joins the active ones in turn."""
+    parts, out = [_NULLS, "k AS (SELECT count(DISTINCT draw) AS k FROM ns)", "s0 AS (SELECT test, t, 'a' AS state, NULL::DOUBLE AS p FROM ts)", "f0 AS (SELECT 0.0::DOUBLE AS floor, true AS goes)"], []
+    for i in range(rounds):
+        first = i == 0
+        pool = "SELECT NULL::BIGINT AS way" if first else f"SELECT test AS way FROM s{i} WHERE state = 'r'"
+        parts += [
+            f"o{i} AS (SELECT draw, list(t0 ORDER BY t0 DESC)[1:2] AS a FROM ns WHERE test IN (SELECT test FROM s{i} WHERE state = 'a') GROUP BY 1)",
+            f"c{i} AS (SELECT way, draw, " + ("a[2]" if first else "greatest(coalesce(a[2], '-inf'::DOUBLE), least(a[1], coalesce(t0, '-inf'::DOUBLE)))") + f" AS c FROM ({pool}) w CROSS JOIN o{i}" + ("" if first else " LEFT JOIN (SELECT draw, test AS way, t0 FROM ns) x USING (draw, way)") + ")",
+            f"w{i} AS (SELECT test, max(p) AS worst FROM (SELECT test, way, (1 + count(*) FILTER (c >= t)) / (1.0::DOUBLE + (SELECT k FROM k)) AS p FROM s{i} CROSS JOIN c{i} WHERE state = 'a' GROUP BY 1, 2) GROUP BY 1)",
+            f"h{i} AS (SELECT count(*) FILTER (worst <= {alpha}) AS n, max(worst) FILTER (worst <= {alpha}) AS top, count(*) FILTER (worst <= {alpha}) + (SELECT count(*) FROM s{i} WHERE state = 'r') AS done FROM w{i})",
+            f"s{i + 1} AS (SELECT test, t, CASE WHEN state <> 'a' THEN state WHEN worst <= {alpha} THEN 'r' WHEN n = 0 OR done < 2 THEN 'e' ELSE 'a' END AS state, CASE WHEN state <> 'a' THEN p WHEN worst <= {alpha} OR n = 0 THEN greatest(worst, floor) WHEN done < 2 THEN 1.0 END AS p FROM s{i} LEFT JOIN w{i} USING (test), h{i}, f{i})",
+            f"f{i + 1} AS (SELECT greatest(floor, coalesce(top, 0)) AS floor, n > 0 AS goes FROM f{i}, h{i})",
+        ]
+    return "WITH " + ",\n".join(p.replace(" AS (", " AS MATERIALIZED (", 1) for p in parts) + f"\nSELECT test, r(p) AS p, state = 'r' AS rejected, CASE WHEN count(*) OVER () < 8 THEN 1 ELSE 2 END::INT AS g, count(*) OVER () AS n_tests, (SELECT k FROM k) AS n_shuffles FROM s{rounds}"
+
+
+@query("k49_gate", _stepdown_of_two())
 def gate(spark, sf):
     return stats.gate(*draws(spark, sf))
 
 
+def _batched(families: int, rounds: int = 8, alpha: float = 0.05) -> str:
+    """As _stepdown, each family by itself."""
+    parts, out = [_NULLS, f"nf AS (SELECT test % {families} AS family, draw, test, t0 FROM ns)", "k AS (SELECT family, count(DISTINCT draw) AS k FROM nf GROUP BY 1)", f"a0 AS (SELECT test % {families} AS family, test, t, 0.0::DOUBLE AS floor FROM ts)"], []
+    for i in range(rounds):
+        parts += [
+            f"m{i} AS (SELECT family, draw, max(t0) AS top FROM nf SEMI JOIN a{i} USING (family, test) GROUP BY 1, 2)",
+            f"p{i} AS (SELECT family, test, any_value(a.t) AS t, greatest((1 + count(*) FILTER (top >= a.t)) / (1.0::DOUBLE + any_value(k)), any_value(floor)) AS p FROM a{i} a JOIN m{i} USING (family) JOIN k USING (family) GROUP BY 1, 2)",
+            f"h{i} AS (SELECT family, count(*) FILTER (p <= {alpha}) AS n, max(p) FILTER (p <= {alpha}) AS top FROM p{i} GROUP BY 1)",
+            f"a{i + 1} AS (SELECT family, test, t, top AS floor FROM p{i} JOIN h{i} USING (family) WHERE p > {alpha} AND n > 0)",
+        ]
+        out.append(f"SELECT family, test, r(p) AS p, p <= {alpha} AS rejected FROM p{i} JOIN h{i} USING (family) WHERE p <= {alpha} OR n = 0")
+    return "WITH " + ",\n".join(p.replace(" AS (", " AS MATERIALIZED (", 1) for p in parts) + "\n" + " UNION ALL ".join(out)
+
+
+@query("k50_batched_stepdown", _batched(16))
+def batched(spark, sf):
+    """Sixteen families of tests step down in the same jobs, each until its own round rejects nothing."""
+    t, n = stats.standardised_columns(*draws(spark, sf))
+    family = (F.col("test") % 16).alias("family")
+    return stats.stepdown(t.select(family, "test", "t"), n.select(family, "draw", "test", "t0"))
+
+
 _Z = "sqrt(-2 * ln(1 - ('0x' || substr(md5(rep || '|' || test || '|1'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE)) * cos(2 * 3.141592653589793::DOUBLE * (('0x' || substr(md5(rep || '|' || test || '|2'), 1, 13))::BIGINT / 4503599627370496.0::DOUBLE))"
 
 
@@ -341,40 +379,47 @@ def pilot(spark, sf):
 
 @query("k29_path_transfer")
 def path_transfer(spark, sf):
-    """How much of the scores' views the books on year ends carry under the trailing covariance."""
-    cov = covariance.trailing(universes(spark, sf), year_ends(spark, sf), [], present=0.5)
-    ends = year_ends(spark, sf).select("universe", F.col("as_of").alias("date"))
+    """How much of the scores' views the books of every Friday carry under the trailing covariance."""
+    cov = covariance.matrices(universes(spark, sf), rebalance_dates(spark, sf), [], present=0.5)
     m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"))
-    held = h.weights(spark, sf).join(h.scores(spark, sf).select("date", "series_id", "score"), ["date", "series_id"], "left").join(m, "series_id").join(ends, ["universe", "date"], "left_semi")
+    held = h.weights(spark, sf).join(h.scores(spark, sf).select("date", "series_id", "score"), ["date", "series_id"], "left").join(m, "series_id")
     n = F.count("*").over(Window.partitionBy("universe", "date"))
     return covariance.path_transfer(held.select("universe", "date", "series_id", (F.col("w") / F.sum("w").over(Window.partitionBy("universe", "date"))).alias("w"), (F.col("score") / 1000).alias("alpha"), (1 / n).alias("bench")), cov)
 
 
+_MANDATE = mandate.Mandate(te=0.3, max_cash=0.2, names=30)
+
+
+def traded_path(spark, sf, alpha, own_rule: rule.Rule, m: mandate.Mandate = _MANDATE):
+    """The mandate of each region on every Friday, with its mean return as the benchmark leg. alpha: series_id, date, alpha."""
+    own = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"), book.bps(F.col("bucket"), book.HALF_SPREAD).alias("half_spread"), (F.col("tier") == "second").alias("is_cash"))
+    dates = rebalance_dates(spark, sf)
+    views = own.join(dates.select("universe", F.col("as_of").alias("date")), "universe").join(alpha, ["series_id", "date"], "left").select("universe", "date", "series_id", "alpha", "half_spread", "is_cash")
+    weekly = with_leg(spark, sf)
+    return rule.path(weekly, views, covariance.matrices(weekly, dates, ["LEG"], present=0.5), {"LEG": 1.0}, m, own_rule)
+
+
 @query("k20_long_only_books")
 def mandate_books(spark, sf):
-    """The book of the last Friday of each year and region: scores as alpha, the region's mean as benchmark leg, risk by the trailing covariance."""
-    ends = year_ends(spark, sf)
-    cov = covariance.trailing(with_leg(spark, sf), ends, ["LEG"], present=0.5).withColumnRenamed("as_of", "date")
-    m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"), "bucket", "tier")
-    at = ends.select("universe", F.col("as_of").alias("date"))
-    own = m.join(at, "universe").join(h.scores(spark, sf).select("date", "series_id", "score"), ["date", "series_id"], "left")
-    holds = own.select("universe", "date", "series_id", (F.coalesce("score", F.lit(0.0)) / 1000).alias("alpha"), F.lit(0.0).alias("bench"), F.lit(0.0).alias("before"), book.bps(F.col("bucket"), book.HALF_SPREAD).alias("cost"), (F.col("tier") == "second").alias("cash"))
-    leg = at.select("universe", "date", F.lit("LEG").alias("series_id"), F.lit(None).cast("double").alias("alpha"), F.lit(1.0).alias("bench"), F.lit(0.0).alias("before"), F.lit(0.0).alias("cost"), F.lit(False).alias("cash"))
-    return mandate.books(holds.unionByName(leg), cov.select("universe", "date", "a", "b", "cov"), mandate.Mandate(te=0.3, max_cash=0.2, names=30))
+    """Scores as alpha, traded every Friday from the book before, without a charge for turnover."""
+    alpha = h.scores(spark, sf).select("series_id", "date", (F.col("score") / 1000).alias("alpha"))
+    return rule.books(traded_path(spark, sf, alpha, rule.Rule(view_free_first=False, shadow_bp=0.0)))
 
 
-@query("k24_view_books")
-def view_books(spark, sf):
-    """Scores to z to views to alpha to books: the last Friday of each year, by region, from a book held alike."""
-    ends = year_ends(spark, sf)
-    cov = covariance.trailing(with_leg(spark, sf), ends, ["LEG"], present=0.5).withColumnRenamed("as_of", "date")
-    m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"), "bucket", "tier")
-    at = ends.select("universe", F.col("as_of").alias("date"))
+def view_path(spark, sf):
+    """Scores to z to views over a horizon of four weeks to alpha to books: linear charge on the year's turnover, at most half the book a week."""
     z = windows.standardised(h.scores(spark, sf), 20, 1.5).select("series_id", "date", "z")
     sigma = h.weekly(spark, sf).select("series_id", "date", F.stddev_samp("ret").over(windows.trailing(52)).alias("sigma"))
-    own = m.join(at, "universe").join(z, ["series_id", "date"], "left").join(sigma, ["series_id", "date"], "left")
-    alpha = F.coalesce(scalars.view_scale(0.05, F.col("sigma"), F.col("z"), F.lit(4.0)), F.lit(0.0))  # no view, no alpha
-    n = F.count("*").over(Window.partitionBy("universe", "date"))
-    holds = own.select("universe", "date", "series_id", alpha.alias("alpha"), F.lit(0.0).alias("bench"), (1 / n).alias("before"), (book.bps(F.col("bucket"), book.HALF_SPREAD) / 4).alias("cost"), (F.col("tier") == "second").alias("cash"))
-    leg = at.select("universe", "date", F.lit("LEG").alias("series_id"), F.lit(None).cast("double").alias("alpha"), F.lit(1.0).alias("bench"), F.lit(0.0).alias("before"), F.lit(0.0).alias("cost"), F.lit(False).alias("cash"))
-    return mandate.books(holds.unionByName(leg), cov.select("universe", "date", "a", "b", "cov"), mandate.Mandate(te=0.3, max_cash=0.2, names=30, turnover=1.0))
+    alpha = z.join(sigma, ["series_id", "date"]).select("series_id", "date", scalars.view_scale(0.05, F.col("sigma"), F.col("z"), F.lit(4.0)).alias("alpha"))
+    return traded_path(spark, sf, alpha, rule.Rule(horizon=4.0, cap=0.5))
+
+
+@query("k24_view_books")
+def view_books(spark, sf):
+    return rule.books(view_path(spark, sf))
+
+
+@query("k23_rebalance_log")
+def rebalance_log(spark, sf):
+    """What each step of the path met, traded, paid and was charged."""
+    return rule.log(view_path(spark, sf))

@@ -302,7 +302,7 @@ def standardised(spark, sf):
 def generalised(spark, sf):
     t, n = stats.standardised_columns(*draws(spark, sf))
     family = (F.col("test") % 4).alias("family")
-    return stats.gfwer(t.select(family, "test", "t"), n.select(family, "draw", "test", "t0"))
+    return stats.stepdown(t.select(family, "test", "t"), n.select(family, "draw", "test", "t0"), g=2)
 
 
 @query("k11_cross_region_covariance", """
