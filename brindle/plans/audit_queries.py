@@ -377,7 +377,7 @@ def run_context(spark, sf):
 
     made = cut(ladder.view_path(spark, sf))
     scores = h.scores(spark, sf).join(h.meta(spark, sf).select("series_id", F.col("region").alias("universe")), "series_id")
-    used = rule.usage(made, ladder.with_leg(spark, sf), scores.select("universe", "date", "series_id"), "sigma")
+    used = rule.usage(made, ladder.traded_weekly(spark, sf), scores.select("universe", "date", "series_id"), "sigma")
     return vetoes.verdicts(made.select(F.col("universe").alias("run_id")).distinct(), vetoes.context_of_paths(made, used))
 
 

@@ -387,7 +387,12 @@ def path_transfer(spark, sf):
     return covariance.path_transfer(held.select("universe", "date", "series_id", (F.col("w") / F.sum("w").over(Window.partitionBy("universe", "date"))).alias("w"), (F.col("score") / 1000).alias("alpha"), (1 / n).alias("bench")), cov)
 
 
-_MANDATE = mandate.Mandate(te=0.3, max_cash=0.2, names=30)
+_MANDATE = mandate.Mandate(te=0.8, max_cash=0.2, names=30)
+
+
+def traded_weekly(spark, sf):
+    """A hundredth of the weekly returns, with each region's mean as its leg: hosted levels jump by their own size from day to day."""
+    return with_leg(spark, sf).withColumn("ret", F.col("ret") / 100)
 
 
 def traded_path(spark, sf, alpha, own_rule: rule.Rule, m: mandate.Mandate = _MANDATE):
@@ -395,21 +400,21 @@ def traded_path(spark, sf, alpha, own_rule: rule.Rule, m: mandate.Mandate = _MAN
     own = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"), book.bps(F.col("bucket"), book.HALF_SPREAD).alias("half_spread"), (F.col("tier") == "second").alias("is_cash"))
     dates = rebalance_dates(spark, sf)
     views = own.join(dates.select("universe", F.col("as_of").alias("date")), "universe").join(alpha, ["series_id", "date"], "left").select("universe", "date", "series_id", "alpha", "half_spread", "is_cash")
-    weekly = with_leg(spark, sf)
+    weekly = traded_weekly(spark, sf)
     return rule.path(weekly, views, covariance.matrices(weekly, dates, ["LEG"], present=0.5), {"LEG": 1.0}, m, own_rule)
 
 
 @query("k20_long_only_books")
 def mandate_books(spark, sf):
     """Scores as alpha, traded every Friday from the book before, without a charge for turnover."""
-    alpha = h.scores(spark, sf).select("series_id", "date", (F.col("score") / 1000).alias("alpha"))
+    alpha = h.scores(spark, sf).select("series_id", "date", (F.col("score") / 10_000).alias("alpha"))
     return rule.books(traded_path(spark, sf, alpha, rule.Rule(view_free_first=False, shadow_bp=0.0)))
 
 
 def view_path(spark, sf):
     """Scores to z to views over a horizon of four weeks to alpha to books: linear charge on the year's turnover, at most half the book a week."""
     z = windows.standardised(h.scores(spark, sf), 20, 1.5).select("series_id", "date", "z")
-    sigma = h.weekly(spark, sf).select("series_id", "date", F.stddev_samp("ret").over(windows.trailing(52)).alias("sigma"))
+    sigma = h.weekly(spark, sf).select("series_id", "date", (F.stddev_samp("ret").over(windows.trailing(52)) / 100).alias("sigma"))
     alpha = z.join(sigma, ["series_id", "date"]).select("series_id", "date", scalars.view_scale(0.05, F.col("sigma"), F.col("z"), F.lit(4.0)).alias("alpha"))
     return traded_path(spark, sf, alpha, rule.Rule(horizon=4.0, cap=0.5))
 
