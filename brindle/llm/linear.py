@@ -153,8 +153,8 @@ def cumulative(scores: np.ndarray, cuts: np.ndarray) -> np.ndarray:
     return sigmoid(scores[:, None] - cuts[None, :])
 
 
-def ordinal_fit(x: Rows, grade: np.ndarray, grades: int, l1: float, weight: np.ndarray | None = None, rounds: int = 150) -> tuple[np.ndarray, np.ndarray]:
-    """Weights and ordered cuts of a cumulative-link model P(grade > k) = sigmoid(w x - cut_k): one weight vector for all cuts.
+def ordinal_fit(x: Rows, grade: np.ndarray, grades: int, l1: float, weight: np.ndarray | None = None, rounds: int = 150, offset: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
+    """Weights and ordered cuts of a cumulative-link model P(grade > k) = sigmoid(w x + offset - cut_k): one weight vector for all cuts.
 
     The L1-penalised mean likelihood is minimised by accelerated proximal steps with backtracking. Two grades give logistic
     regression. Cuts are a first one and positive gaps, so they stay in order.
@@ -168,7 +168,7 @@ def ordinal_fit(x: Rows, grade: np.ndarray, grades: int, l1: float, weight: np.n
 
     def loss(w, t):
         cuts = np.concatenate([[-np.inf], inc(t), [np.inf]])
-        s = x.times(w)
+        s = x.times(w) if offset is None else x.times(w) + offset
         hi, lo = sigmoid(cuts[grade + 1] - s), sigmoid(cuts[grade] - s)
         p = np.maximum(hi - lo, 1e-12)
         dhi, dlo = hi * (1 - hi), lo * (1 - lo)

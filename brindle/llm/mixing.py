@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .shared import Stash, join_small, packed, unit
+from .shared import Stash, join_small, let, packed, unit
 
 #: Means beyond this are split into equal parts whose counts add up, so that exp(-mean) keeps full precision.
 PART = 256.0
@@ -63,7 +63,7 @@ def poisson(cdf: Column, parts: Column, seed: int, who: Column) -> Column:
     """The count: over the parts, how many values of the cumulative distribution are at or below the hashed number."""
 
     def part(i: Column) -> Column:
-        return F.size(F.filter(cdf, lambda c: c <= unit(F.lit("count"), F.lit(seed), who, i.cast("string"))))
+        return let(unit(F.lit("count"), F.lit(seed), who, i.cast("string")), lambda u: F.size(F.filter(cdf, lambda c: c <= u)))
 
     return F.aggregate(F.sequence(F.lit(1), parts), F.lit(0), lambda acc, i: acc + part(i))
 
@@ -73,7 +73,7 @@ def mix(docs: DataFrame, weights: dict[str, float] | None = None, power: float =
 
     Columns that already bear those two names are replaced. Rows with equal doc_id get equal counts; rows without one count
     by their text. Rows with null or empty text belong to their source and are repeated like its others. An empty table
-    gives an empty one.
+    gives an empty one. Texts of any length count whole towards their source and are copied whole.
     """
     table = Stash(docs.sparkSession, "mixing").keep(rates(docs, weights, power, total).select(F.col("source").alias("_source"), "cdf", "parts"), "rates")
     rows = packed(docs, F.col("source"), identity(F.col("doc_id"), F.col("text")).alias("who"))

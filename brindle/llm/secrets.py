@@ -21,7 +21,7 @@ from dataclasses import dataclass
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from .shared import Stash, packed
+from .shared import Stash, let, packed
 
 _OPEN, _MID, _SHUT, _BLANK = "\x01", "\x02", "\x03", "\x04"
 
@@ -53,37 +53,50 @@ MORE_RULES = (
     Rule("prefixed", r"", r"(?:ghp|gho|xoxb|xoxp|sk_live)[_-][A-Za-z0-9_-]{16,}", 20, ("ghp", "gho", "xoxb", "xoxp", "sk_live")),
 )
 RULES = BASE_RULES + MORE_RULES
-RULE_VERSION = "2"
+RULE_VERSION = "3"
 #: Matches that one fold goes over; spans of a text are folds of folds, so their cost does not grow with the square of the matches.
 FOLD = 256
-_SPAN = "struct<start:bigint,ord:int,kind:string,end:bigint>"
+#: ``start`` and ``end`` are in code points, ``at`` and ``upto`` the same places in bytes of UTF-8.
+_SPAN = "struct<start:bigint,ord:int,kind:string,end:bigint,at:bigint,upto:bigint>"
+_PLACE = "struct<chars:bigint,bytes:bigint>"
 
 
-def let(value: Column, then: Callable[[Column], Column]) -> Column:
-    """``then(value)`` with ``value`` evaluated once, however often it is used."""
-    return F.transform(F.array(value), then)[0]
+def _place(chars: Column, octets: Column) -> Column:
+    return F.struct(chars.alias("chars"), octets.alias("bytes")).cast(_PLACE)
+
+
+def _size(part: Column) -> Column:
+    """Characters and bytes of a part, less the two marks in it, which are a byte each."""
+    return _place(F.length(part) - 2, F.octet_length(part) - 2)
+
+
+def _sum(a: Column, b: Column) -> Column:
+    return _place(a["chars"] + b["chars"], a["bytes"] + b["bytes"])
 
 
 def find(text: Column, rule: Rule, order: int) -> Column:
-    """The array of spans (start, ord, kind, end) of one rule in a text without the marks."""
+    """The array of spans (start, ord, kind, end, at, upto) of one rule in a text without the marks."""
     none = F.array().cast(f"array<{_SPAN}>")
 
     def step(acc: Column, part: Column) -> Column:
         """``part`` is head, mid mark, body, shut mark, what follows."""
         head, rest = F.instr(part, _MID) - 1, F.instr(part, _SHUT) - 2
-        hit = F.struct(acc["at"].alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (acc["at"] + rest).alias("end")).cast(_SPAN)
+        at = acc["at"]
+        upto = at["bytes"] + F.octet_length(F.substring_index(part, _SHUT, 1)) - 1
+        hit = F.struct(at["chars"].alias("start"), F.lit(order).alias("ord"), F.lit(rule.kind).alias("kind"), (at["chars"] + rest).alias("end"), at["bytes"].alias("at"), upto.alias("upto")).cast(_SPAN)
         ok = (rest - head) >= rule.least
-        return F.struct((acc["at"] + F.length(part) - 2).cast("bigint").alias("at"), F.when(ok, F.concat(acc["found"], F.array(hit))).otherwise(acc["found"]).alias("found"))
+        return F.struct(_sum(at, _size(part)).alias("at"), F.when(ok, F.concat(acc["found"], F.array(hit))).otherwise(acc["found"]).alias("found"))
 
     def fold(parts: Column, at: Column) -> Column:
-        return F.aggregate(parts, F.struct(at.cast("bigint").alias("at"), none.alias("found")), step)["found"]
+        return F.aggregate(parts, F.struct(at.alias("at"), none.alias("found")), step)["found"]
 
     def walked(parts: Column) -> Column:
         """``parts``: what stands before the first match, then a part a match. Runs of FOLD parts start where those before them end."""
-        sizes = F.transform(F.slice(parts, 2, F.size(parts) - 1), lambda x: F.length(x) - 2)
+        sizes = F.transform(F.slice(parts, 2, F.size(parts) - 1), _size)
         runs = F.sequence(F.lit(0), F.floor((F.size(parts) - 2) / FOLD).cast("int"))
-        lengths = lambda sizes: F.transform(runs, lambda i: F.aggregate(F.slice(sizes, i * FOLD + 1, F.lit(FOLD)), F.lit(0).cast("bigint"), lambda a, x: a + x))
-        starts = lambda sums: F.aggregate(sums, F.array(F.length(parts[0]).cast("bigint")), lambda a, x: F.concat(a, F.array(F.element_at(a, -1) + x)))
+        lengths = lambda sizes: F.transform(runs, lambda i: F.aggregate(F.slice(sizes, i * FOLD + 1, F.lit(FOLD)), _place(F.lit(0), F.lit(0)), _sum))
+        first = _place(F.length(parts[0]), F.octet_length(parts[0]))
+        starts = lambda sums: F.aggregate(sums, F.array(first), lambda a, x: F.concat(a, F.array(_sum(F.element_at(a, -1), x))))
         begun = let(let(sizes, lengths), starts)
         return let(begun, lambda at: F.flatten(F.transform(runs, lambda i: fold(F.slice(parts, i * FOLD + 2, F.lit(FOLD)), at[i]))))
 
@@ -157,7 +170,11 @@ def findings(docs: DataFrame, ledger: DataFrame, version: str = RULE_VERSION) ->
 
 
 def scan_all(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:
-    """Scan what the ledger lacks (all, in a ledger of its own, if none is given), append it, and give every path its findings."""
+    """Scan what the ledger lacks (all, in a ledger of its own, if none is given), append it, and give every path its findings.
+
+    An empty table gives no rows. Of ``docs`` only doc_id and text are read, whatever other columns there are; repeated rows and
+    repeated texts each get their findings; null texts are the empty blob.
+    """
     ledger = ledger or fresh_ledger(docs.sparkSession)
     ledger.extend(docs)
     return findings(docs, ledger.rows())
@@ -177,16 +194,29 @@ def digest(found: DataFrame) -> DataFrame:
 
 
 def redacted(text: Column, found: Column) -> Column:
-    """The text with each run of overlapping spans replaced by one mark that names the first span's kind."""
+    """The text with each run of overlapping spans replaced by one mark that names the first span's kind.
+
+    Spans are turned into the pieces of text before each run, FOLD spans at a time, and pieces are cut from the bytes, where a
+    place costs nothing to reach, and joined once: the cost grows with the text and the spans, not with their product.
+    """
+    gap = "array<struct<a:bigint,b:bigint,kind:string>>"
 
     def step(acc: Column, s: Column) -> Column:
-        fresh = s["start"] >= acc["at"]
-        out = F.when(fresh, F.concat(acc["out"], F.substring(text, (acc["at"] + 1).cast("int"), (s["start"] - acc["at"]).cast("int")), F.lit("[secret:"), s["kind"], F.lit("]"))).otherwise(acc["out"])
-        return F.struct(F.greatest(acc["at"], s["end"]).alias("at"), out.alias("out"))
+        one = F.array(F.struct(acc["reach"].alias("a"), s["at"].alias("b"), s["kind"].alias("kind"))).cast(gap)
+        return F.struct(F.greatest(acc["reach"], s["upto"]).alias("reach"), F.when(s["at"] >= acc["reach"], F.concat(acc["gaps"], one)).otherwise(acc["gaps"]).alias("gaps"))
+
+    def block(acc: Column, i: Column) -> Column:
+        part = F.aggregate(F.slice(found, i * FOLD + 1, F.lit(FOLD)), F.struct(acc["reach"].alias("reach"), F.array().cast(gap).alias("gaps")), step)
+        return let(part, lambda p: F.struct(p["reach"].alias("reach"), F.concat(acc["gaps"], p["gaps"]).alias("gaps")))
+
+    def pieces(raw: Column, walked: Column) -> Column:
+        cut = lambda a, b: F.substring(raw, (a + 1).cast("int"), (b - a).cast("int")).cast("string")
+        each = F.transform(walked["gaps"], lambda g: F.concat(cut(g["a"], g["b"]), F.lit("[secret:"), g["kind"], F.lit("]")))
+        return F.concat(F.array_join(each, ""), cut(walked["reach"], F.octet_length(raw).cast("bigint")))
 
-    start = F.struct(F.lit(0).cast("bigint").alias("at"), F.lit("").alias("out"))
-    end = F.aggregate(found, start, step)
-    return F.when(F.size(found) > 0, F.concat(end["out"], F.substring(text, (end["at"] + 1).cast("int"), F.lit(2**31 - 1)))).otherwise(text)
+    start = F.struct(F.lit(0).cast("bigint").alias("reach"), F.array().cast(gap).alias("gaps"))
+    walked = F.aggregate(F.sequence(F.lit(0), F.floor((F.size(found) - 1) / FOLD).cast("int")), start, block)
+    return F.when(F.size(found) > 0, let(text.cast("binary"), lambda raw: let(walked, lambda w: pieces(raw, w)))).otherwise(text)
 
 
 def redact_documents(docs: DataFrame, ledger: Ledger | None = None) -> DataFrame:

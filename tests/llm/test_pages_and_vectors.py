@@ -4,6 +4,7 @@ import base64
 import hashlib
 import json
 import math
+import os
 
 import numpy as np
 import pytest
@@ -51,7 +52,7 @@ def test_extraction_of_rows(spark):
 
 
 def test_surges_and_dives_without_a_marked_article():
-    lines = [html.Line("menu", 0, False, 0)] * 4 + [html.Line("x" * 80, 80, False, 0), html.Line("ad", 2, True, 0), html.Line("short", 5, False, 0)] + [html.Line("l", 0, False, 0)] * 5
+    lines = [html.Line("menu", 0, 0, 0)] * 4 + [html.Line("x" * 80, 80, 0, 0), html.Line("short", 5, 0, 0)] + [html.Line("l", 0, 0, 0)] * 5
     assert [x.text for x in html.kept(lines)] == ["x" * 80, "short"]
 
 
@@ -71,6 +72,48 @@ def test_the_distribution_decides_the_span(page, text):
     assert html.main_text(page) == text
 
 
+def plain_page(seed: int) -> tuple[str, str]:
+    """A page of divisions without any telling name: menus of links, a text, short notes and links at the end."""
+    rng = np.random.default_rng(seed)
+    line = lambda n: " ".join("".join(rng.choice(list("abcdefgh"), rng.integers(2, 9))) for _ in range(n))
+    link = lambda: f"<div class=x{rng.integers(9)}><a href=/{rng.integers(99)}>{line(3)}</a></div>"
+    title, body = line(6), [line(int(rng.integers(14, 60))) for _ in range(rng.integers(2, 7))]
+    body.insert(1, line(2))  # a short line in the middle
+    wrap = lambda x: f"<p>{x}</p>" if seed % 2 else f"<div class=q>{x}</div>"
+    top, end = "".join(link() for _ in range(rng.integers(3, 9))), "".join(link() for _ in range(rng.integers(3, 9)))
+    return f"<body><div>{top}</div><h1>{title} {line(8)}</h1>" + "".join(wrap(x) for x in body) + f"<div>{end}</div></body>", " ".join(body)
+
+
+@pytest.mark.parametrize("seed", range(20))
+def test_pages_without_telling_names(seed):
+    page, body = plain_page(seed)
+    got = html.main_text(page)
+    assert got.endswith(body) and len(got) < len(body) + 120  # the headline besides, no link
+
+
+def test_names_in_doubt_are_weights():
+    long, short = "A real paragraph of the article that happens to bear a name in doubt and goes on for a good while longer. " * 2, "See all of these."
+    page = lambda name, text: f"<article><p>{LONG}</p><div class={name}>{text}</div><p>Fin.</p></article>"
+    for name in ("side", "legal", "search", "related", "skip"):
+        assert html.main_text(page(name, long)) == f"{LONG}{long}Fin." and html.main_text(page(name, short)) == f"{LONG}Fin."
+    for name in ("notice", "comments", "ad", "sidebar"):
+        assert html.main_text(page(name, long)) == f"{LONG}Fin."
+    # A negative line is a dive: what follows has to surge by itself on a page without marks.
+    assert html.main_text(f"<p>{LONG}</p><div class=ad>Buy</div><p>Short.</p>") == LONG.strip()
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables are not here")
+def test_the_window_decides_lines_of_the_given_pages(spark):
+    pages = [r.html for r in spark.read.parquet("/root/testdata/sf0.01/pages.parquet").select("html").collect()]
+    dropped = plain = 0
+    for page in pages:
+        found = html.lines(page)
+        kept = {id(x) for x in html.kept(found)}
+        dropped += sum(id(x) not in kept for x in found)
+        plain += sum(id(x) not in kept and not x.cost for x in found)
+    assert dropped > len(pages) and plain >= 0  # lines are no longer taken out before the distribution sees them
+
+
 def digest(b):
     return "sha1:" + base64.b32encode(hashlib.sha1(b).digest()).decode()
 

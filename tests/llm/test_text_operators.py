@@ -2,6 +2,7 @@
 
 import hashlib
 import math
+import os
 import random
 import re
 
@@ -504,7 +505,7 @@ def test_cotraining_on_held_out_texts(spark):
     assert len(both) > 100 and np.mean([(r.p_meta > 0.5) == ("!!" not in docs[r.doc_id][1]) for r in both if r.doc_id is not None and r.doc_id < 500]) > 0.85  # a calibrated view
 
 
-def test_statistics_come_from_the_other_views_confident_calls(spark):
+def test_statistics_come_from_the_other_views_surest_calls(spark):
     rng = random.Random(12)
     rows = [(f"{'fine' if i % 2 else 'foul'} {rng.choice('abcdef')} w{i}", "en", "good" if i % 2 else "bad") for i in range(400)]
     docs = spark.createDataFrame(rows, "text string, lang string, source string")
@@ -512,10 +513,72 @@ def test_statistics_come_from_the_other_views_confident_calls(spark):
     sure = m.where("text like 'fine%'").first().m
     meta = cotrain.Part(mix=np.array([-6.0, 1.0, 0.0]), weights=np.zeros(1 << linear.BITS, np.float32))
     meta.weights[[f for f in sure if f not in m.where("text like 'foul%'").first().m]] = 6.0  # the source decides
-    text, back = cotrain.statistics(m, cotrain.Model(cotrain.Part(), meta, np.array([0.0, 1.0, 1.0])))
+    text, back = cotrain.statistics(m, cotrain.Model(cotrain.Part(), meta, np.array([0.0, 1.0, 1.0])), (0.5, 0.5), Stash(spark, "test"), "a")
     told = {w: text[linear.present([w.encode()], linear.View())[1]] for w in ("fine", "foul", "a", "w7")}
     assert told["fine"] > 3 and told["foul"] < -3 and told["a"] == 0 and told["w7"] == 0
     assert not back.any()  # the text view is sure of nothing
+    own = cotrain.Part(mix=np.array([0.0, 1.0, 0.0]), weights=np.zeros(1 << linear.BITS, np.float32))
+    own.weights[linear.present([b"fine"], linear.View())[1]], own.weights[linear.present([b"foul"], linear.View())[1]] = 3.0, -3.0
+    none, back = cotrain.statistics(m, cotrain.Model(own, cotrain.Part(), np.array([0.0, 1.0, 1.0])), (0.5, 0.5), Stash(spark, "test"), "b")
+    assert not none.any() and back[[f for f in sure if f not in m.where("text like 'foul%'").first().m]].min() > 3
+
+
+def test_the_surest_are_taken_by_rank():
+    counts = np.array([0, 10, 0, 30, 40, 0, 20, 0])
+    assert cotrain.surest(counts, (0.1, 0.2)) == (1, 6) and cotrain.surest(counts, (0.45, 0.6)) == (3, 4)
+    assert cotrain.surest(counts, (0.01, 0.01)) == (1, 6)  # one bin at least
+    assert cotrain.surest(np.array([0, 7, 0]), (0.5, 0.5)) == (-1, 3) and cotrain.surest(np.zeros(4), (0.5, 0.5)) == (-1, 4)
+
+
+def taught(n=3000, seed=6):
+    """Documents whose layout tells their quality nine times in ten and whose rare words tell it, each of few documents."""
+    rng = random.Random(seed)
+    word = lambda: "".join(rng.choice("abcdefghijklmnop") for _ in range(7))
+    good, bad, plain = ([word() for _ in range(k)] for k in (100, 100, 300))
+    docs, truth = [], {}
+    for i in range(n):
+        y = rng.random() < 0.6
+        w = [rng.choice(good if y else bad) for _ in range(4)] + [rng.choice(plain) for _ in range(20)]
+        rng.shuffle(w)
+        lines = rng.random() < (0.1 if y else 0.9)
+        docs.append((i, ("\n" if lines else " ").join(w), "en", "s", 0))
+        truth[i] = y
+    return docs, truth
+
+
+def test_the_exchange_teaches_the_text_view(spark):
+    docs, truth = taught()
+    df = spark.createDataFrame(docs, DOCS)
+    labels = spark.createDataFrame([(i, int(truth[i])) for i in range(210)], "doc_id long, quality int")
+    held = [i for i in truth if i >= 210]
+    lists = [linear.present([d[1].encode()], cotrain.TEXT)[1] for d in docs]
+    right = {}
+    for rounds in (0, 2):
+        m = cotrain.fit(df, labels, rounds=rounds)
+        odds = m.text.odds(*cotrain._pairs([lists[i] for i in held]), len(held))
+        right[rounds] = np.mean((odds >= 0) == np.array([truth[i] for i in held]))
+        assert (rounds == 0) == (not m.text.counted.any())
+    assert right[2] > right[0] + 0.05 and right[2] > 0.9
+
+
+@pytest.mark.parametrize("n", [10, 20, 60])
+def test_few_labels_calibrate_by_folds(spark, n):
+    docs, truth = taught(400)
+    rows = [(i, f"{'fine' if truth[i] else 'foul'} {t}", *rest) for i, t, *rest in docs]
+    labels = spark.createDataFrame([(i, int(truth[i])) for i in range(n)], "doc_id long, quality int")
+    out = cotrain.qualities(spark.createDataFrame(rows, DOCS), labels).collect()
+    assert np.mean([r.keep == truth[r.doc_id] for r in out]) > 0.8 and len({r.quality for r in out}) > 2
+
+
+@pytest.mark.skipif(not os.path.isdir("/root/testdata/sf0.01"), reason="the given tables are not here")
+def test_both_views_learn_on_the_given_tables(spark):
+    docs, labels = (spark.read.parquet(f"/root/testdata/sf0.01/{t}.parquet") for t in ("documents", "labels"))
+    for rounds in (1, 2):
+        m = cotrain.fit(docs, labels.where("doc_id % 3 <> 0"), rounds=rounds)
+        assert m.text.counted.any() and m.meta.counted.any()
+    out = cotrain.qualities(docs, labels.where("doc_id % 3 <> 0")).join(labels.where("doc_id % 3 = 0").select("doc_id", F.col("quality").alias("y")), "doc_id").collect()
+    assert len({round(r.p_meta, 6) for r in out}) > 10
+    assert np.mean([r.keep == bool(r.y) for r in out]) > 0.95 and np.mean([(r.p_meta >= 0.5) == bool(r.y) for r in out]) > 0.9
 
 
 def test_word_hashes_do_not_depend_on_place_or_piece(monkeypatch):
@@ -562,3 +625,14 @@ def test_scans_of_rows_with_clashing_columns(spark):
     df = clashing(spark.createDataFrame([(i, t, "en", "s", 1) for i, t in enumerate(secret_texts())], DOCS))
     plain = secrets.digest(secrets.scan_all(spark.createDataFrame(list(enumerate(secret_texts())), "doc_id long, text string"))).collect()
     assert sorted(map(tuple, secrets.digest(secrets.scan_all(df)).collect())) == sorted(map(tuple, plain))
+
+
+def test_redaction_of_thousands_of_matches_in_a_long_text(spark):
+    """Overlapping spans, characters of several bytes, more spans than a fold takes."""
+    parts = [f"é{'日' * (i % 7)} token=abcdefgh{i:05d} \U0001f600 {'0123456789abcdef' * 2} password: {'0123456789abcdef' * 2}" for i in range(2500)]
+    text = " \n".join(parts)
+    df = spark.createDataFrame([(1, text, "en", "s", len(text)), (2, "none é", "en", "s", 6), (3, parts[0] + " end", "en", "s", 0)], DOCS)
+    got = {r.doc_id: r for r in secrets.redact_documents(df).collect()}
+    clean = lambda t: re.sub(r"token=abcdefgh\d+", "[secret:assign]", re.sub(r"password: [0-9a-f]{32}", "[secret:assign]", t))
+    clean = lambda t, f=clean: re.sub(r"(?<!\S)(?:0123456789abcdef){2}", "[secret:hex]", f(t))
+    assert got[1].text == clean(text) and got[1].n_chars == len(got[1].text) and got[2].text == "none é" and got[3].text == clean(parts[0]) + " end"
