@@ -145,7 +145,7 @@ def _batches(batches: Iterator[pa.RecordBatch], text: bool = True) -> Iterator[t
         meta = [np.asarray(m, np.int64) for m in batch.column("m").to_pylist()]
         for first, run in words.grouped(TEXT.bytes_of(t) for t in batch.column("text").to_pylist()):
             own, shape = _pairs(meta[first : first + len(run)]), layout(run)
-            yield len(run), linear.present(run, TEXT) if text else None, (np.concatenate([own[0], shape[0]]), np.concatenate([own[1], shape[1]]))
+            yield len(run), linear.present(run, TEXT, ordered=False) if text else None, (np.concatenate([own[0], shape[0]]), np.concatenate([own[1], shape[1]]))
 
 
 def _bin(odds: np.ndarray) -> np.ndarray:

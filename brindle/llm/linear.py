@@ -61,13 +61,14 @@ def hashed(texts: list[bytes], view: View) -> tuple[np.ndarray, np.ndarray]:
     return np.concatenate(docs), np.concatenate(found)
 
 
-def present(texts: list[bytes], view: View, among: np.ndarray | None = None) -> tuple[np.ndarray, np.ndarray]:
-    """Distinct (text, feature) pairs, sorted; only features that ``among`` (a table of booleans) holds, if given."""
+def present(texts: list[bytes], view: View, among: np.ndarray | None = None, ordered: bool = True) -> tuple[np.ndarray, np.ndarray]:
+    """Distinct (text, feature) pairs, sorted if ``ordered``; only features that ``among`` (a table of booleans) holds, if given."""
     doc, feature = hashed(texts, view)
     if among is not None:
         ok = among[feature]
         doc, feature = doc[ok], feature[ok]
-    both = np.unique((doc << BITS) | feature)
+    both = (doc << BITS) | feature
+    both = np.unique(both) if ordered else pd.unique(both)
     return both >> BITS, both & ((1 << BITS) - 1)
 
 
