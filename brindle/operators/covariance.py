@@ -6,6 +6,8 @@ the data; universes run in parallel.
 
 from __future__ import annotations
 
+from collections.abc import Iterator
+
 import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame, Window
@@ -14,17 +16,66 @@ from pyspark.sql import functions as F
 from .panel import overlapping_returns
 
 
-def _pairs(df: DataFrame, other: str) -> DataFrame:
-    a = df.select(F.col("series_id").alias("a"), "date", F.col("ret").alias("x"), F.col("region").alias("ra"))
-    b = df.select(F.col("series_id").alias("b"), "date", F.col("ret").alias("y"), F.col("region").alias("rb"))
-    return a.join(b, "date").where(other).where("x is not null and y is not null").groupBy("a", "b").agg(F.covar_samp("x", "y").alias("cov"), F.count("*").alias("n"))
+#: Series of a block, and days of a range, whose products one task adds up.
+SERIES_BLOCK, DAYS = 256, 366
+
+
+def pair_sums(df: DataFrame) -> DataFrame:
+    """(set, a, b, n, sx, sy, sxy), a <= b: for each pair of series of a set the sums over the dates that both have.
+
+    df: set, series_id, date, x; nulls are no rows. Series are dealt to blocks by hash; a range of dates of two blocks is a pair of
+    dense matrices whose products give the sums of all their pairs, and ranges add up. So a pair is written once a range of
+    dates, not once a date, and a date is no hot key.
+    """
+    rows = df.where("x is not null").select("set", "series_id", "date", F.col("x").cast("double").alias("x"))
+    sizes = rows.groupBy("set").agg(F.ceil(F.count_distinct("series_id") / SERIES_BLOCK).alias("blocks"))
+    dealt = rows.join(sizes, "set").withColumn("block", F.pmod(F.xxhash64("series_id"), F.col("blocks")).cast("int")).withColumn("range", F.floor(F.unix_date("date") / DAYS).cast("int"))
+    # About SERIES_BLOCK * DAYS numbers a group.
+    packed = dealt.groupBy("set", "range", "block").agg(F.collect_list("series_id").alias("ids"), F.collect_list(F.unix_date("date")).alias("days"), F.collect_list("x").alias("x"))
+    other = packed.select("set", "range", *[F.col(c).alias(f"{c}_b") for c in ("block", "ids", "days", "x")])
+    pairs = packed.join(other, ["set", "range"]).where("block <= block_b")
+
+    def dense(ids, days, x, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names, col = np.unique(np.asarray(ids, object).astype(str), return_inverse=True)
+        values, there = np.zeros((DAYS, len(names))), np.zeros((DAYS, len(names)))
+        values[np.asarray(days) - first, col], there[np.asarray(days) - first, col] = x, 1.0
+        return names, values, there
+
+    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for batch in batches:
+            for r in batch.itertuples(index=False):
+                first = r.range * DAYS
+                (na, xa, ma), (nb, xb, mb) = dense(r.ids, r.days, r.x, first), dense(r.ids_b, r.days_b, r.x_b, first)
+                n, sx, sy, sxy = ma.T @ mb, xa.T @ mb, ma.T @ xb, xa.T @ xb
+                a, b = np.repeat(na, len(nb)), np.tile(nb, len(na))
+                ok = (n.ravel() > 0) & ((a <= b) if r.block == r.block_b else True)
+                swap = a > b
+                x, y = np.where(swap, sy.ravel(), sx.ravel()), np.where(swap, sx.ravel(), sy.ravel())
+                yield pd.DataFrame({"set": r.set, "a": np.where(swap, b, a), "b": np.where(swap, a, b), "n": n.ravel().astype(np.int64), "sx": x, "sy": y, "sxy": sxy.ravel()})[ok]
+
+    kind = dict(df.dtypes)["set"]
+    parts = pairs.mapInPandas(run, f"set {kind}, a string, b string, n long, sx double, sy double, sxy double")
+    return parts.groupBy("set", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
+
+
+def pairwise(df: DataFrame) -> DataFrame:
+    """(set, a, b, cov, n), a <= b: sample covariances of the pairs of each set over the dates that both have; null for a single date. df: set, series_id, date, x.
+
+    Series are centred first, so that sums of products lose nothing to large means.
+    """
+    mean = df.groupBy("set", "series_id").agg(F.avg("x").alias("_m"))
+    sums = pair_sums(df.join(mean, ["set", "series_id"]).select("set", "series_id", "date", (F.col("x") - F.col("_m")).alias("x")))
+    cov = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)
+    return sums.select("set", "a", "b", F.when(F.col("n") > 1, cov).alias("cov"), "n")
 
 
 def cross_region(returns: DataFrame, meta: DataFrame, days: int = 2, least: int = 60) -> DataFrame:
     """(a, b, cov, n), a <= b, pairwise deletion: daily within a region, from overlapping ``days``-day returns over days across regions."""
     regions = meta.select("series_id", "region")
-    same = _pairs(returns.join(regions, "series_id"), "a <= b and ra = rb")
-    far = _pairs(overlapping_returns(returns, days).join(regions, "series_id"), "a < b and ra <> rb").withColumn("cov", F.col("cov") / days)
+    same = pairwise(returns.join(regions, "series_id").select(F.col("region").alias("set"), "series_id", "date", F.col("ret").alias("x"))).select("a", "b", "cov", "n")
+    every = pairwise(overlapping_returns(returns, days).join(regions, "series_id").select(F.lit("").alias("set"), "series_id", "date", F.col("ret").alias("x")))
+    of = lambda side: regions.select(F.col("series_id").alias(side), F.col("region").alias(f"r{side}"))
+    far = every.join(of("a"), "a").join(of("b"), "b").where("ra <> rb").select("a", "b", (F.col("cov") / days).alias("cov"), "n")
     return same.unionByName(far).where(F.col("n") >= least)
 
 

@@ -6,18 +6,23 @@ import re
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 
 
-def cut(df: DataFrame) -> DataFrame:
-    """The same rows from a table in the folder that spark.checkpoint.dir names; a temporary one where that is unset and all runs in one process."""
-    spark = df.sparkSession
+def checkpoint_folder(spark: SparkSession) -> str:
+    """The folder that spark.checkpoint.dir names; a temporary one where that is unset and all runs in one process."""
     root = spark.conf.get("spark.checkpoint.dir", None)
     if not root:
         if not re.fullmatch(r"local(\[.*\])?", spark.sparkContext.master):
             raise ValueError("spark.checkpoint.dir must name a folder that all executors share")
         root = f"{tempfile.gettempdir()}/brindle-checkpoints"
-    path = f"{root.rstrip('/')}/brindle-cut-{uuid.uuid4().hex}"
+    return root.rstrip("/")
+
+
+def cut(df: DataFrame) -> DataFrame:
+    """The same rows from a table in the checkpoint folder."""
+    spark = df.sparkSession
+    path = f"{checkpoint_folder(spark)}/brindle-cut-{uuid.uuid4().hex}"
     df.write.parquet(path)
     return spark.read.schema(df.schema).parquet(path)
 

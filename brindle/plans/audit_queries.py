@@ -94,12 +94,6 @@ def path_summary(spark, sf):
     return active(spark, sf).groupBy("series_id").agg(F.count("*").alias("n"), (F.avg(x) * 52).alias("mean"), (F.stddev_samp(x) * F.sqrt(F.lit(52))).alias("te"), F.min(x).alias("worst"), F.max(x).alias("best"), F.avg((x > 0).cast("int")).alias("hit"))
 
 
-@query("d15_ladder_breadth", "WITH s AS (SELECT region, sum(score * fwd) / sum(score * score) AS slope, median(score) / 25 AS tc FROM scores JOIN meta USING (series_id) WHERE fwd IS NOT NULL GROUP BY 1) SELECT region, r(pow(slope / tc, 2)) AS breadth FROM s")
-def ladder(spark, sf):
-    j = h.scores(spark, sf).where("fwd is not null").join(h.meta(spark, sf), "series_id")
-    return j.groupBy("region").agg(F.pow(stats.slope_through_origin(F.col("score"), F.col("fwd")) / (F.median("score") / 25), 2).alias("breadth"))
-
-
 @query("d25_sign_shares", "WITH c AS (SELECT l_linenumber AS cell, l_suppkey AS f, avg(l_discount - 0.05) AS c FROM lineitem GROUP BY 1, 2), m AS (SELECT *, avg(c) OVER (PARTITION BY cell) AS m FROM c) SELECT cell, r(any_value(m)) AS mean, count(*) FILTER (sign(c) = sign(m)) AS same, r(avg((c > 0)::INT)) AS share FROM m GROUP BY 1")
 def sign_shares(spark, sf):
     c = h.table(spark, sf, "lineitem").groupBy(F.col("l_linenumber").alias("cell"), "l_suppkey").agg(F.avg(F.col("l_discount") - 0.05).alias("c"))
@@ -296,11 +290,6 @@ def by_group(spark, sf):
     return j.groupBy("date", "region").agg(F.sum("w").alias("weight"), F.sum(F.col("w") * F.col("score")).alias("score"))
 
 
-@query("k68_resolved_parameters", "SELECT run_id, coalesce(CASE WHEN hypothesis < 10 THEN 'cell' END, CASE WHEN status = 'F' THEN 'params' END, 'none') AS overlay FROM runs")
-def resolved(spark, sf):
-    return h.runs(spark, sf).select("run_id", F.coalesce(F.when(F.col("hypothesis") < 10, "cell"), F.when(F.col("status") == "F", "params"), F.lit("none")).alias("overlay"))
-
-
 _LAST = "(SELECT series_id, f.date, arg_max(level, l.date) AS level FROM levels l JOIN fridays f ON l.date <= f.date AND l.date > f.date - 7 WHERE level IS NOT NULL GROUP BY 1, 2)"
 _CHANGE = "max(CASE WHEN series_id = '{s}' THEN {x} END)"
 

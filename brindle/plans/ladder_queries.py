@@ -33,9 +33,9 @@ s AS (SELECT f.universe, series_id, sqrt(greatest(fast, 0) / cov) AS s FROM f JO
 SELECT c.universe, c.a, c.b, r(cov * x.s * y.s) AS cov FROM c JOIN s x ON x.universe = c.universe AND x.series_id = c.a JOIN s y ON y.universe = c.universe AND y.series_id = c.b""")
 def rescaled(spark, sf):
     u = universes(spark, sf)
-    other = u.select("universe", F.col("series_id").alias("b"), "date", F.col("ret").alias("y"))
-    cov = u.join(other, ["universe", "date"]).where("ret is not null and y is not null").groupBy("universe", F.col("series_id").alias("a"), "b").agg(F.covar_samp("ret", "y").alias("cov"))
-    return covariance.rescale_volatility(cov.where("cov is not null"), u, 26.0)
+    half = covariance.pairwise(u.select(F.col("universe").alias("set"), "series_id", "date", F.col("ret").alias("x"))).where("cov is not null").select(F.col("set").alias("universe"), "a", "b", "cov")
+    cov = half.unionByName(half.where("a <> b").select("universe", F.col("b").alias("a"), F.col("a").alias("b"), "cov"))
+    return covariance.rescale_volatility(cov, u, 26.0)
 
 
 def rebalance_dates(spark, sf):
@@ -365,18 +365,6 @@ def frictionless(spark, sf):
     return cells.run_grid(cell_panel(spark, sf), grid(spark, sf, "frictionless", 1), mandate.Mandate(te=0.03), present=0.5)
 
 
-@query("k56_grid")
-def audit_grid(spark, sf):
-    return cells.run_grid(cell_panel(spark, sf), grid(spark, sf, "mandate", 13), mandate.Mandate(te=0.3), present=0.5)
-
-
-@query("k61_pilot_cells")
-def pilot(spark, sf):
-    """Cells on region factors: the axis' factor is planted, its view goes to the region's members."""
-    g = grid(spark, sf, "mandate", 13).where("seed = 1").withColumn("kind", F.lit("axis")).withColumn("cell", F.concat_ws("/", "universe", "ic", F.lit("axis")))
-    return cells.run_grid(cell_panel(spark, sf).withColumn("group", F.substring("series_id", -1, 1)), g, mandate.Mandate(te=0.3), present=0.5)
-
-
 @query("k29_path_transfer")
 def path_transfer(spark, sf):
     """How much of the scores' views the books of every Friday carry under the trailing covariance."""
