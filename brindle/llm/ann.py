@@ -189,7 +189,8 @@ def search(vectors: DataFrame, id_col: str = "vec_id", vector_col: str = "embedd
     """(query_id, rank, vec_id, score): the k nearest other rows of each row whose id is divisible by ``every``.
 
     Nearness is Euclidean distance, ties go to the smaller id. Where an id repeats, its smallest vector counts. Fewer
-    candidates than k are all returned; an empty table gives none.
+    candidates than k are all returned; an empty table gives none. Rows are dealt to blocks by hash of their id, so a table
+    that repeats one id in very many rows puts those in one block; other columns are not read.
     """
     rows, dim = usable(vectors, id_col, vector_col)
     kind = rows.schema["id"].dataType.simpleString()

@@ -26,7 +26,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear, words
-from .shared import Stash
+from .shared import Stash, bounded_batches
 
 TEXT = linear.View(first=(1, 2, 3), last=(1, 2, 3), lower=False, punctuation=False, runs=True)
 #: The most labelled rows that a model is fitted on.
@@ -303,6 +303,7 @@ def qualities(docs: DataFrame, labels: DataFrame, label: str = "quality") -> Dat
     is a half or more. Null and empty texts have no text feature and are scored by what is left; repeated rows are scored
     alike; texts of any length are read whole; other columns are ignored. An empty table gives none.
     """
+    bounded_batches(docs.sparkSession)
     held = docs.sparkSession.sparkContext.broadcast(fit(docs, labels, label))
 
     @F.pandas_udf("p_text double, p_meta double, odds double")

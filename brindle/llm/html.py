@@ -22,6 +22,8 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from .shared import bounded_batches
+
 WINDOW = 3
 #: The weight in a window that makes a surge, unless no window of the page has as much.
 SURGE = 60
@@ -208,5 +210,6 @@ def extract(pages: DataFrame) -> DataFrame:
     Null html, like html without any text, gives an empty text. Pages are read whole, however long, and each by itself: repeated
     rows are each a row, an empty table gives none. Other columns, whatever their names, are neither read nor returned.
     """
+    bounded_batches(pages.sparkSession)
     out = pages.select("page_id", "url", extracted(F.coalesce("html", F.lit(""))).alias("text"))
     return out.select("page_id", "url", "text", F.length("text").cast("bigint").alias("n_chars"))

@@ -24,6 +24,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import words
+from .shared import bounded_batches
 
 #: Fixed value: the mark that stands for a space in pieces.
 MARK = "▁"
@@ -148,6 +149,7 @@ def encoded(docs: DataFrame, model: str, text: str = "text", key: str = "doc_id"
     Rows are independent: repeated rows stay, an empty table gives an empty one. Texts are taken whole, some megabytes at a
     time. Other columns, whatever their names, are not read.
     """
+    bounded_batches(docs.sparkSession)
     only = docs.select(F.col(key).alias("key"), F.col(text).alias("text"))
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:

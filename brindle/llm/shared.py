@@ -29,6 +29,20 @@ def checkpoint_root(spark: SparkSession) -> str:
     return root.rstrip("/")
 
 
+#: Bytes of a batch that Python functions get at a time, where the session names no bound.
+BATCH_BYTES = 16 << 20
+_BATCH_BYTES = "spark.sql.execution.arrow.maxBytesPerBatch"
+
+
+def bounded_batches(spark: SparkSession) -> None:
+    """Bound the batches that Python functions get by bytes, as long texts would make batches of a number of rows very large.
+
+    The session's own bound stays as it is; results do not depend on it.
+    """
+    if spark.conf.get(_BATCH_BYTES, None) is None:
+        spark.conf.set(_BATCH_BYTES, str(BATCH_BYTES))
+
+
 class Stash:
     """Tables written to the shared folder to cut lineage. A lost executor then costs only the tasks that read them.
 
@@ -36,6 +50,7 @@ class Stash:
     """
 
     def __init__(self, spark: SparkSession, name: str):
+        bounded_batches(spark)
         self.spark = spark
         self.base = f"{checkpoint_root(spark)}/brindle-{name}-{uuid.uuid4().hex}"
 

@@ -126,6 +126,7 @@ def classes(docs: DataFrame, shingle: int = 3, similar: float | None = None) ->
     ``keeper`` is the (doc_id, text_key) that stands for the class: smallest doc_id, nulls last, then smallest text hash.
     With ``similar``, texts whose shingle sets have that Jaccard similarity or more are linked too.
     Null and wordless texts share fingerprint zero and so link. Repeated rows are classed alike. An empty table gives none.
+    Texts of any length are read whole.
     """
     stash = Stash(docs.sparkSession, "simhash")
     if similar is None:

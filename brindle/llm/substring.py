@@ -156,7 +156,8 @@ def deduplicated(docs: DataFrame, n: int = WINDOW) -> DataFrame:
 
     A word goes if a window of ``n`` words covers it whose word sequence also starts in a document with a smaller doc_id.
     Null texts are empty. A row without doc_id loses nothing and takes nothing from others. Rows that repeat a doc_id are
-    the same document: they take nothing from each other. An empty table gives none.
+    the same document: they take nothing from each other. An empty table gives none. Texts are read whole, some megabytes at
+    a time, however long; other columns, whatever their names, are not read.
     """
     stash = Stash(docs.sparkSession, "substring")
     reps, later = repeated_windows(docs, stash, n)

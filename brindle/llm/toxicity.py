@@ -14,7 +14,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from . import linear
-from .shared import packed
+from .shared import bounded_batches, packed
 
 VIEW = linear.View(first=(4, 5, 6, 7))
 #: The most labelled rows that a model is fitted on.
@@ -35,8 +35,10 @@ def fit(docs: DataFrame, labels: DataFrame, grade: str = "toxic", rows: int = SA
     """A model of ``labels.grade`` (0, 1, ... ; null rows stay out) on at most ``rows`` labelled documents of ``docs``.
 
     A fifth of the sample is held out to set ``flag``. A document labelled more than once has its most frequent grade, the
-    smallest if tied. With no labelled row, or grade 0 only, no text is toxic; with no grade 0, all are.
+    smallest if tied. With no labelled row, or grade 0 only, no text is toxic; with no grade 0, all are. With fewer than 50
+    labelled rows none is held out and ``flag`` is set on the rows that were fitted.
     """
+    bounded_batches(docs.sparkSession)
     known = labels.where(F.col(grade).isNotNull()).select("doc_id", F.col(grade).cast("int").alias("_grade"))
     sample = linear.labelled_sample(docs, known, rows, seed, "_grade")
     got = sample.select("doc_id", "_grade", linear.features_of(F.col("text"), VIEW).alias("f")).orderBy("doc_id", "f").toArrow()

@@ -120,7 +120,11 @@ def derive(headers: dict[str, str], block: bytes) -> list[tuple[dict[str, str],
 
 
 def responses(pages: DataFrame, date: str = DATE) -> DataFrame:
-    """(page_id, record_id, target_uri, warc_date, headers, block): a response record for each row of ``pages`` (page_id, url, html)."""
+    """(page_id, record_id, target_uri, warc_date, headers, block): a response record for each row of ``pages`` (page_id, url, html).
+
+    Null html is an empty body; pages of any length are written whole. Repeated rows are each a record, an empty table gives none;
+    other columns are not read.
+    """
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
