@@ -167,7 +167,55 @@ pos AS (SELECT i, row_number() OVER (ORDER BY weight + noise DESC, doc_id NULLS
 SELECT doc_id, n_features::BIGINT AS n_features, weight, weight + noise AS score, CASE WHEN rank <= 25 * (SELECT count(*) FROM pos) // 100 THEN rank END::BIGINT AS rank FROM scr LEFT JOIN pos USING (i)
 """
 
+def _then(state: str, cost: str, edit: str, when: str = "true") -> str:
+    return f"CASE WHEN {state} IS NOT NULL AND {when} THEN {{'c': {state}.c + {cost}, 'a': {state}.a || '{edit}'}} END"
+
+
+def _inserted(of: dict[int, str]) -> dict[str, str]:
+    """What an insert makes of the states that it leads to; applied twice, no more inserts in a row are worth their cost."""
+    j1 = f"least({of[1]}, {_then(of[0], '5', 'I')}, {_then(of[2], '5', 'I')}, {_then(of[3], '5', 'I')})"
+    j2 = f"least({of[2]}, {_then(of[1], '5', 'I')})"
+    return {"j1": j1, "j2": j2}
+
+
+def _repair_sql() -> str:
+    """The cheapest edits row by row: a conversation's row holds the best (cost, edits) of each of four states, so ties go to the least prefix."""
+    go, keep = "NOT gone", lambda r: f"NOT gone AND m = '{r}'"
+    base = {
+        0: _then("n0", "2", "D"),
+        1: f"least({_then('n1', '2', 'D')}, " + ", ".join(f"{_then(f'n{i}', 'x', 'K', keep('u'))}, {_then(f'n{i}', '1 + x', 'R', go)}" for i in (0, 2, 3)) + ")",
+        2: f"least({_then('n2', '2', 'D')}, {_then('n1', 'x', 'K', keep('a'))}, {_then('n1', '1 + x', 'R', go)})",
+        3: f"least({_then('n3', '2', 'D')}, {_then('n0', 'x', 'K', keep('s'))})",
+    }
+    step = ", ".join(f"{e} AS b{i}" for i, e in base.items())
+    first = _inserted({i: f"b{i}" for i in range(4)})
+    last = f"b0 AS n0, least(j1, {_then('j2', '5', 'I')}) AS n1, least(j2, {_then('j1', '5', 'I')}) AS n2, b3 AS n3"
+    none = "NULL::STRUCT(c INTEGER, a VARCHAR)"
+    return rf"""
+WITH RECURSIVE raw AS (SELECT conv_id, turn, coalesce(conv_id::VARCHAR, ' ') || ':' || coalesce(turn::VARCHAR, ' ') AS s, coalesce(role, ' ') AS role, coalesce(text, ' ') AS text FROM conversations),
+strings AS (SELECT DISTINCT s FROM raw), {_CRC_SQL.strip()},
+dmg AS (SELECT conv_id, turn, CASE WHEN crc % 20 = 4 THEN 'user' ELSE role END AS role, CASE crc % 20 WHEN 1 THEN '' WHEN 2 THEN regexp_replace(text, '[.!?]', '', 'g') ELSE text END AS text,
+        unnest(range(CASE crc % 20 WHEN 0 THEN 0 WHEN 3 THEN 2 ELSE 1 END)) AS copy FROM raw JOIN crc USING (s)),
+sn AS (SELECT *, row_number() OVER (PARTITION BY conv_id, role, text ORDER BY turn NULLS FIRST) > 1 AS seen, regexp_replace(text, '[\x20\x09-\x0D]+$', '') AS said FROM dmg),
+rw AS MATERIALIZED (SELECT conv_id, turn, role, text, row_number() OVER w AS pos, CASE WHEN said = '' THEN '_' WHEN seen THEN '=' ELSE '' END AS fault, said <> '' AND NOT seen AND right(said, 1) NOT IN ('.', '!', '?') AS cut,
+        lag(left(role, 1)) OVER w || left(role, 1) AS pair FROM sn WINDOW w AS (PARTITION BY conv_id ORDER BY turn NULLS FIRST, role, text, seen)),
+mk AS MATERIALIZED (SELECT conv_id, pos, fault <> '' AS gone, CASE WHEN cut THEN 5 ELSE 0 END AS x, CASE WHEN left(role, 1) IN ('s', 'u', 'a') THEN left(role, 1) ELSE 'x' END AS m FROM rw),
+dp AS (
+SELECT conv_id, 0::BIGINT AS pos, {{'c': 0, 'a': ''}} AS n0, {{'c': 5, 'a': 'I'}} AS n1, {{'c': 10, 'a': 'II'}} AS n2, {none} AS n3 FROM (SELECT DISTINCT conv_id FROM rw)
+UNION ALL SELECT conv_id, pos, {last} FROM (SELECT *, {first['j1']} AS j1, {first['j2']} AS j2 FROM (SELECT d.conv_id, k.pos, {step} FROM dp d JOIN mk k ON k.conv_id IS NOT DISTINCT FROM d.conv_id AND k.pos = d.pos + 1))),
+best AS (SELECT dp.conv_id, least(n0, n2) AS z FROM dp JOIN (SELECT conv_id, max(pos) AS pos FROM rw GROUP BY 1) l ON l.conv_id IS NOT DISTINCT FROM dp.conv_id AND l.pos = dp.pos),
+ed AS (SELECT conv_id, i, e, count(*) FILTER (e <> 'I') OVER (PARTITION BY conv_id ORDER BY i) AS pos FROM (SELECT conv_id, unnest(range(1, length(z.a) + 1)) AS i, z.a[unnest(range(1, length(z.a) + 1))] AS e FROM best)),
+ou AS (SELECT ed.conv_id, i, e, CASE WHEN e <> 'I' THEN role END AS role, CASE WHEN e = 'I' THEN '' ELSE text END AS text, row_number() OVER (PARTITION BY ed.conv_id ORDER BY i) AS k
+       FROM ed LEFT JOIN rw ON rw.conv_id IS NOT DISTINCT FROM ed.conv_id AND rw.pos = ed.pos AND e <> 'I' WHERE e <> 'D'),
+sy AS (SELECT conv_id, bool_or(k = 1 AND e = 'K' AND left(role, 1) = 's')::INT AS s FROM ou GROUP BY 1),
+rp AS (SELECT ou.conv_id, sha256(string_agg(CASE WHEN e = 'K' THEN role WHEN (k - s) % 2 = 1 THEN 'user' ELSE 'assistant' END || ':' || text, chr(10) ORDER BY i)) AS sha FROM ou JOIN sy ON sy.conv_id IS NOT DISTINCT FROM ou.conv_id GROUP BY 1),
+ct AS (SELECT conv_id, coalesce(max(turn) - min(turn) + 1 - count(DISTINCT turn), 0) AS gaps, count(*) FILTER (fault = '_') AS blank, count(*) FILTER (fault = '=') AS duplicate, count(*) FILTER (cut) AS truncated, count(*) FILTER (pair NOT IN ('su', 'ua', 'au')) AS illegal FROM rw GROUP BY 1)
+SELECT c.conv_id, coalesce(gaps, 0)::BIGINT AS gaps, coalesce(blank, 0) AS blank, coalesce(duplicate, 0) AS duplicate, coalesce(truncated, 0) AS truncated, coalesce(illegal, 0) AS illegal, coalesce(z.c, 0)::BIGINT AS cost, coalesce(z.a, '') AS audit, coalesce(sha, sha256('')) AS repaired_sha256
+FROM (SELECT DISTINCT conv_id FROM conversations) c LEFT JOIN ct ON ct.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN best ON best.conv_id IS NOT DISTINCT FROM c.conv_id LEFT JOIN rp ON rp.conv_id IS NOT DISTINCT FROM c.conv_id
+"""
+
+
 _OPERATORS = (op1_rotated_bit_neighbours, op2_cotrained_quality, op3_poisson_mixing, op4_simhash_classes, op5_benchmark_containment, op6_line_block_text, op7_repeated_windows, op8_toxic_severity, op9_warc_derivatives, op10_secret_ledger,
               op11_importance_resampling, op12_conversation_repair, op13_sentencepiece_ids)
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {f.__name__: f for f in _OPERATORS}
-ORACLES: dict[str, str] = {"op1_rotated_bit_neighbours": _NEIGHBOUR_SQL, "op3_poisson_mixing": _MIX_SQL, "op5_benchmark_containment": _CONTAIN_SQL, "op7_repeated_windows": _WINDOW_SQL, "op10_secret_ledger": _SECRET_SQL, "op11_importance_resampling": _RESAMPLE_SQL}
+ORACLES: dict[str, str] = {"op1_rotated_bit_neighbours": _NEIGHBOUR_SQL, "op3_poisson_mixing": _MIX_SQL, "op5_benchmark_containment": _CONTAIN_SQL, "op7_repeated_windows": _WINDOW_SQL, "op10_secret_ledger": _SECRET_SQL, "op11_importance_resampling": _RESAMPLE_SQL, "op12_conversation_repair": _repair_sql()}
