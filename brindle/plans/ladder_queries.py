@@ -17,7 +17,7 @@ from .stat_queries import draws
 def universes(spark, sf):
     """Weekly returns with the region as universe."""
     m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"))
-    return h.weekly(spark, sf).join(F.broadcast(m), "series_id").select("universe", "series_id", "date", "ret")  # one row a series
+    return h.weekly(spark, sf).join(m, "series_id").select("universe", "series_id", "date", "ret")
 
 
 _PAIRS = """u AS (SELECT region AS universe, series_id, date, ret FROM weekly JOIN meta USING (series_id)),
@@ -349,7 +349,7 @@ def axis_inputs(spark, sf):
 
 def cell_panel(spark, sf):
     m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"), book.bps(F.col("bucket"), book.HALF_SPREAD).alias("half_spread"), book.bps(F.col("bucket"), book.ANNUAL_DRAG).alias("drag"), (F.col("tier") == "second").alias("is_cash"))
-    return h.weekly(spark, sf).join(F.broadcast(m), "series_id").select("universe", "date", "series_id", "ret", "half_spread", "drag", "is_cash")  # one row a series
+    return h.weekly(spark, sf).join(m, "series_id").select("universe", "date", "series_id", "ret", "half_spread", "drag", "is_cash")
 
 
 def grid(spark, sf, kind: str, step: int):

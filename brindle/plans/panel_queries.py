@@ -97,7 +97,7 @@ def tiers(spark, sf):
 @query("b16_requested_panel", "SELECT series_id, count(*) AS n FROM vintages WHERE series_id IN ('click', 'view', 'purchase') GROUP BY 1")
 def requested(spark, sf):
     wanted = spark.createDataFrame([("click",), ("view",), ("purchase",)], "series_id string")
-    return h.vintages(spark, sf).join(F.broadcast(wanted), "series_id", "left_semi").groupBy("series_id").agg(F.count("*").alias("n"))
+    return h.vintages(spark, sf).join(wanted, "series_id", "left_semi").groupBy("series_id").agg(F.count("*").alias("n"))
 
 
 @query("b18_graded", "SELECT series_id, period_end, knowledge_date, r(value) AS value FROM vintages WHERE grading < 3")

@@ -54,10 +54,10 @@ def vintage_frame(spark, sf):
 
 
 @query("b23_true_daily", """
-WITH g AS (SELECT series_id, date, level, date - lag(date) OVER (PARTITION BY series_id ORDER BY date) AS days FROM levels),
-k AS (SELECT series_id, date, count(days) OVER w AS n, count(*) FILTER (days > 11) OVER w AS wide FROM g WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
-s AS (SELECT series_id, min(date) AS start FROM k WHERE n = 20 AND wide = 0 GROUP BY 1)
-SELECT series_id, date, CASE WHEN date >= start THEN r(level) END AS level FROM levels JOIN s USING (series_id)""")
+WITH g AS MATERIALIZED (SELECT series_id, date, level, date - lag(date) OVER (PARTITION BY series_id ORDER BY date) AS days FROM levels),
+k AS MATERIALIZED (SELECT series_id, date, level, count(days) OVER w AS n, count(*) FILTER (days > 11) OVER w AS wide FROM g WINDOW w AS (PARTITION BY series_id ORDER BY date ROWS BETWEEN 1 FOLLOWING AND 20 FOLLOWING)),
+s AS (SELECT *, min(CASE WHEN n = 20 AND wide = 0 THEN date END) OVER (PARTITION BY series_id) AS start FROM k)
+SELECT series_id, date, CASE WHEN date >= start THEN r(level) END AS level FROM s WHERE start IS NOT NULL""")
 def true_daily(spark, sf):
     lv = h.levels(spark, sf)
     s = panel.true_daily_starts(lv, 20, 11)
@@ -144,7 +144,7 @@ def rebalance_days(spark, sf):
         score = week.rank(ascending=True)
         return score / score.sum()
 
-    return book.averaged_over_days(h.returns(spark, sf).join(F.broadcast(m), "series_id").select("run_id", "date", "series_id", "ret", "half_spread", "drag"), rule)  # one row a series
+    return book.averaged_over_days(h.returns(spark, sf).join(m, "series_id").select("run_id", "date", "series_id", "ret", "half_spread", "drag"), rule)
 
 
 @query("k9_created_quadratic", "SELECT l_orderkey, l_linenumber, r(0.01 * (pow(greatest(0, b + x), 2) - pow(greatest(0, b), 2))) AS cost, r(0.004::DOUBLE * greatest(0, l_quantity / 50 - 0.75) / 0.75 / 52) AS penalty FROM (SELECT *, l_quantity / 25 - 1 AS b, l_discount * 10 AS x FROM lineitem)")

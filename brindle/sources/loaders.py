@@ -61,7 +61,7 @@ def load_returns(raw: DataFrame, meta: DataFrame, rates: DataFrame, splices: lis
     for other in extra:
         both = both.unionByName(other.select("series_id", "date", "raw"))
     levels = panel.business_days(panel.cleaned(refuse_doubles(both, ["series_id", "date"])))
-    known = levels.join(F.broadcast(meta.select("series_id", "currency", "hedged", "start")), "series_id")  # one row a series
+    known = levels.join(meta.select("series_id", "currency", "hedged", "start"), "series_id")
     dollars = known.join(rates, ["currency", "date"], "left").withColumn("level", F.when(F.col("hedged"), F.col("level")).otherwise(F.try_divide("level", "rate")))
     cut = dollars.select("series_id", "date", F.when(F.col("date") >= F.col("start"), F.col("level")).alias("level"))
     for target, source in splices:

@@ -18,7 +18,7 @@ M = mandate.Mandate(te=0.1, max_cash=0.4, names=None)
 
 @pytest.fixture(scope="module")
 def world(spark):
-    x, days, rows = small_world(190, 6, 11)
+    x, days, rows = small_world(172, 6, 11)
     rows = rows + [("u", "LEG", d, float(x[i].mean())) for i, d in enumerate(days)]
     weekly = spark.createDataFrame(rows, "universe string, series_id string, date date, ret double").cache()
     costs = spark.createDataFrame([("u", f"S{j}", 1e-4 * (j + 1), 1e-3, j == 0) for j in range(6)], "universe string, series_id string, half_spread double, drag double, is_cash boolean")
@@ -39,7 +39,7 @@ def test_cells_in_blocks_equal_single_paths(spark, world, monkeypatch):
     monkeypatch.setattr(rule, "CELLS_A_TASK", 2)
     made, scores = grid.run_cells(g, weekly, costs, cov, {"LEG": 1.0}, M, groups)
     got = made.orderBy("cell", "date").collect()
-    assert {r.cell for r in got} == {"a", "b", "c"} and len(got) == 3 * 35
+    assert {r.cell for r in got} == {"a", "b", "c"} and len(got) == 3 * 17
     own = grid.views(scores, g, costs, groups)
     for cell in "ac":
         c = g.where(F.col("cell") == cell).first().asDict()
@@ -50,8 +50,8 @@ def test_cells_in_blocks_equal_single_paths(spark, world, monkeypatch):
     paid = {r.cell: sum(y.cost for y in got if y.cell == r.cell) for r in got}
     assert paid["b"] > paid["a"] * 1.5
     rows = {r.cell: r for r in grid.rows_of(made, scores, g, M).collect()}
-    assert all(r.lookahead_passed and r.n_rebalances == 35 and r.realised_ic_pooled == pytest.approx(0.3, abs=0.02) for r in rows.values()) and rows["a"].transfer_coefficient > 0
-    late = scores.where(F.col("date") != F.lit(days[180]))
+    assert all(r.lookahead_passed and r.n_rebalances == 17 and r.realised_ic_pooled == pytest.approx(0.3, abs=0.02) for r in rows.values()) and rows["a"].transfer_dates > 0
+    late = scores.where(F.col("date") != F.lit(days[165]))
     assert not grid.lookahead(made, late).first().lookahead_passed  # a step without a score of its week
 
 
@@ -77,7 +77,7 @@ def test_a_run_that_was_killed_goes_on(spark, world, tmp_path):
     assert sorted(r.cell for r in rows.collect()) == [f"c{i}" for i in range(5)]
     for name in ("weights", "alpha"):
         kept = spark.read.parquet(f"{folder}/{name}").groupBy("cell").agg(F.count_distinct("date").alias("n")).collect()
-        assert {r.cell: r.n for r in kept} == {"c1": 35, "c3": 35}
+        assert {r.cell: r.n for r in kept} == {"c1": 17, "c3": 17}
     assert grid.should_stop(0.0, 100.0, []) and not grid.should_stop(0.0, 100.0, [10.0, 60.0, 20.0]) and not grid.should_stop(9e9, None, [1.0])
 
 
