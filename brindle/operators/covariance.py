@@ -10,14 +10,16 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
+import pyarrow as pa
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
+from .lineage import cut
 from .panel import overlapping_returns
 
 
 #: Series of a block, and days of a range, whose products one task adds up.
-SERIES_BLOCK, DAYS = 256, 366
+SERIES_BLOCK, DAYS = 256, 2048
 
 
 def pair_sums(df: DataFrame) -> DataFrame:
@@ -30,31 +32,38 @@ def pair_sums(df: DataFrame) -> DataFrame:
     rows = df.where("x is not null").select("set", "series_id", "date", F.col("x").cast("double").alias("x"))
     sizes = rows.groupBy("set").agg(F.ceil(F.count_distinct("series_id") / SERIES_BLOCK).alias("blocks"))
     dealt = rows.join(sizes, "set").withColumn("block", F.pmod(F.xxhash64("series_id"), F.col("blocks")).cast("int")).withColumn("range", F.floor(F.unix_date("date") / DAYS).cast("int"))
-    # About SERIES_BLOCK * DAYS numbers a group.
-    packed = dealt.groupBy("set", "range", "block").agg(F.collect_list("series_id").alias("ids"), F.collect_list(F.unix_date("date")).alias("days"), F.collect_list("x").alias("x"))
-    other = packed.select("set", "range", *[F.col(c).alias(f"{c}_b") for c in ("block", "ids", "days", "x")])
-    pairs = packed.join(other, ["set", "range"]).where("block <= block_b")
-
-    def dense(ids, days, x, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-        names, col = np.unique(np.asarray(ids, object).astype(str), return_inverse=True)
+    # At most about SERIES_BLOCK * DAYS numbers a group.
+    code = F.xxhash64("series_id")
+    cells = F.collect_list(F.struct(code.alias("code"), F.unix_date("date").alias("day"), "x"))
+    packed = dealt.groupBy("set", "range", "block").agg(F.collect_set(F.struct("series_id", code.alias("code"))).alias("ids"), cells.alias("cells"))
+    other = packed.select("set", "range", *[F.col(c).alias(f"{c}_b") for c in ("block", "ids", "cells")])
+    pairs = packed.join(other, ["set", "range"]).where("block <= block_b").select("set", "range", "block", "block_b", "ids", "cells", "ids_b", "cells_b")
+
+    def dense(ids: pa.StructArray, cells: pa.StructArray, first: int) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        names, own = np.array(ids.field("series_id").to_pylist(), object), ids.field("code").to_numpy()
+        order = np.argsort(own)
+        names, col = names[order], np.searchsorted(own[order], cells.field("code").to_numpy())
+        day = cells.field("day").to_numpy() - first
         values, there = np.zeros((DAYS, len(names))), np.zeros((DAYS, len(names)))
-        values[np.asarray(days) - first, col], there[np.asarray(days) - first, col] = x, 1.0
+        values[day, col], there[day, col] = cells.field("x").to_numpy(), 1.0
         return names, values, there
 
-    def run(batches: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
-            for r in batch.itertuples(index=False):
-                first = r.range * DAYS
-                (na, xa, ma), (nb, xb, mb) = dense(r.ids, r.days, r.x, first), dense(r.ids_b, r.days_b, r.x_b, first)
-                n, sx, sy, sxy = ma.T @ mb, xa.T @ mb, ma.T @ xb, xa.T @ xb
+            for i in range(batch.num_rows):
+                at = lambda c: batch.column(c)[i]
+                first = at("range").as_py() * DAYS
+                (na, xa, ma), (nb, xb, mb) = dense(at("ids").values, at("cells").values, first), dense(at("ids_b").values, at("cells_b").values, first)
+                n, sx, sy, sxy = (m.ravel() for m in (ma.T @ mb, xa.T @ mb, ma.T @ xb, xa.T @ xb))
                 a, b = np.repeat(na, len(nb)), np.tile(nb, len(na))
-                ok = (n.ravel() > 0) & ((a <= b) if r.block == r.block_b else True)
                 swap = a > b
-                x, y = np.where(swap, sy.ravel(), sx.ravel()), np.where(swap, sx.ravel(), sy.ravel())
-                yield pd.DataFrame({"set": r.set, "a": np.where(swap, b, a), "b": np.where(swap, a, b), "n": n.ravel().astype(np.int64), "sx": x, "sy": y, "sxy": sxy.ravel()})[ok]
+                ok = (n > 0) & ~(swap if at("block").as_py() == at("block_b").as_py() else False)
+                columns = [np.where(swap, b, a), np.where(swap, a, b), n.astype(np.int64), np.where(swap, sy, sx), np.where(swap, sx, sy), sxy]
+                made = [pa.array(c[ok]) for c in columns]
+                yield pa.RecordBatch.from_arrays([pa.array([at("set").as_py()] * int(ok.sum()), batch.column("set").type), *made], ["set", "a", "b", "n", "sx", "sy", "sxy"])
 
     kind = dict(df.dtypes)["set"]
-    parts = pairs.mapInPandas(run, f"set {kind}, a string, b string, n long, sx double, sy double, sxy double")
+    parts = pairs.mapInArrow(run, f"set {kind}, a string, b string, n long, sx double, sy double, sxy double")
     return parts.groupBy("set", "a", "b").agg(*[F.sum(c).alias(c) for c in ("n", "sx", "sy", "sxy")])
 
 
@@ -63,6 +72,7 @@ def pairwise(df: DataFrame) -> DataFrame:
 
     Series are centred first, so that sums of products lose nothing to large means.
     """
+    df = cut(df.where("x is not null").select("set", "series_id", "date", "x"))  # read for means, sizes and sums
     mean = df.groupBy("set", "series_id").agg(F.avg("x").alias("_m"))
     sums = pair_sums(df.join(mean, ["set", "series_id"]).select("set", "series_id", "date", (F.col("x") - F.col("_m")).alias("x")))
     cov = (F.col("sxy") - F.col("sx") * F.col("sy") / F.col("n")) / (F.col("n") - 1)

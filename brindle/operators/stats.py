@@ -68,8 +68,8 @@ def _ranked(p: DataFrame, family: str | None) -> tuple[DataFrame, list[str]]:
 def _running(step: DataFrame, name: str, up: bool, by: list[str]) -> DataFrame:
     """``name``: the running maximum of ``_x`` from the smallest p (``up``), or its running minimum from the largest, at most one."""
     best = F.max if up else F.min
-    within = Window.partitionBy(*by, "_part").orderBy("_i")
-    rows = within.rowsBetween(Window.unboundedPreceding, 0) if up else within.rowsBetween(0, Window.unboundedFollowing)
+    # Always from the first row on: a frame that reaches to the last row would be gone over for each row.
+    rows = Window.partitionBy(*by, "_part").orderBy("_i" if up else F.desc("_i")).rowsBetween(Window.unboundedPreceding, 0)
     ends = step.groupBy(*by, "_part").agg(best("_x").alias("_e"))  # one row a range
     other = Window.partitionBy(*by).orderBy("_part") if by else Window.orderBy("_part")
     ends = ends.withColumn("_past", best("_e").over(other.rowsBetween(Window.unboundedPreceding, -1) if up else other.rowsBetween(1, Window.unboundedFollowing))).drop("_e")
