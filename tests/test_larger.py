@@ -3,9 +3,10 @@
 import datetime as dt
 
 import numpy as np
+import pandas as pd
 import pytest
 
-from brindle.operators import book
+from brindle.operators import book, covariance
 
 D = dt.date
 
@@ -15,3 +16,14 @@ def test_a_book_without_positive_weights_has_no_shares(spark):
     got = {(r.date.day, r.series_id): r.w for r in book.polished(df, "S1", 0.01).collect()}
     assert got[3, "S1"] == 0.01 and np.isnan(got[3, "S2"])
     assert got[10, "S1"] == pytest.approx(0.01) and got[10, "S2"] == pytest.approx(0.99)
+
+
+def test_pair_sums_of_several_blocks(spark, monkeypatch):
+    monkeypatch.setattr(covariance, "SERIES_BLOCK", 8)
+    rng = np.random.default_rng(3)
+    x = pd.DataFrame(rng.normal(size=(30, 40)), index=[D(2020, 1, 1) + dt.timedelta(i) for i in range(30)], columns=[f"S{j}" for j in range(40)]).mask(rng.uniform(size=(30, 40)) < 0.2)
+    rows = [("u", k, d, float(v)) for (d, k), v in x.stack().items()]
+    got = covariance.pairwise(spark.createDataFrame(rows, "set string, series_id string, date date, x double")).toPandas()
+    want = x.cov()
+    assert len(got) == 40 * 41 // 2 and (got["a"] <= got["b"]).all()
+    assert np.allclose(got["cov"], [want.loc[a, b] for a, b in zip(got["a"], got["b"])])
