@@ -6,7 +6,7 @@ import numpy as np
 import pandas as pd
 import pytest
 
-from brindle.operators import book, covariance
+from brindle.operators import book, covariance, stats
 
 D = dt.date
 
@@ -27,3 +27,14 @@ def test_pair_sums_of_several_blocks(spark, monkeypatch):
     want = x.cov()
     assert len(got) == 40 * 41 // 2 and (got["a"] <= got["b"]).all()
     assert np.allclose(got["cov"], [want.loc[a, b] for a, b in zip(got["a"], got["b"])])
+
+
+def test_tests_with_the_same_values_tie_in_any_order_of_rows(spark):
+    rng = np.random.default_rng(4)
+    x = rng.uniform(size=(41, 30)) * 0.1
+    null = [(d, 30 * twin + j, float(x[d, j])) for twin in range(4) for d in rng.permutation(40).tolist() for j in range(30)]
+    t = spark.createDataFrame([(30 * twin + j, float(x[40, j])) for twin in range(4) for j in range(30)], "test int, t double")
+    got = dict(stats.standardised_columns(t, spark.createDataFrame(null, "draw int, test int, t0 double").repartition(5))[0].collect())
+    assert all(got[j] == got[30 * twin + j] for twin in range(4) for j in range(30))
+    want = (x[40] - x.mean(axis=0)) / x.std(axis=0, ddof=1)
+    assert np.allclose([got[j] for j in range(30)], want)
