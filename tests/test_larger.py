@@ -38,3 +38,30 @@ def test_tests_with_the_same_values_tie_in_any_order_of_rows(spark):
     assert all(got[j] == got[30 * twin + j] for twin in range(4) for j in range(30))
     want = (x[40] - x.mean(axis=0)) / x.std(axis=0, ddof=1)
     assert np.allclose([got[j] for j in range(30)], want)
+
+
+def test_shrunk_blocks_equal_the_whole_matrix(spark, monkeypatch):
+    monkeypatch.setattr(covariance, "SHRUNK_BLOCK", 8)
+    rng = np.random.default_rng(6)
+    x = rng.normal(size=(30, 40)) + rng.normal(size=(30, 1))
+    x[:, 7] = 0.0
+    days = [D(2020, 1, 3) + dt.timedelta(7 * i) for i in range(30)]
+    world = {"u": x, "v": -x[:, :3] + x[:, :3].sum(axis=1, keepdims=True) * -0.4}
+    df = spark.createDataFrame([(u, f"S{j:02d}", days[i], float(y[i, j])) for u, y in world.items() for i in range(30) for j in range(y.shape[1])], "universe string, series_id string, date date, ret double")
+    for target in ("constant_correlation", "identity"):
+        got = covariance.shrunk(df, target, window=26).toPandas()
+        for u, y in world.items():
+            want, k = covariance.shrink(y[-26:], target)
+            own = got[got["universe"] == u]
+            assert len(own) == want.size and np.allclose(own["shrinkage"], k)
+            assert np.allclose(own.pivot(index="a", columns="b", values="cov").to_numpy(), want)
+    bets = {r.universe: (r.bets, r.n) for r in covariance.shrunk_bets(df, window=26).collect()}
+    for u, y in world.items():
+        assert bets[u] == (pytest.approx(covariance.bets(covariance.correlation(covariance.shrink(y[-26:], "constant_correlation")[0]))), y.shape[1])
+
+
+def test_no_task_of_a_shrunk_covariance_holds_a_universe(spark, monkeypatch):
+    monkeypatch.setattr(covariance, "SHRUNK_BLOCK", 8)
+    df = spark.range(40 * 30).selectExpr("'u' as universe", "concat('S', id % 40) as series_id", "date_add(date'2020-01-03', cast(7 * (id div 40) as int)) as date", "rand(1) as ret")
+    sizes = [len(r.s) for r in covariance._packed(df, 26, 0.5).collect()]
+    assert sum(sizes) == 40 and max(sizes) < 20
