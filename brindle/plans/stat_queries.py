@@ -331,7 +331,7 @@ def factor_covariance(spark, sf):
 @query("k18_effective_bets")
 def bets(spark, sf):
     m = h.meta(spark, sf).select("series_id", F.col("region").alias("universe"))
-    return covariance.effective_bets(covariance.shrunk(h.weekly(spark, sf).join(m, "series_id"), "constant_correlation", present=0.5))
+    return covariance.shrunk_bets(h.weekly(spark, sf).join(m, "series_id"), present=0.5)
 
 
 @query("k1_walk_forward")
