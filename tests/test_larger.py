@@ -65,3 +65,14 @@ def test_no_task_of_a_shrunk_covariance_holds_a_universe(spark, monkeypatch):
     df = spark.range(40 * 30).selectExpr("'u' as universe", "concat('S', id % 40) as series_id", "date_add(date'2020-01-03', cast(7 * (id div 40) as int)) as date", "rand(1) as ret")
     sizes = [len(r.s) for r in covariance._packed(df, 26, 0.5).collect()]
     assert sum(sizes) == 40 and max(sizes) < 20
+
+
+def test_pairs_of_regions_come_from_many_keys(spark, monkeypatch):
+    monkeypatch.setattr(covariance, "SERIES_BLOCK", 8)
+    m = spark.createDataFrame([(f"S{i}", "xyz"[i % 3]) for i in range(50)], "series_id string, region string")
+    made = covariance.cross_region_pairs(m)
+    want = {(a, b) for a in (f"S{i}" for i in range(50)) for b in (f"S{i}" for i in range(50)) if a < b and int(a[1:]) % 3 != int(b[1:]) % 3}
+    got = [tuple(r) for r in made.collect()]
+    assert len(got) == len(want) and set(got) == want
+    assert "[i#" in made._jdf.queryExecution().optimizedPlan().toString() or "(i#" in made._jdf.queryExecution().optimizedPlan().toString()  # blocks, not regions, meet
+    assert covariance.cross_region_pairs(m.limit(0)).count() == 0
