@@ -76,3 +76,9 @@ def test_pairs_of_regions_come_from_many_keys(spark, monkeypatch):
     assert len(got) == len(want) and set(got) == want
     assert "[i#" in made._jdf.queryExecution().optimizedPlan().toString() or "(i#" in made._jdf.queryExecution().optimizedPlan().toString()  # blocks, not regions, meet
     assert covariance.cross_region_pairs(m.limit(0)).count() == 0
+
+
+def test_blocks_of_one_set_meet_by_key(spark):
+    df = spark.createDataFrame([("u", "S1", D(2020, 1, 1), 1.0)], "set string, series_id string, date date, x double")
+    joins = [x for x in covariance.pair_sums(df)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "block" in x]
+    assert joins and not any("<=" in x for x in joins)  # a pair of blocks is a key, not a row of a set's key
