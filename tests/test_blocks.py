@@ -76,3 +76,36 @@ def test_blocks_give_what_single_instruments_give(spark, method):
         assert sum(k[0] == f"S{i}" for k in got) == len(due) > 0
         for t in due:
             assert got[f"S{i}", days[t]] == pytest.approx((b[t, 0], np.sqrt(cov[t, 0, 0]), var[t], n[t], cov[t, 0, 1]), rel=1e-7)
+
+
+def test_a_period_of_a_walk_forward_stands_for_itself(spark):
+    """Against the loop over a whole run, with a series that prints on some days only; a task reads days of one period."""
+    from brindle.operators import book
+
+    days = [d for d in pd.bdate_range("2020-01-01", "2020-04-01") if d != pd.Timestamp("2020-02-07")]  # a Friday is missing
+    rng = np.random.default_rng(0)
+    rows = [("run", d.date(), s, None if i == 0 else float(rng.normal(0, 0.02)), 1e-3, 0.01) for i, d in enumerate(days) for j, s in enumerate("ABC") if j < 2 or i % 20 == 3]
+    df = spark.createDataFrame(rows, "run_id string, date date, series_id string, ret double, half_spread double, drag double")
+
+    def rule(date, week):
+        assert len(week) == 3
+        score = week.rank()
+        return score / score.sum()
+
+    made = book.walk_forward(df, rule)
+    wide = df.toPandas().pivot(index="date", columns="series_id", values="ret").sort_index().fillna(0.0)
+    ends, want, held = [i for i, d in enumerate(wide.index) if d.weekday() == 4], [], None
+    for e in ends:
+        new = rule(None, (1 + wide.iloc[max(0, e - 4) : e + 1]).prod() - 1).to_numpy()
+        if held is not None:
+            gross = 1.0
+            for day in wide.iloc[last + 1 : e + 1].to_numpy():
+                gross *= 1 + held @ day
+                held = held * (1 + day) / (held * (1 + day)).sum()
+            traded = np.abs(new - held).sum()
+            want.append((gross - 1, traded, traded * 1e-3 + 0.01 / 52))
+        held, last = new, e
+    got = made.orderBy("date").collect()
+    assert [g.date for g in got] == [wide.index[e] for e in ends[1:]] and np.allclose([(g.gross, g.turnover, g.cost) for g in got], want)
+    plan = made._jdf.queryExecution().optimizedPlan().toString()
+    assert "FlatMapCoGroupsInPandas" in plan and "FlatMapGroupsInPandas" not in plan  # no group holds a run
