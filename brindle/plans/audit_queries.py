@@ -72,8 +72,7 @@ def precedence(spark, sf):
 
 @query("c22_period_of_day", "SELECT r.series_id, r.date, f.date AS period FROM returns r JOIN fridays f ON r.date <= f.date AND r.date > f.date - 7")
 def period_of_day(spark, sf):
-    ends = h.fridays(spark, sf).select(F.col("date").alias("period"))
-    return h.returns(spark, sf).withColumn("period", F.explode(F.sequence("date", F.date_add("date", 6)))).join(ends, "period").select("series_id", "date", "period")
+    return panel.in_periods(h.returns(spark, sf), h.fridays(spark, sf), "period").select("series_id", "date", "period")
 
 
 @query("c32_semi_and_anti", "SELECT series_id, series_id IN (SELECT series_id FROM weights WHERE w > 0.03) AS held FROM meta")

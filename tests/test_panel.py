@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from brindle.functions import scalars
 from brindle.operators import asof, panel, windows
+from brindle.sources import hosted
 
 D = dt.date
 
@@ -138,3 +139,17 @@ def test_conviction_and_horizons(spark):
 def test_lookahead_counts_null_dates(spark):
     u = spark.createDataFrame([("a", D(2020, 1, 1), D(2020, 1, 2), D(2020, 1, 1)), ("b", D(2020, 1, 3), D(2020, 1, 2), D(2020, 1, 1)), ("c", D(2020, 1, 1), D(2020, 1, 2), None), ("d", D(2020, 1, 1), D(2020, 1, 2), D(2020, 1, 3))], "series_id string, knowledge_date date, used_on_date date, fitted_through date")
     assert sorted(r[0] for r in asof.lookahead_breaches(u).collect()) == ["b", "c", "d"]
+
+
+def test_days_meet_their_periods_without_copies(spark):
+    r = spark.createDataFrame([("A", D(2020, 1, 3), 0.5), ("A", D(2020, 1, 6), 0.1)], "series_id string, date date, ret double").repartition(2, "series_id")
+    ends = spark.createDataFrame([(D(2020, 1, 3),), (D(2020, 1, 10),)], "date date")
+    plan = panel.period_returns(r, ends)._jdf.queryExecution().executedPlan().toString()
+    assert "BroadcastHashJoin" in plan and plan.count("Exchange hashpartitioning") == 1  # the one asked for above
+    assert [tuple(x) for x in panel.in_periods(r, ends, "period").orderBy("date").select("date", "period").collect()] == [(D(2020, 1, 3), D(2020, 1, 3)), (D(2020, 1, 6), D(2020, 1, 10))]
+
+
+def test_levels_are_dealt_by_rows(spark, monkeypatch):
+    monkeypatch.setattr(hosted, "ROWS_A_TASK", 100)
+    rows = hosted.table(spark, "/root/testdata/sf0.001", "lineitem").count()
+    assert hosted.levels(spark, "/root/testdata/sf0.001").rdd.getNumPartitions() == -(-rows // 100)
