@@ -32,11 +32,12 @@ def skill(scored: DataFrame, by: list[str], scale: Column | None = None) -> Data
 
 def factor_shares(scored: DataFrame, by: list[str]) -> DataFrame:
     """Each factor's share of the predicted variation: sum of p times its part over the sum of p squared."""
-    long = scored.select(*by, "p", F.explode("contributions").alias("factor", "c"))
-    den = scored.groupBy(*by).agg(F.sum(F.col("p") * F.col("p")).alias("_den")) if by else scored.agg(F.sum(F.col("p") * F.col("p")).alias("_den"))
-    num = long.groupBy(*by, "factor").agg(F.sum(F.col("p") * F.col("c")).alias("_num"))
-    both = num.join(den, by) if by else num.crossJoin(F.broadcast(den))  # one row without groups
-    return both.select(*by, "factor", F.try_divide("_num", "_den").alias("share"))
+    # The sum of p squared goes along as a part without a name, so what made ``scored`` runs once.
+    whole = F.array(F.struct(F.lit(None).cast("string").alias("key"), F.col("p").alias("value")))
+    parts = F.concat(F.coalesce(F.map_entries("contributions"), F.slice(whole, 1, 0)), whole)
+    sums = scored.select(*by, "p", F.inline(parts).alias("factor", "c")).groupBy(*by, "factor").agg(F.sum(F.col("p") * F.col("c")).alias("_num"))
+    total = F.max(F.when(F.col("factor").isNull(), F.col("_num"))).over(Window.partitionBy(*by))  # a row a factor
+    return sums.withColumn("_den", total).where("factor is not null").select(*by, "factor", F.try_divide("_num", "_den").alias("share"))
 
 
 def rank_correlations(scored: DataFrame, least: int = 5) -> DataFrame:

@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..functions import scalars
 from ..operators import loadings, windows
 from ..sources import hosted as h
 from ..sources import synthetic
@@ -16,8 +17,8 @@ def panel(spark, sf):
     """Weekly returns of every series with two factors: the cross-section's mean and a region's lead over it."""
     w = h.weekly(spark, sf)
     m = h.meta(spark, sf)
-    f = w.join(m, "series_id").groupBy("date").agg(F.avg("ret").alias("market"), (F.avg(F.when(F.col("region") == "ASIA", F.col("ret"))) - F.avg("ret")).alias("tilt")).where("tilt is not null")
-    return w.join(f, "date").select(F.col("series_id").alias("instrument"), "date", "ret", *FACTORS)
+    f = w.join(m, "series_id").groupBy("date").agg(F.avg("ret").alias("market"), (F.avg(F.when(F.col("region") == "ASIA", F.col("ret"))) - F.avg("ret")).alias("tilt")).where("tilt is not null")  # one row a week
+    return w.join(F.broadcast(f), "date").select(F.col("series_id").alias("instrument"), "date", "ret", *FACTORS)
 
 
 def _method(name: str, method: str):
@@ -46,7 +47,8 @@ def peer_prior(spark, sf):
 
 
 def losses(spark, sf):
-    return loadings.predicted_losses(ols(spark, sf), panel(spark, sf), FACTORS).groupBy("instrument").agg(F.avg("loss").alias("loss"), F.count("*").alias("n"))
+    made = loadings.predicted(panel(spark, sf), FACTORS, "ols").select("instrument", scalars.huber(F.col("ret") - F.col("p")).alias("loss"))
+    return made.groupBy("instrument").agg(F.avg("loss").alias("loss"), F.count("*").alias("n"))
 
 
 @query("a32_synthetic_levels")

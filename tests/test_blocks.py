@@ -7,7 +7,7 @@ import pandas as pd
 import pyarrow as pa
 import pytest
 
-from brindle.operators import loadings
+from brindle.operators import fit, loadings
 
 D = dt.date
 
@@ -109,3 +109,25 @@ def test_a_period_of_a_walk_forward_stands_for_itself(spark):
     assert [g.date for g in got] == [wide.index[e] for e in ends[1:]] and np.allclose([(g.gross, g.turnover, g.cost) for g in got], want)
     plan = made._jdf.queryExecution().optimizedPlan().toString()
     assert "FlatMapCoGroupsInPandas" in plan and "FlatMapGroupsInPandas" not in plan  # no group holds a run
+
+
+def test_predictions_made_with_the_loadings_equal_those_of_stored_loadings(spark):
+    y, f = ragged(m=3, n=140)
+    y[1, 120] = np.nan
+    rows = [(f"S{i}", D(2020, 1, 3) + dt.timedelta(7 * t), *(float(v) if np.isfinite(v) else None for v in (y[i, t], *f[i, t]))) for i in range(3) for t in range(140)]
+    panel = spark.createDataFrame(rows, "instrument string, date date, ret double, tilt double, market double")
+    want = fit.predictions(loadings.estimated(panel, ["tilt", "market"], "ols"), panel, ["tilt", "market"]).orderBy("instrument", "date").toPandas()
+    made = loadings.predicted(panel, ["tilt", "market"], "ols")
+    got = made.orderBy("instrument", "date").toPandas()
+    assert len(want) > 20 and list(got.columns) == list(want.columns) and (got[["instrument", "date"]] == want[["instrument", "date"]]).all(axis=None)
+    assert np.allclose(got[["ret", "p"]], want[["ret", "p"]]) and all(a == pytest.approx(b) for a, b in zip(got["contributions"], want["contributions"]))
+    assert "Join" not in made._jdf.queryExecution().executedPlan().toString()
+
+
+def test_shares_of_factors_read_their_rows_once(spark):
+    scored = spark.createDataFrame([("a", 1.0, {"x": 0.25, "y": 0.75}), ("a", 2.0, {"x": 2.0}), ("b", 3.0, None), ("b", 1.0, {"y": 1.0})], "g string, p double, contributions map<string,double>")
+    got = {(r.g, r.factor): r.share for r in fit.factor_shares(scored, ["g"]).collect()}
+    assert got == {("a", "x"): pytest.approx(4.25 / 5), ("a", "y"): pytest.approx(0.75 / 5), ("b", "y"): pytest.approx(0.1)}
+    whole = fit.factor_shares(scored, [])
+    assert {r.factor: r.share for r in whole.collect()} == {"x": pytest.approx(4.25 / 15), "y": pytest.approx(1.75 / 15)}
+    assert "Join" not in whole._jdf.queryExecution().optimizedPlan().toString()
