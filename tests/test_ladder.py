@@ -163,3 +163,23 @@ def test_params_are_nested_fixed_and_hashed():
     with pytest.raises(TypeError):
         p.values["a"]["d"] = 3
     assert p.first({"h": None}, "h", "a.b.c") == 1 and p.first({"h": 0}, "h", "a.b.c") == 0
+
+
+def test_breadth_equals_that_of_whole_matrices_and_no_task_holds_a_universe(spark):
+    rng = np.random.default_rng(5)
+    days = [D(2010, 1, 1) + dt.timedelta(7 * i) for i in range(30)]
+    worlds = {"u": rng.normal(size=(30, 45)) + rng.normal(size=(30, 1)), "v": rng.normal(size=(30, 6)), "one": rng.normal(size=(30, 1))}
+    worlds["v"][3, 2] = np.nan
+    worlds["v"][4:, 5] = np.nan  # too few to take part
+    rows = [(u, f"{u}{j}", days[i], float(x[i, j]) if np.isfinite(x[i, j]) else None) for u, x in worlds.items() for i in range(30) for j in range(x.shape[1])]
+    df = spark.createDataFrame(rows, "universe string, series_id string, date date, ret double").repartition(7)
+    bench = rng.normal(size=30) * 0.3
+    b = spark.createDataFrame([(d, float(v)) for d, v in zip(days[1:], bench[1:])], "date date, bench double")
+    made = covariance.breadth(df, b, [4], least=8)
+    got = {r.universe: r for r in made.collect()}
+    assert set(got) == {"u", "v"}  # a series alone has no breadth
+    for u, x in {"u": worlds["u"][1:], "v": np.delete(worlds["v"], 3, axis=0)[1:, :5]}.items():
+        own = bench[1:] if u == "u" else np.delete(bench, 3)[1:]
+        assert got[u].n_series == x.shape[1]
+        assert got[u].bets_total == pytest.approx(covariance.bets(np.corrcoef(x.T))) and got[u].bets_active == pytest.approx(covariance.bets(np.corrcoef((x - own[:, None]).T)))
+    assert "FlatMapGroupsInPandas" not in made._jdf.queryExecution().executedPlan().toString()
