@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from pyspark.sql import functions as F
 
+from ..operators.lineage import cut
 from ..sources import hosted as h
 from ..sources import loaders, synthetic
 from .registry import query
@@ -37,7 +38,11 @@ seam AS (SELECT arg_min(t / s, date) AS k FROM pair WHERE t IS NOT NULL AND s IS
 sp AS (SELECT * FROM cv WHERE series_id <> 'S1' UNION ALL SELECT 'S1', date, coalesce(t, s * k) FROM pair, seam),
 ob AS (SELECT * FROM sp WHERE level IS NOT NULL AND date < DATE '1998-06-01') {_RETURNS}""")
 def returns(spark, sf):
-    return loaders.load_returns(text(spark, sf), h.meta(spark, sf), h.fx(spark, sf), [("S1", "S2")], "1998-06-01").returns
+    m = cut(h.meta(spark, sf))  # read by the universe, guards, starts and members
+    members = loaders.universe(m.select(F.col("series_id").alias("ticker"), "tier")).select(F.col("ticker").alias("series_id"))
+    currencies = h.table(spark, sf, "region").select(F.concat(F.lit("C"), F.col("r_regionkey").cast("string")).alias("currency"))
+    prints = text(spark, sf).join(m.select("series_id"), "series_id", "left_semi")
+    return loaders.load_returns(prints, m, h.fx(spark, sf), [("S1", "S2")], "1998-06-01", members=members, currencies=currencies, tiers=("1995-12-31", "1997-12-31")).returns
 
 
 @query("a14_benchmark_legs", f"WITH {_LOADED.format(keep='false')}, ob AS (SELECT * FROM cv WHERE series_id IN ('S1', 'S2', 'S3') AND level IS NOT NULL AND date < DATE '1998-06-01') {_RETURNS}")

@@ -149,6 +149,34 @@ def test_loads_refuse_doubles_and_keep_what_is_written_once(spark, tmp_path):
         loaders.write_outputs(cell, str(tmp_path / "out"))
 
 
+def test_loaded_returns_take_every_step_of_the_chain(spark):
+    day = lambda i: D(2020, 1, i)
+    level = lambda name, days, x: [(name, day(i), str(x * i)) for i in days]
+    raw = spark.createDataFrame([*level("T", (8, 9, 10), 1.0), *level("NDU", (6, 7, 9), 2.0), *level("F", (6, 7, 8), 3.0)], "series_id string, date date, raw string")
+    source = spark.createDataFrame([*level("S", (3, 6, 7, 8, 9), 5.0), ("S", day(10), "#N/A")], "series_id string, date date, raw string")
+    kind = "series_id string, currency string, hedged boolean, start date, tier string"
+    meta = spark.createDataFrame([("T", "", False, day(8), "second"), ("S", "USD", False, day(6), "backbone"), ("NDU", "USD", False, day(6), "backbone"), ("F", "EUR", False, day(6), "second")], kind)
+    rates = spark.createDataFrame([("EUR", day(6), 2.0), ("EUR", day(8), 4.0)], "currency string, date date, rate double")
+    eur = rates.select("currency")
+    members = spark.createDataFrame([("T",), ("NDU",), ("F",)], "series_id string")
+    load = lambda m, **how: loaders.load_returns(raw, m, rates, [("T", "S"), ("T", None), ("T", "none"), ("NDU", "NDU")], "2020-01-10", [source], currencies=eur, net=("ND",), tiers=("2020-01-06", "2020-01-08"), **how)
+    got = load(meta, members=members)
+    rets = {(r.series_id, r.date.day): r.ret for r in got.returns.collect()}
+    assert {k for k, _ in rets} == {"T", "NDU", "F"}  # the source was spliced and is no member
+    assert rets["T", 7] == pytest.approx(7 / 6 - 1) and ("T", 3) not in rets and ("T", 10) not in rets
+    assert rets["F", 8] == pytest.approx((24 / 4) / (18 / 2) - 1) and rets["NDU", 9] == pytest.approx(9 / 7 - 1)
+    told = {r.series_id: (r.start.day, r.tier, r.gross) for r in got.meta.collect()}
+    assert told == {"T": (6, "backbone", True), "NDU": (6, "backbone", False), "F": (6, "second", True)}
+    said = [(r.target, r.source, r.taken, r.scale, r.skipped) for r in got.splices.collect()]
+    assert said[0] == ("T", "S", 2, pytest.approx(0.2), None) and [x[4] for x in said[1:]] == ["no source named", "source none not in the panel", "no gap to fill"]
+    assert {r.series_id: r.without_rate for r in got.report.collect()}["F"] == 1
+    assert {r.series_id for r in load(meta).returns.collect()} == {"T", "S", "NDU", "F"}
+    with pytest.raises(ValueError, match="F: unknown currency"):
+        load(meta.withColumn("currency", F.when(F.col("series_id") == "F", "XXX").otherwise(F.col("currency"))))
+    with pytest.raises(ValueError, match="NDU: no daily start"):
+        load(meta.where("series_id <> 'NDU'"))
+
+
 def test_params_are_nested_fixed_and_hashed():
     from brindle.params import Params
 
