@@ -82,3 +82,50 @@ def test_blocks_of_one_set_meet_by_key(spark):
     df = spark.createDataFrame([("u", "S1", D(2020, 1, 1), 1.0)], "set string, series_id string, date date, x double")
     joins = [x for x in covariance.pair_sums(df)._jdf.queryExecution().optimizedPlan().toString().splitlines() if "Join" in x and "block" in x]
     assert joins and not any("<=" in x for x in joins)  # a pair of blocks is a key, not a row of a set's key
+
+
+def plan_of(df):
+    return df._jdf.queryExecution().executedPlan().toString()
+
+
+def test_blocks_are_paired_where_they_were_written(spark):
+    """No pair of series is sent or added up after it was made, and no side goes to all tasks."""
+    df = spark.createDataFrame([("u", f"S{i}", D(2020, 1, d), float(i * d % 7)) for i in range(4) for d in range(1, 6)], "set string, series_id string, date date, x double")
+    sums = plan_of(covariance.pair_sums(df))
+    assert "CartesianProduct" in sums and "HashAggregate" not in sums and "SortMergeJoin" not in sums and "BroadcastHashJoin" not in sums
+    weekly = df.select(df["set"].alias("universe"), "series_id", "date", df["x"].alias("ret"))
+    for target in ("identity", "constant_correlation"):
+        shrunk = plan_of(covariance.shrunk(weekly, target))
+        assert "CartesianProduct" in shrunk and "block_b#" in shrunk and "SortMergeJoin" not in shrunk.split("CartesianProduct")[0]
+
+
+def test_pairs_of_regions_send_no_side_to_all_tasks(spark):
+    pairs = plan_of(covariance.cross_region_pairs(spark.createDataFrame([("S1", "x"), ("S2", "y")], "series_id string, region string")))
+    assert "CartesianProduct" in pairs and "Broadcast" not in pairs
+
+
+def test_far_pairs_alone_are_made_of_unlike_labels(spark, monkeypatch):
+    monkeypatch.setattr(covariance, "SERIES_BLOCK", 8)
+    rng = np.random.default_rng(5)
+    x = pd.DataFrame(rng.normal(size=(30, 30)), index=[D(2020, 1, 1) + dt.timedelta(i) for i in range(30)], columns=[f"S{j}" for j in range(30)]).mask(rng.uniform(size=(30, 30)) < 0.2)
+    df = spark.createDataFrame([("", k, d, float(v), "xyz"[int(k[1:]) % 3]) for (d, k), v in x.stack().items()], "set string, series_id string, date date, x double, label string")
+    got, want = covariance.pairwise(df, apart=True).toPandas(), x.cov()
+    assert len(got) == 30 * 20 // 2 and all(int(a[1:]) % 3 != int(b[1:]) % 3 and a < b for a, b in zip(got["a"], got["b"]))
+    assert np.allclose(got["cov"], [want.loc[a, b] for a, b in zip(got["a"], got["b"])])
+
+
+def test_rescaled_pairs_are_rescaled_covariances(spark):
+    rng = np.random.default_rng(7)
+    x = rng.normal(size=(40, 6)) + rng.normal(size=(40, 1))
+    x[:, 4] = 0.5
+    x[rng.uniform(size=x.shape) < 0.2] = np.nan
+    days = [D(2020, 1, 3) + dt.timedelta(7 * i) for i in range(40)]
+    rows = [("u", f"S{j}", days[i], float(x[i, j]) if np.isfinite(x[i, j]) else None) for i in range(40) for j in range(6)]
+    made = covariance.rescaled_pairs(spark.createDataFrame(rows, "universe string, series_id string, date date, ret double"), 13.0)
+    got = made.toPandas().pivot(index="a", columns="b", values="cov").to_numpy()
+    cov, w = pd.DataFrame(x).cov().to_numpy(), covariance.ewma(40, 13.0)
+    y = np.nan_to_num(x)
+    fast = w @ y**2 - (w @ y) ** 2
+    s = np.where(np.diag(cov) > 1e-20, np.sqrt(fast / np.where(np.diag(cov) > 1e-20, np.diag(cov), 1)), 0)
+    assert np.allclose(got, cov * np.outer(s, s)) and np.allclose(got, got.T)
+    assert "Join" not in plan_of(made).split("CartesianProduct")[0]  # no pair meets its scales
